@@ -226,3 +226,190 @@ FROM (
 def q14_data_availability(spark, sf_dir):
     from sessionscope.plans.availability import data_availability
     return data_availability(tables(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- Q4-Q10 worklists
+def _or_join(alias: str) -> str:
+    """The reference's identity-resolution join condition, verbatim in shape."""
+    return (f"LEFT JOIN users u ON u.tenant_id = {alias}.tenant_id AND (u.user_id = {alias}.user_prop_webuserid "
+            f"OR ({alias}.user_prop_webuserid IS NULL AND u.buying_company_erp_id = {alias}.user_prop_webcustomerid))")
+
+
+_UCOLS = "u.user_id, u.buying_company_name AS customer_name, u.email, u.cell_phone AS phone, u.office_phone"
+_DAY = "strftime(make_timestamp(CAST({c} AS BIGINT)), '%Y-%m-%d')"
+_NO_PURCHASE = ("NOT EXISTS (SELECT 1 FROM purchase p WHERE p.param_ga_session_id = {a}.param_ga_session_id "
+                "AND p.tenant_id = {a}.tenant_id)")
+
+
+def q4_sql(page: int | None = None, limit: int | None = None) -> str:
+    order = "fp.event_timestamp DESC NULLS FIRST, fp.event_id ASC NULLS FIRST, u.user_id ASC NULLS FIRST"
+    rn = f", row_number() OVER (PARTITION BY fp.tenant_id ORDER BY {order}) AS row_num" if limit else ""
+    body = f"""
+SELECT fp.tenant_id, fp.param_transaction_id AS transaction_id, {_DAY.format(c='fp.event_timestamp')} AS event_date,
+       CAST(round(COALESCE(fp.ecommerce_purchase_revenue, 0), 2) AS DOUBLE) AS order_value,
+       COALESCE(fp.param_page_location, '') AS page_location, fp.param_ga_session_id AS ga_session_id,
+       {_UCOLS}, COALESCE(fp.items_json, '[]') AS products, false AS completed,
+       COUNT(*) OVER (PARTITION BY fp.tenant_id) AS total_count {rn}
+FROM purchase fp {_or_join('fp')}"""
+    if limit:
+        first = (page - 1) * limit
+        body = f"SELECT * FROM ({body}) x WHERE row_num > {first} AND row_num <= {first + limit}"
+    return fixture_sql(body)
+
+
+@register("q4_purchase_tasks", q4_sql())
+def q4_purchase_tasks(spark, sf_dir):
+    from sessionscope.plans.worklists import purchase_tasks
+    return purchase_tasks(tables(spark, sf_dir))
+
+
+Q5_SQL = fixture_sql(f"""
+SELECT sd.tenant_id, sd.param_ga_session_id AS session_id,
+       {_DAY.format(c='sd.last_activity')} AS event_date, {_DAY.format(c='sd.last_activity')} AS last_activity,
+       sd.items_count, CAST(round(sd.total_value, 2) AS DOUBLE) AS total_value, {_UCOLS},
+       pt.products, COUNT(*) OVER (PARTITION BY sd.tenant_id) AS total_count
+FROM sd
+LEFT JOIN pt ON pt.tenant_id = sd.tenant_id AND pt.param_ga_session_id = sd.param_ga_session_id
+           AND pt.user_prop_webuserid IS NOT DISTINCT FROM sd.user_prop_webuserid
+{_or_join('sd')}
+""", extra_ctes=f"""
+abandoned AS (SELECT DISTINCT ac.tenant_id, ac.param_ga_session_id FROM add_to_cart ac
+              WHERE {_NO_PURCHASE.format(a='ac')}),
+rows_ AS (SELECT ac.* FROM add_to_cart ac WHERE EXISTS (SELECT 1 FROM abandoned a WHERE a.tenant_id = ac.tenant_id
+          AND a.param_ga_session_id = ac.param_ga_session_id)),
+sd AS (SELECT tenant_id, param_ga_session_id, user_prop_webuserid, MAX(user_prop_webcustomerid) AS user_prop_webcustomerid,
+              MAX(event_timestamp) AS last_activity, COUNT(event_id) AS items_count,
+              SUM(first_item_price * first_item_quantity) AS total_value
+       FROM rows_ GROUP BY 1, 2, 3),
+pi AS (SELECT tenant_id, param_ga_session_id, user_prop_webuserid,
+              COALESCE(first_item_item_id, '') || '|' || COALESCE(first_item_item_name, '') || '|'
+              || COALESCE(first_item_item_category, '') || '|' || COALESCE(CAST(first_item_price AS VARCHAR), '') || '|'
+              || COALESCE(CAST(first_item_quantity AS VARCHAR), '') || 'x' || CAST(COUNT(*) AS VARCHAR) AS item
+       FROM rows_ GROUP BY tenant_id, param_ga_session_id, user_prop_webuserid, first_item_item_id,
+                first_item_item_name, first_item_item_category, first_item_price, first_item_quantity),
+pt AS (SELECT tenant_id, param_ga_session_id, user_prop_webuserid, string_agg(item, ';' ORDER BY item) AS products
+       FROM pi GROUP BY 1, 2, 3)
+""")
+
+
+@register("q5_cart_abandonment_tasks", Q5_SQL)
+def q5_cart_abandonment_tasks(spark, sf_dir):
+    from sessionscope.plans.worklists import cart_abandonment_tasks
+    return cart_abandonment_tasks(tables(spark, sf_dir))
+
+
+_Q6_CTES = f"""
+failed AS (SELECT nsr.tenant_id, nsr.param_ga_session_id, nsr.user_prop_webuserid,
+                  MAX(nsr.user_prop_webcustomerid) AS user_prop_webcustomerid,
+                  nsr.param_no_search_results_term AS search_term, 'no_results' AS search_type,
+                  COUNT(*) AS search_count, MAX(nsr.event_timestamp) AS last_activity
+           FROM no_search_results nsr GROUP BY nsr.tenant_id, nsr.param_ga_session_id, nsr.user_prop_webuserid,
+                nsr.param_no_search_results_term),
+unconverted AS (SELECT vsr.tenant_id, vsr.param_ga_session_id, vsr.user_prop_webuserid,
+                       MAX(vsr.user_prop_webcustomerid) AS user_prop_webcustomerid,
+                       STRING_AGG(DISTINCT vsr.param_search_term, ', ' ORDER BY vsr.param_search_term) AS search_term,
+                       'no_conversion' AS search_type, COUNT(*) AS search_count, MAX(vsr.event_timestamp) AS last_activity
+                FROM view_search_results vsr WHERE {_NO_PURCHASE.format(a='vsr')}
+                GROUP BY vsr.tenant_id, vsr.param_ga_session_id, vsr.user_prop_webuserid HAVING COUNT(*) > 2),
+all_searches AS (SELECT * FROM failed UNION ALL SELECT * FROM unconverted)
+"""
+
+Q6_SQL = fixture_sql(f"""
+SELECT s.tenant_id, s.param_ga_session_id AS session_id, {_DAY.format(c='s.last_activity')} AS event_date,
+       s.search_term, s.search_type, s.search_count, {_UCOLS}, COUNT(*) OVER (PARTITION BY s.tenant_id) AS total_count
+FROM all_searches s {_or_join('s')}""", extra_ctes=_Q6_CTES)
+
+
+@register("q6_search_analysis_tasks", Q6_SQL)
+def q6_search_analysis_tasks(spark, sf_dir):
+    from sessionscope.plans.worklists import search_analysis_tasks
+    return search_analysis_tasks(tables(spark, sf_dir))
+
+
+@register("q6_search_facets", fixture_sql("""
+SELECT tenant_id, search_type AS value,
+       CASE search_type WHEN 'no_results' THEN 'No Results' WHEN 'no_conversion' THEN 'No Conversion' ELSE search_type END AS label,
+       COUNT(*) AS count
+FROM all_searches GROUP BY tenant_id, search_type HAVING COUNT(*) > 0""", extra_ctes=_Q6_CTES))
+def q6_search_facets(spark, sf_dir):
+    from sessionscope.plans.worklists import search_facets
+    return search_facets(tables(spark, sf_dir))
+
+
+Q7_SQL = fixture_sql(f"""
+SELECT ps.tenant_id, ps.param_ga_session_id AS session_id, {_DAY.format(c='ps.last_activity')} AS event_date,
+       ps.page_views_count, CAST(COALESCE(spv.products_viewed, 0) AS BIGINT) AS products_viewed,
+       COALESCE(spv.products_details, '') AS products_details,
+       ps.user_id, ps.customer_name, ps.email, ps.phone, ps.office_phone, ps.total_count
+FROM rvsu ps LEFT JOIN spv ON spv.tenant_id = ps.tenant_id AND spv.param_ga_session_id = ps.param_ga_session_id
+""", extra_ctes=f"""
+active_sessions AS (SELECT tenant_id, param_ga_session_id, user_prop_webuserid,
+                           MAX(user_prop_webcustomerid) AS user_prop_webcustomerid,
+                           COUNT(DISTINCT param_page_location) AS page_views_count, MAX(event_timestamp) AS last_activity
+                    FROM page_view GROUP BY 1, 2, 3 HAVING COUNT(DISTINCT param_page_location) > 2),
+repeat_visitors AS (SELECT tenant_id, user_prop_webuserid FROM active_sessions GROUP BY 1, 2
+                    HAVING COUNT(param_ga_session_id) > 1),
+rvs AS (SELECT a_s.* FROM active_sessions a_s INNER JOIN repeat_visitors rv
+        ON a_s.tenant_id = rv.tenant_id AND a_s.user_prop_webuserid = rv.user_prop_webuserid),
+rvsu AS (SELECT rvs.*, {_UCOLS}, COUNT(*) OVER (PARTITION BY rvs.tenant_id) AS total_count FROM rvs {_or_join('rvs')}),
+spv_items AS (SELECT DISTINCT vi.tenant_id, vi.param_ga_session_id,
+                     COALESCE(COALESCE(vi.first_item_item_name, vi.first_item_item_id), '') || '|'
+                     || COALESCE(vi.param_page_location, '') || '|' || COALESCE(vi.first_item_item_category, '') || '|'
+                     || COALESCE(CAST(vi.first_item_price AS VARCHAR), '') || 'x1' AS item
+              FROM view_item vi WHERE vi.first_item_item_id IS NOT NULL
+              AND EXISTS (SELECT 1 FROM rvs WHERE rvs.tenant_id = vi.tenant_id AND rvs.param_ga_session_id = vi.param_ga_session_id)),
+spv AS (SELECT c.tenant_id, c.param_ga_session_id, c.products_viewed, d.products_details FROM
+          (SELECT vi.tenant_id, vi.param_ga_session_id, COUNT(DISTINCT vi.first_item_item_id) AS products_viewed
+           FROM view_item vi WHERE vi.first_item_item_id IS NOT NULL GROUP BY 1, 2) c
+        LEFT JOIN (SELECT tenant_id, param_ga_session_id, string_agg(item, ';' ORDER BY item) AS products_details
+                   FROM spv_items GROUP BY 1, 2) d
+        ON c.tenant_id = d.tenant_id AND c.param_ga_session_id = d.param_ga_session_id)
+""")
+
+
+@register("q7_repeat_visit_tasks", Q7_SQL)
+def q7_repeat_visit_tasks(spark, sf_dir):
+    from sessionscope.plans.worklists import repeat_visit_tasks
+    return repeat_visit_tasks(tables(spark, sf_dir))
+
+
+_BOUNCE_CTES = """
+spc AS (SELECT tenant_id, param_ga_session_id, user_prop_webuserid,
+               MAX(user_prop_webcustomerid) AS user_prop_webcustomerid,
+               MAX(user_prop_default_branch_id) AS user_prop_default_branch_id,
+               COUNT(DISTINCT param_page_location) AS page_view_count, MAX(event_timestamp) AS last_activity,
+               first(param_page_location ORDER BY event_timestamp, event_id) AS entry_page
+        FROM page_view GROUP BY 1, 2, 3),
+bounced AS (SELECT *, COUNT(*) OVER (PARTITION BY tenant_id) AS total_count FROM spc WHERE page_view_count = 1),
+fbp AS (SELECT * FROM (SELECT tenant_id, entry_page, COUNT(*) AS bounce_count,
+               row_number() OVER (PARTITION BY tenant_id ORDER BY COUNT(*) DESC, entry_page ASC NULLS FIRST) AS rank
+        FROM bounced GROUP BY 1, 2) x WHERE rank <= 10)
+"""
+
+
+@register("q8_performance_bounced_sessions", fixture_sql(f"""
+SELECT bs.tenant_id, bs.param_ga_session_id AS session_id, {_DAY.format(c='bs.last_activity')} AS event_date,
+       bs.entry_page, {_UCOLS}, bs.total_count
+FROM bounced bs {_or_join('bs')}""", extra_ctes=_BOUNCE_CTES))
+def q8_performance_bounced_sessions(spark, sf_dir):
+    from sessionscope.plans.worklists import performance_bounced_sessions
+    return performance_bounced_sessions(tables(spark, sf_dir))
+
+
+@register("q9_performance_bounced_pages", fixture_sql(
+    "SELECT tenant_id, entry_page, bounce_count, rank FROM fbp", extra_ctes=_BOUNCE_CTES))
+def q9_performance_bounced_pages(spark, sf_dir):
+    from sessionscope.plans.worklists import frequently_bounced_pages
+    return frequently_bounced_pages(tables(spark, sf_dir))
+
+
+@register("q10_performance_facets", fixture_sql("""
+SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY CAST(count AS VARCHAR) DESC, value ASC) AS position
+FROM (
+  SELECT tenant_id, 'high_bounce' AS value, 'High Bounce' AS label, MAX(total_count) AS count FROM bounced GROUP BY 1
+  UNION ALL
+  SELECT tenant_id, 'page_bounce_issue', 'Page Bounce', COUNT(*) FROM fbp GROUP BY 1
+) f WHERE count > 0""", extra_ctes=_BOUNCE_CTES))
+def q10_performance_facets(spark, sf_dir):
+    from sessionscope.plans.worklists import performance_facets
+    return performance_facets(tables(spark, sf_dir))
