@@ -28,15 +28,19 @@ def format_currency(amount: Column) -> Column:
 
 
 def duration_label(start: Column, end: Column) -> Column:
-    """``1.5s`` below a minute, ``14m`` below an hour, else ``1h 1m``; missing or negative -> em dash."""
+    """Below a minute ``5s`` / ``1.5s`` (one decimal, trailing .0 dropped); below an
+    hour ``14m``; else ``1h`` / ``1h 1m``. Missing or negative -> em dash."""
     ms = (F.unix_micros(end) - F.unix_micros(start)) / 1000.0
-    secs = ms / 1000.0
-    mins = F.floor(secs / 60)
-    return (F.when(start.isNull() | end.isNull() | (ms < 0), F.lit("—"))
-            .when(secs < 60, F.concat(F.format_string("%.1f", secs), F.lit("s")))
-            .when(secs < 3600, F.concat(mins.cast("string"), F.lit("m")))
-            .otherwise(F.concat(F.floor(secs / 3600).cast("string"), F.lit("h "),
-                                (mins % 60).cast("string"), F.lit("m"))))
+    total = F.floor(ms / 1000)
+    r = F.round(ms / 1000.0, 1)
+    secs = F.when(r == F.floor(r), F.floor(r).cast("string")).otherwise(F.format_string("%.1f", r))
+    hours, mins = F.floor(total / 3600), F.floor((total % 3600) / 60)
+    return (F.when(start.isNull() | end.isNull() | (ms < 0), F.lit("\u2014"))
+            .when(total < 60, F.concat(secs, F.lit("s")))
+            .when(hours > 0, F.when(mins > 0, F.concat(hours.cast("string"), F.lit("h "), mins.cast("string"),
+                                                         F.lit("m")))
+                  .otherwise(F.concat(hours.cast("string"), F.lit("h"))))
+            .otherwise(F.concat(mins.cast("string"), F.lit("m"))))
 
 
 def days_ago_label(d: Column, as_of: Column) -> Column:

@@ -413,3 +413,177 @@ FROM (
 def q10_performance_facets(spark, sf_dir):
     from sessionscope.plans.worklists import performance_facets
     return performance_facets(tables(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- U1 / Q11 / Q12 timelines
+def _js(x: str) -> str:
+    return f"COALESCE(CAST(to_json({x}) AS VARCHAR), 'null')"
+
+
+def _num(x: str) -> str:
+    return f"COALESCE(CAST({x} AS VARCHAR), 'null')"
+
+
+_ALL_EVENTS_CTE = f"""
+all_events AS (
+  SELECT tenant_id, event_timestamp, param_ga_session_id, 'page_view' AS event_type,
+         '{{"page_location":' || {_js('param_page_location')} || ',"page_title":' || {_js('param_page_title')} || '}}' AS details
+  FROM page_view
+  UNION ALL
+  SELECT tenant_id, event_timestamp, param_ga_session_id, 'add_to_cart',
+         '{{"item_id":' || {_js('first_item_item_id')} || ',"item_name":' || {_js('first_item_item_name')}
+         || ',"price":' || {_num('first_item_price')} || ',"quantity":' || {_num('first_item_quantity')} || '}}'
+  FROM add_to_cart
+  UNION ALL
+  SELECT tenant_id, event_timestamp, param_ga_session_id, 'purchase',
+         '{{"transaction_id":' || {_js('param_transaction_id')} || ',"revenue":' || {_num('ecommerce_purchase_revenue')}
+         || ',"items":' || {_js("COALESCE(items_json, '[]')")} || '}}'
+  FROM purchase
+  UNION ALL
+  SELECT tenant_id, event_timestamp, param_ga_session_id, 'view_search_results',
+         '{{"search_term":' || {_js('param_search_term')} || '}}' FROM view_search_results
+  UNION ALL
+  SELECT tenant_id, event_timestamp, param_ga_session_id, 'no_search_results',
+         '{{"search_term":' || {_js('param_no_search_results_term')} || '}}' FROM no_search_results
+  UNION ALL
+  SELECT tenant_id, event_timestamp, param_ga_session_id, 'view_item',
+         '{{"item_id":' || {_js('first_item_item_id')} || ',"item_name":' || {_js('first_item_item_name')}
+         || ',"price":' || {_num('first_item_price')} || ',"category":' || {_js('first_item_item_category')} || '}}'
+  FROM view_item
+)"""
+
+
+@register("u1_union_all_events", fixture_sql(
+    "SELECT tenant_id, event_timestamp, param_ga_session_id, event_type, details FROM all_events",
+    extra_ctes=_ALL_EVENTS_CTE))
+def u1_union_all_events(spark, sf_dir):
+    from sessionscope.plans.history import all_events
+    return all_events(tables(spark, sf_dir))
+
+
+@register("q11_user_history", fixture_sql("""
+SELECT ae.tenant_id, us.user_id, ae.event_timestamp, ae.param_ga_session_id AS session_id, ae.event_type, ae.details
+FROM all_events ae JOIN user_sessions us ON ae.tenant_id = us.tenant_id AND ae.param_ga_session_id = us.param_ga_session_id
+""", extra_ctes=_ALL_EVENTS_CTE + """,
+user_sessions AS (SELECT DISTINCT tenant_id, user_prop_webuserid AS user_id, param_ga_session_id FROM page_view
+                  WHERE user_prop_webuserid IS NOT NULL AND param_ga_session_id IS NOT NULL)"""))
+def q11_user_history(spark, sf_dir):
+    from sessionscope.plans.history import user_history
+    return user_history(tables(spark, sf_dir))
+
+
+@register("q12_session_history", fixture_sql("""
+SELECT tenant_id, param_ga_session_id AS session_id, event_timestamp, event_type, details
+FROM all_events WHERE param_ga_session_id IS NOT NULL""", extra_ctes=_ALL_EVENTS_CTE))
+def q12_session_history(spark, sf_dir):
+    from sessionscope.plans.history import session_history
+    return session_history(tables(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- Q15-Q20 operational histories
+AS_OF_JOBS = "2001-11-05 00:00:00"
+_TS = "strftime({c}, '%Y-%m-%d %H:%M:%S')"
+
+
+def _page_sql(inner: str, order: str, limit: int, offset: int) -> str:
+    return (f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY {order}) AS row_num "
+            f"FROM ({inner}) i) x WHERE row_num > {offset} AND row_num <= {offset + limit}")
+
+
+@register("q15_ingestion_jobs_page", fixture_sql(_page_sql(f"""
+SELECT id, tenant_id, job_id, status, data_types, strftime(start_date, '%Y-%m-%d') AS start_date,
+       strftime(end_date, '%Y-%m-%d') AS end_date, progress, records_processed, error_message,
+       {_TS.format(c='created_at')} AS created_at, {_TS.format(c='started_at')} AS started_at,
+       {_TS.format(c='completed_at')} AS completed_at, COUNT(*) OVER (PARTITION BY tenant_id) AS total_count
+FROM processing_jobs""", "created_at DESC, job_id ASC", 50, 100)))
+def q15_ingestion_jobs_page(spark, sf_dir):
+    from sessionscope.plans.jobs import ingestion_jobs_page
+    return ingestion_jobs_page(tables(spark, sf_dir), limit=50, offset=100)
+
+
+@register("q16_email_jobs_page", fixture_sql(_page_sql(f"""
+SELECT tenant_id, job_id, status, strftime(report_date, '%Y-%m-%d') AS report_date,
+       array_to_string(target_branches, ',') AS target_branches, total_emails, emails_sent, emails_failed,
+       error_message, {_TS.format(c='created_at')} AS created_at, {_TS.format(c='started_at')} AS started_at,
+       {_TS.format(c='completed_at')} AS completed_at, COUNT(*) OVER (PARTITION BY tenant_id) AS total_count,
+       (50 < COUNT(*) OVER (PARTITION BY tenant_id)) AS has_more
+FROM email_sending_jobs WHERE status = 'completed'""", "created_at DESC, job_id ASC", 50, 0)))
+def q16_email_jobs_page(spark, sf_dir):
+    from sessionscope.plans.jobs import email_jobs_page
+    return email_jobs_page(tables(spark, sf_dir), limit=50, offset=0, status="completed")
+
+
+@register("q17_email_history_page", fixture_sql(_page_sql(f"""
+SELECT tenant_id, id, job_id, branch_code, sales_rep_email, sales_rep_name, subject,
+       strftime(report_date, '%Y-%m-%d') AS report_date, status, smtp_response, error_message,
+       {_TS.format(c='sent_at')} AS sent_at, COUNT(*) OVER (PARTITION BY tenant_id) AS total_count
+FROM email_send_history""", "sent_at DESC, id ASC", 50, 0)))
+def q17_email_history_page(spark, sf_dir):
+    from sessionscope.plans.jobs import email_history_page
+    return email_history_page(tables(spark, sf_dir), limit=50, offset=0)
+
+
+@register("q19_stuck_jobs", fixture_sql(f"""
+SELECT 'ingestion' AS job_type, tenant_id, job_id, status,
+       COALESCE(CAST(json_extract_string(progress, '$.retrigger_count') AS INTEGER), 0) AS retrigger_count,
+       CASE WHEN status = 'queued' AND COALESCE(CAST(json_extract_string(progress, '$.retrigger_count') AS INTEGER), 0) < 3
+            THEN 'retrigger' ELSE 'fail' END AS action,
+       CASE WHEN status = 'queued' AND COALESCE(CAST(json_extract_string(progress, '$.retrigger_count') AS INTEGER), 0) < 3 THEN NULL
+            WHEN status = 'queued' THEN 'Job failed after 3 re-trigger attempts — worker never picked it up successfully'
+            ELSE 'Worker was killed (OOM or crash) while processing ''' || COALESCE(json_extract_string(progress, '$.current'), 'unknown step')
+                 || ''' after 15 minutes' END AS error_message
+FROM processing_jobs
+WHERE status IN ('processing', 'queued') AND updated_at < TIMESTAMP '{AS_OF_JOBS}' - INTERVAL 15 MINUTE
+UNION ALL
+SELECT 'email', tenant_id, job_id, status, CAST(NULL AS INTEGER), 'fail',
+       CASE WHEN status = 'queued' THEN 'Email job was never picked up by worker after 15 minutes'
+            ELSE 'Email worker was killed (OOM or crash) after 15 minutes' END
+FROM email_sending_jobs
+WHERE status IN ('processing', 'queued') AND updated_at < TIMESTAMP '{AS_OF_JOBS}' - INTERVAL 15 MINUTE"""))
+def q19_stuck_jobs(spark, sf_dir):
+    from sessionscope.plans.jobs import stuck_jobs
+    return stuck_jobs(tables(spark, sf_dir), AS_OF_JOBS)
+
+
+@register("q20_branch_mappings_list", fixture_sql("""
+SELECT tenant_id, branch_code, branch_name, sales_rep_email, sales_rep_name, is_enabled
+FROM branch_email_mappings ORDER BY tenant_id, branch_code, sales_rep_email"""))
+def q20_branch_mappings_list(spark, sf_dir):
+    from sessionscope.plans.jobs import branch_mappings_list
+    return branch_mappings_list(tables(spark, sf_dir))
+
+
+@register("r10_email_job_rollup", fixture_sql("""
+SELECT tenant_id, job_id, COUNT(*) AS total,
+       CAST(SUM(CASE WHEN status = 'sent' THEN 1 ELSE 0 END) AS BIGINT) AS sent,
+       CAST(SUM(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) AS BIGINT) AS failed,
+       CASE WHEN SUM(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) > 0 AND SUM(CASE WHEN status = 'sent' THEN 1 ELSE 0 END) > 0
+            THEN 'completed_with_errors'
+            WHEN SUM(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) > 0 THEN 'failed' ELSE 'completed' END AS status
+FROM email_send_history GROUP BY tenant_id, job_id"""))
+def r10_email_job_rollup(spark, sf_dir):
+    from sessionscope.plans.jobs import email_job_rollup
+    return email_job_rollup(tables(spark, sf_dir))
+
+
+@register("a15_map_values_sum", fixture_sql("""
+SELECT tenant_id, job_id,
+       CAST(COALESCE(CAST(json_extract_string(records_processed, '$.purchase') AS BIGINT), 0)
+            + COALESCE(CAST(json_extract_string(records_processed, '$.page_view') AS BIGINT), 0) AS BIGINT) AS total_records,
+       CASE WHEN completed_at IS NULL THEN '—'
+            WHEN epoch(completed_at - started_at) < 0 THEN '—'
+            WHEN epoch(completed_at - started_at) < 60 THEN
+                 CASE WHEN round(epoch(completed_at - started_at), 1) = floor(round(epoch(completed_at - started_at), 1))
+                      THEN CAST(CAST(floor(round(epoch(completed_at - started_at), 1)) AS BIGINT) AS VARCHAR)
+                      ELSE printf('%.1f', round(epoch(completed_at - started_at), 1)) END || 's'
+            WHEN floor(epoch(completed_at - started_at) / 3600) > 0 THEN
+                 CASE WHEN floor((CAST(floor(epoch(completed_at - started_at)) AS BIGINT) % 3600) / 60) > 0
+                      THEN CAST(CAST(floor(epoch(completed_at - started_at) / 3600) AS BIGINT) AS VARCHAR) || 'h '
+                           || CAST(CAST(floor((CAST(floor(epoch(completed_at - started_at)) AS BIGINT) % 3600) / 60) AS BIGINT) AS VARCHAR) || 'm'
+                      ELSE CAST(CAST(floor(epoch(completed_at - started_at) / 3600) AS BIGINT) AS VARCHAR) || 'h' END
+            ELSE CAST(CAST(floor((CAST(floor(epoch(completed_at - started_at)) AS BIGINT) % 3600) / 60) AS BIGINT) AS VARCHAR) || 'm'
+       END AS duration
+FROM processing_jobs"""))
+def a15_map_values_sum(spark, sf_dir):
+    from sessionscope.plans.jobs import records_processed_total
+    return records_processed_total(tables(spark, sf_dir))
