@@ -587,3 +587,172 @@ FROM processing_jobs"""))
 def a15_map_values_sum(spark, sf_dir):
     from sessionscope.plans.jobs import records_processed_total
     return records_processed_total(tables(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- I1-I17 ingest
+def raw_sources(spark, sf_dir):
+    from sessionscope.sources.fixtures import base_events, read_source
+    from sessionscope.sources import raw
+    t = tables(spark, sf_dir)
+    return t, raw.raw_events(t.base), raw.raw_customer_master(read_source(spark, sf_dir, "customer")), \
+        raw.raw_locations_file(read_source(spark, sf_dir, "nation"), read_source(spark, sf_dir, "region"))
+
+
+_COMMON_OUT = ("tenant_id, strftime(event_date, '%Y-%m-%d') AS event_date, event_timestamp, user_pseudo_id, "
+               "user_prop_webuserid, user_prop_default_branch_id, user_prop_webcustomerid, param_ga_session_id, "
+               "param_page_title, param_page_location, device_category, device_operating_system, geo_country, geo_city")
+_COMMON_COLS = ["tenant_id", "event_date", "event_timestamp", "user_pseudo_id", "user_prop_webuserid",
+                "user_prop_default_branch_id", "user_prop_webcustomerid", "param_ga_session_id", "param_page_title",
+                "param_page_location", "device_category", "device_operating_system", "geo_country", "geo_city"]
+_EXTRA_OUT = {
+    "purchase": "param_transaction_id, CAST(round(ecommerce_purchase_revenue, 2) AS DOUBLE) AS ecommerce_purchase_revenue, 1 AS items_count",
+    "add_to_cart": "first_item_item_id, first_item_item_name, first_item_item_category, "
+                   "CAST(round(first_item_price, 2) AS DOUBLE) AS first_item_price, first_item_quantity, 1 AS items_count",
+    "page_view": "param_page_referrer",
+    "view_search_results": "param_search_term",
+    "no_search_results": "param_no_search_results_term",
+    "view_item": "first_item_item_id, first_item_item_name, first_item_item_category, "
+                 "CAST(round(first_item_price, 2) AS DOUBLE) AS first_item_price, 1 AS items_count",
+}
+# Before reclassification the failed-search tag covers k % 3 in (0, 1) (FIXTURES §2).
+_PRE_RECLASS = {
+    "view_search_results": "SELECT *, 'term ' || CAST(k % 15 AS VARCHAR) AS param_search_term FROM base "
+                           "WHERE event_type = 'error' AND k % 3 = 2",
+    "no_search_results": "SELECT *, 'term ' || CAST(k % 15 AS VARCHAR) AS param_no_search_results_term FROM base "
+                         "WHERE event_type = 'error' AND k % 3 IN (0, 1)",
+}
+
+
+def _extract_out(df, table):
+    from pyspark.sql import functions as F
+    from sessionscope.functions.text import money
+    cols = [F.date_format("event_date", "yyyy-MM-dd").alias("event_date") if c == "event_date" else F.col(c)
+            for c in _COMMON_COLS]
+    extra = {
+        "purchase": [F.col("param_transaction_id"), money(F.col("ecommerce_purchase_revenue"))
+                     .alias("ecommerce_purchase_revenue")],
+        "add_to_cart": [F.col("first_item_item_id"), F.col("first_item_item_name"), F.col("first_item_item_category"),
+                        money(F.col("first_item_price")).alias("first_item_price"), F.col("first_item_quantity")],
+        "view_item": [F.col("first_item_item_id"), F.col("first_item_item_name"), F.col("first_item_item_category"),
+                      money(F.col("first_item_price")).alias("first_item_price")],
+        "page_view": [F.col("param_page_referrer")],
+        "view_search_results": [F.col("param_search_term")],
+        "no_search_results": [F.col("param_no_search_results_term")],
+    }[table]
+    if table in ("purchase", "add_to_cart", "view_item"):
+        extra.append(F.size(F.from_json("items_json", "array<struct<item_id:string>>")).alias("items_count"))
+    return df.select(*cols, *extra)
+
+
+@register("i1_raw_event_range_scan", fixture_sql(f"""
+SELECT tenant_id, strftime(event_date, '%Y%m%d') AS event_date, CAST(event_timestamp AS BIGINT) AS event_timestamp,
+       'purchase' AS event_name, user_pseudo_id
+FROM purchase WHERE event_date BETWEEN DATE '{START}' AND DATE '{END}'"""))
+def i1_raw_event_range_scan(spark, sf_dir):
+    from sessionscope.sources.extract import scan_range
+    _, raw, _, _ = raw_sources(spark, sf_dir)
+    return scan_range(raw, START, END, ["purchase"]).select(
+        "tenant_id", "event_date", "event_timestamp", "event_name", "user_pseudo_id")
+
+
+def _extract_query(table):
+    def fn(spark, sf_dir):
+        from sessionscope.sources.extract import extract_all
+        _, raw, _, _ = raw_sources(spark, sf_dir)
+        return _extract_out(extract_all(raw, START, END)[table], table)
+    src = f"({_PRE_RECLASS[table]})" if table in _PRE_RECLASS else table
+    sql = fixture_sql(f"SELECT {_COMMON_OUT}, {_EXTRA_OUT[table]} FROM {src} x "
+                      f"WHERE event_date BETWEEN DATE '{START}' AND DATE '{END}'")
+    return fn, sql
+
+
+for _i, _t in enumerate(("purchase", "add_to_cart", "page_view", "view_search_results", "no_search_results",
+                         "view_item"), start=2):
+    _fn, _sql = _extract_query(_t)
+    register(f"i{_i}_extract_{_t}", _sql)(_fn)
+
+
+@register("i8_extract_all_event_types", fixture_sql("""
+SELECT tenant_id, event_table, COUNT(*) AS records FROM (
+  SELECT tenant_id, 'purchase' AS event_table FROM purchase
+  UNION ALL SELECT tenant_id, 'add_to_cart' FROM add_to_cart
+  UNION ALL SELECT tenant_id, 'page_view' FROM page_view
+  UNION ALL SELECT tenant_id, 'view_item' FROM view_item
+  UNION ALL SELECT tenant_id, CASE WHEN k % 3 = 2 THEN 'view_search_results' ELSE 'no_search_results' END
+            FROM base WHERE event_type = 'error'
+) x GROUP BY 1, 2"""))
+def i8_extract_all_event_types(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from sessionscope.sources.extract import flatten_events
+    _, raw, _, _ = raw_sources(spark, sf_dir)
+    return flatten_events(raw, START, END).groupBy("tenant_id", "event_table").agg(
+        F.count(F.lit(1)).alias("records"))
+
+
+@register("i13_reclassify_search_events", fixture_sql("""
+SELECT 'view_search_results' AS event_table, tenant_id, event_timestamp, param_ga_session_id, param_page_title,
+       param_search_term AS term FROM view_search_results
+UNION ALL
+SELECT 'no_search_results', tenant_id, event_timestamp, param_ga_session_id, param_page_title,
+       param_no_search_results_term FROM no_search_results"""))
+def i13_reclassify_search_events(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from sessionscope.sources.extract import extract_all, reclassify_search_events
+    _, raw, _, _ = raw_sources(spark, sf_dir)
+    r = reclassify_search_events(extract_all(raw, START, END))
+    cols = ["tenant_id", "event_timestamp", "param_ga_session_id", "param_page_title"]
+    return (r["view_search_results"].select(F.lit("view_search_results").alias("event_table"), *cols,
+                                            F.col("param_search_term").alias("term"))
+            .unionByName(r["no_search_results"].select(F.lit("no_search_results").alias("event_table"), *cols,
+                                                       F.col("param_no_search_results_term").alias("term"))))
+
+
+@register("i9_extract_users", fixture_sql(
+    "SELECT user_id, user_name, buying_company_name, buying_company_erp_id, email, office_phone, cell_phone FROM users"))
+def i9_extract_users(spark, sf_dir):
+    from sessionscope.sources.masters import extract_users
+    _, _, master, _ = raw_sources(spark, sf_dir)
+    return extract_users(master)
+
+
+@register("i10_normalize_locations", """
+SELECT CAST(n_nationkey AS VARCHAR) AS warehouse_id, 'D' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS warehouse_code,
+       n_name AS warehouse_name, 'City ' || CAST(n_nationkey AS VARCHAR) AS city, r_name AS state,
+       CAST(10000 + n_nationkey * 7 AS VARCHAR) AS zip
+FROM nation LEFT JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 NOT IN (1, 2)""")
+def i10_normalize_locations(spark, sf_dir):
+    from sessionscope.sources.masters import normalize_locations
+    _, _, _, locfile = raw_sources(spark, sf_dir)
+    return normalize_locations(locfile)
+
+
+@register("i11_parse_event_date", fixture_sql("""
+SELECT DISTINCT strftime(event_date, '%Y%m%d') AS raw_date, strftime(event_date, '%Y-%m-%d') AS event_date FROM base"""))
+def i11_parse_event_date(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from sessionscope.sources.extract import parse_event_date
+    _, raw, _, _ = raw_sources(spark, sf_dir)
+    return raw.select(F.col("event_date").alias("raw_date")).distinct().select(
+        "raw_date", F.date_format(parse_event_date(F.col("raw_date")), "yyyy-MM-dd").alias("event_date"))
+
+
+def _duck_uuid(hex_expr: str) -> str:
+    return (f"substr({hex_expr}, 1, 8) || '-' || substr({hex_expr}, 9, 4) || '-' || substr({hex_expr}, 13, 4) || '-' "
+            f"|| substr({hex_expr}, 17, 4) || '-' || substr({hex_expr}, 21, 12)")
+
+
+@register("i12_normalize_tenant_id", f"""
+SELECT input, CASE WHEN regexp_matches(replace(input, '-', ''), '^[0-9a-fA-F]{{32}}$')
+                   THEN {_duck_uuid("lower(replace(input, '-', ''))")} ELSE {_duck_uuid('md5(input)')} END AS tenant_uuid
+FROM (SELECT c_name AS input FROM customer
+      UNION ALL SELECT upper({_duck_uuid('md5(c_name)')}) FROM customer
+      UNION ALL SELECT 'T' || CAST(c_custkey % 2 AS VARCHAR) FROM customer) x""")
+def i12_normalize_tenant_id(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from sessionscope.sources.fixtures import read_source
+    from sessionscope.sources.masters import _dashed, normalize_tenant_id
+    c = read_source(spark, sf_dir, "customer")
+    inputs = c.select(F.explode(F.array(
+        F.col("c_name"), F.upper(_dashed(F.md5("c_name"))),
+        F.concat(F.lit("T"), (F.col("c_custkey") % 2).cast("string")))).alias("input"))
+    return inputs.select("input", normalize_tenant_id(F.col("input")).alias("tenant_uuid"))
