@@ -756,3 +756,137 @@ def i12_normalize_tenant_id(spark, sf_dir):
         F.col("c_name"), F.upper(_dashed(F.md5("c_name"))),
         F.concat(F.lit("T"), (F.col("c_custkey") % 2).cast("string")))).alias("input"))
     return inputs.select("input", normalize_tenant_id(F.col("input")).alias("tenant_uuid"))
+
+
+# ---------------------------------------------------------------- I14-I17 sinks
+REPLACE_START, REPLACE_END = "2024-01-10", "2024-01-12"
+_I14_COLS = ["tenant_id", "event_date", "event_timestamp", "param_ga_session_id", "user_prop_webuserid",
+             "param_transaction_id", "ecommerce_purchase_revenue"]
+
+
+@register("i14_replace_date_range", fixture_sql(f"""
+SELECT tenant_id, strftime(event_date, '%Y-%m-%d') AS event_date, event_timestamp, param_ga_session_id,
+       user_prop_webuserid, param_transaction_id,
+       CAST(round(CASE WHEN event_date BETWEEN DATE '{REPLACE_START}' AND DATE '{REPLACE_END}'
+                       THEN ecommerce_purchase_revenue ELSE ecommerce_purchase_revenue * 2 END, 2) AS DOUBLE)
+         AS ecommerce_purchase_revenue
+FROM purchase"""))
+def i14_replace_date_range(spark, sf_dir):
+    """Load a stale copy (revenue doubled) of the purchase table, then replace the
+    window twice with rows re-extracted from the raw export (idempotent)."""
+    import uuid
+    from pyspark.sql import functions as F
+    from sessionscope.functions.text import money
+    from sessionscope.session import scratch_dir
+    from sessionscope.sources.extract import extract_all
+    from sessionscope.sources.sinks import replace_date_range
+    t, raw, _, _ = raw_sources(spark, sf_dir)
+    path = scratch_dir(spark, f"i14-{uuid.uuid4().hex}/purchase")
+    stale = t.purchase.select(*_I14_COLS).withColumn(
+        "ecommerce_purchase_revenue", (F.col("ecommerce_purchase_revenue") * 2).cast("decimal(15,2)"))
+    stale.write.partitionBy("tenant_id", "event_date").parquet(path)
+    fresh = extract_all(raw, REPLACE_START, REPLACE_END)["purchase"].select(*_I14_COLS)
+    for _ in range(2):
+        replace_date_range(spark, path, None, REPLACE_START, REPLACE_END, fresh)
+    out = spark.read.parquet(path)
+    return out.select("tenant_id", F.date_format("event_date", "yyyy-MM-dd").alias("event_date"),
+                      "event_timestamp", "param_ga_session_id", "user_prop_webuserid", "param_transaction_id",
+                      money(F.col("ecommerce_purchase_revenue")).alias("ecommerce_purchase_revenue"))
+
+
+_OLD_USERS = """
+old_users AS (SELECT 'T' || CAST(c_custkey % 2 AS VARCHAR) AS tenant_id, CAST(c_custkey AS VARCHAR) AS user_id,
+                     c_name AS user_name, 'Company ' || CAST(c_custkey % 40 AS VARCHAR) AS buying_company_name,
+                     'ERP' || CAST(c_custkey // 4 AS VARCHAR) AS buying_company_erp_id,
+                     'old' || CAST(c_custkey AS VARCHAR) || '@example.org' AS email,
+                     '+1-555-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS office_phone,
+                     CAST(NULL AS VARCHAR) AS cell_phone, false AS is_active
+              FROM customer)"""
+
+
+@register("i15_upsert_users", fixture_sql("""
+SELECT * FROM users
+UNION ALL
+SELECT * FROM old_users o WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.tenant_id = o.tenant_id AND u.user_id = o.user_id)
+""", extra_ctes=_OLD_USERS))
+def i15_upsert_users(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from sessionscope.sources.fixtures import read_source
+    from sessionscope.sources.masters import extract_users
+    from sessionscope.sources.sinks import upsert_users
+    _, _, master, _ = raw_sources(spark, sf_dir)
+    c = read_source(spark, sf_dir, "customer")
+    ck = F.col("c_custkey")
+    old = c.select(F.concat(F.lit("T"), (ck % 2).cast("string")).alias("tenant_id"), ck.cast("string").alias("user_id"),
+                   F.col("c_name").alias("user_name"),
+                   F.concat(F.lit("Company "), (ck % 40).cast("string")).alias("buying_company_name"),
+                   F.concat(F.lit("ERP"), F.expr("c_custkey div 4").cast("string")).alias("buying_company_erp_id"),
+                   F.concat(F.lit("old"), ck.cast("string"), F.lit("@example.org")).alias("email"),
+                   F.concat(F.lit("+1-555-"), F.lpad((ck % 10000).cast("string"), 4, "0")).alias("office_phone"),
+                   F.lit(None).cast("string").alias("cell_phone"), F.lit(False).alias("is_active"))
+    batch = extract_users(master.withColumn("tenant_id", F.concat(F.lit("T"), F.col("_tenant_bit").cast("string")))
+                          ).join(master.select(F.col("USER_ID").cast("string").alias("user_id"),
+                                               F.concat(F.lit("T"), F.col("_tenant_bit").cast("string")).alias("tenant_id")),
+                                 "user_id")
+    return upsert_users(old, batch).select("tenant_id", "user_id", "user_name", "buying_company_name",
+                                            "buying_company_erp_id", "email", "office_phone", "cell_phone", "is_active")
+
+
+@register("i16_upsert_locations", """
+WITH batch AS (
+  SELECT t.tenant_id, CAST(n_nationkey AS VARCHAR) AS warehouse_id,
+         'D' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS warehouse_code, n_name AS warehouse_name,
+         'City ' || CAST(n_nationkey AS VARCHAR) AS city, r_name AS state, true AS is_active,
+         CAST(10000 + n_nationkey * 7 AS VARCHAR) AS zip
+  FROM nation LEFT JOIN region ON n_regionkey = r_regionkey CROSS JOIN (VALUES ('T0'), ('T1')) t(tenant_id)
+  WHERE n_nationkey % 5 NOT IN (1, 2)),
+old AS (
+  SELECT t.tenant_id, CAST(n_nationkey AS VARCHAR) AS warehouse_id,
+         'D' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS warehouse_code, n_name AS warehouse_name,
+         'Old City' AS city, r_name AS state, false AS is_active, CAST(NULL AS VARCHAR) AS zip
+  FROM nation LEFT JOIN region ON n_regionkey = r_regionkey CROSS JOIN (VALUES ('T0'), ('T1')) t(tenant_id))
+SELECT * FROM batch
+UNION ALL SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM batch b WHERE b.tenant_id = o.tenant_id
+                                                 AND b.warehouse_id = o.warehouse_id)""")
+def i16_upsert_locations(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from sessionscope.sources.masters import normalize_locations
+    from sessionscope.sources.sinks import upsert_locations
+    t, _, _, locfile = raw_sources(spark, sf_dir)
+    old = t.locations.withColumn("city", F.lit("Old City")).withColumn("is_active", F.lit(False))
+    batch = normalize_locations(locfile).select(
+        F.explode(F.array(F.lit("T0"), F.lit("T1"))).alias("tenant_id"), "*")
+    return upsert_locations(old, batch).select("tenant_id", "warehouse_id", "warehouse_code", "warehouse_name",
+                                               "city", "state", "is_active", "zip")
+
+
+@register("i17_ingest_run_summary", fixture_sql("""
+SELECT g.tenant_id, g.data_type, CAST(COALESCE(c.records, 0) AS BIGINT) AS records, 'completed' AS status
+FROM (SELECT tn.tenant_id, d.data_type FROM (SELECT DISTINCT tenant_id FROM base) tn
+      CROSS JOIN (VALUES ('purchase'), ('add_to_cart'), ('page_view'), ('view_search_results'), ('no_search_results'),
+                         ('view_item'), ('users_processed'), ('locations_processed')) d(data_type)) g
+LEFT JOIN (
+  SELECT tenant_id, 'purchase' AS data_type, COUNT(*) AS records FROM purchase GROUP BY 1
+  UNION ALL SELECT tenant_id, 'add_to_cart', COUNT(*) FROM add_to_cart GROUP BY 1
+  UNION ALL SELECT tenant_id, 'page_view', COUNT(*) FROM page_view GROUP BY 1
+  UNION ALL SELECT tenant_id, 'view_search_results', COUNT(*) FROM view_search_results GROUP BY 1
+  UNION ALL SELECT tenant_id, 'no_search_results', COUNT(*) FROM no_search_results GROUP BY 1
+  UNION ALL SELECT tenant_id, 'view_item', COUNT(*) FROM view_item GROUP BY 1
+  UNION ALL SELECT tenant_id, 'users_processed', COUNT(*) FROM users GROUP BY 1
+  UNION ALL SELECT t.tenant_id, 'locations_processed', COUNT(*) FROM nation CROSS JOIN (VALUES ('T0'), ('T1')) t(tenant_id)
+            WHERE n_nationkey % 5 NOT IN (1, 2) GROUP BY 1
+) c ON c.tenant_id = g.tenant_id AND c.data_type = g.data_type"""))
+def i17_ingest_run_summary(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from sessionscope.sources.extract import extract_all, reclassify_search_events
+    from sessionscope.sources.masters import extract_users, normalize_locations
+    from sessionscope.sources.sinks import ingest_run_summary
+    t, raw, master, locfile = raw_sources(spark, sf_dir)
+    counts = dict(reclassify_search_events(extract_all(raw, START, END)))
+    counts["users_processed"] = extract_users(
+        master.withColumn("_t", F.col("_tenant_bit"))).join(
+        master.select(F.col("USER_ID").cast("string").alias("user_id"),
+                      F.concat(F.lit("T"), F.col("_tenant_bit").cast("string")).alias("tenant_id")), "user_id")
+    counts["locations_processed"] = normalize_locations(locfile).select(
+        F.explode(F.array(F.lit("T0"), F.lit("T1"))).alias("tenant_id"))
+    return ingest_run_summary(counts)

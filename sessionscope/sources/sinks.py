@@ -26,26 +26,30 @@ def _dates(start: str, end: str) -> list[str]:
     return [(s + dt.timedelta(days=i)).isoformat() for i in range((e - s).days + 1)]
 
 
-def replace_date_range(spark: SparkSession, table_path: str, tenant_id: str, start: str, end: str,
+def replace_date_range(spark: SparkSession, table_path: str, tenant_id: str | None, start: str, end: str,
                        rows: DataFrame, skip_if_empty: bool = True) -> str:
     """Delete the tenant's rows in [start, end] and insert ``rows``; idempotent.
 
-    ``skip_if_empty`` keeps the service's behaviour: an empty batch leaves the old
-    rows in place. Returns ``skipped`` / ``replaced``.
+    ``tenant_id=None`` replaces the range for every tenant present in ``rows`` in one
+    job. ``skip_if_empty`` keeps the service's behaviour: an empty batch leaves the
+    old rows in place. Returns ``skipped`` / ``replaced``.
     """
-    new = rows.withColumn("tenant_id", F.lit(tenant_id))
+    new = rows if tenant_id is None else rows.withColumn("tenant_id", F.lit(tenant_id))
     if skip_if_empty and new.isEmpty():
         return "skipped"
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
         .partitionBy("tenant_id", "event_date").parquet(table_path)
-    # Dates of the range that received no new rows must become empty as well.
-    written = {r[0].isoformat() for r in new.select("event_date").distinct().collect()
-               if r[0] is not None}
+    # (tenant, date) partitions of the range that received no new rows must become
+    # empty as well; the set is bounded by tenants x days of the range.
+    written = {(r[0], r[1].isoformat()) for r in new.select("tenant_id", "event_date").distinct().collect()
+               if r[1] is not None}
+    tenants = [tenant_id] if tenant_id is not None else sorted({t for t, _ in written})
     empty = new.limit(0).drop("tenant_id", "event_date")
-    for d in _dates(start, end):
-        part = os.path.join(table_path, f"tenant_id={tenant_id}", f"event_date={d}")
-        if d not in written and _exists(spark, part):
-            empty.write.mode("overwrite").parquet(part)
+    for t in tenants:
+        for d in _dates(start, end):
+            part = os.path.join(table_path, f"tenant_id={t}", f"event_date={d}")
+            if (t, d) not in written and _exists(spark, part):
+                empty.write.mode("overwrite").parquet(part)
     return "replaced"
 
 
