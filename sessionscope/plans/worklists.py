@@ -43,12 +43,14 @@ def _order(sort_field, sort_order, mapping, fallback, ties):
     return sort_spec(col, sort_order, list(mapping.values()), fallback, ties)
 
 
-def _finish(df: DataFrame, order: list[Column], page, limit, out_cols: list[Column]) -> DataFrame:
-    """Page per tenant when ``limit`` is given (keeps ``row_num``), else the whole sorted list."""
+def _finish(df: DataFrame, order: list[Column], page, limit, out_cols: list, part: list[str]) -> DataFrame:
+    """Page per partition (tenant [+ extra keys]) when ``limit`` is given (keeps
+    ``row_num``), else the whole sorted list."""
+    out_cols = [*part[1:], *out_cols]
     if limit is not None:
-        paged = take_page(df, order, page, limit)
+        paged = take_page(df, order, page, limit, by=part)
         return paged.select(*out_cols, "row_num")
-    return df.orderBy("tenant_id", *order).select(*out_cols)
+    return df.orderBy(*part, *order).select(*out_cols)
 
 
 def _user_out() -> list[Column]:
@@ -57,14 +59,19 @@ def _user_out() -> list[Column]:
 
 # ------------------------------------------------------------------ Q4
 def purchase_tasks(t: Tables, tenant_id=None, page=None, limit=None, query=None, location_id=None,
-                   start=None, end=None, sort_field="event_timestamp", sort_order="desc") -> DataFrame:
-    """Q4: purchases with the resolved customer; fan-out rows are counted in the total."""
+                   start=None, end=None, sort_field="event_timestamp", sort_order="desc",
+                   extra_keys=()) -> DataFrame:
+    """Q4: purchases with the resolved customer; fan-out rows are counted in the total.
+
+    ``extra_keys`` (row columns such as the branch or event_date) split totals and
+    pages further -- the worklist of every (branch, day) in one job."""
+    part = ["tenant_id", *extra_keys]
     p = scope(t.purchase, tenant_id, location_id, start, end)
     if query is not None:
         p = p.filter(ilike_contains(F.col("items_json"), query))          # P7
-    p = p.select("tenant_id", "event_id", "param_transaction_id", "event_timestamp",
+    p = p.select(*part, "event_id", "param_transaction_id", "event_timestamp",
                  "ecommerce_purchase_revenue", SESSION, USER, ERP, "items_json", "param_page_location")
-    d = with_total_count(resolve_users(p, tenant_filter(t.users, tenant_id), salt=["event_id"]))
+    d = with_total_count(resolve_users(p, tenant_filter(t.users, tenant_id), salt=["event_id"]), by=part)
     order = _order(sort_field, sort_order, PURCHASE_SORTS, "event_timestamp", ["event_id", "user_id"])
     out = [
         F.col("tenant_id"),
@@ -78,7 +85,7 @@ def purchase_tasks(t: Tables, tenant_id=None, page=None, limit=None, query=None,
         F.lit(False).alias("completed"),
         F.col("total_count"),
     ]
-    return _finish(d, order, page, limit, out)
+    return _finish(d, order, page, limit, out, part)
 
 
 # ------------------------------------------------------------------ Q5
@@ -103,19 +110,22 @@ CART_ITEM_FIELDS = ["item_id", "item_name", "item_category", "price", "quantity"
 
 def cart_abandonment_tasks(t: Tables, tenant_id=None, page=None, limit=None, query=None,
                            location_id=None, start=None, end=None, sort_field="last_activity",
-                           sort_order="desc") -> DataFrame:
+                           sort_order="desc", extra_keys=(), keep_arrays=False) -> DataFrame:
     """Q5: one row per (abandoned session, user). Step 2 reads *all* cart rows of the
     session -- date and branch filters only select which sessions qualify."""
+    part = ["tenant_id", *extra_keys]
     users = tenant_filter(t.users, tenant_id)
     ac = scope(t.add_to_cart, tenant_id, location_id, start, end)
-    ac = without_purchase(ac.select("tenant_id", "event_id", SESSION, USER, ERP, "first_item_item_name"),
+    ac = without_purchase(ac.select(*part, "event_id", SESSION, USER, ERP, "first_item_item_name"),
                           t.purchase, salt=["event_id"])
     if query is not None:
         r = resolve_users(ac, users, salt=["event_id"])
         ac = r.filter(any_ilike([F.col("customer_name"), F.col("email"), F.col("first_item_item_name")], query))
-    abandoned = ac.select("tenant_id", SESSION)
-    rows = in_sessions(tenant_filter(t.add_to_cart, tenant_id), abandoned)
-    keys = ["tenant_id", SESSION, USER]
+    abandoned = ac.select(*part, SESSION).filter(F.col(SESSION).isNotNull()).distinct()
+    all_rows = tenant_filter(t.add_to_cart, tenant_id).drop(*extra_keys)
+    rows = all_rows.join(abandoned, ["tenant_id", SESSION], "inner") if extra_keys \
+        else in_sessions(all_rows, abandoned)
+    keys = [*part, SESSION, USER]
     details = rows.groupBy(*keys).agg(
         F.max(ERP).alias(ERP),
         F.max("event_timestamp").alias("last_activity"),
@@ -128,17 +138,18 @@ def cart_abandonment_tasks(t: Tables, tenant_id=None, page=None, limit=None, que
                           F.col("first_item_quantity").alias("quantity")],
                          keys, rows, "products")
     sd = _join_on_keys(details, products, keys)
-    d = with_total_count(resolve_users(sd, users, salt=["tenant_id", SESSION]))
+    d = with_total_count(resolve_users(sd, users, salt=keys[:-1]), by=part)
     order = _order(sort_field, sort_order, CART_SORTS, "last_activity", [SESSION, USER, "user_id"])
     date_txt = micros_to_date_text(F.col("last_activity"))
     out = [
         F.col("tenant_id"), F.col(SESSION).alias("session_id"),
         date_txt.alias("event_date"), date_txt.alias("last_activity"),
         F.col("items_count"), money(F.col("total_value")).alias("total_value"),
-        *_user_out(), items_text(F.col("products"), CART_ITEM_FIELDS).alias("products"),
+        *_user_out(),
+        (F.col("products") if keep_arrays else items_text(F.col("products"), CART_ITEM_FIELDS)).alias("products"),
         F.col("total_count"),
     ]
-    return _finish(d, order, page, limit, out)
+    return _finish(d, order, page, limit, out, part)
 
 
 def _join_on_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -152,8 +163,8 @@ def _join_on_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 # ------------------------------------------------------------------ Q6
-def _search_parts(t: Tables, tenant_id, query, location_id, start, end, include_converted):
-    keys = ["tenant_id", SESSION, USER]
+def _search_parts(t: Tables, tenant_id, query, location_id, start, end, include_converted, extra_keys=()):
+    keys = ["tenant_id", *extra_keys, SESSION, USER]
     nsr = scope(t.no_search_results, tenant_id, location_id, start, end)
     if query is not None:
         nsr = nsr.filter(ilike_contains(F.col("param_no_search_results_term"), query))
@@ -177,13 +188,15 @@ def _search_parts(t: Tables, tenant_id, query, location_id, start, end, include_
 
 def search_analysis_tasks(t: Tables, tenant_id=None, page=None, limit=None, query=None,
                           location_id=None, start=None, end=None, include_converted=False,
-                          sort_field="search_count", sort_order="desc", search_type=None) -> DataFrame:
+                          sort_field="search_count", sort_order="desc", search_type=None,
+                          extra_keys=()) -> DataFrame:
     """Q6: failed searches per (session, user, term) and unconverted search sessions."""
-    s = _search_parts(t, tenant_id, query, location_id, start, end, include_converted)
+    part = ["tenant_id", *extra_keys]
+    s = _search_parts(t, tenant_id, query, location_id, start, end, include_converted, extra_keys)
     if search_type is not None:
         s = s.filter(F.col("search_type") == search_type)
     d = with_total_count(resolve_users(s, tenant_filter(t.users, tenant_id),
-                                       salt=["tenant_id", SESSION, "search_term"]))
+                                       salt=[*part, SESSION, "search_term"]), by=part)
     order = _order(sort_field, sort_order, SEARCH_SORTS, "last_activity",
                    [SESSION, USER, "search_type", "search_term", "user_id"])
     out = [
@@ -191,7 +204,7 @@ def search_analysis_tasks(t: Tables, tenant_id=None, page=None, limit=None, quer
         micros_to_date_text(F.col("last_activity")).alias("event_date"),
         "search_term", "search_type", "search_count", *_user_out(), "total_count",
     ]
-    return _finish(d, order, page, limit, out)
+    return _finish(d, order, page, limit, out, part)
 
 
 def search_facets(t: Tables, tenant_id=None, query=None, location_id=None, start=None, end=None,
@@ -208,15 +221,16 @@ def search_facets(t: Tables, tenant_id=None, query=None, location_id=None, start
 PRODUCT_FIELDS = ["title", "url", "category", "price"]
 
 
-def _repeat_sessions(t: Tables, tenant_id, location_id, start, end) -> DataFrame:
+def _repeat_sessions(t: Tables, tenant_id, location_id, start, end, extra_keys=()) -> DataFrame:
+    part = ["tenant_id", *extra_keys]
     pv = scope(t.page_view, tenant_id, location_id, start, end)
-    active = pv.groupBy("tenant_id", SESSION, USER).agg(
+    active = pv.groupBy(*part, SESSION, USER).agg(
         F.max(ERP).alias(ERP),
         F.count_distinct("param_page_location").alias("page_views_count"),
         F.max("event_timestamp").alias("last_activity")).filter(F.col("page_views_count") > 2)
-    repeaters = (active.groupBy("tenant_id", USER).agg(F.count(SESSION).alias("n"))
-                 .filter((F.col("n") > 1) & F.col(USER).isNotNull()).select("tenant_id", USER))
-    return active.join(repeaters, ["tenant_id", USER], "inner")               # J4
+    repeaters = (active.groupBy(*part, USER).agg(F.count(SESSION).alias("n"))
+                 .filter((F.col("n") > 1) & F.col(USER).isNotNull()).select(*part, USER))
+    return active.join(repeaters, [*part, USER], "inner")                     # J4
 
 
 def session_products(t: Tables, sessions: DataFrame, tenant_id=None) -> DataFrame:
@@ -236,30 +250,33 @@ def session_products(t: Tables, sessions: DataFrame, tenant_id=None) -> DataFram
 
 
 def repeat_visit_tasks(t: Tables, tenant_id=None, page=None, limit=None, query=None, location_id=None,
-                       start=None, end=None, sort_field="page_views_count", sort_order="desc") -> DataFrame:
+                       start=None, end=None, sort_field="page_views_count", sort_order="desc",
+                       extra_keys=(), keep_arrays=False) -> DataFrame:
     """Q7: sessions with >2 distinct pages of users having >1 such session, with the
     products they viewed. Paging happens before the product enrichment."""
-    rvs = _repeat_sessions(t, tenant_id, location_id, start, end)
-    r = resolve_users(rvs, tenant_filter(t.users, tenant_id), salt=["tenant_id", SESSION])
+    part = ["tenant_id", *extra_keys]
+    rvs = _repeat_sessions(t, tenant_id, location_id, start, end, extra_keys)
+    r = resolve_users(rvs, tenant_filter(t.users, tenant_id), salt=[*part, SESSION])
     if query is not None:
         r = r.filter(any_ilike([F.col("customer_name"), F.col("email")], query))
-    d = with_total_count(r)
+    d = with_total_count(r, by=part)
     order = _order(sort_field, sort_order, REPEAT_SORTS, "last_activity", [SESSION, USER, "user_id"])
     if limit is not None:
-        d = take_page(d, order, page, limit)
+        d = take_page(d, order, page, limit, by=part)
     spv = session_products(t, d.select("tenant_id", SESSION), tenant_id)
     e = d.join(spv, ["tenant_id", SESSION], "left")
     out = [
-        F.col("tenant_id"), F.col(SESSION).alias("session_id"),
+        F.col("tenant_id"), *extra_keys, F.col(SESSION).alias("session_id"),
         micros_to_date_text(F.col("last_activity")).alias("event_date"),
         "page_views_count",
         F.coalesce(F.col("products_viewed"), F.lit(0)).cast("bigint").alias("products_viewed"),
-        F.coalesce(items_text(F.col("products_details"), PRODUCT_FIELDS), F.lit("")).alias("products_details"),
+        (F.col("products_details") if keep_arrays
+         else F.coalesce(items_text(F.col("products_details"), PRODUCT_FIELDS), F.lit(""))).alias("products_details"),
         *_user_out(), "total_count",
     ]
     if limit is not None:
         return e.select(*out, "row_num")
-    return e.orderBy("tenant_id", *order).select(*out)
+    return e.orderBy(*part, *order).select(*out)
 
 
 # ------------------------------------------------------------------ Q8-Q10
@@ -287,7 +304,7 @@ def performance_bounced_sessions(t: Tables, tenant_id=None, page=None, limit=Non
         micros_to_date_text(F.col("last_activity")).alias("event_date"),
         "entry_page", *_user_out(), "total_count",
     ]
-    return _finish(d, order, page, limit, out)
+    return _finish(d, order, page, limit, out, ["tenant_id"])
 
 
 def frequently_bounced_pages(t: Tables, tenant_id=None, location_id=None, start=None, end=None,

@@ -890,3 +890,311 @@ def i17_ingest_run_summary(spark, sf_dir):
     counts["locations_processed"] = normalize_locations(locfile).select(
         F.explode(F.array(F.lit("T0"), F.lit("T1"))).alias("tenant_id"))
     return ingest_run_summary(counts)
+
+
+# ---------------------------------------------------------------- R1-R15 report datasets and rules
+def _report_ctes(per_day: bool = True) -> str:
+    """Worklists Q4-Q7 per (tenant, branch[, day]), first 500 rows each, reference SQL shape."""
+    day = ", event_date AS report_day" if per_day else ""
+    k = "tenant_id, report_branch" + (", report_day" if per_day else "")
+    kk = lambda a: ", ".join(f"{a}.{c}" for c in k.split(", "))
+    jk = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in k.split(", "))
+    return f"""
+rp AS (SELECT * FROM (
+  SELECT fp.*, {_UCOLS}, COUNT(*) OVER (PARTITION BY {kk('fp')}) AS total_count,
+         row_number() OVER (PARTITION BY {kk('fp')} ORDER BY fp.event_timestamp DESC NULLS LAST,
+                            fp.event_timestamp DESC NULLS FIRST, fp.event_id ASC NULLS FIRST, u.user_id ASC NULLS FIRST) AS rn
+  FROM (SELECT *, user_prop_default_branch_id AS report_branch{day} FROM purchase) fp {_or_join('fp')}) x WHERE rn <= 500),
+ab AS (SELECT DISTINCT ac.tenant_id, ac.user_prop_default_branch_id AS report_branch{day.replace('event_date', 'ac.event_date')},
+              ac.param_ga_session_id
+       FROM add_to_cart ac WHERE {_NO_PURCHASE.format(a='ac')} AND ac.param_ga_session_id IS NOT NULL),
+csd AS (SELECT {kk('ab')}, ac.param_ga_session_id, ac.user_prop_webuserid,
+               MAX(ac.user_prop_webcustomerid) AS user_prop_webcustomerid, MAX(ac.event_timestamp) AS last_activity,
+               COUNT(ac.event_id) AS items_count, SUM(ac.first_item_price * ac.first_item_quantity) AS total_value
+        FROM add_to_cart ac JOIN ab ON ab.tenant_id = ac.tenant_id AND ab.param_ga_session_id = ac.param_ga_session_id
+        GROUP BY ALL),
+crow AS (SELECT {kk('ab')}, ac.param_ga_session_id, ac.user_prop_webuserid,
+                CAST(COALESCE(ac.first_item_quantity, 1) AS VARCHAR) || 'x ' || COALESCE(ac.first_item_item_name, 'Unknown')
+                || ' (' || COALESCE(ac.first_item_item_id, '') || ')' AS item
+         FROM add_to_cart ac JOIN ab ON ab.tenant_id = ac.tenant_id AND ab.param_ga_session_id = ac.param_ga_session_id),
+rc AS (SELECT * FROM (
+  SELECT csd.*, {_UCOLS}, COUNT(*) OVER (PARTITION BY {kk('csd')}) AS total_count,
+         row_number() OVER (PARTITION BY {kk('csd')} ORDER BY csd.last_activity DESC NULLS LAST, csd.last_activity DESC NULLS FIRST,
+                            csd.param_ga_session_id ASC NULLS FIRST, csd.user_prop_webuserid ASC NULLS FIRST,
+                            u.user_id ASC NULLS FIRST) AS rn
+  FROM csd {_or_join('csd')}) x WHERE rn <= 500),
+sfl AS (SELECT tenant_id, user_prop_default_branch_id AS report_branch{day}, param_ga_session_id, user_prop_webuserid,
+               MAX(user_prop_webcustomerid) AS user_prop_webcustomerid, param_no_search_results_term AS search_term,
+               'no_results' AS search_type, COUNT(*) AS search_count, MAX(event_timestamp) AS last_activity
+        FROM no_search_results GROUP BY ALL),
+sun AS (SELECT vsr.tenant_id, vsr.user_prop_default_branch_id AS report_branch{day.replace('event_date', 'vsr.event_date')},
+               vsr.param_ga_session_id, vsr.user_prop_webuserid,
+               MAX(vsr.user_prop_webcustomerid) AS user_prop_webcustomerid,
+               STRING_AGG(DISTINCT vsr.param_search_term, ', ' ORDER BY vsr.param_search_term) AS search_term,
+               'no_conversion' AS search_type, COUNT(*) AS search_count, MAX(vsr.event_timestamp) AS last_activity
+        FROM view_search_results vsr WHERE {_NO_PURCHASE.format(a='vsr')} GROUP BY ALL HAVING COUNT(*) > 2),
+sall AS (SELECT * FROM sfl UNION ALL BY NAME SELECT * FROM sun),
+rs AS (SELECT * FROM (
+  SELECT sall.*, {_UCOLS}, COUNT(*) OVER (PARTITION BY {kk('sall')}) AS total_count,
+         row_number() OVER (PARTITION BY {kk('sall')} ORDER BY sall.search_count DESC NULLS LAST, sall.last_activity DESC NULLS FIRST,
+                            sall.param_ga_session_id ASC NULLS FIRST, sall.user_prop_webuserid ASC NULLS FIRST,
+                            sall.search_type ASC NULLS FIRST, sall.search_term ASC NULLS FIRST, u.user_id ASC NULLS FIRST) AS rn
+  FROM sall {_or_join('sall')}) x WHERE rn <= 500),
+ra AS (SELECT tenant_id, user_prop_default_branch_id AS report_branch{day}, param_ga_session_id, user_prop_webuserid,
+              MAX(user_prop_webcustomerid) AS user_prop_webcustomerid,
+              COUNT(DISTINCT param_page_location) AS page_views_count, MAX(event_timestamp) AS last_activity
+       FROM page_view GROUP BY ALL HAVING COUNT(DISTINCT param_page_location) > 2),
+rrv AS (SELECT {k}, user_prop_webuserid FROM ra WHERE user_prop_webuserid IS NOT NULL GROUP BY ALL
+        HAVING COUNT(param_ga_session_id) > 1),
+rvs AS (SELECT ra.* FROM ra JOIN rrv ON {jk('ra', 'rrv')} AND ra.user_prop_webuserid = rrv.user_prop_webuserid),
+rr AS (SELECT * FROM (
+  SELECT rvs.*, {_UCOLS}, COUNT(*) OVER (PARTITION BY {kk('rvs')}) AS total_count,
+         row_number() OVER (PARTITION BY {kk('rvs')} ORDER BY rvs.page_views_count DESC NULLS LAST, rvs.last_activity DESC NULLS FIRST,
+                            rvs.param_ga_session_id ASC NULLS FIRST, rvs.user_prop_webuserid ASC NULLS FIRST,
+                            u.user_id ASC NULLS FIRST) AS rn
+  FROM rvs {_or_join('rvs')}) x WHERE rn <= 500)
+"""
+
+
+def _r1_sql(per_day: bool = True) -> str:
+    k = "tenant_id, report_branch" + (", report_day" if per_day else "")
+    day_out = ", strftime(g.report_day, '%Y-%m-%d') AS report_date" if per_day else ""
+    kj = " AND ".join(f"x.{c} IS NOT DISTINCT FROM g.{c}" for c in k.split(", "))
+    body = f"""
+SELECT g.tenant_id, g.report_branch AS branch_code{day_out}, l.warehouse_name AS location_name, l.city, l.state,
+       CAST(COALESCE(p.total_purchases, 0) AS BIGINT) AS total_purchases,
+       CAST(COALESCE(p.total_revenue, 0) AS DOUBLE) AS total_revenue,
+       CAST(COALESCE(p.purchase_unique_customers, 0) AS BIGINT) AS purchase_unique_customers,
+       CAST(COALESCE(p.avg_order_value, 0) AS DOUBLE) AS avg_order_value,
+       CAST(COALESCE(c.total_cart_abandonment, 0) AS BIGINT) AS total_cart_abandonment,
+       CAST(COALESCE(c.cart_unique_customers, 0) AS BIGINT) AS cart_unique_customers,
+       CAST(COALESCE(c.cart_total_value, 0) AS DOUBLE) AS cart_total_value,
+       CAST(COALESCE(c.cart_avg_value, 0) AS DOUBLE) AS cart_avg_value,
+       CAST(COALESCE(s.total_search_issues, 0) AS BIGINT) AS total_search_issues,
+       CAST(COALESCE(s.search_total_searches, 0) AS BIGINT) AS search_total_searches,
+       CAST(COALESCE(s.search_affected_sessions, 0) AS BIGINT) AS search_affected_sessions,
+       CAST(COALESCE(s.search_unique_users, 0) AS BIGINT) AS search_unique_users,
+       CAST(COALESCE(r.total_repeat_visits, 0) AS BIGINT) AS total_repeat_visits,
+       CAST(COALESCE(r.repeat_avg_pages, 0) AS DOUBLE) AS repeat_avg_pages
+FROM (SELECT {k} FROM rp UNION SELECT {k} FROM rc UNION SELECT {k} FROM rs UNION SELECT {k} FROM rr) g
+LEFT JOIN (SELECT {k}, MAX(total_count) AS total_purchases,
+                  CAST(SUM(CAST(round(COALESCE(ecommerce_purchase_revenue, 0), 2) AS DECIMAL(20,2))) AS DOUBLE) AS total_revenue,
+                  COUNT(DISTINCT CASE WHEN user_id <> '' THEN user_id END) AS purchase_unique_customers,
+                  CAST(SUM(CAST(round(COALESCE(ecommerce_purchase_revenue, 0), 2) AS DECIMAL(20,2))) AS DOUBLE)
+                    / CAST(greatest(COUNT(*), 1) AS DOUBLE) AS avg_order_value
+           FROM rp GROUP BY ALL) p ON {kj.replace('x.', 'p.')}
+LEFT JOIN (SELECT {k}, MAX(total_count) AS total_cart_abandonment,
+                  COUNT(DISTINCT CASE WHEN user_id <> '' THEN user_id END) AS cart_unique_customers,
+                  CAST(SUM(CAST(round(COALESCE(total_value, 0), 2) AS DECIMAL(20,2))) AS DOUBLE) AS cart_total_value,
+                  CAST(SUM(CAST(round(COALESCE(total_value, 0), 2) AS DECIMAL(20,2))) AS DOUBLE)
+                    / CAST(greatest(COUNT(*), 1) AS DOUBLE) AS cart_avg_value
+           FROM rc GROUP BY ALL) c ON {kj.replace('x.', 'c.')}
+LEFT JOIN (SELECT {k}, MAX(total_count) AS total_search_issues, SUM(search_count) AS search_total_searches,
+                  COUNT(DISTINCT CASE WHEN param_ga_session_id <> '' THEN param_ga_session_id END) AS search_affected_sessions,
+                  COUNT(DISTINCT CASE WHEN user_id <> '' THEN user_id END) AS search_unique_users
+           FROM rs GROUP BY ALL) s ON {kj.replace('x.', 's.')}
+LEFT JOIN (SELECT {k}, MAX(total_count) AS total_repeat_visits,
+                  CAST(SUM(page_views_count) AS DOUBLE) / CAST(greatest(MAX(total_count), 1) AS DOUBLE) AS repeat_avg_pages
+           FROM rr GROUP BY ALL) r ON {kj.replace('x.', 'r.')}
+LEFT JOIN locations l ON l.tenant_id = g.tenant_id AND l.warehouse_code = g.report_branch"""
+    return fixture_sql(body, extra_ctes=_report_ctes(per_day))
+
+
+@register("r1_branch_report_summary", _r1_sql(True))
+def r1_branch_report_summary(spark, sf_dir):
+    from sessionscope.plans.report import branch_report_summary
+    return branch_report_summary(tables(spark, sf_dir))
+
+
+_R_PARTS = {
+    "r2_purchase_rollup": ["total_purchases", "total_revenue", "purchase_unique_customers", "avg_order_value"],
+    "r3_cart_rollup": ["total_cart_abandonment", "cart_unique_customers", "cart_total_value", "cart_avg_value"],
+    "r4_search_rollup": ["total_search_issues", "search_total_searches", "search_affected_sessions",
+                         "search_unique_users"],
+    "r6_repeat_rollup": ["total_repeat_visits", "repeat_avg_pages"],
+}
+
+
+def _r_part(cols):
+    def fn(spark, sf_dir):
+        from sessionscope.plans.report import branch_report_summary
+        return branch_report_summary(tables(spark, sf_dir), per_day=False).select("tenant_id", "branch_code", *cols)
+    sql = f"SELECT tenant_id, branch_code, {', '.join(cols)} FROM ({_r1_sql(False)}) x"
+    return fn, sql
+
+
+for _k, _cols in _R_PARTS.items():
+    _fn, _sql = _r_part(_cols)
+    register(_k, _sql)(_fn)
+
+
+@register("r5_search_term_samples", fixture_sql("""
+SELECT * FROM (
+  SELECT tenant_id, report_branch AS branch_code, strftime(report_day, '%Y-%m-%d') AS report_date, search_term,
+         COUNT(*) AS total_searches,
+         COUNT(DISTINCT CASE WHEN param_ga_session_id <> '' THEN param_ga_session_id END) AS unique_sessions,
+         COALESCE(string_agg(CASE WHEN customer_name IS NOT NULL AND customer_name <> ''
+                                  THEN customer_name || '|' || COALESCE(email, '') || '|' || COALESCE(phone, '') END,
+                             ';' ORDER BY CASE WHEN customer_name IS NOT NULL AND customer_name <> ''
+                                  THEN customer_name || '|' || COALESCE(email, '') || '|' || COALESCE(phone, '') END), '') AS user_details,
+         row_number() OVER (PARTITION BY tenant_id, report_branch, report_day
+                            ORDER BY COUNT(*) DESC, search_term ASC NULLS FIRST) AS rank
+  FROM rs GROUP BY tenant_id, report_branch, report_day, search_term) x WHERE rank <= 10""",
+    extra_ctes=_report_ctes(True)))
+def r5_search_term_samples(spark, sf_dir):
+    from sessionscope.plans.report import search_term_samples
+    return search_term_samples(tables(spark, sf_dir))
+
+
+@register("r7_repeat_samples", fixture_sql("""
+SELECT rr.tenant_id, rr.report_branch AS branch_code, rr.param_ga_session_id AS session_id, rr.customer_name AS customer,
+       rr.email, rr.page_views_count AS pages_viewed, COALESCE(p.pages_summary, '') AS pages_summary
+FROM rr LEFT JOIN (
+  SELECT tenant_id, param_ga_session_id,
+         array_to_string(list_slice(list(COALESCE(title, 'Unknown Product') || '|' || COALESCE(url, '#') || '|'
+                                          || COALESCE(category, '') || '|' || COALESCE(CAST(price AS VARCHAR), '0')
+                                          ORDER BY title, url, category, price), 1, 5), ';') AS pages_summary
+  FROM (SELECT DISTINCT tenant_id, param_ga_session_id, COALESCE(first_item_item_name, first_item_item_id) AS title,
+               param_page_location AS url, first_item_item_category AS category, first_item_price AS price
+        FROM view_item WHERE first_item_item_id IS NOT NULL) d
+  GROUP BY 1, 2) p ON p.tenant_id = rr.tenant_id AND p.param_ga_session_id = rr.param_ga_session_id""",
+    extra_ctes=_report_ctes(False)))
+def r7_repeat_samples(spark, sf_dir):
+    from sessionscope.plans.report import repeat_samples
+    return repeat_samples(tables(spark, sf_dir), per_day=False)
+
+
+@register("r8_purchase_and_cart_samples", fixture_sql("""
+SELECT tenant_id, report_branch AS branch_code, strftime(report_day, '%Y-%m-%d') AS report_date, 'purchase' AS kind,
+       param_transaction_id AS ref_id, customer_name,
+       CAST(round(COALESCE(ecommerce_purchase_revenue, 0), 2) AS DOUBLE) AS value, email,
+       CASE WHEN phone IS NOT NULL AND phone <> '' THEN phone ELSE office_phone END AS phone,
+       array_to_string(list_transform(COALESCE(from_json(COALESCE(items_json, '[]'),
+                         '[{"item_id":"VARCHAR","item_name":"VARCHAR","quantity":"BIGINT"}]'), []),
+                       lambda e: CAST(COALESCE(e.quantity, 1) AS VARCHAR) || 'x ' || COALESCE(e.item_name, 'Unknown')
+                            || ' (' || COALESCE(e.item_id, '') || ')'), ';') AS products
+FROM rp
+UNION ALL
+SELECT rc.tenant_id, rc.report_branch, strftime(rc.report_day, '%Y-%m-%d'), 'cart', rc.param_ga_session_id, rc.customer_name,
+       CAST(COALESCE(round(rc.total_value, 2), 0) AS DOUBLE), rc.email,
+       CASE WHEN rc.phone IS NOT NULL AND rc.phone <> '' THEN rc.phone ELSE rc.office_phone END,
+       (SELECT string_agg(item, ';' ORDER BY item) FROM crow
+        WHERE crow.tenant_id = rc.tenant_id AND crow.report_branch IS NOT DISTINCT FROM rc.report_branch
+          AND crow.report_day = rc.report_day AND crow.param_ga_session_id = rc.param_ga_session_id
+          AND crow.user_prop_webuserid IS NOT DISTINCT FROM rc.user_prop_webuserid)
+FROM rc""", extra_ctes=_report_ctes(True)))
+def r8_purchase_and_cart_samples(spark, sf_dir):
+    from sessionscope.plans.report import purchase_and_cart_samples
+    return purchase_and_cart_samples(tables(spark, sf_dir))
+
+
+@register("r9_dispatch_plan", fixture_sql("""
+SELECT j.tenant_id, j.job_id, j.branch_code, m.sales_rep_email, m.sales_rep_name,
+       'Daily Branch Sales Report - ' || strftime(j.report_date, '%Y-%m-%d') || ' - ' || j.branch_code AS subject,
+       l.warehouse_name AS location_name
+FROM (SELECT tenant_id, job_id, report_date, unnest(target_branches) AS branch_code FROM email_sending_jobs) j
+JOIN branch_email_mappings m ON m.tenant_id = j.tenant_id AND m.branch_code = j.branch_code AND m.is_enabled
+LEFT JOIN locations l ON l.tenant_id = j.tenant_id AND l.warehouse_code = j.branch_code"""))
+def r9_dispatch_plan(spark, sf_dir):
+    from sessionscope.plans.report import dispatch_plan
+    return dispatch_plan(tables(spark, sf_dir))
+
+
+AS_OF_EVENTS = "2024-01-31 00:00:00"
+_HOURS = f"floor(epoch(TIMESTAMP '{AS_OF_EVENTS}' - CAST(CAST(event_date AS DATE) AS TIMESTAMP)) / 3600)"
+
+
+@register("r11_purchase_priority", f"""
+SELECT tenant_id, transaction_id, user_id, order_value, event_date,
+       CASE WHEN COALESCE(order_value, 0) > 1000 OR (COALESCE(order_value, 0) > 500 AND {_HOURS} < 24) THEN 'high'
+            WHEN COALESCE(order_value, 0) < 100 OR {_HOURS} > 168 THEN 'low' ELSE 'medium' END AS priority
+FROM ({q4_sql()}) x""")
+def r11_purchase_priority(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from sessionscope.plans.report import purchase_priority
+    from sessionscope.plans.worklists import purchase_tasks
+    p = purchase_tasks(tables(spark, sf_dir))
+    return p.select("tenant_id", "transaction_id", "user_id", "order_value", "event_date",
+                    purchase_priority(F.col("order_value"), F.col("event_date"), AS_OF_EVENTS).alias("priority"))
+
+
+@register("r12_cart_priority", f"""
+SELECT tenant_id, session_id, user_id, total_value, event_date,
+       CASE WHEN COALESCE(total_value, 0) > 500 OR (COALESCE(total_value, 0) > 200 AND {_HOURS} < 24) THEN 'high'
+            WHEN COALESCE(total_value, 0) < 50 OR {_HOURS} > 72 THEN 'low' ELSE 'medium' END AS priority
+FROM ({Q5_SQL}) x""")
+def r12_cart_priority(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from sessionscope.plans.report import cart_priority
+    from sessionscope.plans.worklists import cart_abandonment_tasks
+    c = cart_abandonment_tasks(tables(spark, sf_dir))
+    return c.select("tenant_id", "session_id", "user_id", "total_value", "event_date",
+                    cart_priority(F.col("total_value"), F.col("event_date"), AS_OF_EVENTS).alias("priority"))
+
+
+@register("r13_repeat_priority", f"""
+SELECT tenant_id, session_id, user_id, page_views_count, products_viewed, event_date,
+       CASE WHEN (page_views_count > 10 AND products_viewed > 5) OR (page_views_count > 15 AND floor({_HOURS} / 24) < 3) THEN 'high'
+            WHEN page_views_count > 5 OR products_viewed > 2 OR floor({_HOURS} / 24) < 7 THEN 'medium' ELSE 'low' END AS priority
+FROM ({Q7_SQL}) x""")
+def r13_repeat_priority(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from sessionscope.plans.report import repeat_priority
+    from sessionscope.plans.worklists import repeat_visit_tasks
+    r = repeat_visit_tasks(tables(spark, sf_dir))
+    return r.select("tenant_id", "session_id", "user_id", "page_views_count", "products_viewed", "event_date",
+                    repeat_priority(F.col("page_views_count"), F.col("products_viewed"), F.col("event_date"),
+                                    AS_OF_EVENTS).alias("priority"))
+
+
+@register("r14_search_priority", f"""
+SELECT tenant_id, session_id, user_id, search_type, search_count, search_term,
+       CASE WHEN search_type = 'no_results' AND search_count > 3 THEN 'high'
+            WHEN search_type = 'no_results' AND search_count <= 1 THEN 'low'
+            WHEN COALESCE(search_type, '') <> 'no_results' AND search_count > 5 THEN 'high'
+            WHEN COALESCE(search_type, '') <> 'no_results' AND search_count <= 2 THEN 'low' ELSE 'medium' END AS priority
+FROM ({Q6_SQL}) x""")
+def r14_search_priority(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from sessionscope.plans.report import search_priority
+    from sessionscope.plans.worklists import search_analysis_tasks
+    s = search_analysis_tasks(tables(spark, sf_dir))
+    return s.select("tenant_id", "session_id", "user_id", "search_type", "search_count", "search_term",
+                    search_priority(F.col("search_type"), F.col("search_count")).alias("priority"))
+
+
+@register("r15_history_projection", fixture_sql("""
+SELECT tenant_id, user_id, section, position, event_timestamp, item_key, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY tenant_id, user_id, section ORDER BY event_timestamp, event_type, details) AS position
+  FROM (
+    SELECT tl.*,
+      CASE WHEN event_type = 'purchase' THEN 'purchases' WHEN event_type = 'add_to_cart' THEN 'carts'
+           WHEN event_type IN ('view_search_results', 'no_search_results') THEN 'searches'
+           WHEN event_type = 'view_item' THEN 'viewed_products'
+           WHEN event_type = 'page_view' AND contains(json_extract_string(details, '$.page_location'), '/product/') THEN 'viewed_products'
+      END AS section,
+      CASE WHEN event_type = 'purchase' THEN COALESCE(json_extract_string(details, '$.transaction_id'), 'unknown')
+           WHEN event_type = 'add_to_cart' THEN COALESCE(session_id, 'unknown')
+           WHEN event_type IN ('view_search_results', 'no_search_results') THEN COALESCE(json_extract_string(details, '$.search_term'), 'unknown')
+           WHEN event_type = 'view_item' THEN COALESCE(json_extract_string(details, '$.item_id'), 'unknown')
+           ELSE COALESCE(CASE WHEN contains(json_extract_string(details, '$.page_location'), '/product/')
+                              THEN string_split(json_extract_string(details, '$.page_location'), '/')[-1] END, 'unknown')
+      END AS item_key,
+      round(CASE WHEN event_type = 'purchase' THEN COALESCE(CAST(json_extract_string(details, '$.revenue') AS DOUBLE), 0)
+           WHEN event_type = 'add_to_cart' THEN COALESCE(CAST(json_extract_string(details, '$.price') AS DOUBLE), 0)
+                                               * COALESCE(CAST(json_extract_string(details, '$.quantity') AS DOUBLE), 0)
+           WHEN event_type = 'view_search_results' THEN 1.0 WHEN event_type = 'no_search_results' THEN 0.0
+           WHEN event_type = 'view_item' THEN COALESCE(CAST(json_extract_string(details, '$.price') AS DOUBLE), 0)
+           ELSE 0.0 END, 2) AS value
+    FROM (SELECT ae.tenant_id, us.user_id, ae.event_timestamp, ae.param_ga_session_id AS session_id, ae.event_type, ae.details
+          FROM all_events ae JOIN user_sessions us
+          ON ae.tenant_id = us.tenant_id AND ae.param_ga_session_id = us.param_ga_session_id) tl
+  ) s WHERE section IS NOT NULL
+) r WHERE position <= CASE section WHEN 'purchases' THEN 5 WHEN 'carts' THEN 5 ELSE 10 END
+""", extra_ctes=_ALL_EVENTS_CTE + """,
+user_sessions AS (SELECT DISTINCT tenant_id, user_prop_webuserid AS user_id, param_ga_session_id FROM page_view
+                  WHERE user_prop_webuserid IS NOT NULL AND param_ga_session_id IS NOT NULL)"""))
+def r15_history_projection(spark, sf_dir):
+    from sessionscope.plans.history import user_history
+    from sessionscope.plans.report import history_projection
+    return history_projection(user_history(tables(spark, sf_dir)))
