@@ -37,8 +37,8 @@ def replace_date_range(spark: SparkSession, table_path: str, tenant_id: str | No
     new = rows if tenant_id is None else rows.withColumn("tenant_id", F.lit(tenant_id))
     if skip_if_empty and new.isEmpty():
         return "skipped"
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy("tenant_id", "event_date").parquet(table_path)
+    new.hint("rebalance", "tenant_id", "event_date").write.mode("overwrite") \
+        .option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id", "event_date").parquet(table_path)
     # (tenant, date) partitions of the range that received no new rows must become
     # empty as well; the set is bounded by tenants x days of the range.
     written = {(r[0], r[1].isoformat()) for r in new.select("tenant_id", "event_date").distinct().collect()
