@@ -1198,3 +1198,295 @@ def r15_history_projection(spark, sf_dir):
     from sessionscope.plans.history import user_history
     from sessionscope.plans.report import history_projection
     return history_projection(user_history(tables(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- building blocks (P/J/A/W/L/U/S)
+def _block(name, *args, raw=False):
+    def fn(spark, sf_dir):
+        from sessionscope.plans import blocks
+        if raw:
+            _, r, _, _ = raw_sources(spark, sf_dir)
+            return getattr(blocks, name)(r, *args)
+        return getattr(blocks, name)(tables(spark, sf_dir), *args)
+    return fn
+
+
+register("j1_identity_resolution_join", fixture_sql(f"""
+SELECT p.tenant_id, p.event_id, u.user_id FROM purchase p {_or_join('p')}"""))(_block("identity_pairs"))
+
+register("j2_anti_join_no_purchase", fixture_sql(f"""
+SELECT ac.tenant_id, ac.event_id FROM add_to_cart ac WHERE {_NO_PURCHASE.format(a='ac')}"""))(
+    _block("carts_without_purchase"))
+
+register("j3_semi_join_sessions", fixture_sql("""
+SELECT pv.tenant_id, pv.event_id FROM page_view pv
+WHERE pv.param_ga_session_id IN (SELECT param_ga_session_id FROM add_to_cart ac WHERE ac.tenant_id = pv.tenant_id)"""))(
+    _block("page_views_in_cart_sessions"))
+
+register("a1_sum_revenue", fixture_sql("""
+SELECT tenant_id, strftime(event_date, '%Y-%m-%d') AS event_date,
+       CAST(round(COALESCE(SUM(ecommerce_purchase_revenue), 0), 2) AS DOUBLE) AS revenue,
+       CASE WHEN SUM(ecommerce_purchase_revenue) IS NULL THEN '$0' ELSE '$' || CAST(SUM(ecommerce_purchase_revenue) AS VARCHAR) END
+         AS revenue_label
+FROM purchase GROUP BY tenant_id, event_date"""))(_block("revenue_per_day"))
+
+register("a2_count_rows", fixture_sql("""
+SELECT tenant_id, COUNT(*) AS rows, 'purchase' AS table_name FROM purchase GROUP BY 1
+UNION ALL SELECT tenant_id, COUNT(*), 'add_to_cart' FROM add_to_cart GROUP BY 1
+UNION ALL SELECT tenant_id, COUNT(*), 'page_view' FROM page_view GROUP BY 1
+UNION ALL SELECT tenant_id, COUNT(*), 'view_search_results' FROM view_search_results GROUP BY 1
+UNION ALL SELECT tenant_id, COUNT(*), 'no_search_results' FROM no_search_results GROUP BY 1
+UNION ALL SELECT tenant_id, COUNT(*), 'view_item' FROM view_item GROUP BY 1"""))(_block("rows_per_table"))
+
+register("a3_count_distinct", fixture_sql("""
+SELECT tenant_id, COUNT(DISTINCT param_ga_session_id) AS sessions, COUNT(DISTINCT user_prop_webuserid) AS users,
+       COUNT(DISTINCT param_page_location) AS pages FROM page_view GROUP BY tenant_id"""))(_block("distinct_counts"))
+
+register("a4_max_last_activity", fixture_sql("""
+SELECT tenant_id, param_ga_session_id, user_prop_webuserid, MAX(event_timestamp) AS last_activity,
+       MAX(user_prop_webcustomerid) AS max_customer FROM page_view GROUP BY 1, 2, 3"""))(
+    _block("session_last_activity"))
+
+register("a6_having_threshold", fixture_sql("""
+SELECT tenant_id, user_prop_webuserid, COUNT(DISTINCT param_ga_session_id) AS sessions FROM page_view
+WHERE user_prop_webuserid IS NOT NULL GROUP BY 1, 2 HAVING COUNT(DISTINCT param_ga_session_id) > 1"""))(
+    _block("multi_session_users"))
+
+register("a7_sum_of_product", fixture_sql("""
+SELECT tenant_id, param_ga_session_id, CAST(round(SUM(first_item_price * first_item_quantity), 2) AS DOUBLE) AS cart_value
+FROM add_to_cart GROUP BY 1, 2"""))(_block("cart_value_per_session"))
+
+register("a8_collect_structs", fixture_sql("""
+SELECT tenant_id, param_ga_session_id, string_agg(item, ';' ORDER BY item) AS products FROM (
+  SELECT tenant_id, param_ga_session_id,
+         COALESCE(first_item_item_id, '') || '|' || COALESCE(first_item_item_name, '') || '|'
+         || COALESCE(first_item_item_category, '') || '|' || COALESCE(CAST(first_item_price AS VARCHAR), '') || '|'
+         || COALESCE(CAST(first_item_quantity AS VARCHAR), '') || 'x' || CAST(COUNT(*) AS VARCHAR) AS item
+  FROM add_to_cart GROUP BY tenant_id, param_ga_session_id, first_item_item_id, first_item_item_name,
+       first_item_item_category, first_item_price, first_item_quantity) x GROUP BY 1, 2"""))(
+    _block("cart_items_per_session"))
+
+register("a9_collect_distinct_filtered", fixture_sql("""
+SELECT c.tenant_id, c.param_ga_session_id, c.products_viewed, d.products_details FROM
+  (SELECT tenant_id, param_ga_session_id, COUNT(DISTINCT first_item_item_id) AS products_viewed FROM view_item
+   WHERE first_item_item_id IS NOT NULL AND param_ga_session_id IS NOT NULL GROUP BY 1, 2) c
+JOIN (SELECT tenant_id, param_ga_session_id, string_agg(item, ';' ORDER BY item) AS products_details FROM (
+        SELECT DISTINCT tenant_id, param_ga_session_id,
+               COALESCE(COALESCE(first_item_item_name, first_item_item_id), '') || '|' || COALESCE(param_page_location, '')
+               || '|' || COALESCE(first_item_item_category, '') || '|' || COALESCE(CAST(first_item_price AS VARCHAR), '')
+               || 'x1' AS item
+        FROM view_item WHERE first_item_item_id IS NOT NULL) i GROUP BY 1, 2) d
+ON c.tenant_id = d.tenant_id AND c.param_ga_session_id = d.param_ga_session_id"""))(
+    _block("viewed_products_per_session"))
+
+register("a10_string_agg_distinct", fixture_sql("""
+SELECT tenant_id, param_ga_session_id, STRING_AGG(DISTINCT param_search_term, ', ' ORDER BY param_search_term) AS terms
+FROM view_search_results GROUP BY 1, 2"""))(_block("search_terms_per_session"))
+
+register("a11_first_by_order", fixture_sql("""
+SELECT tenant_id, param_ga_session_id, user_prop_webuserid,
+       first(param_page_location ORDER BY event_timestamp, event_id) AS entry_page FROM page_view GROUP BY 1, 2, 3"""))(
+    _block("entry_pages"))
+
+register("a12_two_level_aggregation", fixture_sql("""
+SELECT tenant_id, branch, CAST(SUM(n) AS BIGINT) AS visitors,
+       COUNT(CASE WHEN n > 1 AND user_prop_webuserid IS NOT NULL THEN 1 END) AS repeat_users FROM (
+  SELECT tenant_id, user_prop_default_branch_id AS branch, user_prop_webuserid, COUNT(DISTINCT param_ga_session_id) AS n
+  FROM page_view GROUP BY 1, 2, 3) x GROUP BY 1, 2"""))(_block("branch_visitor_levels"))
+
+register("a14_ratio_rounded", fixture_sql("""
+SELECT v.tenant_id, strftime(v.event_date, '%Y-%m-%d') AS event_date,
+       CAST(CASE WHEN v.visitors > 0 THEN round(COALESCE(p.purchases, 0) * 100.0 / v.visitors, 2) ELSE 0 END AS DOUBLE)
+         AS conversion_rate
+FROM (SELECT tenant_id, event_date, COUNT(DISTINCT param_ga_session_id) AS visitors FROM page_view GROUP BY 1, 2) v
+LEFT JOIN (SELECT tenant_id, event_date, COUNT(*) AS purchases FROM purchase GROUP BY 1, 2) p
+ON v.tenant_id = p.tenant_id AND v.event_date = p.event_date"""))(_block("conversion_per_day"))
+
+register("w1_total_count_over", fixture_sql("""
+SELECT tenant_id, event_id, COUNT(*) OVER (PARTITION BY tenant_id) AS total_count FROM purchase"""))(
+    _block("purchase_totals"))
+
+register("w2_top_n_per_group", fixture_sql("""
+SELECT * FROM (SELECT tenant_id, strftime(event_date, '%Y-%m-%d') AS event_date, event_id,
+                      CAST(round(ecommerce_purchase_revenue, 2) AS DOUBLE) AS revenue,
+                      row_number() OVER (PARTITION BY tenant_id, event_date
+                                         ORDER BY ecommerce_purchase_revenue DESC NULLS LAST, event_id ASC) AS rank
+               FROM purchase) x WHERE rank <= 3"""))(_block("top_purchases_per_day"))
+
+register("u5_distinct", fixture_sql("""
+SELECT DISTINCT tenant_id, param_ga_session_id FROM add_to_cart WHERE param_ga_session_id IS NOT NULL"""))(
+    _block("cart_sessions"))
+
+
+def _event_times_sql() -> str:
+    ts = "make_timestamp(CAST(event_timestamp AS BIGINT))"
+    cols = []
+    for g in ("hourly", "4hours", "12hours", "daily", "weekly", "monthly"):
+        s_, lab = _duck_bucket(ts, g)
+        cols.append(f"strftime({s_}, '%Y-%m-%d %H:%M:%S') AS start_{g}, {lab} AS label_{g}")
+    return fixture_sql(f"""
+SELECT tenant_id, event_id, strftime({ts}, '%Y-%m-%d') AS event_day, {', '.join(cols)}
+FROM page_view WHERE regexp_matches(event_timestamp, '^[0-9]+$')""")
+
+
+register("s1_s4_event_time_buckets", _event_times_sql())(_block("event_times"))
+
+register("s5_date_spine", fixture_sql(f"""
+SELECT DISTINCT tenant_id, {_duck_bucket('p', '4hours')[1]} AS date_group FROM (
+  SELECT tenant_id, unnest(generate_series(CAST(s AS TIMESTAMP), CAST(e AS TIMESTAMP) + INTERVAL '23 hours 59 minutes 59 seconds',
+                                           INTERVAL 4 HOUR)) AS p
+  FROM (SELECT tenant_id, MIN(event_date) AS s, MAX(event_date) AS e FROM page_view GROUP BY 1) r) x"""))(
+    _block("data_spine"))
+
+register("s6_parse_date", fixture_sql("""
+SELECT id, strftime(report_date, '%Y-%m-%d') AS report_text, date_diff('day', DATE '2000-01-01', report_date) AS days
+FROM email_send_history"""))(_block("report_dates"))
+
+register("s8_currency_parse_format", fixture_sql("""
+SELECT tenant_id, strftime(event_date, '%Y-%m-%d') AS event_date, CAST(COALESCE(SUM(ecommerce_purchase_revenue), 0) AS DOUBLE) AS parsed,
+       '$' || format('{:,.2f}', CAST(COALESCE(SUM(ecommerce_purchase_revenue), 0) AS DOUBLE)) AS formatted
+FROM purchase GROUP BY tenant_id, event_date"""))(_block("currency_round_trip"))
+
+register("s9_null_defaults", fixture_sql("""
+SELECT tenant_id, event_id, COALESCE(param_page_location, '') AS page_location,
+       CAST(round(COALESCE(ecommerce_purchase_revenue, 0), 2) AS DOUBLE) AS order_value,
+       COALESCE(items_json, '[]') AS products FROM purchase"""))(_block("null_defaults"))
+
+register("s10_s13_nested_lookups", fixture_sql("""
+SELECT tenant_id, CAST(event_timestamp AS BIGINT) AS event_timestamp, event_name,
+       user_prop_webuserid AS webuserid, param_ga_session_id AS session_id, param_page_title AS page_title,
+       user_prop_default_branch_id AS branch,
+       CASE WHEN event_name IN ('purchase', 'add_to_cart', 'view_item') THEN 'P' || CAST(k AS VARCHAR) END AS first_item_id,
+       CASE WHEN event_name IN ('purchase', 'add_to_cart', 'view_item') THEN 1 ELSE 0 END AS items,
+       to_json({'category': device_category, 'operating_system': device_operating_system})::VARCHAR AS device_json
+FROM (SELECT *, unnest(CASE WHEN event_type = 'purchase' THEN ['purchase'] WHEN event_type = 'click' THEN ['add_to_cart']
+                            WHEN event_type = 'view' THEN ['page_view'] WHEN event_type = 'signup' THEN ['page_view', 'view_item']
+                            WHEN k % 3 = 2 THEN ['view_search_results'] WHEN k % 6 = 0 THEN ['view_search_results_no_results']
+                            ELSE ['no_search_results'] END) AS event_name FROM base) b"""))(
+    _block("raw_lookups", raw=True))
+
+register("s14_json_parse_products", fixture_sql("""
+SELECT tenant_id, event_id,
+       array_to_string(list_transform(COALESCE(from_json(items_json,
+                         '[{"item_id":"VARCHAR","item_name":"VARCHAR","quantity":"BIGINT"}]'), []),
+                       lambda e: CAST(COALESCE(e.quantity, 1) AS VARCHAR) || 'x ' || COALESCE(e.item_name, 'Unknown')
+                            || ' (' || COALESCE(e.item_id, '') || ')'), ';') AS products FROM purchase"""))(
+    _block("parsed_purchase_products"))
+
+register("s15_duration_label", "SELECT tenant_id, job_id, duration FROM (" + QUERIES["a15_map_values_sum"][1] + ") x")(
+    _block("job_durations"))
+
+register("s16_days_ago_label", fixture_sql(f"""
+SELECT DISTINCT tenant_id, strftime(event_date, '%Y-%m-%d') AS event_date,
+       CASE date_diff('day', event_date, DATE '{AS_OF_EVENTS[:10]}') WHEN 0 THEN 'Today' WHEN 1 THEN 'Yesterday'
+            ELSE CAST(date_diff('day', event_date, DATE '{AS_OF_EVENTS[:10]}') AS VARCHAR) || ' days ago' END AS label
+FROM page_view"""))(_block("visit_age_labels", AS_OF_EVENTS))
+
+register("s17_url_last_segment", fixture_sql("""
+SELECT tenant_id, event_id, CASE WHEN contains(param_page_location, '/product/')
+                                 THEN string_split(param_page_location, '/')[-1] END AS sku FROM page_view"""))(
+    _block("product_skus"))
+
+
+# ---------------------------------------------------------------- parameterised variants (P*, L*, Q18)
+def _q(fn_name, **kw):
+    def fn(spark, sf_dir):
+        from sessionscope.plans import worklists, overview, chart, jobs
+        mod = {"purchase_tasks": worklists, "cart_abandonment_tasks": worklists, "search_analysis_tasks": worklists,
+               "repeat_visit_tasks": worklists, "overview_stats": overview, "chart_data": chart,
+               "email_history_page": jobs}[fn_name]
+        return getattr(mod, fn_name)(tables(spark, sf_dir), **kw)
+    return fn
+
+
+register("p1_tenant_filter", "SELECT * FROM (" + Q1_SQL + ") x WHERE tenant_id = 'T1'")(
+    _q("overview_stats", start=START, end=END, tenant_id="T1"))
+
+register("p2_optional_location_filter", Q1_SQL.replace(
+    f"event_date BETWEEN DATE '{START}' AND DATE '{END}'",
+    f"event_date BETWEEN DATE '{START}' AND DATE '{END}' AND user_prop_default_branch_id = 'D05'"))(
+    _q("overview_stats", start=START, end=END, location_id="D05"))
+
+register("p3_optional_date_range", q4_sql().replace(
+    "FROM purchase fp " + _or_join('fp'), "FROM purchase fp " + _or_join('fp') + " WHERE fp.event_date >= DATE '2024-01-15'"))(
+    _q("purchase_tasks", start="2024-01-15"))
+
+register("p4_mandatory_date_between", q2_sql("daily").replace(f"DATE '{START}' AND DATE '{END}'",
+                                                               "DATE '2024-01-08' AND DATE '2024-01-14'")
+         .replace(f"TIMESTAMP '{START} 00:00:00', TIMESTAMP '{END} 23:59:59'",
+                  "TIMESTAMP '2024-01-08 00:00:00', TIMESTAMP '2024-01-14 23:59:59'"))(
+    _q("chart_data", start="2024-01-08", end="2024-01-14", granularity="daily"))
+
+register("p5_ilike_contains", fixture_sql(f"""
+SELECT s.tenant_id, s.param_ga_session_id AS session_id, {_DAY.format(c='s.last_activity')} AS event_date,
+       s.search_term, s.search_type, s.search_count, {_UCOLS}, COUNT(*) OVER (PARTITION BY s.tenant_id) AS total_count
+FROM all_searches s {_or_join('s')}""", extra_ctes=_Q6_CTES.replace(
+    "FROM no_search_results nsr GROUP BY", "FROM no_search_results nsr WHERE nsr.param_no_search_results_term ILIKE '%TERM 1%' GROUP BY")
+    .replace(f"WHERE {_NO_PURCHASE.format(a='vsr')}", f"WHERE vsr.param_search_term ILIKE '%TERM 1%' AND {_NO_PURCHASE.format(a='vsr')}")))(
+    _q("search_analysis_tasks", query="TERM 1"))
+
+register("p6_multi_column_search", Q5_SQL.replace(
+    "abandoned AS (SELECT DISTINCT ac.tenant_id, ac.param_ga_session_id FROM add_to_cart ac\n              WHERE",
+    "abandoned AS (SELECT DISTINCT ac.tenant_id, ac.param_ga_session_id FROM add_to_cart ac " + _or_join('ac') +
+    "\n              WHERE (u.buying_company_name ILIKE '%company 1%' OR u.email ILIKE '%company 1%' "
+    "OR ac.first_item_item_name ILIKE '%company 1%') AND"))(_q("cart_abandonment_tasks", query="company 1"))
+
+register("p7_json_text_search", "SELECT * FROM (" + q4_sql().replace(
+    "FROM purchase fp " + _or_join('fp'), "FROM purchase fp " + _or_join('fp') + " WHERE fp.items_json ILIKE '%item 7%'")
+    + ") x")(_q("purchase_tasks", query="item 7"))
+
+register("p10_status_filter", fixture_sql(_page_sql(f"""
+SELECT tenant_id, id, job_id, branch_code, sales_rep_email, sales_rep_name, subject,
+       strftime(report_date, '%Y-%m-%d') AS report_date, status, smtp_response, error_message,
+       {_TS.format(c='sent_at')} AS sent_at, COUNT(*) OVER (PARTITION BY tenant_id) AS total_count
+FROM email_send_history WHERE branch_code = 'D03' AND status = 'failed'
+  AND report_date >= DATE '1995-01-01' AND report_date <= DATE '1999-12-31'""", "sent_at DESC, id ASC", 50, 0)))(
+    _q("email_history_page", limit=50, offset=0, branch_code="D03", status="failed", start="1995-01-01",
+       end="1999-12-31"))
+
+register("l1_dynamic_sort", q4_sql(1, 20).replace(
+    "ORDER BY fp.event_timestamp DESC NULLS FIRST",
+    "ORDER BY fp.ecommerce_purchase_revenue ASC NULLS LAST, fp.event_timestamp DESC NULLS FIRST"))(
+    _q("purchase_tasks", page=1, limit=20, sort_field="order_value", sort_order="asc"))
+
+register("l2_limit_offset_page", q4_sql(2, 25))(_q("purchase_tasks", page=2, limit=25))
+
+
+@register("q18_page_envelope", fixture_sql("""
+SELECT tenant_id, CASE WHEN n > 25 THEN n END AS total, CAST(2 AS BIGINT) AS page, CAST(25 AS BIGINT) AS "limit",
+       CASE WHEN n > 25 THEN 50 < n END AS has_more
+FROM (SELECT p.tenant_id, COUNT(*) AS n FROM purchase p """ + _or_join('p') + """ GROUP BY p.tenant_id) x"""))
+def q18_page_envelope(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from sessionscope.operators.paging import page_envelope
+    from sessionscope.plans.worklists import purchase_tasks
+    totals = purchase_tasks(tables(spark, sf_dir)).groupBy("tenant_id").agg(F.max("total_count").alias("total_count"))
+    return page_envelope(totals, page=2, limit=25)
+
+
+# Operators exercised inside a registered analytic query (same plan, same oracle).
+ALIASES = {
+    "p8_regex_digits_guard": "q2_chart_data_hourly",
+    "p9_active_flag_filter": "q13_locations_list",
+    "p11_status_in_and_age": "q19_stuck_jobs",
+    "p12_computed_projection": "q4_purchase_tasks",
+    "j4_inner_join_repeat_users": "q7_repeat_visit_tasks",
+    "j5_multiway_left_join_dimension": "q3_location_stats",
+    "j6_single_row_aggregates_per_tenant": "q1_overview_stats",
+    "j7_spine_left_join": "q2_chart_data_daily",
+    "j9_mapping_to_branch_join": "r9_dispatch_plan",
+    "a5_min_max_dates": "q14_data_availability",
+    "a13_facet_counts": "q6_search_facets",
+    "l3_offset_page_raw": "q15_ingestion_jobs_page",
+    "l4_top_10_pages": "q9_performance_bounced_pages",
+    "l5_top_10_terms": "r5_search_term_samples",
+    "l6_ordered_timeline": "q12_session_history",
+    "u2_union_all_search_types": "q6_search_analysis_tasks",
+    "u3_union_all_sum": "q2_chart_data_daily",
+    "u4_union_all_table_stats": "q14_data_availability",
+    "s7_currency_label": "a1_sum_revenue",
+    "s18_case_label": "q6_search_facets",
+    "s19_build_json_object": "u1_union_all_events",
+}
+for _alias, _target in ALIASES.items():
+    QUERIES[_alias] = QUERIES[_target]
