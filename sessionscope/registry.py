@@ -1490,3 +1490,64 @@ ALIASES = {
 }
 for _alias, _target in ALIASES.items():
     QUERIES[_alias] = QUERIES[_target]
+
+
+# ---------------------------------------------------------------- ST1 / ST2 streaming
+_ST1_ARRIVALS = [("2024-01-01", "2024-01-10"), ("2024-01-11", "2024-01-20"), ("2024-01-21", "2024-01-31"),
+                 ("2024-01-09", "2024-01-11")]   # last one: a late re-export of three days
+
+
+@register("st1_incremental_reingest", fixture_sql("""
+SELECT 'purchase' AS event_table, tenant_id, strftime(event_date, '%Y-%m-%d') AS event_date, event_timestamp,
+       param_ga_session_id, user_prop_webuserid FROM purchase
+UNION ALL SELECT 'add_to_cart', tenant_id, strftime(event_date, '%Y-%m-%d'), event_timestamp, param_ga_session_id,
+       user_prop_webuserid FROM add_to_cart
+UNION ALL SELECT 'page_view', tenant_id, strftime(event_date, '%Y-%m-%d'), event_timestamp, param_ga_session_id,
+       user_prop_webuserid FROM page_view
+UNION ALL SELECT 'view_search_results', tenant_id, strftime(event_date, '%Y-%m-%d'), event_timestamp, param_ga_session_id,
+       user_prop_webuserid FROM view_search_results
+UNION ALL SELECT 'no_search_results', tenant_id, strftime(event_date, '%Y-%m-%d'), event_timestamp, param_ga_session_id,
+       user_prop_webuserid FROM no_search_results
+UNION ALL SELECT 'view_item', tenant_id, strftime(event_date, '%Y-%m-%d'), event_timestamp, param_ga_session_id,
+       user_prop_webuserid FROM view_item"""))
+def st1_incremental_reingest(spark, sf_dir):
+    """Export windows land one after another (the last re-exports three days late);
+    after each landing the stream catches up; the warehouse ends equal to the source."""
+    import os
+    import uuid
+    from functools import reduce
+    from pyspark.sql import DataFrame
+    from pyspark.sql import functions as F
+    from sessionscope.session import scratch_dir
+    from sessionscope.sources.extract import EVENT_NAMES, scan_range
+    from sessionscope.streaming.reingest import incremental_reingest
+    _, raw, _, _ = raw_sources(spark, sf_dir)
+    root = scratch_dir(spark, f"st1-{uuid.uuid4().hex}")
+    landing, wh, ckpt = (os.path.join(root, x) for x in ("landing", "warehouse", "checkpoint"))
+    for start, end in _ST1_ARRIVALS:
+        scan_range(raw, start, end).write.mode("append").parquet(landing)
+        incremental_reingest(spark, landing, wh, ckpt, raw_schema=raw.schema).awaitTermination()
+    parts = [spark.read.parquet(os.path.join(wh, name)).select(
+        F.lit(name).alias("event_table"), "tenant_id", F.date_format("event_date", "yyyy-MM-dd").alias("event_date"),
+        "event_timestamp", "param_ga_session_id", "user_prop_webuserid") for name in EVENT_NAMES]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@register("st2_tumbling_buckets", fixture_sql(f"""
+SELECT tenant_id, strftime({_duck_bucket('make_timestamp(CAST(event_timestamp AS BIGINT))', '4hours')[0]},
+                           '%Y-%m-%d %H:%M:%S') AS window_start, COUNT(*) AS events
+FROM page_view WHERE regexp_matches(event_timestamp, '^[0-9]+$') GROUP BY 1, 2"""))
+def st2_tumbling_buckets(spark, sf_dir):
+    import os
+    import uuid
+    from pyspark.sql import functions as F
+    from sessionscope.session import scratch_dir
+    from sessionscope.streaming.windows import compact_changelog, start_windowed_stream
+    t = tables(spark, sf_dir)
+    root = scratch_dir(spark, f"st2-{uuid.uuid4().hex}")
+    sink, ckpt = os.path.join(root, "sink"), os.path.join(root, "checkpoint")
+    src = os.path.join(t.extra["warehouse"], "page_view")
+    start_windowed_stream(spark, src, t.page_view.schema, sink, ckpt).awaitTermination()
+    out = compact_changelog(spark, sink)
+    return out.select("tenant_id", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                      "events")

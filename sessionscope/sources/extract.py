@@ -45,16 +45,20 @@ def parse_event_date(c: Column) -> Column:
             .otherwise(F.try_to_date(c, "yyyy-MM-dd")))
 
 
-def scan_range(raw: DataFrame, start: str, end: str, event_names=None) -> DataFrame:
-    """Inclusive ``yyyy-MM-dd`` range on the ``yyyyMMdd`` date suffix, optional event names."""
-    s, e = start.replace("-", ""), end.replace("-", "")
-    out = raw.filter(F.col("event_date").between(s, e))
+def scan_range(raw: DataFrame, start: str | None, end: str | None, event_names=None) -> DataFrame:
+    """Inclusive ``yyyy-MM-dd`` range on the ``yyyyMMdd`` date suffix, optional event
+    names. ``None`` bounds are open (a streaming micro-batch carries its own range)."""
+    out = raw
+    if start is not None:
+        out = out.filter(F.col("event_date") >= start.replace("-", ""))
+    if end is not None:
+        out = out.filter(F.col("event_date") <= end.replace("-", ""))
     if event_names:
         out = out.filter(F.col("event_name").isin(list(event_names)))
     return out
 
 
-def flatten_events(raw: DataFrame, start: str, end: str) -> DataFrame:
+def flatten_events(raw: DataFrame, start: str | None, end: str | None) -> DataFrame:
     """I2-I7 in one pass: a wide flat row per raw event with its target ``event_table``."""
     r = scan_range(raw, start, end, list(TABLE_OF_NAME))
     up, ep, items = F.col("user_properties"), F.col("event_params"), F.col("items")
@@ -102,7 +106,7 @@ def table_view(flat: DataFrame, table: str) -> DataFrame:
     return flat.filter(F.col("event_table") == table).select(*cols)
 
 
-def extract_all(raw: DataFrame, start: str, end: str) -> dict[str, DataFrame]:
+def extract_all(raw: DataFrame, start: str | None, end: str | None) -> dict[str, DataFrame]:
     """I8: all six types (before reclassification) from one flattened scan. A type
     whose plan cannot be built gives an empty frame; the others proceed."""
     flat = flatten_events(raw, start, end)

@@ -35,14 +35,14 @@ def replace_date_range(spark: SparkSession, table_path: str, tenant_id: str | No
     old rows in place. Returns ``skipped`` / ``replaced``.
     """
     new = rows if tenant_id is None else rows.withColumn("tenant_id", F.lit(tenant_id))
-    if skip_if_empty and new.isEmpty():
+    # The (tenant, day) keys of the batch -- bounded by tenants x days, never by rows.
+    written = {(r[0], r[1].isoformat()) for r in new.select("tenant_id", "event_date").distinct().collect()
+               if r[1] is not None}
+    if skip_if_empty and not written:
         return "skipped"
     new.hint("rebalance", "tenant_id", "event_date").write.mode("overwrite") \
         .option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id", "event_date").parquet(table_path)
-    # (tenant, date) partitions of the range that received no new rows must become
-    # empty as well; the set is bounded by tenants x days of the range.
-    written = {(r[0], r[1].isoformat()) for r in new.select("tenant_id", "event_date").distinct().collect()
-               if r[1] is not None}
+    # (tenant, date) partitions of the range that received no new rows must become empty too.
     tenants = [tenant_id] if tenant_id is not None else sorted({t for t, _ in written})
     empty = new.limit(0).drop("tenant_id", "event_date")
     for t in tenants:
