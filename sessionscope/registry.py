@@ -1551,3 +1551,45 @@ def st2_tumbling_buckets(spark, sf_dir):
     out = compact_changelog(spark, sink)
     return out.select("tenant_id", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                       "events")
+
+
+# ---------------------------------------------------------------- F1 function surface
+@register("f1_table_function_surface", "SELECT * FROM (" + q4_sql(1, 50) + ") x WHERE tenant_id = 'T0'")
+def f1_table_function_surface(spark, sf_dir):
+    """The named function with its reference defaults, called through the surface."""
+    from sessionscope.functions.surface import call
+    return call(tables(spark, sf_dir), "get_purchase_tasks", "T0", 1, 50)["data"]
+
+
+@register("f1_sql_views_overview", Q1_SQL)
+def f1_sql_views_overview(spark, sf_dir):
+    """The registered views answer the overview through ``spark.sql`` as well."""
+    from sessionscope.functions.surface import register_views
+    register_views(tables(spark, sf_dir), prefix="ss_")
+    rng = f"event_date BETWEEN DATE'{START}' AND DATE'{END}'"
+    return spark.sql(f"""
+    WITH ps AS (SELECT tenant_id, SUM(ecommerce_purchase_revenue) AS total_revenue, COUNT(*) AS purchases
+                FROM ss_purchase WHERE {rng} GROUP BY tenant_id),
+         vs AS (SELECT tenant_id, COUNT(DISTINCT param_ga_session_id) AS total_visitors,
+                       COUNT(DISTINCT user_prop_webuserid) AS unique_users FROM ss_page_view WHERE {rng} GROUP BY tenant_id),
+         cs AS (SELECT tenant_id, COUNT(DISTINCT param_ga_session_id) AS abandoned_carts FROM ss_add_to_cart ac
+                WHERE {rng} AND NOT EXISTS (SELECT 1 FROM ss_purchase p WHERE p.tenant_id = ac.tenant_id
+                                            AND p.param_ga_session_id = ac.param_ga_session_id) GROUP BY tenant_id),
+         ss AS (SELECT tenant_id, COUNT(*) AS total_searches FROM ss_view_search_results WHERE {rng} GROUP BY tenant_id),
+         fs AS (SELECT tenant_id, COUNT(*) AS failed_searches FROM ss_no_search_results WHERE {rng} GROUP BY tenant_id),
+         rv AS (SELECT tenant_id, COUNT(*) AS repeat_visits FROM (
+                  SELECT tenant_id, user_prop_webuserid FROM ss_page_view WHERE {rng} AND user_prop_webuserid IS NOT NULL
+                  GROUP BY tenant_id, user_prop_webuserid HAVING COUNT(DISTINCT param_ga_session_id) > 1) m GROUP BY tenant_id),
+         tenants AS (SELECT tenant_id FROM ps UNION SELECT tenant_id FROM vs UNION SELECT tenant_id FROM cs
+                     UNION SELECT tenant_id FROM ss UNION SELECT tenant_id FROM fs UNION SELECT tenant_id FROM rv)
+    SELECT t.tenant_id,
+           CASE WHEN ps.total_revenue IS NULL THEN '$0' ELSE concat('$', CAST(ps.total_revenue AS STRING)) END AS total_revenue,
+           COALESCE(ps.purchases, 0) AS purchases, COALESCE(vs.total_visitors, 0) AS total_visitors,
+           COALESCE(vs.unique_users, 0) AS unique_users, COALESCE(cs.abandoned_carts, 0) AS abandoned_carts,
+           COALESCE(ss.total_searches, 0) AS total_searches, COALESCE(fs.failed_searches, 0) AS failed_searches,
+           COALESCE(rv.repeat_visits, 0) AS repeat_visits,
+           CAST(CASE WHEN COALESCE(vs.total_visitors, 0) > 0
+                THEN round(CAST(COALESCE(ps.purchases, 0) AS DECIMAL(38,10)) / vs.total_visitors * 100, 2) ELSE 0 END
+                AS DOUBLE) AS conversion_rate
+    FROM tenants t LEFT JOIN ps USING (tenant_id) LEFT JOIN vs USING (tenant_id) LEFT JOIN cs USING (tenant_id)
+    LEFT JOIN ss USING (tenant_id) LEFT JOIN fs USING (tenant_id) LEFT JOIN rv USING (tenant_id)""")
