@@ -29,10 +29,20 @@ def sort_spec(sort_field: str | None, sort_order: str | None, allowed: Sequence[
 
 
 def with_total_count(df: DataFrame, by: Sequence[str] = ("tenant_id",),
-                     name: str = "total_count") -> DataFrame:
-    """``COUNT(*) OVER (PARTITION BY tenant)`` as grouped count + join."""
+                     name: str = "total_count", rows: DataFrame | None = None) -> DataFrame:
+    """``COUNT(*) OVER (PARTITION BY tenant)`` as grouped count + join.
+
+    ``rows`` (default ``df``) receives the totals of ``df`` -- pass a page of ``df``
+    to count everything but join the totals to the page rows only."""
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
-    return df.join(counts, list(by), "left")
+    return (df if rows is None else rows).join(counts, list(by), "left")
+
+
+def paged_with_total(df: DataFrame, order: Sequence[Column], page: int | None, limit: int | None,
+                     by: Sequence[str] = ("tenant_id",), offset: int | None = None) -> DataFrame:
+    """L2/L3 + W1: cut the page first (partial top-k before the shuffle), then join the
+    per-partition totals to the page rows only."""
+    return with_total_count(df, by, rows=take_page(df, order, page, limit, by, offset))
 
 
 def take_page(df: DataFrame, order: Sequence[Column], page: int | None, limit: int | None,

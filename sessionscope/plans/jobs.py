@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionscope.functions.text import duration_label
 from sessionscope.operators.filters import date_range_filter, optional_eq, status_in_and_older, tenant_filter
-from sessionscope.operators.paging import take_page, with_total_count
+from sessionscope.operators.paging import paged_with_total
 from sessionscope.sources.fixtures import Tables
 
 TS_FMT = "yyyy-MM-dd HH:mm:ss"
@@ -33,8 +33,8 @@ def _day(c: str):
 
 def ingestion_jobs_page(t: Tables, tenant_id=None, limit: int = 50, offset: int = 0) -> DataFrame:
     """Q15 (L3 + W1): newest first, ties by job_id."""
-    j = with_total_count(tenant_filter(t.processing_jobs, tenant_id))
-    p = take_page(j, [F.col("created_at").desc(), F.col("job_id").asc()], None, limit, offset=offset)
+    j = tenant_filter(t.processing_jobs, tenant_id)
+    p = paged_with_total(j, [F.col("created_at").desc(), F.col("job_id").asc()], None, limit, offset=offset)
     return p.select("id", "tenant_id", "job_id", "status", "data_types", _day("start_date"), _day("end_date"),
                     "progress", "records_processed", "error_message", _ts("created_at"), _ts("started_at"),
                     _ts("completed_at"), "total_count", "row_num")
@@ -43,8 +43,8 @@ def ingestion_jobs_page(t: Tables, tenant_id=None, limit: int = 50, offset: int
 def email_jobs_page(t: Tables, tenant_id=None, limit: int = 50, offset: int = 0,
                     status: str | None = None) -> DataFrame:
     """Q16: optional status filter; has_more = offset + limit < total."""
-    j = with_total_count(optional_eq(tenant_filter(t.email_sending_jobs, tenant_id), "status", status))
-    p = take_page(j, [F.col("created_at").desc(), F.col("job_id").asc()], None, limit, offset=offset)
+    j = optional_eq(tenant_filter(t.email_sending_jobs, tenant_id), "status", status)
+    p = paged_with_total(j, [F.col("created_at").desc(), F.col("job_id").asc()], None, limit, offset=offset)
     return p.select("tenant_id", "job_id", "status", _day("report_date"),
                     F.array_join("target_branches", ",").alias("target_branches"),
                     "total_emails", "emails_sent", "emails_failed", "error_message",
@@ -57,8 +57,8 @@ def email_history_page(t: Tables, tenant_id=None, limit: int = 50, offset: int =
     """Q17 (P10): optional branch / status / report-date filters, newest sent first."""
     h = tenant_filter(t.email_send_history, tenant_id)
     h = optional_eq(optional_eq(h, "branch_code", branch_code), "status", status)
-    h = with_total_count(date_range_filter(h, start, end, col="report_date"))
-    p = take_page(h, [F.col("sent_at").desc(), F.col("id").asc()], None, limit, offset=offset)
+    h = date_range_filter(h, start, end, col="report_date")
+    p = paged_with_total(h, [F.col("sent_at").desc(), F.col("id").asc()], None, limit, offset=offset)
     return p.select("tenant_id", "id", "job_id", "branch_code", "sales_rep_email", "sales_rep_name", "subject",
                     _day("report_date"), "status", "smtp_response", "error_message", _ts("sent_at"),
                     "total_count", "row_num")

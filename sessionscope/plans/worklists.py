@@ -20,7 +20,7 @@ from sessionscope.functions.text import money, search_type_label
 from sessionscope.functions.timebucket import micros_to_date_text
 from sessionscope.operators.filters import any_ilike, ilike_contains, scope, tenant_filter
 from sessionscope.operators.identity import USER_COLUMNS, resolve_users
-from sessionscope.operators.paging import sort_spec, take_page, with_total_count
+from sessionscope.operators.paging import paged_with_total, sort_spec, take_page, with_total_count
 from sessionscope.operators.sessions import SESSION, in_sessions, without_purchase
 from sessionscope.sources.fixtures import Tables
 
@@ -43,14 +43,18 @@ def _order(sort_field, sort_order, mapping, fallback, ties):
     return sort_spec(col, sort_order, list(mapping.values()), fallback, ties)
 
 
-def _finish(df: DataFrame, order: list[Column], page, limit, out_cols: list, part: list[str]) -> DataFrame:
-    """Page per partition (tenant [+ extra keys]) when ``limit`` is given (keeps
-    ``row_num``), else the whole sorted list."""
+def _finish(df: DataFrame, order: list[Column], page, limit, out_cols: list, part: list[str],
+            totals: bool = True) -> DataFrame:
+    """Attach per-partition totals (W1) and page per partition (tenant [+ extra keys])
+    when ``limit`` is given (keeps ``row_num``), else the whole sorted list. Pages are
+    cut before the totals are joined, so only page rows are joined."""
     out_cols = [*part[1:], *out_cols]
     if limit is not None:
-        paged = take_page(df, order, page, limit, by=part)
+        paged = paged_with_total(df, order, page, limit, by=part) if totals \
+            else take_page(df, order, page, limit, by=part)
         return paged.select(*out_cols, "row_num")
-    return df.orderBy(*part, *order).select(*out_cols)
+    d = with_total_count(df, by=part) if totals else df
+    return d.orderBy(*part, *order).select(*out_cols)
 
 
 def _user_out() -> list[Column]:
@@ -71,7 +75,7 @@ def purchase_tasks(t: Tables, tenant_id=None, page=None, limit=None, query=None,
         p = p.filter(ilike_contains(F.col("items_json"), query))          # P7
     p = p.select(*part, "event_id", "param_transaction_id", "event_timestamp",
                  "ecommerce_purchase_revenue", SESSION, USER, ERP, "items_json", "param_page_location")
-    d = with_total_count(resolve_users(p, tenant_filter(t.users, tenant_id), salt=["event_id"]), by=part)
+    d = resolve_users(p, tenant_filter(t.users, tenant_id), salt=["event_id"])
     order = _order(sort_field, sort_order, PURCHASE_SORTS, "event_timestamp", ["event_id", "user_id"])
     out = [
         F.col("tenant_id"),
@@ -138,7 +142,7 @@ def cart_abandonment_tasks(t: Tables, tenant_id=None, page=None, limit=None, que
                           F.col("first_item_quantity").alias("quantity")],
                          keys, rows, "products")
     sd = _join_on_keys(details, products, keys)
-    d = with_total_count(resolve_users(sd, users, salt=keys[:-1]), by=part)
+    d = resolve_users(sd, users, salt=keys[:-1])
     order = _order(sort_field, sort_order, CART_SORTS, "last_activity", [SESSION, USER, "user_id"])
     date_txt = micros_to_date_text(F.col("last_activity"))
     out = [
@@ -195,8 +199,7 @@ def search_analysis_tasks(t: Tables, tenant_id=None, page=None, limit=None, quer
     s = _search_parts(t, tenant_id, query, location_id, start, end, include_converted, extra_keys)
     if search_type is not None:
         s = s.filter(F.col("search_type") == search_type)
-    d = with_total_count(resolve_users(s, tenant_filter(t.users, tenant_id),
-                                       salt=[*part, SESSION, "search_term"]), by=part)
+    d = resolve_users(s, tenant_filter(t.users, tenant_id), salt=[*part, SESSION, "search_term"])
     order = _order(sort_field, sort_order, SEARCH_SORTS, "last_activity",
                    [SESSION, USER, "search_type", "search_term", "user_id"])
     out = [
@@ -233,10 +236,12 @@ def _repeat_sessions(t: Tables, tenant_id, location_id, start, end, extra_keys=(
     return active.join(repeaters, [*part, USER], "inner")                     # J4
 
 
-def session_products(t: Tables, sessions: DataFrame, tenant_id=None) -> DataFrame:
-    """J8 + A9: distinct products viewed per session (only for the given sessions)."""
-    vi = in_sessions(tenant_filter(t.view_item, tenant_id), sessions).filter(
-        F.col("first_item_item_id").isNotNull())
+def session_products(t: Tables, sessions: DataFrame | None, tenant_id=None) -> DataFrame:
+    """J8 + A9: distinct products viewed per session (optionally only the given sessions)."""
+    vi = tenant_filter(t.view_item, tenant_id).filter(
+        F.col("first_item_item_id").isNotNull() & F.col(SESSION).isNotNull())
+    if sessions is not None:
+        vi = in_sessions(vi, sessions)
     keys = ["tenant_id", SESSION]
     counts = vi.groupBy(*keys).agg(F.count_distinct("first_item_item_id").alias("products_viewed"))
     details = (vi.select(*keys, F.struct(
@@ -259,11 +264,11 @@ def repeat_visit_tasks(t: Tables, tenant_id=None, page=None, limit=None, query=N
     r = resolve_users(rvs, tenant_filter(t.users, tenant_id), salt=[*part, SESSION])
     if query is not None:
         r = r.filter(any_ilike([F.col("customer_name"), F.col("email")], query))
-    d = with_total_count(r, by=part)
     order = _order(sort_field, sort_order, REPEAT_SORTS, "last_activity", [SESSION, USER, "user_id"])
-    if limit is not None:
-        d = take_page(d, order, page, limit, by=part)
-    spv = session_products(t, d.select("tenant_id", SESSION), tenant_id)
+    d = paged_with_total(r, order, page, limit, by=part) if limit is not None else with_total_count(r, by=part)
+    # Products per session from one partial aggregation of view_item, joined to
+    # the (paged) rows -- the session pipeline above runs once.
+    spv = session_products(t, None, tenant_id)
     e = d.join(spv, ["tenant_id", SESSION], "left")
     out = [
         F.col("tenant_id"), *extra_keys, F.col(SESSION).alias("session_id"),
@@ -296,15 +301,16 @@ def performance_bounced_sessions(t: Tables, tenant_id=None, page=None, limit=Non
                                  start=None, end=None, sort_field="last_activity",
                                  sort_order="desc") -> DataFrame:
     """Q8: bounced sessions; the total is counted *before* the user join (reference rule)."""
-    b = with_total_count(bounced_sessions(t, tenant_id, location_id, start, end))
-    d = resolve_users(b, tenant_filter(t.users, tenant_id), salt=["tenant_id", SESSION])
+    b = bounced_sessions(t, tenant_id, location_id, start, end)
+    # the total counts bounced sessions *before* the user join (reference rule)
+    d = resolve_users(with_total_count(b), tenant_filter(t.users, tenant_id), salt=["tenant_id", SESSION])
     order = _order(sort_field, sort_order, BOUNCE_SORTS, "last_activity", [SESSION, USER, "user_id"])
     out = [
         F.col("tenant_id"), F.col(SESSION).alias("session_id"),
         micros_to_date_text(F.col("last_activity")).alias("event_date"),
         "entry_page", *_user_out(), "total_count",
     ]
-    return _finish(d, order, page, limit, out, ["tenant_id"])
+    return _finish(d, order, page, limit, out, ["tenant_id"], totals=False)
 
 
 def frequently_bounced_pages(t: Tables, tenant_id=None, location_id=None, start=None, end=None,
