@@ -40,7 +40,7 @@ def report_keys(per_day: bool = True) -> list[str]:
 
 
 def report_worklists(t: Tables, tenant_id=None, report_date: str | None = None,
-                     per_day: bool = True) -> dict[str, DataFrame]:
+                     per_day: bool = True, with_products: bool = True) -> dict[str, DataFrame]:
     """The four worklists, first 500 rows of each (tenant, branch[, day]); ``per_day=False``
     reports each branch over the whole period."""
     t = _with_report_keys(t)
@@ -48,9 +48,9 @@ def report_worklists(t: Tables, tenant_id=None, report_date: str | None = None,
               extra_keys=report_keys(per_day)[1:])
     return {
         "purchases": W.purchase_tasks(t, **kw),
-        "carts": W.cart_abandonment_tasks(t, keep_arrays=True, **kw),
+        "carts": W.cart_abandonment_tasks(t, keep_arrays=True, with_products=with_products, **kw),
         "searches": W.search_analysis_tasks(t, **kw),
-        "repeats": W.repeat_visit_tasks(t, keep_arrays=True, **kw),
+        "repeats": W.repeat_visit_tasks(t, keep_arrays=True, with_products=with_products, **kw),
     }
 
 
@@ -117,7 +117,7 @@ def branch_report_summary(t: Tables, tenant_id=None, report_date: str | None = N
     """One row per (tenant, branch, report day) having any worklist row, with the
     location's display fields; the four roll-ups side by side, zero-filled."""
     keys = report_keys(per_day)
-    wl = report_worklists(t, tenant_id, report_date, per_day)
+    wl = report_worklists(t, tenant_id, report_date, per_day, with_products=False)  # roll-ups need no item lists
     parts = [purchase_rollup(wl["purchases"], keys), cart_rollup(wl["carts"], keys),
              search_rollup(wl["searches"], keys), repeat_rollup(wl["repeats"], keys)]
     u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

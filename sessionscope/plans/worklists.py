@@ -114,7 +114,8 @@ CART_ITEM_FIELDS = ["item_id", "item_name", "item_category", "price", "quantity"
 
 def cart_abandonment_tasks(t: Tables, tenant_id=None, page=None, limit=None, query=None,
                            location_id=None, start=None, end=None, sort_field="last_activity",
-                           sort_order="desc", extra_keys=(), keep_arrays=False) -> DataFrame:
+                           sort_order="desc", extra_keys=(), keep_arrays=False,
+                           with_products=True) -> DataFrame:
     """Q5: one row per (abandoned session, user). Step 2 reads *all* cart rows of the
     session -- date and branch filters only select which sessions qualify."""
     part = ["tenant_id", *extra_keys]
@@ -135,13 +136,18 @@ def cart_abandonment_tasks(t: Tables, tenant_id=None, page=None, limit=None, que
         F.max("event_timestamp").alias("last_activity"),
         F.count("event_id").alias("items_count"),
         F.sum(F.col("first_item_price") * F.col("first_item_quantity")).alias("total_value"))
-    products = _multiset([F.col("first_item_item_id").alias("item_id"),
-                          F.col("first_item_item_name").alias("item_name"),
-                          F.col("first_item_item_category").alias("item_category"),
-                          F.col("first_item_price").alias("price"),
-                          F.col("first_item_quantity").alias("quantity")],
-                         keys, rows, "products")
-    sd = _join_on_keys(details, products, keys)
+    if with_products:
+        products = _multiset([F.col("first_item_item_id").alias("item_id"),
+                              F.col("first_item_item_name").alias("item_name"),
+                              F.col("first_item_item_category").alias("item_category"),
+                              F.col("first_item_price").alias("price"),
+                              F.col("first_item_quantity").alias("quantity")],
+                             keys, rows, "products")
+        sd = _join_on_keys(details, products, keys)
+    else:
+        sd = details.withColumn("products", F.lit(None).cast(
+            "array<struct<_item:struct<item_id:string,item_name:string,item_category:string,"
+            "price:decimal(10,2),quantity:int>,times:bigint>>"))
     d = resolve_users(sd, users, salt=keys[:-1])
     order = _order(sort_field, sort_order, CART_SORTS, "last_activity", [SESSION, USER, "user_id"])
     date_txt = micros_to_date_text(F.col("last_activity"))
@@ -256,7 +262,7 @@ def session_products(t: Tables, sessions: DataFrame | None, tenant_id=None) -> D
 
 def repeat_visit_tasks(t: Tables, tenant_id=None, page=None, limit=None, query=None, location_id=None,
                        start=None, end=None, sort_field="page_views_count", sort_order="desc",
-                       extra_keys=(), keep_arrays=False) -> DataFrame:
+                       extra_keys=(), keep_arrays=False, with_products=True) -> DataFrame:
     """Q7: sessions with >2 distinct pages of users having >1 such session, with the
     products they viewed. Paging happens before the product enrichment."""
     part = ["tenant_id", *extra_keys]
@@ -268,8 +274,13 @@ def repeat_visit_tasks(t: Tables, tenant_id=None, page=None, limit=None, query=N
     d = paged_with_total(r, order, page, limit, by=part) if limit is not None else with_total_count(r, by=part)
     # Products per session from one partial aggregation of view_item, joined to
     # the (paged) rows -- the session pipeline above runs once.
-    spv = session_products(t, None, tenant_id)
-    e = d.join(spv, ["tenant_id", SESSION], "left")
+    if with_products:
+        spv = session_products(t, None, tenant_id)
+        e = d.join(spv, ["tenant_id", SESSION], "left")
+    else:
+        e = d.withColumn("products_viewed", F.lit(None).cast("bigint")).withColumn(
+            "products_details", F.lit(None).cast(
+                "array<struct<_item:struct<title:string,url:string,category:string,price:decimal(10,2)>,times:int>>"))
     out = [
         F.col("tenant_id"), *extra_keys, F.col(SESSION).alias("session_id"),
         micros_to_date_text(F.col("last_activity")).alias("event_date"),

@@ -44,3 +44,21 @@ def test_query_matches_oracle(spark, duck, key):
     dcols = [d[0] for d in res.description]
     assert sorted(scols) == sorted(dcols)
     assert rows_of(scols, srows) == rows_of(dcols, res.fetchall())
+
+
+def test_plan_audit_detects_bad_shapes(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from plan_audit import BAD
+    df = spark.range(10)
+    w = df.withColumn("r", F.row_number().over(Window.orderBy("id")))._jdf.queryExecution().executedPlan().toString()
+    assert BAD["window without partition key"].search(w) and BAD["single-partition exchange"].search(w)
+    x = df.crossJoin(spark.range(3).withColumnRenamed("id", "j"))._jdf.queryExecution().executedPlan().toString()
+    assert BAD["nested-loop join"].search(x)
+
+
+def test_registered_plans_scale(spark):
+    """No registered query plans a nested-loop join, a single-partition exchange or a
+    window without a partition key."""
+    from plan_audit import audit
+    assert audit(spark, SF) == {}
