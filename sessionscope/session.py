@@ -55,7 +55,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="sessionscope-ckpt-")
+        # local runs only: one stable folder per machine so a warehouse built by one
+        # local session is reused by the next
+        d = os.path.join(tempfile.gettempdir(), "sessionscope-checkpoints")
+        os.makedirs(d, exist_ok=True)
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
@@ -64,3 +67,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def rename_path(spark: SparkSession, src: str, dst: str) -> bool:
+    """Atomic publish of a written folder (Hadoop FileSystem rename; False if ``dst`` exists)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    s, d = jvm.org.apache.hadoop.fs.Path(src), jvm.org.apache.hadoop.fs.Path(dst)
+    fs = s.getFileSystem(conf)
+    if fs.exists(d):
+        return False
+    return bool(fs.rename(s, d))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))

@@ -297,11 +297,27 @@ WAREHOUSE_TABLES = EVENT_TABLES + ("users", "locations", "branch_email_mappings"
 _OPEN: dict[tuple[str, str], Tables] = {}
 
 
+def _source_signature(sf_dir: str) -> str:
+    """Names, sizes and modification times of the source files (local folders)."""
+    parts = [os.path.abspath(sf_dir)]
+    if os.path.isdir(sf_dir):
+        for n in sorted(os.listdir(sf_dir)):
+            st = os.stat(os.path.join(sf_dir, n))
+            parts.append(f"{n}:{st.st_size}:{int(st.st_mtime)}")
+    return "|".join(parts)
+
+
 def warehouse_path(spark: SparkSession, sf_dir: str) -> str:
+    """Warehouse folder for ``sf_dir`` under the shared checkpoint folder; the name
+    changes when the source files change, so a stale build is never reused."""
     import hashlib
     from sessionscope.session import scratch_dir
-    tag = hashlib.md5(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
-    return scratch_dir(spark, f"warehouse-{spark.sparkContext.applicationId}-{tag}")
+    tag = hashlib.md5((_source_signature(sf_dir) + f"|v{WAREHOUSE_VERSION}").encode()).hexdigest()[:16]
+    return scratch_dir(spark, f"warehouse-{tag}")
+
+
+# bump when the table derivation or layout changes
+WAREHOUSE_VERSION = 1
 
 
 def write_partitioned(df: DataFrame, path: str, parts, mode: str = "overwrite") -> None:
@@ -342,11 +358,16 @@ def load_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> T
     apply_required_conf(spark)
     if not materialize:
         return derive_tables(spark, sf_dir)
+    from sessionscope.session import path_exists, rename_path
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     if key not in _OPEN:
         root = warehouse_path(spark, sf_dir)
-        if not _exists(spark, os.path.join(root, "_complete")):
-            build_warehouse(spark, sf_dir, root)
+        if not path_exists(spark, os.path.join(root, "_complete")):
+            # build privately, then publish with one rename (a concurrent builder
+            # that published first wins; ours is left unused)
+            tmp = f"{root}.building-{spark.sparkContext.applicationId}"
+            build_warehouse(spark, sf_dir, tmp)
+            rename_path(spark, tmp, root)
         _OPEN[key] = open_warehouse(spark, sf_dir, root)
     return _OPEN[key]
 
