@@ -50,12 +50,13 @@ def take_page(df: DataFrame, order: Sequence[Column], page: int | None, limit: i
               position: str = "row_num") -> DataFrame:
     """L2 (``page``/``limit``) or L3 (``offset``/``limit``): the requested slice per tenant,
     with its 1-based position in the full ordering."""
-    if limit is None:
-        return df.withColumn(position, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    first = offset if offset is not None else (max(page or 1, 1) - 1) * limit
     w = Window.partitionBy(*by).orderBy(*order)
     ranked = df.withColumn(position, F.row_number().over(w))
-    return ranked.filter((F.col(position) > first) & (F.col(position) <= first + limit))
+    if limit is not None:
+        first = offset if offset is not None else (max(page or 1, 1) - 1) * limit
+        # the filter sits directly on row_number(): Spark plans a partial WindowGroupLimit
+        ranked = ranked.filter((F.col(position) > first) & (F.col(position) <= first + limit))
+    return ranked.withColumn(position, F.col(position).cast("bigint"))
 
 
 def page_envelope(totals: DataFrame, page: int, limit: int, total_col: str = "total_count",

@@ -180,7 +180,7 @@ def report_dates(t: Tables) -> DataFrame:
     """``TO_DATE(text, 'YYYY-MM-DD')`` round trip of the send-history report dates."""
     txt = F.date_format("report_date", "yyyy-MM-dd")
     return t.email_send_history.select("id", txt.alias("report_text"),
-                                       F.datediff(F.to_date(txt, "yyyy-MM-dd"), F.lit("2000-01-01")).alias("days"))
+                                       F.datediff(F.to_date(txt, "yyyy-MM-dd"), F.lit("2000-01-01")).cast("bigint").alias("days"))
 
 
 def currency_round_trip(t: Tables) -> DataFrame:
