@@ -39,18 +39,27 @@ def with_total_count(df: DataFrame, by: Sequence[str] = ("tenant_id",),
 
 
 def paged_with_total(df: DataFrame, order: Sequence[Column], page: int | None, limit: int | None,
-                     by: Sequence[str] = ("tenant_id",), offset: int | None = None) -> DataFrame:
+                     by: Sequence[str] = ("tenant_id",), offset: int | None = None,
+                     single_group: bool = False) -> DataFrame:
     """L2/L3 + W1: cut the page first (partial top-k before the shuffle), then join the
     per-partition totals to the page rows only."""
-    return with_total_count(df, by, rows=take_page(df, order, page, limit, by, offset))
+    page_rows = take_page(df, order, page, limit, by, offset, single_group=single_group)
+    return with_total_count(df, by, rows=page_rows)
 
 
 def take_page(df: DataFrame, order: Sequence[Column], page: int | None, limit: int | None,
               by: Sequence[str] = ("tenant_id",), offset: int | None = None,
-              position: str = "row_num") -> DataFrame:
+              position: str = "row_num", single_group: bool = False) -> DataFrame:
     """L2 (``page``/``limit``) or L3 (``offset``/``limit``): the requested slice per tenant,
-    with its 1-based position in the full ordering."""
+    with its 1-based position in the full ordering.
+
+    ``single_group`` (the caller filtered to one tenant): a plain ORDER BY / OFFSET /
+    LIMIT, planned as TakeOrderedAndProject -- a bounded heap per task, no full sort."""
     w = Window.partitionBy(*by).orderBy(*order)
+    if limit is not None and single_group:
+        first = offset if offset is not None else (max(page or 1, 1) - 1) * limit
+        top = df.orderBy(*order).offset(first).limit(limit)
+        return top.withColumn(position, (F.lit(first) + F.row_number().over(w)).cast("bigint"))
     ranked = df.withColumn(position, F.row_number().over(w))
     if limit is not None:
         first = offset if offset is not None else (max(page or 1, 1) - 1) * limit

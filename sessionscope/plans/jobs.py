@@ -34,7 +34,7 @@ def _day(c: str):
 def ingestion_jobs_page(t: Tables, tenant_id=None, limit: int = 50, offset: int = 0) -> DataFrame:
     """Q15 (L3 + W1): newest first, ties by job_id."""
     j = tenant_filter(t.processing_jobs, tenant_id)
-    p = paged_with_total(j, [F.col("created_at").desc(), F.col("job_id").asc()], None, limit, offset=offset)
+    p = paged_with_total(j, [F.col("created_at").desc(), F.col("job_id").asc()], None, limit, offset=offset, single_group=tenant_id is not None)
     return p.select("id", "tenant_id", "job_id", "status", "data_types", _day("start_date"), _day("end_date"),
                     "progress", "records_processed", "error_message", _ts("created_at"), _ts("started_at"),
                     _ts("completed_at"), "total_count", "row_num")
@@ -44,7 +44,7 @@ def email_jobs_page(t: Tables, tenant_id=None, limit: int = 50, offset: int = 0,
                     status: str | None = None) -> DataFrame:
     """Q16: optional status filter; has_more = offset + limit < total."""
     j = optional_eq(tenant_filter(t.email_sending_jobs, tenant_id), "status", status)
-    p = paged_with_total(j, [F.col("created_at").desc(), F.col("job_id").asc()], None, limit, offset=offset)
+    p = paged_with_total(j, [F.col("created_at").desc(), F.col("job_id").asc()], None, limit, offset=offset, single_group=tenant_id is not None)
     return p.select("tenant_id", "job_id", "status", _day("report_date"),
                     F.array_join("target_branches", ",").alias("target_branches"),
                     "total_emails", "emails_sent", "emails_failed", "error_message",
@@ -58,7 +58,7 @@ def email_history_page(t: Tables, tenant_id=None, limit: int = 50, offset: int =
     h = tenant_filter(t.email_send_history, tenant_id)
     h = optional_eq(optional_eq(h, "branch_code", branch_code), "status", status)
     h = date_range_filter(h, start, end, col="report_date")
-    p = paged_with_total(h, [F.col("sent_at").desc(), F.col("id").asc()], None, limit, offset=offset)
+    p = paged_with_total(h, [F.col("sent_at").desc(), F.col("id").asc()], None, limit, offset=offset, single_group=tenant_id is not None)
     return p.select("tenant_id", "id", "job_id", "branch_code", "sales_rep_email", "sales_rep_name", "subject",
                     _day("report_date"), "status", "smtp_response", "error_message", _ts("sent_at"),
                     "total_count", "row_num")

@@ -44,14 +44,14 @@ def _order(sort_field, sort_order, mapping, fallback, ties):
 
 
 def _finish(df: DataFrame, order: list[Column], page, limit, out_cols: list, part: list[str],
-            totals: bool = True) -> DataFrame:
+            totals: bool = True, single: bool = False) -> DataFrame:
     """Attach per-partition totals (W1) and page per partition (tenant [+ extra keys])
     when ``limit`` is given (keeps ``row_num``), else the whole sorted list. Pages are
     cut before the totals are joined, so only page rows are joined."""
     out_cols = [*part[1:], *out_cols]
     if limit is not None:
-        paged = paged_with_total(df, order, page, limit, by=part) if totals \
-            else take_page(df, order, page, limit, by=part)
+        paged = paged_with_total(df, order, page, limit, by=part, single_group=single) if totals \
+            else take_page(df, order, page, limit, by=part, single_group=single)
         return paged.select(*out_cols, "row_num")
     d = with_total_count(df, by=part) if totals else df
     return d.orderBy(*part, *order).select(*out_cols)
@@ -89,7 +89,7 @@ def purchase_tasks(t: Tables, tenant_id=None, page=None, limit=None, query=None,
         F.lit(False).alias("completed"),
         F.col("total_count"),
     ]
-    return _finish(d, order, page, limit, out, part)
+    return _finish(d, order, page, limit, out, part, single=tenant_id is not None and not extra_keys)
 
 
 # ------------------------------------------------------------------ Q5
@@ -159,7 +159,7 @@ def cart_abandonment_tasks(t: Tables, tenant_id=None, page=None, limit=None, que
         (F.col("products") if keep_arrays else items_text(F.col("products"), CART_ITEM_FIELDS)).alias("products"),
         F.col("total_count"),
     ]
-    return _finish(d, order, page, limit, out, part)
+    return _finish(d, order, page, limit, out, part, single=tenant_id is not None and not extra_keys)
 
 
 def _join_on_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -213,7 +213,7 @@ def search_analysis_tasks(t: Tables, tenant_id=None, page=None, limit=None, quer
         micros_to_date_text(F.col("last_activity")).alias("event_date"),
         "search_term", "search_type", "search_count", *_user_out(), "total_count",
     ]
-    return _finish(d, order, page, limit, out, part)
+    return _finish(d, order, page, limit, out, part, single=tenant_id is not None and not extra_keys)
 
 
 def search_facets(t: Tables, tenant_id=None, query=None, location_id=None, start=None, end=None,
@@ -271,7 +271,8 @@ def repeat_visit_tasks(t: Tables, tenant_id=None, page=None, limit=None, query=N
     if query is not None:
         r = r.filter(any_ilike([F.col("customer_name"), F.col("email")], query))
     order = _order(sort_field, sort_order, REPEAT_SORTS, "last_activity", [SESSION, USER, "user_id"])
-    d = paged_with_total(r, order, page, limit, by=part) if limit is not None else with_total_count(r, by=part)
+    d = (paged_with_total(r, order, page, limit, by=part, single_group=tenant_id is not None and not extra_keys)
+         if limit is not None else with_total_count(r, by=part))
     # Products per session from one partial aggregation of view_item, joined to
     # the (paged) rows -- the session pipeline above runs once.
     if with_products:
@@ -321,7 +322,7 @@ def performance_bounced_sessions(t: Tables, tenant_id=None, page=None, limit=Non
         micros_to_date_text(F.col("last_activity")).alias("event_date"),
         "entry_page", *_user_out(), "total_count",
     ]
-    return _finish(d, order, page, limit, out, ["tenant_id"], totals=False)
+    return _finish(d, order, page, limit, out, ["tenant_id"], totals=False, single=tenant_id is not None)
 
 
 def frequently_bounced_pages(t: Tables, tenant_id=None, location_id=None, start=None, end=None,

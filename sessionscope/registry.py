@@ -1593,3 +1593,15 @@ def f1_sql_views_overview(spark, sf_dir):
                 AS DOUBLE) AS conversion_rate
     FROM tenants t LEFT JOIN ps USING (tenant_id) LEFT JOIN vs USING (tenant_id) LEFT JOIN cs USING (tenant_id)
     LEFT JOIN ss USING (tenant_id) LEFT JOIN fs USING (tenant_id) LEFT JOIN rv USING (tenant_id)""")
+
+
+# Page first (20 per tenant), then enrich only the page with viewed products.
+_J8_ORDER = ("page_views_count DESC NULLS LAST, last_activity DESC NULLS FIRST, param_ga_session_id ASC NULLS FIRST, "
+             "user_prop_webuserid ASC NULLS FIRST, user_id ASC NULLS FIRST")
+register("j8_enrich_page_with_products", Q7_SQL.replace(
+    "FROM rvsu ps LEFT JOIN spv ON spv.tenant_id = ps.tenant_id AND spv.param_ga_session_id = ps.param_ga_session_id",
+    f"FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY {_J8_ORDER}) AS row_num FROM rvsu) ps "
+    "LEFT JOIN spv ON spv.tenant_id = ps.tenant_id AND spv.param_ga_session_id = ps.param_ga_session_id "
+    "WHERE ps.row_num <= 20").replace("ps.phone, ps.office_phone, ps.total_count",
+                                      "ps.phone, ps.office_phone, ps.total_count, ps.row_num"))(
+    _q("repeat_visit_tasks", page=1, limit=20))

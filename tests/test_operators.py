@@ -200,3 +200,20 @@ def test_duration_and_labels(spark):
     m = spark.createDataFrame([("$1,234.50",), ("bad",)], "v string")
     assert [r[0] for r in m.select(text.parse_currency(F.col("v"))).collect()] == [1234.5, None]
     assert m.select(text.format_currency(F.lit(1234.5))).first()[0] == "$1,234.50"
+
+
+def test_single_tenant_page_equals_all_tenant_page(spark):
+    """A page for one tenant (TakeOrderedAndProject path) equals that tenant's slice of
+    the all-tenant page (WindowGroupLimit path), rows, positions and totals."""
+    from sessionscope.sources.fixtures import load_tables
+    from sessionscope.plans import worklists as W
+    t = load_tables(spark, "/root/testdata/sf0.001")
+
+    def rows(df, cols):
+        return sorted(tuple(r[c] for c in cols) for r in df.collect())
+    for fn, cols in [(W.purchase_tasks, ["transaction_id", "user_id", "row_num", "total_count"]),
+                     (W.search_analysis_tasks, ["session_id", "search_term", "row_num", "total_count"]),
+                     (W.repeat_visit_tasks, ["session_id", "user_id", "row_num", "total_count"])]:
+        single = fn(t, tenant_id="T1", page=2, limit=3)
+        assert rows(single, cols) == rows(fn(t, page=2, limit=3).filter("tenant_id = 'T1'"), cols)
+        assert "TakeOrderedAndProject" in single._jdf.queryExecution().executedPlan().toString()
