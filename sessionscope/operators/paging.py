@@ -33,8 +33,16 @@ def with_total_count(df: DataFrame, by: Sequence[str] = ("tenant_id",),
     """``COUNT(*) OVER (PARTITION BY tenant)`` as grouped count + join.
 
     ``rows`` (default ``df``) receives the totals of ``df`` -- pass a page of ``df``
-    to count everything but join the totals to the page rows only."""
+    to count everything but join the totals to the page rows only.
+
+    Totals per tenant alone are one row per tenant: their size is bounded by the
+    number of tenants, not by the data, so they are broadcast. A shuffle join on
+    ``tenant_id`` would send every row of a tenant to one reducer. Totals over
+    composite keys (tenant, branch, day) are left to Spark's size-based choice;
+    those keys spread over reducers."""
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+    if tuple(by) == ("tenant_id",):
+        counts = F.broadcast(counts)
     return (df if rows is None else rows).join(counts, list(by), "left")
 
 
