@@ -132,6 +132,18 @@ def test_paging_is_per_tenant_and_consistent(spark, make_tables):
     assert "WindowGroupLimit" in plan
 
 
+def test_tenant_totals_are_broadcast_not_shuffled_by_tenant(spark, make_tables):
+    """The rows never go through a shuffle keyed by tenant alone to meet their totals."""
+    import re
+    rows = [dict(ev(i, f"s{i}", user="u1", tenant=f"T{i % 2}"), param_transaction_id=f"TX{i}") for i in range(1, 6)]
+    t = make_tables(purchase=rows, users=[user("u1", "E1")])
+    for df in (purchase_tasks(t), purchase_tasks(t, page=1, limit=2)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"SortMergeJoin \[tenant_id#\d+\], \[tenant_id#\d+\]", plan)
+        assert re.search(r"BroadcastHashJoin \[tenant_id#\d+\], \[tenant_id#\d+\], LeftOuter", plan)
+        assert {r.total_count for r in df.collect()} == {2, 3}
+
+
 def test_cart_step_two_reads_all_session_rows(spark, make_tables):
     """Q5: the date filter selects sessions, but items come from every cart row of the session."""
     old = dict(ev(1, "s1", user="u1", first_item_item_id="P1", first_item_price=Decimal("2.00"),
