@@ -131,21 +131,30 @@ def cart_abandonment_tasks(t: Tables, tenant_id=None, page=None, limit=None, que
     rows = all_rows.join(abandoned, ["tenant_id", SESSION], "inner") if extra_keys \
         else in_sessions(all_rows, abandoned)
     keys = [*part, SESSION, USER]
-    details = rows.groupBy(*keys).agg(
-        F.max(ERP).alias(ERP),
-        F.max("event_timestamp").alias("last_activity"),
-        F.count("event_id").alias("items_count"),
-        F.sum(F.col("first_item_price") * F.col("first_item_quantity")).alias("total_value"))
+    value = F.col("first_item_price") * F.col("first_item_quantity")
     if with_products:
-        products = _multiset([F.col("first_item_item_id").alias("item_id"),
-                              F.col("first_item_item_name").alias("item_name"),
-                              F.col("first_item_item_category").alias("item_category"),
-                              F.col("first_item_price").alias("price"),
-                              F.col("first_item_quantity").alias("quantity")],
-                             keys, rows, "products")
-        sd = _join_on_keys(details, products, keys)
+        # one chain: per (session, user, item) partials, rolled up per (session, user);
+        # max / count / sum combine exactly, and the items become the multiset
+        item = F.struct(F.col("first_item_item_id").alias("item_id"),
+                        F.col("first_item_item_name").alias("item_name"),
+                        F.col("first_item_item_category").alias("item_category"),
+                        F.col("first_item_price").alias("price"),
+                        F.col("first_item_quantity").alias("quantity")).alias("_item")
+        per_item = rows.groupBy(*keys, item).agg(
+            F.max(ERP).alias(ERP), F.max("event_timestamp").alias("last_activity"),
+            F.count("event_id").alias("items_count"), F.sum(value).alias("total_value"),
+            F.count(F.lit(1)).alias("times"))
+        sd = per_item.groupBy(*keys).agg(
+            F.max(ERP).alias(ERP), F.max("last_activity").alias("last_activity"),
+            F.sum("items_count").alias("items_count"), F.sum("total_value").alias("total_value"),
+            F.array_sort(F.collect_list(F.struct(F.col("_item"), F.col("times")))).alias("products"))
     else:
-        sd = details.withColumn("products", F.lit(None).cast(
+        sd = rows.groupBy(*keys).agg(
+            F.max(ERP).alias(ERP),
+            F.max("event_timestamp").alias("last_activity"),
+            F.count("event_id").alias("items_count"),
+            F.sum(value).alias("total_value"),
+        ).withColumn("products", F.lit(None).cast(
             "array<struct<_item:struct<item_id:string,item_name:string,item_category:string,"
             "price:decimal(10,2),quantity:int>,times:bigint>>"))
     d = resolve_users(sd, users, salt=keys[:-1])
@@ -162,16 +171,6 @@ def cart_abandonment_tasks(t: Tables, tenant_id=None, page=None, limit=None, que
     return _finish(d, order, page, limit, out, part, single=tenant_id is not None and not extra_keys)
 
 
-def _join_on_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Equi-join on ``keys`` where NULL user ids match each other (GROUP BY semantics)."""
-    cond = None
-    bb = b.select(*[F.col(k).alias(f"_b_{k}") for k in keys], *[c for c in b.columns if c not in keys])
-    for k in keys:
-        c = a[k].eqNullSafe(bb[f"_b_{k}"])
-        cond = c if cond is None else (cond & c)
-    return a.join(bb, cond, "left").drop(*[f"_b_{k}" for k in keys])
-
-
 # ------------------------------------------------------------------ Q6
 def _search_parts(t: Tables, tenant_id, query, location_id, start, end, include_converted, extra_keys=()):
     keys = ["tenant_id", *extra_keys, SESSION, USER]
