@@ -248,15 +248,18 @@ def session_products(t: Tables, sessions: DataFrame | None, tenant_id=None) -> D
     if sessions is not None:
         vi = in_sessions(vi, sessions)
     keys = ["tenant_id", SESSION]
-    counts = vi.groupBy(*keys).agg(F.count_distinct("first_item_item_id").alias("products_viewed"))
-    details = (vi.select(*keys, F.struct(
+    item = F.struct(
         F.coalesce("first_item_item_name", "first_item_item_id").alias("title"),
         F.col("param_page_location").alias("url"),
         F.col("first_item_item_category").alias("category"),
-        F.col("first_item_price").alias("price")).alias("_item")).distinct()
-        .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_item"), F.lit(1).alias("times"))))
-                            .alias("products_details")))
-    return counts.join(details, keys, "left")
+        F.col("first_item_price").alias("price")).alias("_item")
+    # one chain: distinct (session, item id, product) rows, then per session the number
+    # of item ids and the distinct products (bounded by what one session viewed)
+    per_id = vi.groupBy(*keys, "first_item_item_id").agg(F.collect_set(item).alias("_items"))
+    return per_id.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("products_viewed"),
+        F.transform(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))),
+                    lambda x: F.struct(x.alias("_item"), F.lit(1).alias("times"))).alias("products_details"))
 
 
 def repeat_visit_tasks(t: Tables, tenant_id=None, page=None, limit=None, query=None, location_id=None,
