@@ -154,6 +154,23 @@ def test_cart_step_two_reads_all_session_rows(spark, make_tables):
     assert len(r) == 1 and r[0].items_count == 2 and r[0].total_value == 7.0
 
 
+def test_cart_one_chain_rollup_edges(spark, make_tables):
+    """Q5: duplicate items keep their multiplicity; a NULL price leaves the value sum
+    to the other rows; an all-NULL-price session has a NULL value; NULL item ids group."""
+    def c(i, s, pid, price, qty=1):
+        return ev(i, s, user="u1", first_item_item_id=pid, first_item_price=price, first_item_quantity=qty)
+    rows = [c(1, "s1", "P1", Decimal("2.50"), 2), c(2, "s1", "P1", Decimal("2.50"), 2),
+            c(3, "s1", "P2", None), c(4, "s1", None, Decimal("1.00")),
+            c(5, "s2", "P3", None), c(6, "s2", "P3", None)]
+    t = make_tables(add_to_cart=rows, users=[user("u1", "E1")])
+    got = {r.session_id: r for r in cart_abandonment_tasks(t).collect()}
+    assert got["s1"].items_count == 4 and got["s1"].total_value == 11.0
+    assert got["s1"].products.count(";") == 2 and "|P1|x" not in got["s1"].products
+    assert any(p.startswith("P1|") and p.endswith("x2") for p in got["s1"].products.split(";"))
+    assert got["s2"].items_count == 2 and got["s2"].total_value is None
+    assert got["s2"].products.endswith("x2") and got["s2"].products.count(";") == 0
+
+
 def test_facets_sorted_as_text(spark, make_tables):
     """Q10: counts 9 and 10 order as text ('9' > '10')."""
     pv = [ev(i, f"s{i}", user=f"u{i}") for i in range(10)]      # 10 bounced sessions, 10 distinct entry pages
