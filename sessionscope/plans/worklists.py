@@ -337,15 +337,22 @@ def frequently_bounced_pages(t: Tables, tenant_id=None, location_id=None, start=
     return ranked.select("tenant_id", "entry_page", "bounce_count", "rank")
 
 
-def performance_facets(t: Tables, tenant_id=None, location_id=None, start=None, end=None) -> DataFrame:
+def performance_facets(t: Tables, tenant_id=None, location_id=None, start=None, end=None,
+                       top: int = 10) -> DataFrame:
     """Q10: high_bounce (#bounced sessions) and page_bounce_issue (#top pages), only
-    when > 0, ordered by the count *as text* descending (reference quirk)."""
-    high = bounced_sessions(t, tenant_id, location_id, start, end).groupBy("tenant_id").agg(
-        F.lit("high_bounce").alias("value"), F.lit("High Bounce").alias("label"),
-        F.count(F.lit(1)).alias("count"))
-    pages = frequently_bounced_pages(t, tenant_id, location_id, start, end).groupBy("tenant_id").agg(
-        F.lit("page_bounce_issue").alias("value"), F.lit("Page Bounce").alias("label"),
-        F.count(F.lit(1)).alias("count"))
-    f = high.unionByName(pages).filter(F.col("count") > 0)
+    when > 0, ordered by the count *as text* descending (reference quirk).
+
+    Both facets come from one count per (tenant, entry page): the bounced sessions
+    are its sum, and the top-``top`` list (Q9) has ``least(#pages, top)`` rows."""
+    per_page = bounced_sessions(t, tenant_id, location_id, start, end).groupBy("tenant_id", "entry_page").agg(
+        F.count(F.lit(1)).alias("bounces"))
+    per_tenant = per_page.groupBy("tenant_id").agg(F.sum("bounces").alias("high"),
+                                                   F.count(F.lit(1)).alias("pages"))
+    facet = lambda v, label, n: F.struct(F.lit(v).alias("value"), F.lit(label).alias("label"),
+                                         n.cast("bigint").alias("count"))
+    f = (per_tenant.select("tenant_id", F.explode(F.array(
+            facet("high_bounce", "High Bounce", F.col("high")),
+            facet("page_bounce_issue", "Page Bounce", F.least(F.col("pages"), F.lit(top))))).alias("_f"))
+         .select("tenant_id", "_f.*").filter(F.col("count") > 0))
     return take_page(f, [F.col("count").cast("string").desc(), F.col("value").asc()], None, None,
                      position="position")
