@@ -1,7 +1,7 @@
 """Q1 overview KPIs (one row per tenant).
 
-Five independent aggregates (purchases, visitors, abandoned carts, searches,
-repeat visitors). Instead of crossing one-row frames, each aggregate is keyed by
+Five independent aggregates (purchases, visitors with unique and repeat users,
+abandoned carts, searches, failed searches). Instead of crossing one-row frames, each aggregate is keyed by
 tenant, the partial rows are unioned and folded by one small groupBy -- no joins.
 """
 
@@ -27,10 +27,20 @@ def overview_parts(t: Tables, start: str, end: str, tenant_id: str | None = None
     purchase = scope(t.purchase, **sc).groupBy("tenant_id").agg(
         F.sum("ecommerce_purchase_revenue").alias("total_revenue"),
         F.count(F.lit(1)).alias("purchases"))
+    # visitors, unique users and repeat visitors in one pass over page_view: every row
+    # is listed once under its session and once under its user (with the session),
+    # so one distinct-count chain gives sessions per tenant and sessions per user
     pv = scope(t.page_view, **sc)
-    visitors = pv.groupBy("tenant_id").agg(
-        F.count_distinct(SESSION).alias("total_visitors"),
-        F.count_distinct("user_prop_webuserid").alias("unique_users"))
+    tagged = pv.select("tenant_id", F.explode(F.array(
+        F.struct(F.lit("s").alias("kind"), F.col(SESSION).alias("key"), F.lit(None).cast("string").alias("sess")),
+        F.struct(F.lit("u").alias("kind"), F.col("user_prop_webuserid").alias("key"), F.col(SESSION).alias("sess")),
+    )).alias("_k")).select("tenant_id", "_k.*").filter(F.col("key").isNotNull())
+    per_key = tagged.groupBy("tenant_id", "kind", "key").agg(F.count_distinct("sess").alias("n"))
+    is_user = F.col("kind") == "u"
+    visitors = per_key.groupBy("tenant_id").agg(
+        F.count(F.when(~is_user, 1)).alias("total_visitors"),
+        F.count(F.when(is_user, 1)).alias("unique_users"),
+        F.count(F.when(is_user & (F.col("n") > 1), 1)).alias("repeat_visits"))
     carts = without_purchase(
         scope(t.add_to_cart, **sc).select("tenant_id", SESSION).distinct(),
         t.purchase if tenant_id is None else t.purchase.filter(F.col("tenant_id") == tenant_id),
@@ -40,12 +50,7 @@ def overview_parts(t: Tables, start: str, end: str, tenant_id: str | None = None
         F.count(F.lit(1)).alias("total_searches"))
     failed = scope(t.no_search_results, **sc).groupBy("tenant_id").agg(
         F.count(F.lit(1)).alias("failed_searches"))
-    repeat = (pv.filter(F.col("user_prop_webuserid").isNotNull())
-              .groupBy("tenant_id", "user_prop_webuserid")
-              .agg(F.count_distinct(SESSION).alias("n"))
-              .filter(F.col("n") > 1)
-              .groupBy("tenant_id").agg(F.count(F.lit(1)).alias("repeat_visits")))
-    return [purchase, visitors, carts, searches, failed, repeat]
+    return [purchase, visitors, carts, searches, failed]
 
 
 def overview_stats(t: Tables, start: str | None, end: str | None, tenant_id: str | None = None,

@@ -171,6 +171,16 @@ def test_cart_one_chain_rollup_edges(spark, make_tables):
     assert got["s2"].products.endswith("x2") and got["s2"].products.count(";") == 0
 
 
+def test_overview_visitors_users_repeats_one_pass(spark, make_tables):
+    """Q1: a session shared by two users is one visitor; NULL sessions are no visits;
+    a NULL user is no user; repeat = a user with more than one distinct session."""
+    pv = [ev(1, "s1", user="u1"), ev(2, "s2", user="u1"), ev(3, "s1", user="u3"), ev(4, "s3", user="u2"),
+          ev(5, None, user="u2"), ev(6, "s4"), ev(7, "s2", user="u1")]
+    r = overview_stats(make_tables(page_view=pv), "2024-01-01", "2024-01-31").collect()
+    assert len(r) == 1
+    assert (r[0].total_visitors, r[0].unique_users, r[0].repeat_visits) == (4, 3, 1)
+
+
 def test_facets_sorted_as_text(spark, make_tables):
     """Q10: counts 9 and 10 order as text ('9' > '10')."""
     pv = [ev(i, f"s{i}", user=f"u{i}") for i in range(10)]      # 10 bounced sessions, 10 distinct entry pages
