@@ -26,13 +26,13 @@ def location_stats(t: Tables, start: str | None, end: str | None,
     sc = dict(tenant_id=tenant_id, start=start, end=end)
     key = ["tenant_id", "location_id"]
     pv = scope(t.page_view, **sc).withColumnRenamed(BRANCH, "location_id")
-    # One shared (branch, user) pre-aggregate feeds visitors and repeat visitors.
+    # One (branch, user) pre-aggregate rolled up once into visitors and repeat visitors
     per_user = pv.groupBy("tenant_id", "location_id", "user_prop_webuserid").agg(
         F.count_distinct(SESSION).alias("session_count"))
-    visitors = per_user.groupBy(*key).agg(F.sum("session_count").alias("total_visitors"))
-    repeat = (per_user.filter(F.col("user_prop_webuserid").isNotNull() & F.col("location_id").isNotNull()
-                              & (F.col("session_count") > 1))
-              .groupBy(*key).agg(F.count(F.lit(1)).alias("repeat_visits")))
+    visitors = per_user.groupBy(*key).agg(
+        F.sum("session_count").alias("total_visitors"),
+        F.count(F.when(F.col("user_prop_webuserid").isNotNull() & (F.col("session_count") > 1), 1))
+         .alias("repeat_visits"))
     purchases = scope(t.purchase, **sc).withColumnRenamed(BRANCH, "location_id").groupBy(*key).agg(
         F.sum("ecommerce_purchase_revenue").alias("total_revenue"), F.count(F.lit(1)).alias("purchases"))
     carts = (without_purchase(scope(t.add_to_cart, **sc).select("tenant_id", SESSION, BRANCH).distinct(),
@@ -41,7 +41,7 @@ def location_stats(t: Tables, start: str | None, end: str | None,
              .groupBy(*key).agg(F.count(SESSION).alias("abandoned_carts")))
     failed = scope(t.no_search_results, **sc).withColumnRenamed(BRANCH, "location_id").groupBy(*key).agg(
         F.count(F.lit(1)).alias("failed_searches"))
-    parts = [visitors, repeat, purchases, carts, failed]
+    parts = [visitors, purchases, carts, failed]
     stats = (reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
              .filter(F.col("location_id").isNotNull())
              .groupBy(*key).agg(*[F.max(m).alias(m) for m in METRICS]))
