@@ -137,11 +137,17 @@ def test_tenant_totals_are_broadcast_not_shuffled_by_tenant(spark, make_tables):
     import re
     rows = [dict(ev(i, f"s{i}", user="u1", tenant=f"T{i % 2}"), param_transaction_id=f"TX{i}") for i in range(1, 6)]
     t = make_tables(purchase=rows, users=[user("u1", "E1")])
-    for df in (purchase_tasks(t), purchase_tasks(t, page=1, limit=2)):
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        assert not re.search(r"SortMergeJoin \[tenant_id#\d+\], \[tenant_id#\d+\]", plan)
-        assert re.search(r"BroadcastHashJoin \[tenant_id#\d+\], \[tenant_id#\d+\], LeftOuter", plan)
-        assert {r.total_count for r in df.collect()} == {2, 3}
+    # no size-based broadcasts (as with large tables): only the explicit hint may broadcast
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (purchase_tasks(t), purchase_tasks(t, page=1, limit=2)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert not re.search(r"SortMergeJoin \[tenant_id#\d+\], \[tenant_id#\d+\]", plan)
+            assert re.search(r"BroadcastHashJoin \[tenant_id#\d+\], \[tenant_id#\d+\], LeftOuter", plan)
+            assert {r.total_count for r in df.collect()} == {2, 3}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
 
 
 def test_cart_step_two_reads_all_session_rows(spark, make_tables):

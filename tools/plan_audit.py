@@ -1,6 +1,6 @@
 """Scan the physical plans of registered queries for shapes that do not scale:
-nested-loop / cartesian joins, single-partition exchanges and windows without a
-partition key. Queries that write (sinks, streams) are skipped.
+nested-loop / cartesian joins, single-partition exchanges, windows without a
+partition key and shuffle joins keyed by the tenant alone. Queries that write (sinks, streams) are skipped.
 
 usage: python tools/plan_audit.py [sf_dir]
 """
@@ -17,6 +17,8 @@ BAD = {
     "nested-loop join": re.compile(r"BroadcastNestedLoopJoin|CartesianProduct"),
     "single-partition exchange": re.compile(r"Exchange SinglePartition"),
     "window without partition key": re.compile(r"windowspecdefinition\((?:[^,()]+ (?:ASC|DESC)[^,()]*,\s*)+specifiedwindowframe"),
+    # a shuffle join on the tenant alone sends each tenant's rows to one reducer
+    "shuffle join on tenant alone": re.compile(r"(?:SortMergeJoin|ShuffledHashJoin) \[tenant_id#\d+\], \[tenant_id#\d+\]"),
 }
 WRITES = ("i14_", "st1_", "st2_", "i15_", "i16_")   # run jobs / streams while planning
 
