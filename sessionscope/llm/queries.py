@@ -5,12 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sessionscope.llm.decontaminate import find_contamination
+from sessionscope.llm.jaccard import link_groups
+from sessionscope.llm.substring import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
+
+
+OP2_SQL = r"""
+with docs as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (
+  select r, doc_id, i, array_to_string(w[i:i + 19], ' ') as run
+  from (select r, doc_id, w, unnest(range(1, len(w) - 18)) as i from docs where len(w) >= 20)),
+late as (select r, i from windows qualify row_number() over (partition by run order by doc_id, i) > 1),
+gone as (select r, count(distinct p) as n, list(distinct p) as places from (select r, unnest(range(i, i + 20)) as p from late) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed,
+  sha256(array_to_string(case when n is null then w else list_filter(w, lambda x, i: not list_contains(places, i)) end, ' ')) as kept_sha256
+from docs left join gone using (r)
+"""
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -37,7 +56,29 @@ select doc_id, len(w)::bigint as n_words, coalesce(hit.n, 0)::bigint as n_hit, c
 from docs left join hit using (r) left join named using (r)
 """
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_groups(_table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+with recursive docs as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+sets as (
+  select distinct r, array_to_string(w[i:i + 4], ' ') as shingle
+  from (select r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from docs where len(w) > 0)),
+sizes as (select r, count(*) as n from sets group by r),
+common as (select a.r as a, b.r as b, count(*) as n_both from sets a join sets b on a.shingle = b.shingle and a.r <> b.r group by all),
+links as (select a, b from common join sizes x on a = x.r join sizes y on b = y.r where 100 * n_both >= 80 * (x.n + y.n - n_both)),
+reach(a, b) as (select r, r from docs union select reach.a, links.b from reach join links on reach.b = links.a)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, min(o.doc_id) as component_id
+from docs d left join sizes on d.r = sizes.r join reach on reach.a = d.r join docs o on o.r = reach.b group by d.r, d.doc_id, n
+"""
+
+
 #: name -> (query, DuckDB SQL or None)
 QUERIES = {
+    "op2_substring_dedup": (op2_substring_dedup, OP2_SQL),
     "op3_benchmark_decontamination": (op3_benchmark_decontamination, OP3_SQL),
+    "op10_ngram_jaccard_join": (op10_ngram_jaccard_join, OP10_SQL),
 }
