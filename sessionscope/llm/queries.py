@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sessionscope.llm.decontaminate import find_contamination
 from sessionscope.llm.jaccard import link_groups
+from sessionscope.llm.langid import held_out, identify, train
 from sessionscope.llm.substring import remove_repeats
 
 
@@ -13,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs, train(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
 
@@ -78,6 +85,7 @@ from docs d left join sizes on d.r = sizes.r join reach on reach.a = d.r join do
 
 #: name -> (query, DuckDB SQL or None)
 QUERIES = {
+    "op1_language_id": (op1_language_id, None),
     "op2_substring_dedup": (op2_substring_dedup, OP2_SQL),
     "op3_benchmark_decontamination": (op3_benchmark_decontamination, OP3_SQL),
     "op10_ngram_jaccard_join": (op10_ngram_jaccard_join, OP10_SQL),
