@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sessionscope.llm.boilerplate import extract_main_text
 from sessionscope.llm.decontaminate import find_contamination
 from sessionscope.llm.jaccard import link_groups
 from sessionscope.llm.langid import held_out, identify, train
+from sessionscope.llm.mixing import mix
+from sessionscope.llm.preference import format_pairs, pairs_from_conversations
+from sessionscope.llm.quality import judge
 from sessionscope.llm.substring import remove_repeats
+from sessionscope.llm.urllists import evaluate, history_from_pages
+from sessionscope.llm.warc import build_derivatives, responses_from_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +69,116 @@ select doc_id, len(w)::bigint as n_words, coalesce(hit.n, 0)::bigint as n_hit, c
 from docs left join hit using (r) left join named using (r)
 """
 
+def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_pairs(*pairs_from_conversations(_table(spark, sf_dir, "conversations"))).drop("chosen_segments", "rejected_segments")
+
+
+OP4_SQL = r"""
+with turns as (
+  select conv_id as pair_id, turn, role, text, max(turn) filter (where role = 'assistant') over (partition by conv_id) as last,
+    first_value(text) over (partition by conv_id order by turn, role, text) as opening
+  from conversations where conv_id is not null),
+paired as (
+  select pair_id, turn, role, text as good, case when turn = last and role = 'assistant' then opening else text end as bad,
+    row_number() over (partition by pair_id order by turn, role, text) as k
+  from turns where turn <= last),
+cut as (select pair_id, coalesce(min(k) filter (where good is distinct from bad) - 1, count(*)) as n from paired group by pair_id),
+rendered as (
+  select paired.pair_id, n, k, role, '<|' || role || chr(124) || '>' || chr(10) || coalesce(good, '') || '<|end|>' || chr(10) as good,
+    '<|' || role || chr(124) || '>' || chr(10) || coalesce(bad, '') || '<|end|>' || chr(10) as bad
+  from paired join cut using (pair_id))
+select pair_id, n::int as n_prompt_turns, coalesce(string_agg(good, '' order by k) filter (where k <= n), '') as prompt,
+  coalesce(string_agg(good, '' order by k) filter (where k > n), '') as chosen, coalesce(string_agg(bad, '' order by k) filter (where k > n), '') as rejected,
+  coalesce(sum(length(good)) filter (where k > n and role = 'assistant'), 0)::bigint as chosen_trained_chars,
+  coalesce(sum(length(bad)) filter (where k > n and role = 'assistant'), 0)::bigint as rejected_trained_chars,
+  count(*) filter (where k > n and role = 'assistant') > 0 as usable
+from rendered group by pair_id, n
+"""
+
+
+def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+with recursive mass as (select source, sum(length(coalesce(text, '')))::double as mass from documents group by source),
+rates as (select source, sqrt(mass) * ((select sum(mass) from mass) / (select sum(sqrt(mass)) from mass)) / mass as mean from mass where mass > 0),
+steps(source, mean, k, p, c) as (
+  select source, mean, 0, exp(-mean), exp(-mean) from rates
+  union all select source, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) from steps where k < ceil(mean + 12 * sqrt(mean) + 40)),
+drawn as (
+  select d.*, coalesce(d.doc_id::varchar, md5(coalesce(d.text, ''))) as own, (select count(*) from steps s where s.source is not distinct from d.source
+    and s.c < (('0x' || substr(md5('11|' || coalesce(d.doc_id::varchar, md5(coalesce(d.text, '')))), 1, 13))::bigint::double + 0.5) / 4503599627370496.0) as n
+  from documents d where exists (select 1 from rates r where r.source is not distinct from d.source))
+select * exclude (n, own), ('0x' || substr(md5('11|' || copy || '|' || own), 1, 15))::bigint as shuffle_key
+from (select *, unnest(range(1, n + 1))::int as copy from drawn)
+"""
+
+
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build_derivatives(responses_from_pages(_table(spark, sf_dir, "pages")))
+
+
+def op7_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "documents")).drop("failed_rule")
+
+
+OP6_SQL = r"""
+with docs as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+  from documents),
+grams as (select r, i, w[i:i + 2] as gram from (select r, w, unnest(range(1, len(w) - 1)) as i from docs where len(w) >= 3)),
+again as (select r, i from grams qualify count(*) over (partition by r, gram) > 1),
+repeats as (select r, count(distinct p) as n from (select r, unnest([i, i + 1, i + 2]) as p from again) group by r),
+counted as (
+  select doc_id, body, lines, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(regexp_replace(body, '[^#*$%&|<>]+', '', 'g')) as n_symbols,
+    len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(repeats.n, 0) as n_repeat_words, w
+  from docs left join repeats using (r)),
+judged as (
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+    10 * n_symbols > n_words or 10 * n_dup_lines > 3 * len(lines) or word_chars < 2 * n_words or word_chars > 20 * n_words
+    or 10 * len(regexp_extract_all(body, '\p{Lu}')) > 4 * word_chars or 10 * len(regexp_extract_all(body, '!')) > 4 * n_words
+    or 10 * len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) > 3 * len(lines)
+    or 10 * len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09]*[-*•‣]'))) > 9 * len(lines)
+    or 10 * len(list_filter(w, lambda x: not regexp_matches(x, '\p{L}'))) > 5 * n_words as rejected
+  from counted)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words,
+  base_failed, not base_failed and not rejected as kept
+from judged
+"""
+
+
+def op9_url_list_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate(*history_from_pages(_table(spark, sf_dir, "pages")))
+
+
+OP9_SQL = r"""
+with captures as (
+  select page_id, url, (date '2024-01-01' + (page_id * 37 % 366)::int)::date as fetched,
+    nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') as host
+  from pages),
+hosts as (select distinct host from captures where length(host) <= 253),
+drawn as (
+  select host as pattern, ('0x' || substr(md5(host), 1 + 7 * part, 7))::bigint as n from hosts cross join range(3) t(part)
+  union all select regexp_replace(host, '^[^.]*\.', ''), ('0x' || substr(md5(regexp_replace(host, '^[^.]*\.', '')), 1, 7))::bigint from hosts
+  union all select url, ('0x' || substr(md5(url), 1, 7))::bigint from captures where page_id % 17 = 0 and url is not null),
+daily as (
+  select pattern, (date '2024-01-01' + ((n // 3) % 366)::int)::date as listed, min(n % 3) as action from drawn group by all),
+held as (select *, lead(listed) over (partition by pattern order by listed) as until from daily),
+hits as (
+  select c.url, c.fetched, h.*, row_number() over (partition by c.url, c.fetched order by pattern = c.url desc, length(pattern) desc) as place
+  from (select distinct url, fetched, host from captures) c join held h
+    on (h.pattern = c.url or h.pattern = c.host or ends_with(c.host, '.' || h.pattern)) and c.fetched >= listed and (until is null or c.fetched < until) and action < 2)
+select c.page_id, c.url, c.fetched, case action when 0 then 'block' when 1 then 'allow' else 'none' end as decision, pattern, listed
+from captures c left join hits h on c.url = h.url and c.fetched = h.fetched and place = 1
+"""
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_groups(_table(spark, sf_dir, "documents"))
 
@@ -88,5 +204,11 @@ QUERIES = {
     "op1_language_id": (op1_language_id, None),
     "op2_substring_dedup": (op2_substring_dedup, OP2_SQL),
     "op3_benchmark_decontamination": (op3_benchmark_decontamination, OP3_SQL),
+    "op4_preference_format": (op4_preference_format, OP4_SQL),
+    "op5_warc_derivatives": (op5_warc_derivatives, None),
+    "op7_host_suffix_array": (op7_host_suffix_array, None),
+    "op8_poisson_mixing": (op8_poisson_mixing, OP8_SQL),
+    "op6_quality_cascade": (op6_quality_cascade, OP6_SQL),
+    "op9_url_list_join": (op9_url_list_join, OP9_SQL),
     "op10_ngram_jaccard_join": (op10_ngram_jaccard_join, OP10_SQL),
 }
