@@ -29,8 +29,10 @@ def _count_of(text: Column, characters: str) -> Column:
 
 
 def _window_hashes(w: str) -> Column:
-    """64-bit hashes of the 3-word windows of one document."""
-    return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    """64-bit hashes of the 3-word windows of one document. No lambda here or below looks outside its own arguments: a filter
+    that is pushed under these projections then repeats them once, not once an element."""
+    n = F.size(w) - 2
+    return F.transform(F.arrays_zip(F.slice(w, 1, n), F.slice(w, 2, n), F.slice(w, 3, n)), lambda x: F.xxhash64(x["0"], x["1"], x["2"]))
 
 
 def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -43,11 +45,13 @@ def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     step = docs.select(docs[doc_id].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("body"))
     step = step.select("*", words(F.col("body")).alias("w"), F.filter(F.split("body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     step = step.select("*", F.when(n < 3, F.array().cast("array<bigint>")).otherwise(_window_hashes("w")).alias("windows"))
-    placed = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    placed = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     none = F.array().cast("array<struct<h:bigint,i:int>>")
     step = step.select("*", F.when(F.size(F.array_distinct("windows")) == F.size("windows"), none).otherwise(placed).alias("placed"))
-    twice = F.filter("placed", lambda x, j: F.coalesce(x["h"] == F.get("placed", j - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get("placed", j + 1)["h"], F.lit(False)))
-    places = F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
+    m = F.greatest(F.size("placed") - 1, F.lit(0))
+    twice = F.zip_with(F.slice("placed", 1, m), F.slice("placed", 2, m), lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"])).otherwise(F.array().cast("array<int>")))
+    starts = F.array_distinct(F.flatten(twice))
+    places = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2))))
     return step.select(
         "doc_id", "body", n.cast("bigint").alias("n_words"), (F.length("body") - _count_of(F.col("body"), _SPACES)).cast("bigint").alias("word_chars"),
         _count_of(F.col("body"), "#*$%&|<>").cast("bigint").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
@@ -101,8 +105,8 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_ro
     counted = features(docs, doc_id, text)
     named = rules()
     n = docs.count()
-    sample = written(counted.where(~base_failed()) if n <= sample_rows else features(docs.sample(sample_rows / n, seed=17), doc_id, text).where(~base_failed()), "quality-sample")
-    order = [name for name, _, _ in estimate_order(sample, named)]
+    sample = written(features(docs if n <= sample_rows else docs.sample(sample_rows / n, seed=17), doc_id, text), "quality-sample")
+    order = [name for name, _, _ in estimate_order(sample.where(~base_failed()), named)]
     cascade = F.when(base_failed(), F.lit("base"))
     for name in order:
         cascade = cascade.when(named[name], F.lit(name))
