@@ -3,7 +3,7 @@
 Pages are brought together by host. The token streams of a host's pages are concatenated, a suffix array is built by prefix
 doubling, and neighbouring suffixes show which runs of tokens repeat across distinct pages. Such runs are boilerplate where
 the markup does not vouch for them: outside article and main elements covered tokens go and the unique runs
-stay; inside them a covered block goes only if more of the pages show it as page furniture than as content. Furniture
+stay; inside them a covered block goes only if most of the host's pages show it as page furniture. Furniture
 elements (menus, footers, notices, adverts, forms, comments) are never text. A page that has content elements is
 its content; any other page is its unique runs.
 
@@ -83,17 +83,18 @@ def extract_block(pages: list[str | None], min_run: int = MIN_RUN) -> list[str]:
         tokens += [_BOUND, -k - 1]
         owner += [k] * (len(tokens) - len(owner))
     covered = covered_tokens(np.array(tokens, np.int64), np.array(owner, np.int64), min_run)
-    seen: dict[str, list[set[int]]] = {}
+    furniture: dict[str, set[int]] = {}
     for k, page in enumerate(parsed):
         for text, zone in page:
-            seen.setdefault(text, [set(), set(), set()])[zone].add(k)
+            if zone == CHROME:
+                furniture.setdefault(text, set()).add(k)
     out = []
     for page, own in zip(parsed, spans, strict=True):
         has_content = any(zone == CONTENT for _, zone in page)
         kept = []
         for (text, zone), (i, j) in zip(page, own, strict=True):
             if zone == CONTENT:
-                if not (covered[i:j].all() and len(seen[text][CHROME]) > len(seen[text][CONTENT])):
+                if not (covered[i:j].all() and len(parsed) > 2 and 2 * len(furniture.get(text, ())) > len(parsed)):
                     kept.append(text)
             elif zone == PLAIN and not has_content:
                 run = text if not covered[i:j].any() else " ".join(w for w, c in zip(text.split(), covered[i:j], strict=True) if not c)
