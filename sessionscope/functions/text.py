@@ -44,9 +44,9 @@ def duration_label(start: Column, end: Column) -> Column:
 
 
 def days_ago_label(d: Column, as_of: Column) -> Column:
-    """Today / Yesterday / ``N days ago`` relative to ``as_of``."""
+    """Today / Yesterday / ``N days ago`` relative to ``as_of``; ``Unknown`` without a date."""
     n = F.datediff(F.to_date(as_of), F.to_date(d))
-    return (F.when(n == 0, F.lit("Today")).when(n == 1, F.lit("Yesterday"))
+    return (F.when(n.isNull(), F.lit("Unknown")).when(n == 0, F.lit("Today")).when(n == 1, F.lit("Yesterday"))
             .otherwise(F.concat(n.cast("string"), F.lit(" days ago"))))
 
 

@@ -1,10 +1,12 @@
 """Sorting and paging: L1 dynamic sort, L2/L3 LIMIT/OFFSET pages, W1 total count,
 Q18 page envelope.
 
-Pages are taken per tenant with ``row_number() <= offset + limit`` so Spark plans
-a partial WindowGroupLimit before the shuffle: each map task forwards at most
-``offset + limit`` rows per tenant, however large a tenant is. ``COUNT(*) OVER ()``
-(which Spark would run in a single partition) becomes a grouped count joined back.
+Pages are taken per tenant in two phases: the best ``offset + limit`` rows of every salt
+of a tenant first, then of the tenant. Up to Spark's own threshold
+(``spark.sql.optimizer.windowGroupLimitThreshold``) its partial WindowGroupLimit does the first
+phase inside the map tasks; beyond it the salted window does, on as many tasks as there are
+salts, so no task ever sorts a whole tenant. ``COUNT(*) OVER ()`` (which Spark would run in a
+single partition) becomes a grouped count joined back.
 """
 
 from __future__ import annotations
@@ -15,6 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts of a tenant that are cut to the page's depth by themselves, for pages deeper than Spark's threshold.
+PAGE_SALTS = 64
+
+
 def sort_spec(sort_field: str | None, sort_order: str | None, allowed: Sequence[str],
               fallback: str, tie_breakers: Sequence[str]) -> list[Column]:
     """L1: chosen field NULLS LAST in the chosen direction; then the fallback
@@ -68,9 +74,14 @@ def take_page(df: DataFrame, order: Sequence[Column], page: int | None, limit: i
         first = offset if offset is not None else (max(page or 1, 1) - 1) * limit
         top = df.orderBy(*order).offset(first).limit(limit)
         return top.withColumn(position, (F.lit(first) + F.row_number().over(w)).cast("bigint"))
+    first = 0 if limit is None else offset if offset is not None else (max(page or 1, 1) - 1) * limit
+    if limit is not None and first + limit > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(PAGE_SALTS))
+        own = Window.partitionBy(*by, "_salt").orderBy(*order)
+        df = (df.withColumn("_salt", salt).withColumn("_own", F.row_number().over(own))
+              .filter(F.col("_own") <= first + limit).drop("_salt", "_own"))
     ranked = df.withColumn(position, F.row_number().over(w))
     if limit is not None:
-        first = offset if offset is not None else (max(page or 1, 1) - 1) * limit
         # the filter sits directly on row_number(): Spark plans a partial WindowGroupLimit
         ranked = ranked.filter((F.col(position) > first) & (F.col(position) <= first + limit))
     return ranked.withColumn(position, F.col(position).cast("bigint"))

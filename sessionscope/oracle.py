@@ -153,9 +153,16 @@ email_send_history AS (
 """
 
 
+# Users under both keys by which an event can name them.
+CONTACTS_CTE = """contacts AS (
+  SELECT *, 'id ' || user_id AS contact FROM users
+  UNION ALL SELECT *, 'erp ' || buying_company_erp_id FROM users
+)"""
+
+
 def fixture_sql(body: str, extra_ctes: str = "") -> str:
     """``WITH <fixture CTEs>[, extra] <body>``; ``body`` starts with SELECT."""
-    ctes = FIXTURE_CTES.strip()
+    ctes = FIXTURE_CTES.strip() + ",\n" + CONTACTS_CTE
     if extra_ctes.strip():
         ctes += ",\n" + extra_ctes.strip()
     return f"WITH {ctes}\n{body.strip()}"

@@ -53,30 +53,29 @@ def chart_data(t: Tables, start: str | None, end: str | None, granularity: str |
                tenant_id: str | None = None, location_id: str | None = None) -> DataFrame:
     """Q2: one row per (tenant, bucket) of the spine.
 
-    One pass: the four bucketed aggregates are unioned and folded per (tenant,
-    bucket); each tenant's buckets become a map (bounded by the buckets of the date
-    range, not by data); the spine is then exploded per tenant and looked up in the
-    map -- buckets off the spine vanish, missing ones are zero-filled."""
+    The four bucketed aggregates and the spine rows (zero metrics, with their period start) are unioned and folded
+    by one groupBy on (tenant, label): buckets off the spine have no period start and vanish, as do rows
+    whose timestamp is not a time (their label is NULL); buckets without rows keep their zeros."""
     spark = t.purchase.sparkSession
     g = normalize_granularity(granularity)
     if start is None or end is None:
         return spark.range(0).select(F.lit(None).cast("string").alias("tenant_id"))
     parts = chart_parts(t, start, end, g, tenant_id, location_id)
-    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    per_bucket = u.groupBy("tenant_id", "date_group").agg(*[F.max(m).alias(m) for m in METRICS])
-    per_tenant = per_bucket.groupBy("tenant_id").agg(F.map_from_entries(F.collect_list(
-        F.struct(F.col("date_group"), F.struct(*METRICS)))).alias("by_bucket"))
-    if tenant_id is not None:
-        # a tenant without any rows still gets its zero-filled spine
-        per_tenant = spark.range(1).select(F.lit(tenant_id).alias("tenant_id")).join(per_tenant, "tenant_id", "left")
+    measured = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    measured = measured.groupBy("tenant_id", "date_group").agg(*[F.max(m).alias(m) for m in METRICS])
     buckets = F.array_distinct(F.transform(spine_points(start, end, g), lambda p: F.struct(
         bucket_label(bucket_start(p, g), g).alias("date_group"), bucket_start(p, g).alias("period_start"))))
-    sp = per_tenant.select("tenant_id", "by_bucket", F.explode(buckets).alias("b"))
-    hit = F.element_at(F.col("by_bucket"), F.col("b.date_group"))
-    z = lambda m: F.coalesce(hit[m], F.lit(0)).cast("bigint")
-    return sp.select(
-        "tenant_id", F.col("b.date_group").alias("date_group"),
-        F.date_format("b.period_start", "yyyy-MM-dd HH:mm:ss").alias("period_start"),
-        money(F.coalesce(hit["revenue"], F.lit(0))).alias("revenue"),
-        *[z(m).alias(m) for m in METRICS[1:]],
-    )
+    spine = F.explode(F.transform(buckets, lambda b: F.struct(b["date_group"].alias("date_group"), b["period_start"].alias("period_start")))).alias("b")
+    if tenant_id is not None:    # a tenant without any rows still gets its zero-filled spine
+        tenants = spark.range(1).select(F.lit(tenant_id).alias("tenant_id"))
+    else:
+        tenants = t.tenants()
+    spine = tenants.select("tenant_id", spine).select("tenant_id", "b.date_group", "b.period_start")
+    both = measured.unionByName(spine, allowMissingColumns=True)
+    folded = both.groupBy("tenant_id", "date_group").agg(
+        F.max("period_start").alias("period_start"), *[F.max(m).alias(m) for m in METRICS])
+    z = lambda m: F.coalesce(F.col(m), F.lit(0)).cast("bigint")
+    return folded.filter(F.col("period_start").isNotNull()).select(
+        "tenant_id", "date_group", F.date_format("period_start", "yyyy-MM-dd HH:mm:ss").alias("period_start"),
+        money(F.coalesce(F.col("revenue"), F.lit(0))).alias("revenue"), *[z(m).alias(m) for m in METRICS[1:]])
+

@@ -1,9 +1,10 @@
 """Daily branch report datasets (R1-R9) and dashboard rules.
 
-The reference builds one report per branch and day in a Python loop over
-worklist pages of 500 rows. Here every (tenant, branch, report day) is a key of
-one grouped job: the worklists run once with ``extra_keys=[branch, event_date]``
-and page 1 / limit 500 per key, then the roll-ups are plain aggregations.
+The reference builds one report per branch and day in a loop over worklist pages.
+Here every (tenant, branch, report day) is a key of one grouped job: each worklist
+runs once with ``extra_keys=[branch, event_date]``, and the roll-ups are plain
+aggregations over all of its rows. The sample lists (R5, R7, R8) take all rows too,
+or the first ``rows`` of each key where the caller asks for a page.
 """
 
 from __future__ import annotations
@@ -20,8 +21,7 @@ from sessionscope.operators.paging import take_page
 from sessionscope.plans import worklists as W
 from sessionscope.sources.fixtures import Tables
 
-# Fixed values of the report: rows per worklist and sample sizes.
-REPORT_ROWS = 500
+# Fixed values of the report: sample sizes and subject.
 TOP_TERMS = 10
 TOP_PRODUCTS = 5
 SUBJECT = "Daily Branch Sales Report - {date} - {branch}"
@@ -39,19 +39,21 @@ def report_keys(per_day: bool = True) -> list[str]:
     return ["tenant_id", BRANCH, DAY] if per_day else ["tenant_id", BRANCH]
 
 
-def report_worklists(t: Tables, tenant_id=None, report_date: str | None = None,
-                     per_day: bool = True, with_products: bool = True) -> dict[str, DataFrame]:
-    """The four worklists, first 500 rows of each (tenant, branch[, day]); ``per_day=False``
-    reports each branch over the whole period."""
+def report_worklist(name: str, t: Tables, tenant_id=None, report_date: str | None = None,
+                    per_day: bool = True, with_products: bool = True, rows: int | None = None) -> DataFrame:
+    """One of the four worklists (``purchases``, ``carts``, ``searches``, ``repeats``) keyed by
+    (tenant, branch[, day]); ``per_day=False`` reports each branch over the whole period, ``rows`` cuts each key to
+    its first rows."""
     t = _with_report_keys(t)
-    kw = dict(tenant_id=tenant_id, page=1, limit=REPORT_ROWS, start=report_date, end=report_date,
-              extra_keys=report_keys(per_day)[1:])
-    return {
-        "purchases": W.purchase_tasks(t, **kw),
-        "carts": W.cart_abandonment_tasks(t, keep_arrays=True, with_products=with_products, **kw),
-        "searches": W.search_analysis_tasks(t, **kw),
-        "repeats": W.repeat_visit_tasks(t, keep_arrays=True, with_products=with_products, **kw),
-    }
+    kw = dict(tenant_id=tenant_id, start=report_date, end=report_date, extra_keys=report_keys(per_day)[1:],
+              totals=False, **(dict(page=1, limit=rows) if rows is not None else {}))
+    if name == "purchases":
+        return W.purchase_tasks(t, **kw)
+    if name == "carts":
+        return W.cart_abandonment_tasks(t, keep_arrays=True, with_products=with_products, **kw)
+    if name == "searches":
+        return W.search_analysis_tasks(t, **kw)
+    return W.repeat_visit_tasks(t, keep_arrays=True, with_products=with_products, **kw)
 
 
 def _distinct_nonempty(c: str) -> Column:
@@ -64,10 +66,10 @@ def _avg(num: Column, den: Column) -> Column:
 
 
 def purchase_rollup(p: DataFrame, keys=KEYS) -> DataFrame:
-    """R2: totals, revenue of the sampled rows, unique customers, average order."""
+    """R2: totals, revenue, unique customers, average order."""
     rev = F.sum(F.col("order_value").cast("decimal(20,2)"))
     return p.groupBy(*keys).agg(
-        F.max("total_count").alias("total_purchases"),
+        F.count(F.lit(1)).alias("total_purchases"),
         rev.cast("double").alias("total_revenue"),
         _distinct_nonempty("user_id").alias("purchase_unique_customers"),
         _avg(rev, F.count(F.lit(1))).alias("avg_order_value"))
@@ -77,7 +79,7 @@ def cart_rollup(c: DataFrame, keys=KEYS) -> DataFrame:
     """NULL cart values count as 0."""
     v = F.sum(F.coalesce(F.col("total_value"), F.lit(0)).cast("decimal(20,2)"))
     return c.groupBy(*keys).agg(
-        F.max("total_count").alias("total_cart_abandonment"),
+        F.count(F.lit(1)).alias("total_cart_abandonment"),
         _distinct_nonempty("user_id").alias("cart_unique_customers"),
         v.cast("double").alias("cart_total_value"),
         _avg(v, F.count(F.lit(1))).alias("cart_avg_value"))
@@ -86,17 +88,33 @@ def cart_rollup(c: DataFrame, keys=KEYS) -> DataFrame:
 def search_rollup(s: DataFrame, keys=KEYS) -> DataFrame:
     """Task rows (reported as unique terms), searches, sessions, users."""
     return s.groupBy(*keys).agg(
-        F.max("total_count").alias("total_search_issues"),
+        F.count(F.lit(1)).alias("total_search_issues"),
         F.sum("search_count").cast("bigint").alias("search_total_searches"),
         _distinct_nonempty("session_id").alias("search_affected_sessions"),
         _distinct_nonempty("user_id").alias("search_unique_users"))
 
 
 def repeat_rollup(r: DataFrame, keys=KEYS) -> DataFrame:
-    """Average pages = sum over sampled rows / max(total, 1)."""
+    """Average pages = sum / max(total, 1)."""
     return r.groupBy(*keys).agg(
-        F.max("total_count").alias("total_repeat_visits"),
-        _avg(F.sum("page_views_count"), F.max("total_count")).alias("repeat_avg_pages"))
+        F.count(F.lit(1)).alias("total_repeat_visits"),
+        _avg(F.sum("page_views_count"), F.count(F.lit(1))).alias("repeat_avg_pages"))
+
+
+ROLLUPS = {
+    "purchases": (purchase_rollup, ["total_purchases", "total_revenue", "purchase_unique_customers", "avg_order_value"]),
+    "carts": (cart_rollup, ["total_cart_abandonment", "cart_unique_customers", "cart_total_value", "cart_avg_value"]),
+    "searches": (search_rollup, ["total_search_issues", "search_total_searches", "search_affected_sessions", "search_unique_users"]),
+    "repeats": (repeat_rollup, ["total_repeat_visits", "repeat_avg_pages"]),
+}
+
+
+def branch_rollup(name: str, t: Tables, tenant_id=None, report_date: str | None = None, per_day: bool = True) -> DataFrame:
+    """R2, R3, R4 or R6 by itself: one roll-up of one worklist per (tenant, branch[, day]) that has a row in it."""
+    rollup, columns = ROLLUPS[name]
+    g = rollup(report_worklist(name, t, tenant_id, report_date, per_day, with_products=False), report_keys(per_day))
+    return g.select("tenant_id", F.col(BRANCH).alias("branch_code"), *_day_out(per_day),
+                    *[F.col(c).cast(ROLLUP_COLUMNS[c]).alias(c) for c in columns])
 
 
 ROLLUP_COLUMNS = {
@@ -117,9 +135,8 @@ def branch_report_summary(t: Tables, tenant_id=None, report_date: str | None = N
     """One row per (tenant, branch, report day) having any worklist row, with the
     location's display fields; the four roll-ups side by side, zero-filled."""
     keys = report_keys(per_day)
-    wl = report_worklists(t, tenant_id, report_date, per_day, with_products=False)  # roll-ups need no item lists
-    parts = [purchase_rollup(wl["purchases"], keys), cart_rollup(wl["carts"], keys),
-             search_rollup(wl["searches"], keys), repeat_rollup(wl["repeats"], keys)]
+    parts = [rollup(report_worklist(name, t, tenant_id, report_date, per_day, with_products=False), keys)  # no item lists needed
+             for name, (rollup, _) in ROLLUPS.items()]
     u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     g = u.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ROLLUP_COLUMNS])
     loc = tenant_filter(t.locations, tenant_id).select(
@@ -132,11 +149,11 @@ def branch_report_summary(t: Tables, tenant_id=None, report_date: str | None = N
         *[F.coalesce(F.col(c), F.lit(0)).cast(tp).alias(c) for c, tp in ROLLUP_COLUMNS.items()])
 
 
-def search_term_samples(t: Tables, tenant_id=None, report_date=None, per_day: bool = True) -> DataFrame:
-    """Per term of the sampled search tasks: task rows, distinct sessions and the
+def search_term_samples(t: Tables, tenant_id=None, report_date=None, per_day: bool = True, rows: int | None = None) -> DataFrame:
+    """Per term of the search tasks: task rows, distinct sessions and the
     contacts of rows with a customer; top 10 terms per (tenant, branch, day)."""
     keys = report_keys(per_day)
-    s = report_worklists(t, tenant_id, report_date, per_day)["searches"]
+    s = report_worklist("searches", t, tenant_id, report_date, per_day, rows=rows)
     contact = F.when(F.col("customer_name").isNotNull() & (F.col("customer_name") != ""),
                      F.concat_ws("|", F.col("customer_name"), F.coalesce("email", F.lit("")),
                                  F.coalesce("phone", F.lit(""))))
@@ -150,10 +167,10 @@ def search_term_samples(t: Tables, tenant_id=None, report_date=None, per_day: bo
                       "search_term", "total_searches", "unique_sessions", "user_details", "rank")
 
 
-def repeat_samples(t: Tables, tenant_id=None, report_date=None, per_day: bool = True) -> DataFrame:
-    """Per sampled repeat visit: customer, e-mail, pages viewed and its first five
+def repeat_samples(t: Tables, tenant_id=None, report_date=None, per_day: bool = True, rows: int | None = None) -> DataFrame:
+    """Per repeat visit: customer, e-mail, pages viewed and its first five
     products (title / url / category / price with display defaults)."""
-    r = report_worklists(t, tenant_id, report_date, per_day)["repeats"]
+    r = report_worklist("repeats", t, tenant_id, report_date, per_day, rows=rows)
     prods = F.transform(F.slice(F.coalesce(F.col("products_details"), F.array()), 1, TOP_PRODUCTS),
                         lambda e: F.concat_ws("|", F.coalesce(e["_item"]["title"], F.lit("Unknown Product")),
                                               F.coalesce(e["_item"]["url"], F.lit("#")),
@@ -180,12 +197,13 @@ def _phone() -> Column:
     return F.when(F.col("phone").isNotNull() & (F.col("phone") != ""), F.col("phone")).otherwise(F.col("office_phone"))
 
 
-def purchase_and_cart_samples(t: Tables, tenant_id=None, report_date=None, per_day: bool = True) -> DataFrame:
-    """Sampled purchases and carts with contact phone (cell, else office) and the
+def purchase_and_cart_samples(t: Tables, tenant_id=None, report_date=None, per_day: bool = True,
+                              rows: int | None = None) -> DataFrame:
+    """Purchases and carts with contact phone (cell, else office) and the
     parsed product list."""
     keys = report_keys(per_day)
-    wl = report_worklists(t, tenant_id, report_date, per_day)
-    p = wl["purchases"].select(
+    purchases, carts = (report_worklist(n, t, tenant_id, report_date, per_day, rows=rows) for n in ("purchases", "carts"))
+    p = purchases.select(
         *keys, F.lit("purchase").alias("kind"), F.col("transaction_id").alias("ref_id"),
         "customer_name", F.col("order_value").alias("value"), "email", _phone().alias("phone"),
         F.array_join(parse_products(F.col("products")), ";").alias("products"))
@@ -194,7 +212,7 @@ def purchase_and_cart_samples(t: Tables, tenant_id=None, report_date=None, per_d
         F.coalesce(e["_item"]["quantity"].cast("string"), F.lit("1")), F.lit("x "),
         F.coalesce(e["_item"]["item_name"], F.lit("Unknown")), F.lit(" ("),
         F.coalesce(e["_item"]["item_id"], F.lit("")), F.lit(")")), e["times"].cast("int"))))
-    c = wl["carts"].select(
+    c = carts.select(
         *keys, F.lit("cart").alias("kind"), F.col("session_id").alias("ref_id"),
         "customer_name", F.coalesce(F.col("total_value"), F.lit(0.0)).alias("value"), "email",
         _phone().alias("phone"), F.array_join(F.array_sort(cart_items), ";").alias("products"))

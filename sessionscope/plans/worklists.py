@@ -13,7 +13,7 @@ ships its raw rows to one task; the list is a faithful multiset.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionscope.functions.text import money, search_type_label
@@ -57,6 +57,10 @@ def _finish(df: DataFrame, order: list[Column], page, limit, out_cols: list, par
     return d.orderBy(*part, *order).select(*out_cols)
 
 
+def _total(totals: bool) -> list[Column]:
+    return [F.col("total_count")] if totals else []
+
+
 def _user_out() -> list[Column]:
     return [F.col(c) for c in USER_COLUMNS]
 
@@ -64,7 +68,7 @@ def _user_out() -> list[Column]:
 # ------------------------------------------------------------------ Q4
 def purchase_tasks(t: Tables, tenant_id=None, page=None, limit=None, query=None, location_id=None,
                    start=None, end=None, sort_field="event_timestamp", sort_order="desc",
-                   extra_keys=()) -> DataFrame:
+                   extra_keys=(), totals=True) -> DataFrame:
     """Q4: purchases with the resolved customer; fan-out rows are counted in the total.
 
     ``extra_keys`` (row columns such as the branch or event_date) split totals and
@@ -87,9 +91,9 @@ def purchase_tasks(t: Tables, tenant_id=None, page=None, limit=None, query=None,
         *_user_out(),
         F.coalesce(F.col("items_json"), F.lit("[]")).alias("products"),
         F.lit(False).alias("completed"),
-        F.col("total_count"),
+        *_total(totals),
     ]
-    return _finish(d, order, page, limit, out, part, single=tenant_id is not None and not extra_keys)
+    return _finish(d, order, page, limit, out, part, totals, single=tenant_id is not None and not extra_keys)
 
 
 # ------------------------------------------------------------------ Q5
@@ -115,7 +119,7 @@ CART_ITEM_FIELDS = ["item_id", "item_name", "item_category", "price", "quantity"
 def cart_abandonment_tasks(t: Tables, tenant_id=None, page=None, limit=None, query=None,
                            location_id=None, start=None, end=None, sort_field="last_activity",
                            sort_order="desc", extra_keys=(), keep_arrays=False,
-                           with_products=True) -> DataFrame:
+                           with_products=True, totals=True) -> DataFrame:
     """Q5: one row per (abandoned session, user). Step 2 reads *all* cart rows of the
     session -- date and branch filters only select which sessions qualify."""
     part = ["tenant_id", *extra_keys]
@@ -166,9 +170,9 @@ def cart_abandonment_tasks(t: Tables, tenant_id=None, page=None, limit=None, que
         F.col("items_count"), money(F.col("total_value")).alias("total_value"),
         *_user_out(),
         (F.col("products") if keep_arrays else items_text(F.col("products"), CART_ITEM_FIELDS)).alias("products"),
-        F.col("total_count"),
+        *_total(totals),
     ]
-    return _finish(d, order, page, limit, out, part, single=tenant_id is not None and not extra_keys)
+    return _finish(d, order, page, limit, out, part, totals, single=tenant_id is not None and not extra_keys)
 
 
 # ------------------------------------------------------------------ Q6
@@ -198,7 +202,7 @@ def _search_parts(t: Tables, tenant_id, query, location_id, start, end, include_
 def search_analysis_tasks(t: Tables, tenant_id=None, page=None, limit=None, query=None,
                           location_id=None, start=None, end=None, include_converted=False,
                           sort_field="search_count", sort_order="desc", search_type=None,
-                          extra_keys=()) -> DataFrame:
+                          extra_keys=(), totals=True) -> DataFrame:
     """Q6: failed searches per (session, user, term) and unconverted search sessions."""
     part = ["tenant_id", *extra_keys]
     s = _search_parts(t, tenant_id, query, location_id, start, end, include_converted, extra_keys)
@@ -210,9 +214,9 @@ def search_analysis_tasks(t: Tables, tenant_id=None, page=None, limit=None, quer
     out = [
         F.col("tenant_id"), F.col(SESSION).alias("session_id"),
         micros_to_date_text(F.col("last_activity")).alias("event_date"),
-        "search_term", "search_type", "search_count", *_user_out(), "total_count",
+        "search_term", "search_type", "search_count", *_user_out(), *_total(totals),
     ]
-    return _finish(d, order, page, limit, out, part, single=tenant_id is not None and not extra_keys)
+    return _finish(d, order, page, limit, out, part, totals, single=tenant_id is not None and not extra_keys)
 
 
 def search_facets(t: Tables, tenant_id=None, query=None, location_id=None, start=None, end=None,
@@ -236,35 +240,50 @@ def _repeat_sessions(t: Tables, tenant_id, location_id, start, end, extra_keys=(
         F.max(ERP).alias(ERP),
         F.count_distinct("param_page_location").alias("page_views_count"),
         F.max("event_timestamp").alias("last_activity")).filter(F.col("page_views_count") > 2)
-    repeaters = (active.groupBy(*part, USER).agg(F.count(SESSION).alias("n"))
-                 .filter((F.col("n") > 1) & F.col(USER).isNotNull()).select(*part, USER))
-    return active.join(repeaters, [*part, USER], "inner")                     # J4
+    # J4 in one pass: sessions counted over their user (rows without a user or key drop out first, as in an
+    # inner join, so no window holds more than one user's sessions)
+    per_user = Window.partitionBy(*part, USER)
+    return (active.dropna(subset=[*part, USER]).withColumn("_sessions", F.count(SESSION).over(per_user))
+            .filter(F.col("_sessions") > 1).drop("_sessions"))
 
 
-def session_products(t: Tables, sessions: DataFrame | None, tenant_id=None) -> DataFrame:
-    """J8 + A9: distinct products viewed per session (optionally only the given sessions)."""
+def _viewed_items(t: Tables, tenant_id) -> DataFrame:
+    """view_item rows as (tenant, session, item id, displayed product)."""
     vi = tenant_filter(t.view_item, tenant_id).filter(
         F.col("first_item_item_id").isNotNull() & F.col(SESSION).isNotNull())
-    if sessions is not None:
-        vi = in_sessions(vi, sessions)
-    keys = ["tenant_id", SESSION]
-    item = F.struct(
+    return vi.select("tenant_id", SESSION, "first_item_item_id", F.struct(
         F.coalesce("first_item_item_name", "first_item_item_id").alias("title"),
         F.col("param_page_location").alias("url"),
         F.col("first_item_item_category").alias("category"),
-        F.col("first_item_price").alias("price")).alias("_item")
-    # one chain: distinct (session, item id, product) rows, then per session the number
-    # of item ids and the distinct products (bounded by what one session viewed)
-    per_id = vi.groupBy(*keys, "first_item_item_id").agg(F.collect_set(item).alias("_items"))
+        F.col("first_item_price").alias("price")).alias("_item"))
+
+
+def _roll_products(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Per ``keys``: number of item ids and distinct products, from one chain (distinct (item id, product) rows first)."""
+    per_id = items.groupBy(*keys, "first_item_item_id").agg(F.collect_set("_item").alias("_items"))
     return per_id.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("products_viewed"),
+        F.count("first_item_item_id").alias("products_viewed"),
         F.transform(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))),
                     lambda x: F.struct(x.alias("_item"), F.lit(1).alias("times"))).alias("products_details"))
 
 
+def session_products(t: Tables, sessions: DataFrame | None, tenant_id=None) -> DataFrame:
+    """J8 + A9: distinct products viewed per session (optionally only the given sessions)."""
+    items = _viewed_items(t, tenant_id)
+    return _roll_products(items if sessions is None else in_sessions(items, sessions), ["tenant_id", SESSION])
+
+
+def enrich_page(page: DataFrame, t: Tables, tenant_id=None) -> DataFrame:
+    """J8 on a page: its rows join the product views of their sessions first, and only those are rolled up, by page
+    row. The page is planned once, and view_item is never aggregated as a whole."""
+    rows = page.join(_viewed_items(t, tenant_id), ["tenant_id", SESSION], "left")
+    rolled = _roll_products(rows, page.columns)
+    return rolled.withColumn("products_details", F.when(F.col("products_viewed") > 0, F.col("products_details")))
+
+
 def repeat_visit_tasks(t: Tables, tenant_id=None, page=None, limit=None, query=None, location_id=None,
                        start=None, end=None, sort_field="page_views_count", sort_order="desc",
-                       extra_keys=(), keep_arrays=False, with_products=True) -> DataFrame:
+                       extra_keys=(), keep_arrays=False, with_products=True, totals=True) -> DataFrame:
     """Q7: sessions with >2 distinct pages of users having >1 such session, with the
     products they viewed. Paging happens before the product enrichment."""
     part = ["tenant_id", *extra_keys]
@@ -273,17 +292,21 @@ def repeat_visit_tasks(t: Tables, tenant_id=None, page=None, limit=None, query=N
     if query is not None:
         r = r.filter(any_ilike([F.col("customer_name"), F.col("email")], query))
     order = _order(sort_field, sort_order, REPEAT_SORTS, "last_activity", [SESSION, USER, "user_id"])
-    d = (paged_with_total(r, order, page, limit, by=part, single_group=tenant_id is not None and not extra_keys)
-         if limit is not None else with_total_count(r, by=part))
-    # Products per session from one partial aggregation of view_item, joined to
-    # the (paged) rows -- the session pipeline above runs once.
-    if with_products:
-        spv = session_products(t, None, tenant_id)
-        e = d.join(spv, ["tenant_id", SESSION], "left")
+    single = tenant_id is not None and not extra_keys
+    if limit is None:
+        d = with_total_count(r, by=part) if totals else r
+    elif totals:
+        d = paged_with_total(r, order, page, limit, by=part, single_group=single)
     else:
+        d = take_page(r, order, page, limit, by=part, single_group=single)
+    if not with_products:
         e = d.withColumn("products_viewed", F.lit(None).cast("bigint")).withColumn(
             "products_details", F.lit(None).cast(
                 "array<struct<_item:struct<title:string,url:string,category:string,price:decimal(10,2)>,times:int>>"))
+    elif limit is not None:
+        e = enrich_page(d, t, tenant_id)
+    else:
+        e = d.join(session_products(t, None, tenant_id), ["tenant_id", SESSION], "left")
     out = [
         F.col("tenant_id"), *extra_keys, F.col(SESSION).alias("session_id"),
         micros_to_date_text(F.col("last_activity")).alias("event_date"),
@@ -291,7 +314,7 @@ def repeat_visit_tasks(t: Tables, tenant_id=None, page=None, limit=None, query=N
         F.coalesce(F.col("products_viewed"), F.lit(0)).cast("bigint").alias("products_viewed"),
         (F.col("products_details") if keep_arrays
          else F.coalesce(items_text(F.col("products_details"), PRODUCT_FIELDS), F.lit(""))).alias("products_details"),
-        *_user_out(), "total_count",
+        *_user_out(), *_total(totals),
     ]
     if limit is not None:
         return e.select(*out, "row_num")

@@ -15,6 +15,9 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Every join carries the partition column tenant_id, and no side of it is a small filtered
+    # dimension: pruning subqueries would only repeat whole subtrees of the plan.
+    "spark.sql.optimizer.dynamicPartitionPruning.enabled": "false",
 }
 
 
@@ -48,39 +51,65 @@ def apply_required_conf(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared (distributed) folder and is always
-    used as given. Only when it is unset -- local tests -- a fresh scratch
-    folder is created for this process.
+    On a cluster this setting names a shared (distributed) folder; it is used as
+    given, and must be set. Only on a local master, where driver and tasks are one
+    process, an unset folder falls back to one stable folder of this machine, so that a
+    warehouse built by one local session is reused by the next.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None)
     if not d:
-        # local runs only: one stable folder per machine so a warehouse built by one
-        # local session is reused by the next
+        if not _one_process(spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = os.path.join(tempfile.gettempdir(), "sessionscope-checkpoints")
-        os.makedirs(d, exist_ok=True)
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written intermediate tables."""
-    return os.path.join(ensure_checkpoint_dir(spark), name)
+def _one_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
+def scratch_dir(spark: SparkSession, name: str, temporary: bool = False) -> str:
+    """A sub-folder of the shared checkpoint folder for written intermediate tables;
+    a ``temporary`` one is deleted when the application ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    if temporary:
+        fs, p = file_system(spark, path)
+        fs.deleteOnExit(p)
+    return path
+
+
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop FileSystem, Path) of any path that Spark can read or write."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def children(spark: SparkSession, path: str) -> list:
+    """Sorted (name, length, modification time) of a folder's entries (length -1: a folder); empty if there is
+    no such folder. Any other storage error is raised."""
+    fs, p = file_system(spark, path)
+    if not fs.exists(p):
+        return []
+    return sorted((x.getPath().getName(), -1 if x.isDirectory() else x.getLen(), x.getModificationTime()) for x in fs.listStatus(p))
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, p = file_system(spark, path)
+    fs.delete(p, True)
 
 
 def rename_path(spark: SparkSession, src: str, dst: str) -> bool:
     """Atomic publish of a written folder (Hadoop FileSystem rename; False if ``dst`` exists)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    s, d = jvm.org.apache.hadoop.fs.Path(src), jvm.org.apache.hadoop.fs.Path(dst)
-    fs = s.getFileSystem(conf)
+    fs, d = file_system(spark, dst)
     if fs.exists(d):
         return False
-    return bool(fs.rename(s, d))
+    fs.mkdirs(d.getParent())
+    return bool(fs.rename(file_system(spark, src)[1], d))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+    fs, p = file_system(spark, path)
+    return bool(fs.exists(p))

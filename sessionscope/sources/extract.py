@@ -58,9 +58,19 @@ def scan_range(raw: DataFrame, start: str | None, end: str | None, event_names=N
     return out
 
 
-def flatten_events(raw: DataFrame, start: str | None, end: str | None) -> DataFrame:
-    """I2-I7 in one pass: a wide flat row per raw event with its target ``event_table``."""
-    r = scan_range(raw, start, end, list(TABLE_OF_NAME))
+def write_raw_export(raw: DataFrame, path: str) -> None:
+    """Land a raw export partitioned by day (``event_date=yyyyMMdd``): the layout that I1 prunes."""
+    raw.hint("rebalance", "event_date").write.partitionBy("event_date").parquet(path)
+
+
+def read_raw_export(spark, path: str, schema) -> DataFrame:
+    """A landed raw export; the day stays text, so a range is a partition filter."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def flatten_events(raw: DataFrame, start: str | None, end: str | None, event_names=None) -> DataFrame:
+    """I2-I7 in one pass: a wide flat row per raw event (of ``event_names``, default all) with its target ``event_table``."""
+    r = scan_range(raw, start, end, list(event_names or TABLE_OF_NAME))
     up, ep, items = F.col("user_properties"), F.col("event_params"), F.col("items")
     table = F.lit(None).cast("string")
     for n, tname in TABLE_OF_NAME.items():
@@ -70,7 +80,9 @@ def flatten_events(raw: DataFrame, start: str | None, end: str | None) -> DataFr
                                            "device", "geo"))
     return r.select(
         table.alias("event_table"),
-        F.xxhash64(raw_json).alias("event_id"),
+        F.xxhash64("tenant_id", "event_date", "event_timestamp", "event_name", "user_pseudo_id",
+                   kv_int_first(ep, "ga_session_id"), kv_string_first(ep, "page_location"),
+                   first_item(items, "item_id"), kv_string_first(ep, "transaction_id")).alias("event_id"),
         F.col("tenant_id"),
         parse_event_date(F.col("event_date")).alias("event_date"),
         F.col("event_timestamp").cast("string").alias("event_timestamp"),
@@ -106,17 +118,15 @@ def table_view(flat: DataFrame, table: str) -> DataFrame:
     return flat.filter(F.col("event_table") == table).select(*cols)
 
 
+def extract_table(raw: DataFrame, table: str, start: str | None, end: str | None) -> DataFrame:
+    """One event table; its own event names reach the scan."""
+    return table_view(flatten_events(raw, start, end, EVENT_NAMES[table]), table)
+
+
 def extract_all(raw: DataFrame, start: str | None, end: str | None) -> dict[str, DataFrame]:
-    """I8: all six types (before reclassification) from one flattened scan. A type
-    whose plan cannot be built gives an empty frame; the others proceed."""
-    flat = flatten_events(raw, start, end)
-    out = {}
-    for t in EVENT_NAMES:
-        try:
-            out[t] = table_view(flat, t)
-        except Exception:  # noqa: BLE001 -- analysis error of one type only
-            out[t] = flat.limit(0).select(*COMMON_EVENT_COLUMNS)
-    return out
+    """I8: all six types (before reclassification), each a lazy frame over its own event names. Failures
+    show when a frame runs: ``ingest.run_ingest`` isolates them type by type, at its write."""
+    return {t: extract_table(raw, t, start, end) for t in EVENT_NAMES}
 
 
 def reclassify_search_events(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:

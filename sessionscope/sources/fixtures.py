@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -262,6 +263,11 @@ class Tables:
     def events(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in EVENT_TABLES}
 
+    def tenants(self) -> DataFrame:
+        """Every tenant that has an event, a user or a location (reads the partition column alone)."""
+        frames = [*self.events().values(), self.users, self.locations]
+        return reduce(DataFrame.unionByName, [df.select("tenant_id").distinct() for df in frames]).filter("tenant_id is not null").distinct()
+
 
 def read_source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -297,13 +303,14 @@ WAREHOUSE_TABLES = EVENT_TABLES + ("users", "locations", "branch_email_mappings"
 _OPEN: dict[tuple[str, str], Tables] = {}
 
 
-def _source_signature(sf_dir: str) -> str:
-    """Names, sizes and modification times of the source files (local folders)."""
-    parts = [os.path.abspath(sf_dir)]
-    if os.path.isdir(sf_dir):
-        for n in sorted(os.listdir(sf_dir)):
-            st = os.stat(os.path.join(sf_dir, n))
-            parts.append(f"{n}:{st.st_size}:{int(st.st_mtime)}")
+def _source_signature(spark: SparkSession, sf_dir: str) -> str:
+    """Qualified folder, and names, sizes and modification times of the source files, of any file system."""
+    from sessionscope.session import children, file_system
+    fs, p = file_system(spark, sf_dir)
+    parts = [fs.makeQualified(p).toString()]
+    for name, length, changed in children(spark, sf_dir):
+        inner = children(spark, f"{sf_dir.rstrip('/')}/{name}") if length < 0 else []
+        parts += [f"{name}/{n}:{size}:{t}" for n, size, t in inner] or [f"{name}:{length}:{changed}"]
     return "|".join(parts)
 
 
@@ -312,7 +319,7 @@ def warehouse_path(spark: SparkSession, sf_dir: str) -> str:
     changes when the source files change, so a stale build is never reused."""
     import hashlib
     from sessionscope.session import scratch_dir
-    tag = hashlib.md5((_source_signature(sf_dir) + f"|v{WAREHOUSE_VERSION}").encode()).hexdigest()[:16]
+    tag = hashlib.md5((_source_signature(spark, sf_dir) + f"|v{WAREHOUSE_VERSION}").encode()).hexdigest()[:16]
     return scratch_dir(spark, f"warehouse-{tag}")
 
 
@@ -359,9 +366,9 @@ def load_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> T
     if not materialize:
         return derive_tables(spark, sf_dir)
     from sessionscope.session import path_exists, rename_path
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    root = warehouse_path(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, root)
     if key not in _OPEN:
-        root = warehouse_path(spark, sf_dir)
         if not path_exists(spark, os.path.join(root, "_complete")):
             # build privately, then publish with one rename (a concurrent builder
             # that published first wins; ours is left unused)
@@ -371,10 +378,3 @@ def load_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> T
         _OPEN[key] = open_warehouse(spark, sf_dir, root)
     return _OPEN[key]
 
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema  # noqa: B018 -- listing only
-        return True
-    except Exception:  # noqa: BLE001
-        return False

@@ -29,11 +29,13 @@ LOCATION_STRING_FIELDS = ["warehouse_id", "warehouse_code", "zip"]
 
 
 def extract_users(master: DataFrame) -> DataFrame:
-    """rename/cast the customer master; keep rows with a user id; NaN -> NULL."""
+    """rename/cast the customer master; keep rows with a user id; NaN -> NULL. A tenant_id
+    column is carried through, so the same user id in two tenants stays two users."""
     def clean(c: str) -> Column:
         col = F.col(c)
         return F.when(col.cast("string") != "NaN", col)
     return master.filter(F.col("USER_ID").isNotNull()).select(
+        *[F.col(c) for c in ("tenant_id",) if c in master.columns],
         clean("USER_ID").cast("string").alias("user_id"),
         clean("Name").alias("user_name"),
         clean("CUSTOMER_NAME").alias("buying_company_name"),
@@ -44,24 +46,30 @@ def extract_users(master: DataFrame) -> DataFrame:
     )
 
 
+def read_location_file(spark, path: str, file_format: str = "csv") -> DataFrame:
+    """I10 on a landed file: CSV (header row, all text) or Parquet."""
+    reader = spark.read.option("header", True) if file_format == "csv" else spark.read
+    return normalize_locations(reader.format(file_format).load(path))
+
+
 def normalize_locations(df: DataFrame) -> DataFrame:
-    """Apply header aliases (first alias present wins per target, in the fixed
-    order above), keep the known columns present, id/code/zip as text with
-    ``"nan"`` -> NULL, drop rows without a non-blank warehouse_id."""
-    targets: dict[str, str] = {}
-    for src, dst in LOCATION_HEADER_ALIASES.items():
-        if src in df.columns:
-            targets[dst] = src          # later aliases win, like a dict-based rename
-    present = [c for c in LOCATION_COLUMNS if c in targets]
-    cols = []
-    for c in present:
-        v = F.col(targets[c])
-        if c in LOCATION_STRING_FIELDS:
-            v = v.cast("string")
-            v = F.when(v != "nan", v)
-        cols.append(v.alias(c))
-    out = df.select(*cols)
-    if "warehouse_id" in present:
+    """Keep the known columns present -- under their own name, or a header alias; where a file has
+    several headers for one column, the last in the fixed order above that has a value in the row, and the
+    column under its own name before all -- id/code/zip as text with ``"nan"`` -> NULL, drop rows without a
+    non-blank warehouse_id. Headers are matched exactly; unknown columns are dropped."""
+    headers = {c: [c] for c in LOCATION_COLUMNS if c in df.columns}
+    for header, column in reversed(LOCATION_HEADER_ALIASES.items()):
+        if header in df.columns:
+            headers.setdefault(column, []).append(header)
+
+    def value(column: str) -> Column:
+        if column not in LOCATION_STRING_FIELDS:
+            return F.coalesce(*[F.col(h) for h in headers[column]])
+        texts = [F.col(h).cast("string") for h in headers[column]]
+        return F.coalesce(*[F.when(x != "nan", x) for x in texts])
+
+    out = df.select(*[value(c).alias(c) for c in LOCATION_COLUMNS if c in headers])
+    if "warehouse_id" in headers:
         out = out.filter(F.col("warehouse_id").isNotNull() & (F.trim(F.col("warehouse_id")) != ""))
     return out
 

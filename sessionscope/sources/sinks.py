@@ -1,106 +1,149 @@
 """Sinks: idempotent date-range replace of event tables (I14), upserts of users and
 locations (I15/I16) and the per-run record summary (I17).
 
-Event tables are stored as Parquet partitioned by (tenant_id, event_date); a
-replace rewrites exactly the (tenant, date) partitions of the range with dynamic
-partition overwrite, so nothing outside the range is read or written. Upserts
-write a new version to a new path (plain Parquet has no MERGE), never the path
-being read.
+Event tables are stored as Parquet partitioned by (tenant_id, event_date). A replace
+writes the new rows once, to a staging folder, then swaps the (tenant, date)
+partitions of its range by file-system operations: nothing outside the range is
+read or written, and no Spark job runs per partition. Upserts write a new version
+of the table to a new folder (plain Parquet has no MERGE), never the path being
+read; readers follow the latest complete version.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-import os
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sessionscope.session import children, delete_path, path_exists, rename_path
 from sessionscope.sources.extract import EVENT_NAMES
 
 SUMMARY_TYPES = list(EVENT_NAMES) + ["users_processed", "locations_processed"]
 
 
-def _dates(start: str, end: str) -> list[str]:
-    s, e = dt.date.fromisoformat(start), dt.date.fromisoformat(end)
-    return [(s + dt.timedelta(days=i)).isoformat() for i in range((e - s).days + 1)]
+def _tenant_folder(spark: SparkSession, tenant_id: str) -> str:
+    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    return f"tenant_id={escape(tenant_id)}"
+
+
+def _partitions(spark: SparkSession, path: str, tenants=None) -> set[tuple[str, str]]:
+    """(tenant folder, date folder) of a stored event table, from its listing."""
+    names = [n for n, _, _ in children(spark, path) if n.startswith("tenant_id=")] if tenants is None else tenants
+    return {(t, d) for t in names for d, _, _ in children(spark, f"{path}/{t}") if d.startswith("event_date=")}
+
+
+def swap_partitions(spark: SparkSession, table_path: str, rows: DataFrame, gone) -> set[tuple[str, str]]:
+    """Write ``rows`` to a staging folder, then put each of its (tenant, date) partitions in place of the
+    stored one and delete the stored ones that ``gone(stored, staged)`` names. Returns the staged partitions.
+
+    Folder operations only touch those partitions; a run that is cut short leaves each partition
+    old, new or missing, and running it again completes it."""
+    staging = f"{table_path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    try:
+        rows.hint("rebalance", "tenant_id", "event_date").write.partitionBy("tenant_id", "event_date").parquet(staging)
+        staged = _partitions(spark, staging)
+        for t, d in gone(staged):
+            delete_path(spark, f"{table_path}/{t}/{d}")
+        for t, d in sorted(staged):
+            delete_path(spark, f"{table_path}/{t}/{d}")
+            if not rename_path(spark, f"{staging}/{t}/{d}", f"{table_path}/{t}/{d}"):
+                raise RuntimeError(f"partition {t}/{d} could not be put in place")
+    finally:
+        delete_path(spark, staging)
+    return staged
 
 
 def replace_date_range(spark: SparkSession, table_path: str, tenant_id: str | None, start: str, end: str,
                        rows: DataFrame, skip_if_empty: bool = True) -> str:
-    """Delete the tenant's rows in [start, end] and insert ``rows``; idempotent.
+    """Delete the tenant's rows in [start, end] and insert those of ``rows`` that lie in it; idempotent.
 
-    ``tenant_id=None`` replaces the range for every tenant present in ``rows`` in one
-    job. ``skip_if_empty`` keeps the service's behaviour: an empty batch leaves the
-    old rows in place. Returns ``skipped`` / ``replaced``.
+    Rows outside the range are not part of the replace and are left out. ``tenant_id=None`` replaces the
+    range for every tenant present in ``rows`` in one job. ``skip_if_empty`` keeps the service's behaviour:
+    an empty batch leaves the old rows in place. Returns ``skipped`` / ``replaced``.
     """
     new = rows if tenant_id is None else rows.withColumn("tenant_id", F.lit(tenant_id))
-    # The (tenant, day) keys of the batch -- bounded by tenants x days, never by rows.
-    written = {(r[0], r[1].isoformat()) for r in new.select("tenant_id", "event_date").distinct().collect()
-               if r[1] is not None}
-    if skip_if_empty and not written:
-        return "skipped"
-    new.hint("rebalance", "tenant_id", "event_date").write.mode("overwrite") \
-        .option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id", "event_date").parquet(table_path)
-    # (tenant, date) partitions of the range that received no new rows must become empty too.
-    tenants = [tenant_id] if tenant_id is not None else sorted({t for t, _ in written})
-    empty = new.limit(0).drop("tenant_id", "event_date")
-    for t in tenants:
-        for d in _dates(start, end):
-            part = os.path.join(table_path, f"tenant_id={t}", f"event_date={d}")
-            if (t, d) not in written and _exists(spark, part):
-                empty.write.mode("overwrite").parquet(part)
-    return "replaced"
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema  # noqa: B018 -- resolves the listing only
-        return True
-    except Exception:  # noqa: BLE001
-        return False
+    new = new.filter(F.col("event_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+    def gone(staged):
+        if skip_if_empty and not staged:
+            return []
+        tenants = {_tenant_folder(spark, tenant_id)} if tenant_id is not None else {t for t, _ in staged}
+        stored = _partitions(spark, table_path, sorted(tenants))
+        return sorted((t, d) for t, d in stored - staged if start <= d.removeprefix("event_date=") <= end)
+
+    staged = swap_partitions(spark, table_path, new, gone)
+    return "skipped" if skip_if_empty and not staged else "replaced"
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order_col: str | None = None,
            set_active: bool = True) -> DataFrame:
-    """Insert-or-update by ``keys``. A batch holding a key twice is deduped
-    deterministically (last by ``order_col``); rows only in ``existing`` are kept
-    unchanged (absent rows are not deactivated)."""
-    if order_col is not None:
-        from pyspark.sql import Window
-        w = Window.partitionBy(*keys).orderBy(F.col(order_col).desc())
-        new = new.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn", order_col)
-    else:
-        new = new.dropDuplicates(keys)
+    """Insert-or-update by ``keys``. A batch holding a key twice keeps one row: the last by
+    ``order_col`` (dropped from the result), and among equals, or without one, the greatest by all its columns, so
+    the choice never depends on the order of the rows. Rows only in ``existing`` are kept unchanged (absent
+    rows are not deactivated)."""
+    rest = [F.col(c).desc_nulls_last() for c in new.columns if c not in keys and c != order_col]
+    order = ([F.col(order_col).desc_nulls_last()] if order_col is not None else []) + rest or [F.col(keys[0])]
+    w = Window.partitionBy(*keys).orderBy(*order)
+    new = new.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn", *([order_col] if order_col else []))
     if set_active and "is_active" in existing.columns:
         new = new.withColumn("is_active", F.lit(True))
     kept = existing.join(new.select(*keys), keys, "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
 
 
-def upsert_users(existing: DataFrame, batch: DataFrame, tenant_id: str | None = None) -> DataFrame:
+def upsert_users(existing: DataFrame, batch: DataFrame, tenant_id: str | None = None,
+                 order_col: str | None = None) -> DataFrame:
     if tenant_id is not None:
         batch = batch.withColumn("tenant_id", F.lit(tenant_id))
-    return upsert(existing, batch, ["tenant_id", "user_id"])
+    return upsert(existing, batch, ["tenant_id", "user_id"], order_col)
 
 
-def upsert_locations(existing: DataFrame, batch: DataFrame, tenant_id: str | None = None) -> DataFrame:
+def upsert_locations(existing: DataFrame, batch: DataFrame, tenant_id: str | None = None,
+                     order_col: str | None = None) -> DataFrame:
     if tenant_id is not None:
         batch = batch.withColumn("tenant_id", F.lit(tenant_id))
-    return upsert(existing, batch, ["tenant_id", "warehouse_id"])
+    return upsert(existing, batch, ["tenant_id", "warehouse_id"], order_col)
+
+
+def latest_version(spark: SparkSession, table_path: str) -> str | None:
+    """Folder of the newest complete version of a versioned table (``v00000001``, ...); None if there is none."""
+    done = [n for n, _, _ in children(spark, table_path) if n.startswith("v") and path_exists(spark, f"{table_path}/{n}/_SUCCESS")]
+    return f"{table_path}/{max(done)}" if done else None
+
+
+def persist_upsert(spark: SparkSession, table_path: str, batch: DataFrame, keys: list[str], schema=None,
+                   order_col: str | None = None, keep_versions: int = 2) -> str:
+    """Upsert ``batch`` into a stored table: the merged rows become its next version (written under a private
+    name, then renamed), and all but the last ``keep_versions`` are deleted. Returns the new folder."""
+    now = latest_version(spark, table_path)
+    columns = [c for c in batch.columns if c != order_col]
+    existing = spark.read.parquet(now) if now else spark.createDataFrame([], schema or batch.select(*columns).schema)
+    number = int(now.rsplit("v", 1)[1]) + 1 if now else 1
+    target, private = f"{table_path}/v{number:08d}", f"{table_path}/.building-{uuid.uuid4().hex}"
+    upsert(existing, batch, keys, order_col).write.parquet(private)
+    if not rename_path(spark, private, target):
+        delete_path(spark, private)
+        raise RuntimeError(f"another run has written {target}")
+    versions = [n for n, _, _ in children(spark, table_path) if n.startswith("v")]
+    for old in sorted(versions)[:-keep_versions]:
+        delete_path(spark, f"{table_path}/{old}")
+    return target
 
 
 def ingest_run_summary(counts: dict[str, DataFrame], failed_types=(), by: str = "tenant_id") -> DataFrame:
     """Record count per (tenant, type), zero-filled over the six event types plus
-    users and locations; status ``completed_with_warnings`` when a type failed."""
-    parts = [df.groupBy(by).agg(F.count(F.lit(1)).alias("records")).withColumn("data_type", F.lit(t))
+    users and locations; status ``completed_with_warnings`` when a type failed.
+
+    Each input is read once: the counts of a tenant are spread over the fixed list of types
+    (missing ones at zero) after one grouped count of all inputs together."""
+    parts = [df.select(by).groupBy(by).agg(F.count(F.lit(1)).alias("records")).withColumn("data_type", F.lit(t))
              for t, df in counts.items()]
     got = parts[0]
     for p in parts[1:]:
         got = got.unionByName(p)
-    tenants = got.select(by).distinct()
-    grid = tenants.select(by, F.explode(F.array(*[F.lit(t) for t in SUMMARY_TYPES])).alias("data_type"))
+    per_tenant = got.groupBy(by).agg(*[F.sum(F.when(F.col("data_type") == t, F.col("records"))).alias(t) for t in SUMMARY_TYPES])
     status = "completed_with_warnings" if failed_types else "completed"
-    return grid.join(got, [by, "data_type"], "left").select(
-        by, "data_type", F.coalesce(F.col("records"), F.lit(0)).cast("bigint").alias("records"),
-        F.lit(status).alias("status"))
+    rows = F.explode(F.array(*[F.struct(F.lit(t).alias("data_type"), F.coalesce(F.col(t), F.lit(0)).cast("bigint").alias("records"))
+                               for t in SUMMARY_TYPES])).alias("r")
+    return per_tenant.select(by, rows).select(by, "r.data_type", "r.records", F.lit(status).alias("status"))

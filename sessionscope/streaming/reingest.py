@@ -1,59 +1,80 @@
 """ST1: incremental re-ingest with Structured Streaming.
 
-New export files landing in ``raw_path`` are picked up by a file stream
-(``trigger(availableNow=True)`` -- run it on a schedule, it stops when caught up).
-Each micro-batch is flattened and reclassified, then every event table gets a
-date-range replace (I14) over the batch's days for the tenants it contains. The
-reference handles late data the same way: it re-extracts a recent window with
-replace semantics, so each landed file set is a complete export of its days.
-Replaces are idempotent, so a batch replayed after a failure gives the same tables;
-progress is tracked in the stream checkpoint under ``spark.checkpoint.dir``.
+An export is a folder ``export_id=<id>`` of raw files under the landing path; ids grow. Each
+export is complete for every (tenant, day) that it holds, and may land in any number of files. New
+files are picked up by a file stream (``trigger(availableNow=True)`` -- run it on a schedule, it
+stops when caught up).
+
+A micro-batch only says which (tenant, day) pairs have new files. The rows of such a pair are
+then read from all files landed so far of the latest export that holds it -- never from the
+micro-batch alone, which may be one part of an export or mix several -- and replace that pair
+in every event table. Days that the batch does not touch keep their rows. A replace depends
+only on what has landed, so a batch that is replayed after a failure, or split over several
+triggers, ends in the same tables; progress is tracked in the stream checkpoint under
+``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-import os
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from sessionscope.session import delete_path, scratch_dir
 from sessionscope.sources.extract import extract_all, reclassify_search_events
 from sessionscope.sources.fixtures import COMMON_EVENT_COLUMNS
-from sessionscope.sources.sinks import replace_date_range
+from sessionscope.sources.sinks import _tenant_folder, swap_partitions
+
+EXPORT = "export_id"
+
+
+def landing_schema(raw_schema: StructType) -> StructType:
+    return StructType([*(f for f in raw_schema.fields if f.name != EXPORT), StructField(EXPORT, LongType())])
+
+
+def latest_rows(landed: DataFrame, touched: DataFrame) -> DataFrame:
+    """Raw rows of the touched (tenant, day) pairs, each from the latest export that holds it."""
+    pair = ["tenant_id", "event_date"]
+    own = landed.join(touched, pair, "left_semi")
+    newest = own.groupBy(*pair).agg(F.max(EXPORT).alias(EXPORT))
+    return own.join(newest, [*pair, EXPORT], "left_semi").drop(EXPORT)
 
 
-def _replace_batch(spark: SparkSession, warehouse: str, batch: DataFrame) -> None:
-    rng = batch.agg(F.min("event_date").alias("s"), F.max("event_date").alias("e")).first()
-    if rng is None or rng["s"] is None:
+def _replace_batch(spark: SparkSession, landing: str, schema: StructType, warehouse: str, batch: DataFrame) -> None:
+    pairs = batch.select("tenant_id", "event_date").filter("tenant_id is not null and event_date rlike '^[0-9]{8}$'").distinct().collect()
+    if not pairs:                                    # at most tenants x days of the landed files
         return
-    to_iso = lambda d: f"{d[:4]}-{d[4:6]}-{d[6:]}"
-    start, end = to_iso(rng["s"]), to_iso(rng["e"])
-    # The micro-batch feeds six tables: keep it for the duration of the batch only.
-    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        tables = reclassify_search_events(extract_all(batch, start, end))
-        for name, rows in tables.items():
-            cols = [c for c in rows.columns if c != "raw_data"]
-            replace_date_range(spark, os.path.join(warehouse, name), None, start, end, rows.select(*cols),
-                               skip_if_empty=True)
-    finally:
-        batch.unpersist()
+    touched = spark.createDataFrame([tuple(r) for r in pairs], "tenant_id string, event_date string")
+    days = sorted({r["event_date"] for r in pairs})
+    landed = spark.read.schema(schema).parquet(landing).filter(F.col("event_date").between(days[0], days[-1]))
+    # the rows feed six tables: written once
+    current = scratch_dir(spark, f"reingest-{uuid.uuid4().hex}", temporary=True)
+    latest_rows(landed, F.broadcast(touched)).write.parquet(current)
+    rows_of_pairs = spark.read.schema(StructType([f for f in schema.fields if f.name != EXPORT])).parquet(current)
+    tables = reclassify_search_events(extract_all(rows_of_pairs, None, None))
+    folders = {(_tenant_folder(spark, r["tenant_id"]), f"event_date={r['event_date'][:4]}-{r['event_date'][4:6]}-{r['event_date'][6:]}")
+               for r in pairs}
+    for name, rows in tables.items():
+        swap_partitions(spark, f"{warehouse}/{name}", rows.drop("raw_data"), lambda staged: sorted(folders - staged))
+    delete_path(spark, current)
 
 
 def incremental_reingest(spark: SparkSession, raw_path: str, warehouse: str, checkpoint: str,
                          raw_schema=None, max_files_per_trigger: int | None = None):
-    """Start the stream; returns the StreamingQuery (``availableNow``: ends when caught up)."""
-    schema = raw_schema or spark.read.parquet(raw_path).schema
+    """Start the stream over ``raw_path`` (folders ``export_id=<id>``); returns the StreamingQuery
+    (``availableNow``: ends when caught up)."""
+    schema = landing_schema(raw_schema or spark.read.parquet(raw_path).schema)
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(raw_path)
     return (stream.writeStream
-            .foreachBatch(lambda df, _batch_id: _replace_batch(spark, warehouse, df))
+            .foreachBatch(lambda df, _batch_id: _replace_batch(spark, raw_path, schema, warehouse, df))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start())
 
 
-__all__ = ["incremental_reingest", "COMMON_EVENT_COLUMNS"]
+__all__ = ["EXPORT", "incremental_reingest", "COMMON_EVENT_COLUMNS"]

@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sessionscope.session import scratch_dir
+from sessionscope.session import children, scratch_dir
 from sessionscope.sources.extract import reclassify_search_events
-from sessionscope.sources.sinks import replace_date_range, upsert
+from sessionscope.sources.masters import extract_users, normalize_locations, read_location_file
+from sessionscope.sources.sinks import (SUMMARY_TYPES, ingest_run_summary, latest_version, persist_upsert, replace_date_range,
+                                        upsert, upsert_users)
 
 
 def _rows(spark, items):
@@ -34,8 +36,67 @@ def test_replace_with_empty_batch_is_skipped(spark):
     empty = spark.createDataFrame([], "event_date date, v long")
     assert replace_date_range(spark, path, "T0", "2024-01-01", "2024-01-01", empty) == "skipped"
     assert spark.read.parquet(path).count() == 1
-    replace_date_range(spark, path, "T0", "2024-01-01", "2024-01-01", empty, skip_if_empty=False)
-    assert spark.read.parquet(path).count() == 0
+    assert replace_date_range(spark, path, "T0", "2024-01-01", "2024-01-01", empty, skip_if_empty=False) == "replaced"
+    assert spark.read.schema("tenant_id string, event_date date, v long").parquet(path).count() == 0
+
+
+def test_replace_leaves_days_outside_the_range(spark):
+    """A row dated outside the range neither replaces its day nor is added to it."""
+    path = os.path.join(scratch_dir(spark, f"t-{uuid.uuid4().hex}", temporary=True), "tbl")
+    d = lambda n: dt.date(2024, 1, n)
+    _rows(spark, [("T0", d(1), 1), ("T0", d(5), 5), ("T/1 x", d(1), 9)]).write.partitionBy("tenant_id", "event_date").parquet(path)
+    new = _rows(spark, [("T0", d(1), 10), ("T0", d(5), 50), ("T/1 x", d(2), 20), ("T0", None, 7)])
+    for _ in range(2):
+        replace_date_range(spark, path, None, "2024-01-01", "2024-01-02", new)
+        got = sorted((r.tenant_id, r.event_date.day, r.v) for r in spark.read.parquet(path).collect())
+        assert got == [("T/1 x", 2, 20), ("T0", 1, 10), ("T0", 5, 5)]
+
+
+def test_upsert_is_deterministic_without_an_order_column(spark):
+    old = spark.createDataFrame([], "tenant_id string, user_id string, email string, is_active boolean")
+    new = spark.createDataFrame([("T0", "u1", e) for e in "bca"], "tenant_id string, user_id string, email string")
+    for parts in (1, 3):
+        assert [r.email for r in upsert_users(old, new.repartition(parts)).collect()] == ["c"]
+
+
+def test_persisted_upserts_make_versions(spark):
+    path = os.path.join(scratch_dir(spark, f"t-{uuid.uuid4().hex}", temporary=True), "users")
+    frame = lambda rows: spark.createDataFrame(rows, "tenant_id string, user_id string, email string, is_active boolean, seq int")
+    assert latest_version(spark, path) is None
+    persist_upsert(spark, path, frame([("T0", "u", "a", False, 1), ("T1", "u", "x", False, 1)]), ["tenant_id", "user_id"], order_col="seq")
+    persist_upsert(spark, path, frame([("T0", "u", "b", False, 1), ("T0", "u", "c", False, 2)]), ["tenant_id", "user_id"], order_col="seq")
+    third = persist_upsert(spark, path, frame([("T0", "v", "d", False, 1)]), ["tenant_id", "user_id"], order_col="seq")
+    assert latest_version(spark, path) == third and third.endswith("v00000003")
+    got = sorted(tuple(r) for r in spark.read.parquet(third).select("tenant_id", "user_id", "email", "is_active").collect())
+    assert got == [("T0", "u", "c", True), ("T0", "v", "d", True), ("T1", "u", "x", True)]
+    assert [n for n, _, _ in children(spark, path) if n.startswith("v")] == ["v00000002", "v00000003"]
+
+
+def test_run_summary_zero_fills_and_warns(spark):
+    rows = spark.createDataFrame([("T0",), ("T0",), ("T1",)], "tenant_id string")
+    got = {(r.tenant_id, r.data_type): (r.records, r.status) for r in ingest_run_summary({"purchase": rows, "users_processed": rows.limit(0)}, ["view_item"]).collect()}
+    assert len(got) == 2 * len(SUMMARY_TYPES) and got["T0", "purchase"] == (2, "completed_with_warnings") and got["T1", "users_processed"][0] == 0
+    plan = ingest_run_summary({"purchase": rows, "page_view": rows})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 2                              # every input once
+
+
+def test_users_of_two_tenants_stay_apart(spark):
+    master = spark.createDataFrame([("T0", "7", "a"), ("T1", "7", "b"), ("T0", None, "c"), ("T1", "NaN", "d")], "tenant_id string, USER_ID string, Name string").selectExpr(
+        "*", "'NaN' CUSTOMER_NAME", "'E' CUSTOMER_ERP_ID", "Name EMAIL", "Name OFFICE_PHONE", "Name CELL_PHONE")
+    got = sorted((r.tenant_id, str(r.user_id), r.user_name, r.buying_company_name) for r in extract_users(master).collect())
+    assert got == [("T0", "7", "a", None), ("T1", "7", "b", None), ("T1", "None", "d", None)]
+
+
+def test_location_headers(spark, tmp_path):
+    df = spark.createDataFrame([("1", "a", "low"), ("nan", "b", "x"), (" ", "c", "y")], "WAREHOUSE_ID string, WAREHOUSE_CODE string, city string")
+    out = normalize_locations(df)
+    assert out.columns == ["warehouse_id", "warehouse_code", "city"] and [tuple(r) for r in out.collect()] == [("1", "a", "low")]
+    clean = spark.createDataFrame([("1", "N", "9")], "warehouse_id string, warehouse_name string, zip string")
+    assert [tuple(r) for r in normalize_locations(clean).collect()] == [("1", "N", "9")]
+    both = spark.createDataFrame([("1", None, "Old"), ("2", "New", "Old")], "WAREHOUSE_ID string, LOCATION_NAME string, WAREHOUSE_NAME string")
+    assert [r.warehouse_name for r in normalize_locations(both).orderBy("warehouse_id").collect()] == ["Old", "New"]
+    (tmp_path / "l.csv").write_text("WAREHOUSE_ID,PROVINCE,POSTAL_CODE,MANAGER\n5,Ontario,01234,x\n")
+    assert [tuple(r) for r in read_location_file(spark, str(tmp_path / "l.csv")).collect()] == [("5", "Ontario", "01234")]
 
 
 def test_upsert_dedupes_and_keeps_absent_rows(spark):
