@@ -25,6 +25,8 @@ from sessionscope.llm.urllists import host_of
 #: Tokens (words and block bounds) of a run that counts as repeated.
 MIN_RUN = 6
 BLOCK_BYTES = 1 << 20
+#: Fewer pages than this say nothing about what most pages of a host show.
+MIN_PAGES = 10
 #: Hosts large enough to be split that may be broadcast at most; with more, only larger hosts are split.
 MAX_SPLIT_HOSTS = 1_000_000
 _BOUND = 0
@@ -94,7 +96,7 @@ def extract_block(pages: list[str | None], min_run: int = MIN_RUN) -> list[str]:
         kept = []
         for (text, zone), (i, j) in zip(page, own, strict=True):
             if zone == CONTENT:
-                if not (covered[i:j].all() and len(parsed) > 2 and 2 * len(furniture.get(text, ())) > len(parsed)):
+                if not (covered[i:j].all() and len(parsed) >= MIN_PAGES and 2 * len(furniture.get(text, ())) > len(parsed)):
                     kept.append(text)
             elif zone == PLAIN and not has_content:
                 run = text if not covered[i:j].any() else " ".join(w for w, c in zip(text.split(), covered[i:j], strict=True) if not c)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Text in one group; a single longer document makes a longer group.
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 4 << 20
 #: Entries that meet in one bucket, on average.
 BUCKET_ENTRIES = 1 << 20
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionscope.session import ensure_checkpoint_dir
+from sessionscope.session import scratch_dir
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -19,7 +19,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back (cuts lineage,
     survives lost executors, and is never computed twice)."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    path = scratch_dir(spark, f"llm-{name}-{uuid.uuid4().hex}", temporary=True)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -10,10 +10,12 @@
 4. The order is cut into fragments of about equal load. Partial overlaps of candidate pairs are counted in each
    fragment by itself, then summed for the pair; the sum decides the link, exactly.
 
-Candidates are not all pairs of a shingle's classes. Each round compares every class with one centre a shingle
-and joins what links; only classes in different components remain to be compared. A distance bound (Jaccard
-distance is a metric) settles a pair from both distances to a common centre without counting it. The rounds end when no
-uncompared pair of different components shares a prefix shingle, so the components are those of all links.
+Candidates are not all pairs of a shingle's classes. First every class is compared with one centre a shingle, the one that
+shares the largest part of its set, and what links is joined: a pair a class and centre. What then remains are the shingles
+whose classes lie in several components. Their classes are compared with those outside the largest component of
+their centre, in blocks: a block counts its partial overlaps in each fragment as one matrix, the matrices
+are summed, and only links between different components leave it. So every pair that shares a
+prefix shingle is either in one component or counted, and the components are those of all links.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sessionscope.llm import exchange as X
 from sessionscope.llm.components import components
@@ -34,6 +35,11 @@ SHINGLE = 5
 SIMILARITY = 80
 #: Ranges of the global order that are counted separately.
 FRAGMENTS = 8
+#: Classes on each side of a block of the second comparison.
+BLOCK_CLASSES = 256
+_COLUMNS = 4096
+#: Keys of at most this many rows (24 bytes each) are broadcast.
+BROADCAST_KEYS = 1_000_000
 #: Candidate pairs that meet in one cell of a fragment, on average; hot centres are salted to the same bound.
 CELL_PAIRS = 2000
 _COUNT_BYTES = 5
@@ -45,14 +51,15 @@ def _sets(column: pa.ChunkedArray, k: int) -> tuple[np.ndarray, np.ndarray, int]
     """(shingle hash, row) of every distinct shingle of every row, by hash and row; number of rows."""
     words, offsets = word_hashes(column, lower=True)
     count, row = np.diff(offsets), row_of(offsets)
-    hashes, rows = [], []
-    for size in range(1, k + 1):
-        h = run_hashes(words, size, _BASE)
-        r = row[:len(h)]
-        start = np.arange(len(h)) - offsets[r]
-        at = np.flatnonzero(start + size <= count[r] if size == k else (count[r] == size) & (start == 0))
-        hashes.append(h[at])
-        rows.append(r[at])
+    h = run_hashes(words, k, _BASE)
+    r = row[:len(h)]
+    at = np.flatnonzero(np.arange(len(h)) + k <= offsets[1:][r])
+    hashes, rows = [h[at]], [r[at]]
+    for size in range(1, k):  # a shorter text is one shingle
+        short = np.flatnonzero(count == size)
+        if len(short):
+            hashes.append(run_hashes(words[(offsets[short][:, None] + np.arange(size)).ravel()], size, _BASE)[::size])
+            rows.append(short)
     h, r = np.concatenate(hashes), np.concatenate(rows)
     order = np.lexsort((r, h)) if len(hashes) > 1 else np.argsort(h, kind="stable")
     h, r = h[order], r[order]
@@ -69,7 +76,7 @@ def _send_shingles(buckets: int, k: int):
 
 
 def _describe(k: int, similarity: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sign", pa.binary()), ("prefix", pa.list_(pa.int64())), ("shared", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("sign", pa.binary()), ("prefix", pa.list_(pa.int64())), ("shared", pa.binary())])
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -101,7 +108,7 @@ def _describe(k: int, similarity: int):
             shared.append(X.planes(own, _KEY_BYTES) if active[i] else None)
         named = table["named"].combine_chunks()
         sign = np.stack(signs, 1).astype(">u8").tobytes()
-        return pa.table([pa.compute.if_else(named, table["okey"].combine_chunks(), pa.scalar(None, pa.int64())), pa.array(n, pa.int64()),
+        return pa.table([pa.compute.if_else(named, table["okey"].combine_chunks(), pa.scalar(None, pa.int64())), table["c0"].combine_chunks(), pa.array(n, pa.int64()),
                          pa.array([sign[16 * i:16 * i + 16] if n[i] else None for i in range(rows)], pa.binary()),
                          pa.array(prefixes, pa.list_(pa.int64())), pa.array(shared, pa.binary())], schema=schema)
     return run
@@ -125,109 +132,202 @@ def _pivots(classes: DataFrame, fragments: int) -> list[int]:
     return pivots
 
 
-def _cut(pivots: list[int]):
-    """Rows with a set -> one row a fragment that holds a part of it."""
-    def run(batches):
-        for batch in batches:
-            out = []
-            for cell, a, b, blob in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-                keys = X.unplanes(blob, _KEY_BYTES)
-                at = [0, *np.searchsorted(keys, np.array(pivots, np.uint64)), len(keys)]
-                out += [(f, cell, a, b, X.planes(keys[i:j], _KEY_BYTES)) for f, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["fragment", "cell", "a", "b", "part"])
-    return run
+def _fragments(rows: DataFrame, classes: DataFrame, pivots: list[int], schema: str) -> DataFrame:
+    """Rows with a node -> one row for each fragment that holds a part of its set: fragment, the columns of ``schema``, part."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    sets = classes.select(F.col("node").alias("_node"), "shared")
+    found = rows.join(sets, F.col("node") == F.col("_node")).select(*names, "shared")
+
+    def cut(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                fragment, source, part = [], [], []
+                for i, blob in enumerate(batch.column("shared")):
+                    keys = X.unplanes(blob.as_py(), _KEY_BYTES)
+                    at = [0, *np.searchsorted(keys, np.array(pivots, np.uint64)), len(keys)]
+                    for f, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                        if b > a:
+                            fragment.append(f)
+                            source.append(i)
+                            part.append(X.planes(keys[a:b], _KEY_BYTES))
+                carried = batch.take(pa.array(source, pa.int64())).columns[:-1]
+                yield pa.RecordBatch.from_arrays([pa.array(fragment, pa.int32()), *carried, pa.array(part, pa.binary())], names=["fragment", *names, "part"])
+    return found.mapInArrow(cut, f"fragment int, {schema}, part binary")
 
 
 def _count_partial(table: pa.Table) -> pa.Table:
-    """Overlaps of one cell's pairs within one fragment. A row without a is the part of centre b."""
-    a, b = table["a"].to_pylist(), table["b"].to_pylist()
+    """Overlaps of one cell's pairs (node, centre) within one fragment. The centre's own row has it as node."""
+    a, b = table["node"].to_pylist(), table["centre"].to_pylist()
     parts = [X.unplanes(x.as_py(), _KEY_BYTES) for x in table["part"]]
-    centre = {y: part for x, y, part in zip(a, b, parts, strict=True) if x is None}
+    own = {y: part for x, y, part in zip(a, b, parts, strict=True) if x == y}
     rows = []
     for x, y, part in zip(a, b, parts, strict=True):
-        if x is not None and y in centre:
-            other = centre[y]
-            at = np.searchsorted(other, part)
-            rows.append((x, y, int((other[np.minimum(at, len(other) - 1)] == part).sum())))
+        if x != y and y in own:
+            at = np.minimum(np.searchsorted(own[y], part), len(own[y]) - 1)
+            rows.append((x, y, int((own[y][at] == part).sum())))
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
     return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("a", "b", "overlap"), columns, strict=True)})
 
 
 def count_overlaps(pairs: DataFrame, cells: int, classes: DataFrame, pivots: list[int], cell_pairs: int = CELL_PAIRS) -> DataFrame:
-    """(a, b, na, nb, overlap) of distinct candidate pairs (a, b: node): partial overlaps a fragment, summed a pair."""
+    """(a, b, na, nb, overlap) of distinct pairs (a, b: node and centre) that share a shingle: partial overlaps a fragment, summed a pair."""
     members = pairs.groupBy("b").agg(F.count("*").alias("members"))
     salted = pairs.join(members, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("members") / cell_pairs)).alias("salt"))
-    placed = salted.select("a", "b", F.pmod(F.xxhash64("b", "salt"), F.lit(cells)).alias("cell"))
-    sets = classes.select("node", "shared")
-    rows = (placed.join(sets, placed["a"] == sets["node"]).select("cell", "a", "b", "shared")
-            .union(placed.select("cell", "b").distinct().join(sets, F.col("b") == sets["node"]).select("cell", F.lit(None).cast("bigint"), "b", "shared")))
-    parts = rows.mapInArrow(_cut(pivots), "fragment int, cell long, a long, b long, part binary")
+    placed = salted.select(F.pmod(F.xxhash64("b", "salt"), F.lit(cells)).alias("cell"), F.col("a").alias("node"), F.col("b").alias("centre"))
+    rows = placed.union(placed.select("cell", F.col("centre").alias("node"), "centre").distinct())
+    parts = _fragments(rows, classes, pivots, "cell long, node long, centre long")
     overlaps = parts.groupBy("fragment", "cell").applyInArrow(_count_partial, "a long, b long, overlap long").groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
-    size = classes.select(F.col("node"), F.col("n"))
-    return (pairs.join(overlaps, ["a", "b"], "left").join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
-            .join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b").select("a", "b", "na", "nb", F.coalesce("overlap", F.lit(0)).alias("overlap")))
+    size = classes.select("node", "n")
+    return overlaps.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").select("a", "b", "na", "nb", "overlap")
 
 
-def _linked(overlaps: DataFrame, similarity: int) -> DataFrame:
-    return overlaps.where(F.lit(100) * F.col("overlap") >= F.lit(similarity) * (F.col("na") + F.col("nb") - F.col("overlap")))
+def _side(table: pa.Table, right: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    own = table.filter(pa.compute.equal(table["right"], right))
+    return own["node"].to_numpy(), own["n"].to_numpy(), own["component"].to_numpy(), [X.unplanes(x.as_py(), _KEY_BYTES) for x in own["part"]]
+
+
+_MATRIX = "centre long, s int, m int, left binary, right binary, overlap binary"
 
 
-def _similar_size(a: str, b: str, similarity: int):
-    return (F.lit(100) * F.least(a, b) >= F.lit(similarity) * F.greatest(a, b))
+def _count_block(table: pa.Table) -> pa.Table:
+    """Partial overlaps of one block within one fragment: the (node, n, component) of both sides and a matrix of counts."""
+    (a, na, ca, pa_), (b, nb, cb, pb) = _side(table, False), _side(table, True)
+    total = np.zeros((len(a), len(b)), np.int32)
+    if len(a) and len(b):
+        left, right = np.concatenate(pa_), np.concatenate(pb)
+        shared = np.intersect1d(left, right)
+        row_a, row_b = np.repeat(np.arange(len(a)), [len(x) for x in pa_]), np.repeat(np.arange(len(b)), [len(x) for x in pb])
+        at_a, at_b = np.searchsorted(shared, left), np.searchsorted(shared, right)
+        in_a, in_b = (at < len(shared) for at in (at_a, at_b))
+        in_a[in_a] = shared[at_a[in_a]] == left[in_a]
+        in_b[in_b] = shared[at_b[in_b]] == right[in_b]
+        for start in range(0, len(shared), _COLUMNS):
+            x, y = np.zeros((len(a), _COLUMNS), np.float32), np.zeros((len(b), _COLUMNS), np.float32)
+            for grid, rows, at, use in ((x, row_a, at_a, in_a), (y, row_b, at_b, in_b)):
+                own = use & (at >= start) & (at < start + _COLUMNS)
+                grid[rows[own], at[own] - start] = 1
+            total += (x @ y.T).astype(np.int32)
+    first = table.slice(0, 1)
+    return pa.table({"centre": first["centre"], "s": first["s"], "m": first["m"], "left": pa.array([np.stack([a, na, ca]).tobytes()], pa.binary()),
+                     "right": pa.array([np.stack([b, nb, cb]).tobytes()], pa.binary()), "overlap": pa.array([total.tobytes()], pa.binary())})
+
+
+def _link_block(similarity: int):
+    """Sum the matrices of a block and return links that join different components, one for each join."""
+    def run(table: pa.Table) -> pa.Table:
+        sides = [[np.frombuffer(x.as_py(), np.int64).reshape(3, -1) for x in table[name]] for name in ("left", "right")]
+        nodes = [np.unique(np.concatenate(side, 1), axis=1) for side in sides]  # sorted by node
+        total = np.zeros((nodes[0].shape[1], nodes[1].shape[1]), np.int64)
+        for left, right, blob in zip(*sides, table["overlap"], strict=True):
+            at = [np.searchsorted(all_of[0], own[0]) for all_of, own in zip(nodes, (left, right), strict=True)]
+            total[np.ix_(*at)] += np.frombuffer(blob.as_py(), np.int32).reshape(left.shape[1], right.shape[1])
+        (a, na, ca), (b, nb, cb) = nodes
+        linked = (100 * total >= similarity * (na[:, None] + nb[None, :] - total)) & (ca[:, None] != cb[None, :])
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                x = up
+            return x
+        out = []
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            x, y = root(int(ca[i])), root(int(cb[j]))
+            if x != y:
+                parent[x] = y
+                out.append((int(a[i]), int(b[j])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+    return run
+
+
+def link_blocks(members: DataFrame, classes: DataFrame, pivots: list[int], similarity: int, size: int = BLOCK_CLASSES) -> DataFrame:
+    """Links (a, b) between different components among the members (centre, node, n, component) of each centre: those outside the
+    centre's largest component against all, block by block."""
+    counted = members.groupBy("centre", "component").agg(F.count("*").alias("n"))
+    largest = counted.groupBy("centre").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("total")).select(
+        "centre", F.col("top.component").alias("major"), F.ceil((F.col("total") - F.col("top.n")) / size).cast("int").alias("ns"), F.ceil(F.col("total") / size).cast("int").alias("nm"))
+    placed = members.join(largest.where("ns > 0"), "centre")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = placed.where("component <> major").select("centre", own("ns").alias("s"), every("nm").alias("m"), F.lit(False).alias("right"), "node", "n", "component")
+    right = placed.select("centre", every("ns").alias("s"), own("nm").alias("m"), F.lit(True).alias("right"), "node", "n", "component")
+    parts = _fragments(left.union(right), classes, pivots, "centre long, s int, m int, right boolean, node long, n long, component long")
+    return (parts.groupBy("fragment", "centre", "s", "m").applyInArrow(_count_block, _MATRIX)
+            .groupBy("centre", "s", "m").applyInArrow(_link_block(similarity), "a long, b long"))
+
+
+def _linked(overlaps: DataFrame, similarity: int) -> DataFrame:
+    return overlaps.where(F.lit(100) * F.col("overlap") >= F.lit(similarity) * (F.col("na") + F.col("nb") - F.col("overlap")))
 
 
 def link_groups(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY, doc_id: str = "doc_id", text: str = "text", fragments: int = FRAGMENTS,
-                group_bytes: int = X.GROUP_BYTES, bucket_entries: int = X.BUCKET_ENTRIES, star_rounds: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``; component_id is the smallest doc_id reachable by links
-    of similarity/100 or more.
-
-    Nulls and edges: a null or wordless text has an empty set and links with nothing; a text of fewer than ``k`` words
-    is one shingle. A row without a doc_id takes part (its links connect others) and gets the smallest id reachable,
-    null if there is none. Rows that repeat, or share an id, are documents of their own that may link. An empty
-    table gives an empty result; other columns are ignored.
+                group_bytes: int = X.GROUP_BYTES, bucket_entries: int = X.BUCKET_ENTRIES, block_classes: int = BLOCK_CLASSES) -> DataFrame:
+    """For every row of ``docs``: doc_id, text_hash (xxhash64), n_shingles, component_id (the smallest doc_id reachable by links
+    of similarity/100 or more), linked (whether its set can link at all) and first (whether it stands for its component: the
+    row with the smallest id, then text_hash).
+
+    Nulls and edges: a null or wordless text has an empty set, links with nothing and stands for itself; a text of fewer
+    than ``k`` words is one shingle. A row without a doc_id takes part (its links connect others), gets the
+    smallest id reachable, null if there is none, and comes after rows with an id. Rows that repeat, or share an
+    id, are documents of their own that may link; exact repeats of a first row are all first. An empty table gives an
+    empty result; other columns are ignored.
     """
     size = text_bytes(docs, text)
     groups, buckets = max(1, -(-size // group_bytes)), max(1, -(-size // (6 * bucket_entries)))
-    by_group = X.grouped(docs, groups, doc_id, text, ()).groupBy("g")
+    hashed = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("text_hash"))
+    by_group = X.grouped(hashed, groups, "doc_id", "text", ("text_hash",)).groupBy("g")
     counted = (by_group.applyInArrow(_send_shingles(buckets, k), X.COUNTS_SCHEMA)
                .groupBy("bucket").applyInArrow(X.total_classes(_COUNT_BYTES), X.CLASSES_SCHEMA))
     described = written(by_group.cogroup(counted.groupBy("g")).applyInArrow(
-        _describe(k, similarity), "doc_id long, n long, sign binary, prefix array<long>, shared binary"), "described")
+        _describe(k, similarity), "doc_id long, text_hash long, n long, sign binary, prefix array<long>, shared binary"), "described")
 
     # one class a set; only classes whose prefix holds a shared shingle can link
-    classes = written(described.where("shared is not null").dropDuplicates(["sign"]).withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = written(described.where("shared is not null").dropDuplicates(["sign"]).select(
+        "sign", "n", "prefix", "shared", (F.lit(1.0) - F.octet_length("shared") / _KEY_BYTES / F.col("n")).alias("loose"), F.monotonically_increasing_id().alias("node")), "classes")
     pivots = _pivots(classes, fragments)
-    posts = classes.select("node", "n", F.explode("prefix").alias("shingle"))
-    shared = posts.groupBy("shingle").agg(F.count("*").alias("posts")).where("posts > 1").select("shingle")
-    posts = written(posts.join(shared, "shingle"), "posts")
-
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "na", "nb", "overlap")])
-    compared = docs.sparkSession.createDataFrame([], schema)
-    labels = classes.select("node", F.col("node").alias("component")).limit(0)
-    for turn in range(star_rounds + 1):
-        labelled = posts.join(labels, "node", "left").select("shingle", "node", "n", F.coalesce("component", "node").alias("component"))
-        split = (labelled.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "component")).alias("centre"))
-                 .where("c0 <> c1").select("shingle", "centre.node", "centre.n", "centre.component").toDF("shingle", "b", "nb", "cb"))
-        if turn < star_rounds:
-            pairs = labelled.join(split, "shingle").where(F.col("component") != F.col("cb"))
-        else:  # everything that is left: every pair of different components that shares a prefix shingle
-            open_posts = labelled.join(split.select("shingle"), "shingle")
-            other = open_posts.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-            pairs = open_posts.join(other, "shingle").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("cb")))
-        pairs = pairs.where(_similar_size("n", "nb", similarity)).select(F.col("node").alias("a"), "b").distinct()
-        done = compared.select("a", "b").union(compared.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pairs = written(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        total = pairs.count()
-        if not total:
-            continue
-        cells = -(-total // CELL_PAIRS)
-        compared = compared.union(written(count_overlaps(pairs, cells, classes, pivots), "overlaps"))
-        labels = components(_linked(compared, similarity).select("a", "b"))
+    posts = classes.select("node", "n", "loose", F.explode("prefix").alias("shingle"))
+    centres = (posts.groupBy("shingle").agg(F.min(F.struct("loose", F.xxhash64("node"), "node", "n")).alias("c"), F.count("*").alias("posts"))
+               .where("posts > 1").select("shingle", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n")))
+    posts = written(posts.join(centres, "shingle").select("shingle", "node", "n", "centre", "centre_n"), "posts")
+
+    pairs = posts.where(F.col("node") != F.col("centre")).where(F.lit(100) * F.least("n", "centre_n") >= F.lit(similarity) * F.greatest("n", "centre_n"))
+    pairs = written(pairs.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
+    cells = max(1, -(-pairs.count() // CELL_PAIRS))
+    links = written(_linked(count_overlaps(pairs, cells, classes, pivots), similarity).select("a", "b"), "links")
+    labels = components(links)
+
+    labelled = posts.join(labels, "node", "left").select("shingle", "centre", "node", "n", F.coalesce("component", "node").alias("component"))
+    split = labelled.groupBy("shingle").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("shingle")
+    members = written(labelled.join(split, "shingle").select("centre", "node", "n", "component").distinct(), "members")
+    more = written(link_blocks(members, classes, pivots, similarity, block_classes), "block-links")
+    labels = components(links.union(more))
 
     member = classes.select("sign", "node").join(labels, "node", "left").select("sign", F.coalesce("component", "node").alias("component"))
-    placed = described.select("doc_id", "n", "sign").join(member, "sign", "left")
+    placed = described.select("doc_id", "text_hash", "n", "sign").join(member, "sign", "left")
     # a set without a partner is a component of its own: equal sets share their signature
-    rows = placed.select("doc_id", "n", F.coalesce(F.col("component").cast("string"), F.hex("sign")).alias("own"))
-    least = rows.where("own is not null").groupBy("own").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "own", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("own").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    rows = placed.select("doc_id", "text_hash", "n", F.coalesce(F.col("component").cast("string"), F.hex("sign")).alias("own"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash").alias("rank"))
+    least = rows.where("own is not null").groupBy("own").agg(F.min("rank").alias("least"))
+    return rows.join(least, "own", "left").select(
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("own").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"),
+        F.col("own").isNotNull().alias("linked"), (F.col("own").isNull() | (F.col("rank") == F.col("least"))).alias("first"))
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_keys: int = BROADCAST_KEYS, **options) -> DataFrame:
+    """One row of every group of linked documents, with all columns of ``docs`` (their names may be any).
+
+    The keys of rows that go are counted: up to ``broadcast_keys`` they are broadcast and the texts are not shuffled, beyond
+    that both sides are. Exact repeats of a row that stays are cut to one by themselves.
+    """
+    found = written(link_groups(docs, doc_id=doc_id, text=text, **options).where("linked").select(
+        F.coalesce("doc_id", "text_hash").alias("_okey"), F.col("doc_id").isNotNull().alias("_named"), F.col("text_hash").alias("_hash"), "first"), "firsts")
+    key = ["_okey", "_named", "_hash"]
+    again = found.where("first").groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    gone = found.where("not first").select(*key).union(again).distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    hashed = F.xxhash64(docs[text])
+    keyed = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)], F.coalesce(docs[doc_id], hashed).alias("_okey"), docs[doc_id].isNotNull().alias("_named"), hashed.alias("_hash"))
+    small = F.broadcast if gone.count() <= broadcast_keys else (lambda keys: keys)
+    kept = keyed.join(small(gone), key, "left_anti")
+    if not again.isEmpty():
+        kept = kept.union(keyed.join(small(again), key, "left_semi").dropDuplicates(key))
+    return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

@@ -180,7 +180,7 @@ from captures c left join hits h on c.url = h.url and c.fetched = h.fetched and
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_groups(_table(spark, sf_dir, "documents"))
+    return link_groups(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 OP10_SQL = r"""
