@@ -285,33 +285,47 @@ def search_priority(search_type: Column, count: Column) -> Column:
 HISTORY_SECTIONS = {"purchases": 5, "carts": 5, "searches": 10, "viewed_products": 10}
 
 
+DETAILS_SCHEMA = ("page_location string, page_title string, item_id string, item_name string, price decimal(10,2), quantity int, "
+                  "transaction_id string, revenue decimal(15,2), items string, search_term string, category string")
+
+
 def history_projection(timeline: DataFrame) -> DataFrame:
-    """A user's timeline split into purchases, carts (value = price x quantity),
-    searches (results 1 / 0) and viewed products (product pages and item views),
-    keeping the first 5 / 5 / 10 / 10 of each in time order."""
-    d = lambda f: F.get_json_object("details", f"$.{f}")
-    et = F.col("event_type")
-    loc = d("page_location")
+    """A user's timeline split into purchases (value = revenue, with their items), carts (value = price x quantity, with
+    the item), searches (value = results 1 / 0) and viewed products (product pages and item views, with name, category
+    and view count), keeping the first 5 / 5 / 10 / 10 of each in time order. A missing or empty text takes its
+    default. The details are parsed once, into a typed struct."""
+    d = lambda f: F.col(f"d.{f}")
+    text = lambda c, default: F.when(c.isNotNull() & (c != ""), c).otherwise(F.lit(default))
+    number = lambda c, kind="decimal(15,2)": F.coalesce(c, F.lit(0)).cast(kind)
+    et, loc = F.col("event_type"), d("page_location")
+    events = timeline.select("tenant_id", "user_id", "event_timestamp", "session_id", "event_type", "details",
+                             F.from_json("details", DETAILS_SCHEMA).alias("d"))
     section = (F.when(et == "purchase", "purchases").when(et == "add_to_cart", "carts")
                .when(et.isin("view_search_results", "no_search_results"), "searches")
                .when(et == "view_item", "viewed_products")
                .when((et == "page_view") & _true(loc.contains("/product/")), "viewed_products"))
-    key = (F.when(et == "purchase", F.coalesce(d("transaction_id"), F.lit("unknown")))
-           .when(et == "add_to_cart", F.coalesce(F.col("session_id"), F.lit("unknown")))
-           .when(et.isin("view_search_results", "no_search_results"), F.coalesce(d("search_term"), F.lit("unknown")))
-           .when(et == "view_item", F.coalesce(d("item_id"), F.lit("unknown")))
-           .otherwise(F.coalesce(url_last_segment(loc), F.lit("unknown"))))
-    value = (F.when(et == "purchase", F.coalesce(d("revenue").cast("double"), F.lit(0.0)))
-             .when(et == "add_to_cart", F.coalesce(d("price").cast("double"), F.lit(0.0))
-                   * F.coalesce(d("quantity").cast("double"), F.lit(0.0)))
+    key = (F.when(et == "purchase", text(d("transaction_id"), "unknown"))
+           .when(et == "add_to_cart", text(F.col("session_id"), "unknown"))
+           .when(et.isin("view_search_results", "no_search_results"), text(d("search_term"), "unknown"))
+           .when(et == "view_item", text(d("item_id"), "unknown"))
+           .otherwise(text(url_last_segment(loc), "unknown")))
+    value = (F.when(et == "purchase", number(d("revenue")).cast("double"))
+             .when(et == "add_to_cart", number(d("price")).cast("double") * number(d("quantity")).cast("double"))
              .when(et == "view_search_results", F.lit(1.0)).when(et == "no_search_results", F.lit(0.0))
-             .when(et == "view_item", F.coalesce(d("price").cast("double"), F.lit(0.0))).otherwise(F.lit(0.0)))
-    rows = timeline.select("tenant_id", "user_id", "event_timestamp", "event_type", "details",
-                           section.alias("section"), key.alias("item_key"),
-                           F.round(value, 2).alias("value")).filter(F.col("section").isNotNull())
+             .when(et == "view_item", number(d("price")).cast("double")).otherwise(F.lit(0.0)))
+    viewed = F.col("section") == "viewed_products"
+    name = F.when(viewed, text(F.when(et == "page_view", d("page_title")).otherwise(d("item_name")), "Unknown Product"))
+    category = F.when(viewed, F.when(et == "view_item", text(d("category"), "Product")).otherwise(F.lit("Product")))
+    items = (F.when(et == "purchase", text(d("items"), "[]"))
+             .when(et == "add_to_cart", F.concat_ws("|", text(d("item_name"), "Unknown Item"), text(d("item_id"), "unknown"),
+                                                    number(d("quantity"), "int").cast("string"), number(d("price"), "decimal(10,2)").cast("string"))))
+    day = F.date_format(F.timestamp_micros(F.col("event_timestamp").try_cast("bigint")), "yyyyMMdd")
+    rows = events.withColumn("section", section).filter(F.col("section").isNotNull()).select(
+        "tenant_id", "user_id", "section", "event_timestamp", "event_type", "details", day.alias("event_day"), key.alias("item_key"),
+        name.alias("name"), category.alias("category"), F.round(value, 2).alias("value"), items.alias("items"), F.when(viewed, F.lit(1)).alias("view_count"))
     ranked = take_page(rows, [F.col("event_timestamp").asc(), F.col("event_type").asc(), F.col("details").asc()],
                        1, max(HISTORY_SECTIONS.values()), by=["tenant_id", "user_id", "section"], position="position")
     limit = reduce(lambda acc, kv: acc.when(F.col("section") == kv[0], F.lit(kv[1])),
                    HISTORY_SECTIONS.items(), F)
     return ranked.filter(F.col("position") <= limit).select(
-        "tenant_id", "user_id", "section", "position", "event_timestamp", "item_key", "value")
+        "tenant_id", "user_id", "section", "position", "event_timestamp", "event_day", "item_key", "name", "category", "value", "items", "view_count")

@@ -1128,34 +1128,37 @@ def r14_search_priority(spark, sf_dir):
                     search_priority(F.col("search_type"), F.col("search_count")).alias("priority"))
 
 
-@register("r15_history_projection", fixture_sql("""
-SELECT tenant_id, user_id, section, position, event_timestamp, item_key, value FROM (
-  SELECT *, row_number() OVER (PARTITION BY tenant_id, user_id, section ORDER BY event_timestamp, event_type, details) AS position
-  FROM (
-    SELECT tl.*,
-      CASE WHEN event_type = 'purchase' THEN 'purchases' WHEN event_type = 'add_to_cart' THEN 'carts'
-           WHEN event_type IN ('view_search_results', 'no_search_results') THEN 'searches'
-           WHEN event_type = 'view_item' THEN 'viewed_products'
-           WHEN event_type = 'page_view' AND contains(json_extract_string(details, '$.page_location'), '/product/') THEN 'viewed_products'
-      END AS section,
-      CASE WHEN event_type = 'purchase' THEN COALESCE(json_extract_string(details, '$.transaction_id'), 'unknown')
-           WHEN event_type = 'add_to_cart' THEN COALESCE(session_id, 'unknown')
-           WHEN event_type IN ('view_search_results', 'no_search_results') THEN COALESCE(json_extract_string(details, '$.search_term'), 'unknown')
-           WHEN event_type = 'view_item' THEN COALESCE(json_extract_string(details, '$.item_id'), 'unknown')
-           ELSE COALESCE(CASE WHEN contains(json_extract_string(details, '$.page_location'), '/product/')
-                              THEN string_split(json_extract_string(details, '$.page_location'), '/')[-1] END, 'unknown')
-      END AS item_key,
-      round(CASE WHEN event_type = 'purchase' THEN COALESCE(CAST(json_extract_string(details, '$.revenue') AS DOUBLE), 0)
-           WHEN event_type = 'add_to_cart' THEN COALESCE(CAST(json_extract_string(details, '$.price') AS DOUBLE), 0)
-                                               * COALESCE(CAST(json_extract_string(details, '$.quantity') AS DOUBLE), 0)
-           WHEN event_type = 'view_search_results' THEN 1.0 WHEN event_type = 'no_search_results' THEN 0.0
-           WHEN event_type = 'view_item' THEN COALESCE(CAST(json_extract_string(details, '$.price') AS DOUBLE), 0)
-           ELSE 0.0 END, 2) AS value
-    FROM (SELECT ae.tenant_id, us.user_id, ae.event_timestamp, ae.param_ga_session_id AS session_id, ae.event_type, ae.details
-          FROM all_events ae JOIN user_sessions us
-          ON ae.tenant_id = us.tenant_id AND ae.param_ga_session_id = us.param_ga_session_id) tl
-  ) s WHERE section IS NOT NULL
-) r WHERE position <= CASE section WHEN 'purchases' THEN 5 WHEN 'carts' THEN 5 ELSE 10 END
+def _text(path: str, default: str) -> str:
+    return f"COALESCE(nullif(json_extract_string(details, '$.{path}'), ''), '{default}')"
+
+
+def _dec(path: str, kind: str = "DECIMAL(15,2)") -> str:
+    return f"COALESCE(json_extract_string(details, '$.{path}')::{kind}, 0)"
+
+
+@register("r15_history_projection", fixture_sql(f"""
+SELECT tenant_id, user_id, section, row_number() OVER sections AS position, event_timestamp,
+       strftime(make_timestamp(event_timestamp::BIGINT), '%Y%m%d') AS event_day,
+       CASE event_type WHEN 'purchase' THEN {_text('transaction_id', 'unknown')} WHEN 'add_to_cart' THEN COALESCE(nullif(session_id, ''), 'unknown')
+            WHEN 'view_item' THEN {_text('item_id', 'unknown')} WHEN 'page_view' THEN COALESCE(nullif(string_split(page, '/')[-1], ''), 'unknown')
+            ELSE {_text('search_term', 'unknown')} END AS item_key,
+       CASE event_type WHEN 'view_item' THEN {_text('item_name', 'Unknown Product')} WHEN 'page_view' THEN {_text('page_title', 'Unknown Product')} END AS name,
+       CASE event_type WHEN 'view_item' THEN {_text('category', 'Product')} WHEN 'page_view' THEN 'Product' END AS category,
+       round(CASE event_type WHEN 'purchase' THEN {_dec('revenue')}::DOUBLE WHEN 'add_to_cart' THEN {_dec('price')}::DOUBLE * {_dec('quantity')}::DOUBLE
+                             WHEN 'view_search_results' THEN 1.0 WHEN 'view_item' THEN {_dec('price')}::DOUBLE ELSE 0.0 END, 2) AS value,
+       CASE event_type WHEN 'purchase' THEN {_text('items', '[]')}
+            WHEN 'add_to_cart' THEN concat_ws('|', {_text('item_name', 'Unknown Item')}, {_text('item_id', 'unknown')}, {_dec('quantity', 'INTEGER')}::VARCHAR, {_dec('price', 'DECIMAL(10,2)')}::VARCHAR)
+            END AS items,
+       CASE WHEN event_type IN ('view_item', 'page_view') THEN 1 END AS view_count
+FROM (
+  SELECT ae.tenant_id, us.user_id, ae.event_timestamp, param_ga_session_id AS session_id, ae.event_type, ae.details, s.section,
+         json_extract_string(details, '$.page_location') AS page
+  FROM all_events ae JOIN user_sessions us USING (tenant_id, param_ga_session_id)
+  JOIN (VALUES ('purchase', 'purchases'), ('add_to_cart', 'carts'), ('view_search_results', 'searches'), ('no_search_results', 'searches'),
+               ('view_item', 'viewed_products'), ('page_view', 'viewed_products')) s(event_type, section) ON s.event_type = ae.event_type)
+WHERE event_type <> 'page_view' OR contains(page, '/product/')
+WINDOW sections AS (PARTITION BY tenant_id, user_id, section ORDER BY event_timestamp, event_type, details)
+QUALIFY position <= CASE section WHEN 'purchases' THEN 5 WHEN 'carts' THEN 5 ELSE 10 END
 """, extra_ctes=_ALL_EVENTS_CTE + """,
 user_sessions AS (SELECT DISTINCT tenant_id, user_prop_webuserid AS user_id, param_ga_session_id FROM page_view
                   WHERE user_prop_webuserid IS NOT NULL AND param_ga_session_id IS NOT NULL)"""))

@@ -178,3 +178,18 @@ def test_purchase_totals_survive_the_page(make_tables):
     rows = [dict(tenant_id="T0", event_date=dt.date(2024, 1, 1), event_timestamp=str(1704067200000000 + i), event_id=i) for i in range(30)]
     got = purchase_tasks(make_tables(purchase=rows), page=2, limit=20).collect()
     assert len(got) == 10 and {r["total_count"] for r in got} == {30}
+
+
+def test_history_projection_fields_and_defaults(spark):
+    from sessionscope.plans.report import history_projection
+    at = "1704153600000000"
+    rows = [("purchase", '{"transaction_id":"","revenue":12.50,"items":"[1]"}'), ("add_to_cart", '{"item_id":null,"item_name":"","price":2.50,"quantity":3}'),
+            ("page_view", '{"page_location":"/product/","page_title":""}'), ("page_view", '{"page_location":"/about","page_title":"x"}'),
+            ("view_item", '{"item_id":"P1","item_name":"N","price":1.25,"category":""}'), ("no_search_results", '{"search_term":""}')]
+    line = spark.createDataFrame([("T0", "u", at, "", t, d) for t, d in rows], "tenant_id string, user_id string, event_timestamp string, session_id string, event_type string, details string")
+    got = {(r.section, r.item_key): (r.event_day, r.name, r.category, r.value, r["items"], r.view_count) for r in history_projection(line).collect()}
+    assert got == {("purchases", "unknown"): ("20240102", None, None, 12.5, "[1]", None),
+                   ("carts", "unknown"): ("20240102", None, None, 7.5, "Unknown Item|unknown|3|2.50", None),
+                   ("viewed_products", "unknown"): ("20240102", "Unknown Product", "Product", 0.0, None, 1),
+                   ("viewed_products", "P1"): ("20240102", "N", "Product", 1.25, None, 1),
+                   ("searches", "unknown"): ("20240102", None, None, 0.0, None, None)}
