@@ -10,8 +10,8 @@ PLAIN, CONTENT, CHROME = 0, 1, 2
 #: Element names of the HTML standard.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea iframe object svg math canvas audio video select button".split())
-CHROME_TAGS = set("nav aside footer form menu dialog head title".split())
+RAW = set("title script style noscript template textarea iframe object svg math canvas audio video select button".split())
+CHROME_TAGS = set("nav aside footer form menu dialog head".split())
 CHROME_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: Words in a class or id that name page furniture.
 CHROME_WORDS = set(
@@ -30,9 +30,11 @@ def _zone(name: str, tag: str, around: int) -> int:
     role, prop = "", ""
     if " " in tag or "\n" in tag or "\t" in tag:
         for key, value in _ATTRIBUTE.findall(tag):
-            key, value = key.lower(), value.strip("\"'").lower()
+            key, value = key.lower(), value.strip("\"'")
+            parts = re.sub(r"([a-z])([A-Z])", r"\1-\2", value)
+            value = value.lower()
             if key in ("class", "id"):
-                words.update(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value)))
+                words.update(re.split(r"[^a-z0-9]+", parts.lower()))
             elif key == "role":
                 role = value
             elif key == "itemprop":

@@ -120,8 +120,12 @@ def test_covered_tokens_against_brute_force():
     assert boilerplate.covered_tokens(np.array(tokens), np.array(owner), 5).tolist() == want
 
 
+def alone(k):
+    return " ".join(f"{w}{k}" for w in "unique text of this page stands here by itself".split())
+
+
 def site(k, article):
-    body = f"<article><h1>Title {k}</h1><p>shared passage that all of the articles on this site carry</p><p>own text number {k}</p></article>" if article else f"<div>unique text of page number {k} stands here alone</div>"
+    body = f"<article><h1>Title {k}</h1><p>shared passage that all of the articles on this site carry</p><p>own text number {k}</p></article>" if article else f"<div>{alone(k)}</div>"
     return f"<body><div>Welcome to our site and have a look around</div><nav>Home | About</nav>{body}<div>All rights reserved by the owners of it</div><footer>&copy; x</footer></body>"
 
 
@@ -132,7 +136,7 @@ def test_host_boilerplate(spark):
     got = boilerplate.extract_main_text(pages).collect()
     assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
     text = {r["page_id"]: r["text"] for r in got}
-    assert all(text[k] == f"unique text of page number {k} stands here alone" for k in range(6)) and text[None] == "unique text of page number 9 stands here alone"
+    assert all(text[k] == alone(k) for k in range(6)) and text[None] == alone(9)
     assert all(text[k] == f"Title {k}\n\nshared passage that all of the articles on this site carry\n\nown text number {k}" for k in range(10, 16))
     assert text[20].startswith("Welcome to our site") and text[21] == text[22] == ""
     split = {r["page_id"]: r["text"] for r in boilerplate.extract_main_text(pages, block_bytes=900).collect()}
