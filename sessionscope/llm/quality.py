@@ -66,7 +66,7 @@ def rules() -> dict[str, Column]:
     """Name -> whether it rejects a document with words. All are exact counts over the whole text."""
     return {
         "symbols": F.lit(10) * F.col("n_symbols") > F.col("n_words"),
-        "repeated_lines": F.lit(10) * F.col("n_dup_lines") > F.lit(3) * F.col("n_lines"),
+        "repeated_lines": (F.col("n_dup_lines") >= 3) & (F.lit(10) * F.col("n_dup_lines") > F.lit(3) * F.col("n_lines")),
         "word_length": (F.col("word_chars") < F.lit(2) * F.col("n_words")) | (F.col("word_chars") > F.lit(20) * F.col("n_words")),
         "capitals": F.lit(10) * F.regexp_count("body", F.lit(_CAPITALS)) > F.lit(4) * F.col("word_chars"),
         "exclamations": F.lit(10) * _count_of(F.col("body"), "!") > F.lit(4) * F.col("n_words"),

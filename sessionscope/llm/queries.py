@@ -141,7 +141,7 @@ counted as (
   from docs left join repeats using (r)),
 judged as (
   select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-    10 * n_symbols > n_words or 10 * n_dup_lines > 3 * len(lines) or word_chars < 2 * n_words or word_chars > 20 * n_words
+    10 * n_symbols > n_words or (n_dup_lines >= 3 and 10 * n_dup_lines > 3 * len(lines)) or word_chars < 2 * n_words or word_chars > 20 * n_words
     or 10 * len(regexp_extract_all(body, '\p{Lu}')) > 4 * word_chars or 10 * len(regexp_extract_all(body, '!')) > 4 * n_words
     or 10 * len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) > 3 * len(lines)
     or 10 * len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09]*[-*•‣]'))) > 9 * len(lines)
