@@ -13,6 +13,7 @@ sys.path.insert(0, os.path.join(ROOT, "tools"))
 
 import __spark_entry__ as E  # noqa: E402
 from check_oracle import VIEWS, rows_of  # noqa: E402
+from sessionscope import registry  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,7 +37,12 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("key", sorted(E.oracle_sql()))
+def test_aliases_are_the_same_query_under_a_second_name():
+    assert all(registry.QUERIES[a] is registry.QUERIES[k] for a, k in registry.ALIASES.items())
+
+
+# the training-data operators have their own tests beside them
+@pytest.mark.parametrize("key", sorted(set(registry.QUERIES) - set(registry.ALIASES)))
 def test_query_matches_oracle(spark, duck, key):
     df = E.queries()[key](spark, SF)
     scols, srows = df.columns, [tuple(r) for r in df.collect()]
