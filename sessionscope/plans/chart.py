@@ -53,8 +53,8 @@ def chart_data(t: Tables, start: str | None, end: str | None, granularity: str |
                tenant_id: str | None = None, location_id: str | None = None) -> DataFrame:
     """Q2: one row per (tenant, bucket) of the spine.
 
-    The four bucketed aggregates and the spine rows (zero metrics, with their period start) are unioned and folded
-    by one groupBy on (tenant, label): buckets off the spine have no period start and vanish, as do rows
+    The four bucketed aggregates and the spine rows (no metrics, but their period start) are brought together per tenant and
+    folded by one groupBy on (tenant, label): buckets off the spine have no period start and vanish, as do rows
     whose timestamp is not a time (their label is NULL); buckets without rows keep their zeros."""
     spark = t.purchase.sparkSession
     g = normalize_granularity(granularity)
@@ -63,15 +63,18 @@ def chart_data(t: Tables, start: str | None, end: str | None, granularity: str |
     parts = chart_parts(t, start, end, g, tenant_id, location_id)
     measured = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     measured = measured.groupBy("tenant_id", "date_group").agg(*[F.max(m).alias(m) for m in METRICS])
+    kinds = {f.name: f.dataType for f in measured.schema.fields}
     buckets = F.array_distinct(F.transform(spine_points(start, end, g), lambda p: F.struct(
         bucket_label(bucket_start(p, g), g).alias("date_group"), bucket_start(p, g).alias("period_start"))))
-    spine = F.explode(F.transform(buckets, lambda b: F.struct(b["date_group"].alias("date_group"), b["period_start"].alias("period_start")))).alias("b")
+    spine = F.transform(buckets, lambda b: F.struct(b["date_group"].alias("date_group"), b["period_start"].alias("period_start"),
+                                                    *[F.lit(None).cast(kinds[m]).alias(m) for m in METRICS]))
+    own = F.struct("date_group", F.lit(None).cast("timestamp").alias("period_start"), *METRICS)
+    # a tenant's measured buckets meet once, at most one a bucket, to take the spine along: no second pass finds the tenants
+    per_tenant = measured.filter(F.col("date_group").isNotNull()).groupBy("tenant_id").agg(F.collect_list(own).alias("own"))
     if tenant_id is not None:    # a tenant without any rows still gets its zero-filled spine
-        tenants = spark.range(1).select(F.lit(tenant_id).alias("tenant_id"))
-    else:
-        tenants = t.tenants()
-    spine = tenants.select("tenant_id", spine).select("tenant_id", "b.date_group", "b.period_start")
-    both = measured.unionByName(spine, allowMissingColumns=True)
+        per_tenant = spark.range(1).select(F.lit(tenant_id).alias("tenant_id")).join(per_tenant, "tenant_id", "left")
+    rows = F.explode(F.concat(F.coalesce("own", F.array().cast(per_tenant.schema["own"].dataType)), spine)).alias("b")
+    both = per_tenant.select("tenant_id", rows).select("tenant_id", "b.*")
     folded = both.groupBy("tenant_id", "date_group").agg(
         F.max("period_start").alias("period_start"), *[F.max(m).alias(m) for m in METRICS])
     z = lambda m: F.coalesce(F.col(m), F.lit(0)).cast("bigint")

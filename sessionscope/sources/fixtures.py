@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -263,11 +262,6 @@ class Tables:
     def events(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in EVENT_TABLES}
 
-    def tenants(self) -> DataFrame:
-        """Every tenant that has an event, a user or a location (reads the partition column alone)."""
-        frames = [*self.events().values(), self.users, self.locations]
-        return reduce(DataFrame.unionByName, [df.select("tenant_id").distinct() for df in frames]).filter("tenant_id is not null").distinct()
-
 
 def read_source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
