@@ -2,7 +2,8 @@
 
 A source's mean repetition rate is its target share of the output over its share of the corpus. Each document draws how
 often it appears by inverting the Poisson distribution of that mean at a number hashed from the seed and the document, so
-a draw depends on nothing else and is the same in every run. Documents are exploded by their count and
+a draw depends on nothing else and is the same in every run. A large mean is split into equal parts, each drawn at a number of its
+own: their sum is a Poisson draw of the whole mean. Documents are exploded by their count and
 ordered globally by a hash of seed, document and copy.
 """
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sessionscope.llm.frames import written
 
-#: Means above this are refused: the inversion adds probabilities from zero on.
+#: Means above this are drawn in parts: the inversion adds probabilities from exp(-mean) on, which must not vanish.
 MAX_MEAN = 500
 #: A table of rates up to this many sources is broadcast (under 10 MB); a larger one is joined by shuffle.
 BROADCAST_SOURCES = 100_000
@@ -55,23 +56,39 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, power
     return shared.select("source", F.when(F.col("mass") > 0, F.col("share") * F.lit(scale) / F.col("mass")).otherwise(F.lit(0.0)).alias("mean"))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, size: float = 1.0, seed: int = 11, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+def _many_copies(drawn: DataFrame, columns: list[str], seed: int) -> DataFrame:
+    """Copies of documents whose mean is above MAX_MEAN, spread over rows of at most MAX_MEAN copies before they are exploded."""
+    parts = F.ceil(F.col("_mix_mean") / MAX_MEAN)
+    numbers = F.transform(F.sequence(F.lit(1).cast("bigint"), parts), lambda k: uniform(F.concat(F.lit("part|"), k.cast("string"), F.lit("|"), F.col("_mix_key")), seed))
+    total = F.aggregate(numbers, F.lit(0).cast("bigint"), lambda n, u: n + poisson(F.col("_mix_mean") / parts, u))
+    counted = drawn.select(*columns, "_mix_key", total.alias("_mix_n")).where("_mix_n > 0")
+    spread = counted.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_mix_n"), F.lit(MAX_MEAN).cast("bigint"))).alias("_mix_from")).repartition("_mix_key", "_mix_from")
+    copies = spread.select(*columns, "_mix_key", F.explode(F.sequence(F.col("_mix_from"), F.least("_mix_n", F.col("_mix_from") + (MAX_MEAN - 1)))).alias("copy"))
+    return copies.withColumn("copy", F.col("copy").cast("int"))
+
+
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, size: float = 1.0, seed: int = 11, doc_id: str = "doc_id", source: str = "source", text: str = "text", max_mean: float | None = MAX_MEAN) -> DataFrame:
     """All columns of ``docs`` with copy (1, 2, ...) and shuffle_key (long), one row a copy, in global random order.
 
     A column of ``docs`` named copy or shuffle_key gives way to the new one.
     Nulls and edges: documents without a source form one source; one without an id draws by its text; repeated rows draw alike;
-    a source without characters has mean 0; an empty table gives an empty result. A mean above MAX_MEAN raises.
+    a source without characters has mean 0; an empty table gives an empty result. Without ``weights`` every mean is drawn, however small a source is beside the others;
+    given weights that lead to a mean above ``max_mean`` raise (None: they are drawn too).
     """
     means = rates(docs, weights, power, size, source, text)
     top = means.agg(F.max("mean"), F.count("*")).first()
-    if (top[0] or 0) > MAX_MEAN:
-        raise ValueError(f"a source would be repeated {top[0]:.0f} times on average; at most {MAX_MEAN} is supported")
+    largest = top[0] or 0
+    if weights is not None and max_mean is not None and largest > max_mean:
+        raise ValueError(f"a source would be repeated {largest:.0f} times on average; max_mean is {max_mean}")
     columns = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     means = means.toDF("_mix_source", "_mix_mean")
     key = F.coalesce(docs[doc_id].cast("string"), F.md5(F.coalesce(docs[text], F.lit(""))))
     rows = docs.select(*columns, key.alias("_mix_key"), docs[source].alias("_mix_own"))
     drawn = rows.join(F.broadcast(means) if top[1] <= BROADCAST_SOURCES else means, F.col("_mix_own").eqNullSafe(F.col("_mix_source")), "left")
-    drawn = drawn.withColumn("_mix_n", poisson(F.col("_mix_mean"), uniform(F.col("_mix_key"), seed))).where("_mix_n > 0")
-    copies = drawn.select(*columns, "_mix_key", F.explode(F.sequence(F.lit(1), F.col("_mix_n"))).alias("copy"))
+    few = drawn.where(F.col("_mix_mean") <= MAX_MEAN) if largest > MAX_MEAN else drawn
+    few = few.withColumn("_mix_n", poisson(F.col("_mix_mean"), uniform(F.col("_mix_key"), seed))).where("_mix_n > 0")
+    copies = few.select(*columns, "_mix_key", F.explode(F.sequence(F.lit(1), F.col("_mix_n"))).alias("copy"))
+    if largest > MAX_MEAN:
+        copies = copies.unionByName(_many_copies(drawn.where(F.col("_mix_mean") > MAX_MEAN), columns, seed))
     order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("copy").cast("string"), F.lit("|"), F.col("_mix_key"))), 1, 15), 16, 10).cast("bigint")
     return copies.select(*columns, "copy", order.alias("shuffle_key")).orderBy("shuffle_key", *[c for c in (doc_id,) if c in columns])

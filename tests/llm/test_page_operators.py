@@ -184,6 +184,33 @@ def test_mixing_hits_targets(spark):
         mixing.mix(docs, {"a": -1.0})
 
 
+def test_mixing_draws_large_means(spark):
+    """A source that is tiny beside another has a mean in the thousands."""
+    rows = [(0, "x" * 4_000_000, "big"), *[(k, "y", "tiny") for k in range(1, 4)], (4, "z", None)]
+    docs = frame(spark, rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs).select("doc_id", "copy", "shuffle_key").collect()
+    scale = (4_000_000 + 4) / (2000 + math.sqrt(3) + 1)
+    copies = {}
+    for r in out:
+        copies.setdefault(r["doc_id"], []).append(r["copy"])
+    for k, mean in ((1, scale / math.sqrt(3)), (2, scale / math.sqrt(3)), (3, scale / math.sqrt(3)), (4, scale)):
+        parts, want = math.ceil(mean / 500), 0
+        for part in range(1, parts + 1):
+            u = (int(hashlib.md5(f"11|part|{part}|{k}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            p = c = math.exp(-mean / parts)
+            n = 0
+            while c < u:
+                n += 1
+                p *= mean / parts / n
+                c += p
+            want += n
+        assert sorted(copies[k]) == list(range(1, want + 1)) and abs(want - mean) < 6 * math.sqrt(mean)
+    assert [r["shuffle_key"] for r in out] == sorted(r["shuffle_key"] for r in out)
+    same = frame(spark, [(k, "same", "a") for k in range(40)], "doc_id long, text string, source string")
+    counts = [r["count"] for r in mixing.mix(same, {"a": 1.0}, size=1200, max_mean=None).groupBy("doc_id").count().collect()]
+    assert len(counts) == 40 and abs(np.mean(counts) - 1200) < 5 * math.sqrt(1200 / 40) and 0.4 < np.var(counts) / 1200 < 2
+
+
 # --- URL lists -------------------------------------------------------------------------------------------------------
 
 def test_temporal_lists(spark):
