@@ -1,35 +1,44 @@
 """Main-text extraction with a host suffix array.
 
-Pages are brought together by host. The token streams of a host's pages are concatenated, a suffix array is built by prefix
-doubling, and neighbouring suffixes show which runs of tokens repeat across distinct pages. Such runs are boilerplate where
-the markup does not vouch for them: outside article and main elements covered tokens go and the unique runs
-stay; inside them a covered block goes only if most of the host's pages show it as page furniture. Furniture
-elements (menus, footers, notices, adverts, forms, comments) are never text. A page that has content elements is
-its content; any other page is its unique runs.
-
-A host with more than ``block_bytes`` of html is split by a hash of the page into blocks of about that size, each a
-random sample of the host's pages, so boilerplate repeats within every block and no task holds a whole large host.
+Pages are parsed into blocks, and the contents of a host are brought together; pages with the same words are one content. The
+word streams are concatenated, a suffix array is built by prefix doubling, and neighbouring suffixes show which runs
+of words repeat across distinct contents. Such runs are boilerplate: outside article and main elements words of a run that
+occurs in two contents or more go and the unique runs stay; inside them, where the markup vouches for the text, a block goes only if
+runs that most of the host's contents show cover it, or most show it as page furniture. Furniture elements (menus,
+footers, notices, adverts, forms, comments) are never text.
+
+A host with more than ``block_bytes`` of html is split by a hash of the content into blocks of about that size, so no task holds
+a whole large host. Each block has its own suffix array and sends a hash of every distinct run of ``min_run`` words with the number of
+its contents; the sums over the host decide, so the result does not depend on the split.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sessionscope.llm import exchange as X
+from sessionscope.llm.frames import written
 from sessionscope.llm.markup import CHROME, CONTENT, PLAIN, blocks
 from sessionscope.llm.urllists import host_of
+from sessionscope.llm.words import mix, row_of, run_hashes, word_hashes
 
-#: Tokens (words and block bounds) of a run that counts as repeated.
+#: Words of a run that counts as repeated; block bounds do not count.
 MIN_RUN = 6
 BLOCK_BYTES = 1 << 20
 #: Fewer pages than this say nothing about what most pages of a host show.
 MIN_PAGES = 10
-#: Hosts large enough to be split that may be broadcast at most; with more, only larger hosts are split.
+#: Hosts large enough to be split that may be broadcast at most; more are joined by shuffle.
 MAX_SPLIT_HOSTS = 1_000_000
-_BOUND = 0
+_RUN_BASE = 0xD1342543DE82EF95
+_COUNTS = "bucket int, host string, part int, pages long, h binary, n binary"
+_CLASSES = "host string, part int, bucket int, found binary"
 
 
 def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,38 +79,151 @@ def covered_tokens(tokens: np.ndarray, page: np.ndarray, min_run: int = MIN_RUN)
     return np.cumsum(marks)[:len(tokens)] > 0
 
 
-def extract_block(pages: list[str | None], min_run: int = MIN_RUN) -> list[str]:
-    """Main text of each page, given the pages of one host (or of one block of it)."""
-    parsed = [blocks(p) for p in pages]
-    ids: dict[str, int] = {}
-    tokens, owner, spans = [], [], []
-    for k, page in enumerate(parsed):
-        own = []
-        for text, _ in page:
-            words = text.split()
-            own.append((len(tokens) + 1, len(tokens) + 1 + len(words)))
-            tokens += [_BOUND, *[ids.setdefault(w, len(ids) + 1) for w in words]]
-        spans.append(own)
-        tokens += [_BOUND, -k - 1]
-        owner += [k] * (len(tokens) - len(owner))
-    covered = covered_tokens(np.array(tokens, np.int64), np.array(owner, np.int64), min_run)
-    furniture: dict[str, set[int]] = {}
-    for k, page in enumerate(parsed):
-        for text, zone in page:
-            if zone == CHROME:
-                furniture.setdefault(text, set()).add(k)
+def number_of(text: str, person: bytes = b"") -> int:
+    return int.from_bytes(blake2b(text.encode(), digest_size=8, person=person).digest(), "big")
+
+
+def _parse(n_carried: int):
+    """Per page: its blocks (a line each), their zones (a digit each), numbers of its words and of words and zones, bytes of html."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                pages = batch["html"].to_pylist()
+                found = [blocks(x) for x in pages]
+                body = ["\n".join(text for text, _ in b) for b in found]
+                zones = ["".join(str(zone) for _, zone in b) for b in found]
+                signed = lambda values: pa.array(np.array(values, np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_pydict({
+                    **{f"c{i}": batch[f"c{i}"] for i in range(n_carried)}, "host": batch["host"], "body": pa.array(body, pa.string()), "zones": pa.array(zones, pa.string()),
+                    "words": signed([number_of(b.replace("\n", " ")) for b in body]), "blocks": signed([number_of(f"{z}\n{b}") for z, b in zip(zones, body, strict=True)]),
+                    "size": pa.array([len((x or "").encode()) for x in pages], pa.int64())})
+    return run
+
+
+def _starts(offsets: np.ndarray, min_run: int) -> np.ndarray:
+    """First words of all runs of ``min_run`` words that end within their page."""
+    at = np.arange(offsets[-1])
+    return at[at + min_run <= offsets[1:][row_of(offsets)]] if len(at) else at
+
+
+def counted_runs(words: np.ndarray, offsets: np.ndarray, content: np.ndarray, min_run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts of all runs, number of the distinct run at each, contents of each distinct run), by the suffix array of the pages' words."""
+    n = len(offsets) - 1
+    tokens = np.insert(np.unique(words, return_inverse=True)[1].astype(np.int64), offsets[1:], -np.arange(n) - 1)
+    row = np.repeat(np.arange(n), np.diff(offsets) + 1)
+    order, common = suffix_array(tokens)
+    at = order - row[order]
+    inside = at + min_run <= offsets[1:][row[order]]
+    starts, run = at[inside], np.unique((np.cumsum(common < min_run) - 1)[inside], return_inverse=True)[1]
+    width = int(content.max(initial=0)) + 1
+    pairs = np.unique(run * width + content[row[order][inside]])
+    return starts, run, np.bincount(pairs // width)
+
+
+def _verdict(count: np.ndarray, pages: np.ndarray | int) -> np.ndarray:
+    """0: one content has it; 1: more have it; 2: most contents of the host have it."""
+    return ((count >= 2).astype(np.uint8) + ((count >= 2) & (2 * count > pages) & (np.asarray(pages) >= MIN_PAGES))).astype(np.uint8)
+
+
+def _furniture(table: pa.Table, content: np.ndarray) -> dict[str, set[int]]:
+    """The contents that show a block as page furniture, for every such block."""
+    out: dict[str, set[int]] = {}
+    for k, body, zones in zip(content.tolist(), table["body"].to_pylist(), table["zones"].to_pylist(), strict=True):
+        for text, zone in zip(body.split("\n"), zones, strict=False):
+            if int(zone) == CHROME:
+                out.setdefault(text, set()).add(k)
+    return out
+
+
+def _salted(values: np.ndarray, table: pa.Table) -> np.ndarray:
+    return mix(values ^ np.uint64(number_of(table["host"][0].as_py(), b"host")))
+
+
+def _block_number(texts: list[str]) -> np.ndarray:
+    return np.array([number_of(x, b"block") for x in texts], np.uint64)
+
+
+def _contents(table: pa.Table) -> np.ndarray:
+    return np.unique(table["blocks"].to_numpy(), return_inverse=True)[1]
+
+
+def _send(buckets: int, min_run: int):
+    """For one block of a split host: distinct runs and furniture with the number of contents that have them."""
+    def run(table: pa.Table) -> pa.Table:
+        names = [c.split()[0] for c in _COUNTS.split(", ")]
+        schema = pa.schema([("bucket", pa.int32()), ("host", pa.string()), ("part", pa.int32()), ("pages", pa.int64()), ("h", pa.binary()), ("n", pa.binary())])
+        if not table.num_rows or table["parts"][0].as_py() < 2:
+            return schema.empty_table()
+        words, offsets = word_hashes(table["body"])
+        content = _contents(table)
+        starts, distinct, counts = counted_runs(words, offsets, content, min_run)
+        one = np.zeros(len(counts), np.int64)
+        one[distinct] = starts
+        shown = _furniture(table, content)
+        hashes = np.r_[run_hashes(words, min_run, _RUN_BASE)[one], _block_number(list(shown))] if len(one) else _block_number(list(shown))
+        hashes, place = np.unique(_salted(hashes, table), return_inverse=True)
+        total = np.zeros(len(hashes), np.int64)
+        np.add.at(total, place, np.r_[counts, [len(x) for x in shown.values()]].astype(np.int64))
+        sent = X.send_counts(0, hashes, total, buckets, 8)
+        own = {c: pa.array([table[c][0].as_py()] * sent.num_rows, schema.field(c).type) for c in ("host", "part", "pages")}
+        return pa.table([own[c] if c in own else sent[c] for c in names], schema=schema)
+    return run
+
+
+def _decide(table: pa.Table) -> pa.Table:
+    """For one bucket: the verdict on every entry over its whole host, returned to its block."""
+    hashes = [X.unplanes(x.as_py(), 8) for x in table["h"]]
+    lengths = [len(x) for x in hashes]
+    h = np.concatenate(hashes)
+    n = np.concatenate([X.unplanes(x.as_py(), 4) for x in table["n"]]).astype(np.int64)
+    pages = np.repeat(table["pages"].to_numpy(), lengths)
+    order = np.argsort(h, kind="stable")
+    first = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+    found = np.empty(len(h), np.uint8)
+    found[order] = np.repeat(_verdict(np.add.reduceat(n[order], first), pages[order][first]), np.diff(np.r_[first, len(h)]))
+    ends = np.cumsum(lengths)
+    return pa.table({"host": table["host"], "part": table["part"], "bucket": table["bucket"], "found": pa.array([found[e - k:e].tobytes() for e, k in zip(ends, lengths, strict=True)], pa.binary())})
+
+
+def _covered(n: int, starts: np.ndarray, min_run: int) -> np.ndarray:
+    marks = np.zeros(n + 1, np.int32)
+    np.add.at(marks, starts, 1)
+    np.add.at(marks, starts + min_run, -1)
+    return np.cumsum(marks)[:n] > 0
+
+
+def main_texts(table: pa.Table, answers: pa.Table | None, min_run: int = MIN_RUN) -> list[str]:
+    """Main text of each page of a host, or of a block of a split host with the answers to what it sent."""
+    words, offsets = word_hashes(table["body"])
+    content = _contents(table)
+    shown = _furniture(table, content)
+    if table["parts"][0].as_py() < 2:
+        starts, distinct, counts = counted_runs(words, offsets, content, min_run)
+        pages = int(content.max()) + 1
+        verdict = _verdict(counts, pages)[distinct]
+        furniture = dict(zip(shown, _verdict(np.array([len(x) for x in shown.values()], np.int64), pages), strict=True))
+    else:
+        starts = _starts(offsets, min_run)
+        runs, texts = _salted(run_hashes(words, min_run, _RUN_BASE)[starts], table) if len(starts) else np.zeros(0, np.uint64), _salted(_block_number(list(shown)), table)
+        hashes, found = np.unique(np.r_[runs, texts]), X.received(answers)
+        verdict = found[np.searchsorted(hashes, runs)]
+        furniture = dict(zip(shown, found[np.searchsorted(hashes, texts)], strict=True))
+    repeated = _covered(len(words), starts[verdict >= 1], min_run)
     out = []
-    for page, own in zip(parsed, spans, strict=True):
-        has_content = any(zone == CONTENT for _, zone in page)
-        kept = []
-        for (text, zone), (i, j) in zip(page, own, strict=True):
+    for k, (body, zones) in enumerate(zip(table["body"].to_pylist(), table["zones"].to_pylist(), strict=True)):
+        kept, i, zone_digits = [], int(offsets[k]), zones
+        for text, zone in zip(body.split("\n"), map(int, zones), strict=False):
+            own = text.split(" ")
+            j = i + len(own)
             if zone == CONTENT:
-                if not (covered[i:j].all() and len(parsed) >= MIN_PAGES and 2 * len(furniture.get(text, ())) > len(parsed)):
+                if not (len(own) + 2 >= min_run and furniture.get(text, 0) == 2):
                     kept.append(text)
-            elif zone == PLAIN and not has_content:
-                run = text if not covered[i:j].any() else " ".join(w for w, c in zip(text.split(), covered[i:j], strict=True) if not c)
+            elif zone == PLAIN and str(CONTENT) not in zone_digits:
+                run = text if not repeated[i:j].any() else " ".join(w for w, c in zip(own, repeated[i:j], strict=True) if not c)
                 if run:
                     kept.append(run)
+            i = j
         out.append("\n\n".join(kept))
     return out
 
@@ -110,27 +232,37 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", ca
     """The ``carry`` columns, text and n_chars (code points) for every row of ``pages``.
 
     Nulls and edges: a null or empty html has empty text; pages without a valid URL are brought together as one host, split like
-    any other; the only page of a host has no repeated run; repeated rows (same URL and html) are one page and
-    get the same text; an empty table gives an empty result; other columns are ignored.
+    any other; the only content of a host has no repeated run; pages of a host with the same words, whatever their URLs, are one
+    content, and with the same blocks and zones get the same text; an empty table gives
+    an empty result; other columns are ignored.
     """
-    base = pages.select(*[pages[c].alias(f"c{i}") for i, c in enumerate(carry)], F.coalesce(host_of(pages[url]), F.lit("")).alias("host"), pages[html].alias("html"), F.xxhash64(pages[url], pages[html]).alias("page"))
-    sizes = base.groupBy("host").agg(F.sum(F.octet_length(F.coalesce("html", F.lit("")))).alias("size"))
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    bound = max(block_bytes, total // MAX_SPLIT_HOSTS)
-    large = sizes.where(F.col("size") > bound).select(F.col("host").alias("large"), F.ceil(F.col("size") / bound).alias("parts"))  # at most total / bound rows
-    placed = (base.join(F.broadcast(large), F.col("host") == F.col("large"), "left")
-              .withColumn("part", F.pmod("page", F.coalesce("parts", F.lit(1))).cast("int")).drop("large", "parts"))
     n = len(carry)
-    schema = T.StructType([T.StructField(f"c{i}", pages.schema[c].dataType) for i, c in enumerate(carry)] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    carried = [T.StructField(f"c{i}", pages.schema[c].dataType) for i, c in enumerate(carry)]
+    key = [T.StructField("host", T.StringType()), T.StructField("words", T.LongType()), T.StructField("blocks", T.LongType())]
+    result = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
+    names = [f.name for f in key]
+    base = pages.select(*[pages[c].alias(f"c{i}") for i, c in enumerate(carry)], F.coalesce(host_of(pages[url]), F.lit("")).alias("host"), pages[html].alias("html"))
+    parsed = written(base.mapInArrow(_parse(n), T.StructType([*carried, key[0], T.StructField("body", T.StringType()), T.StructField("zones", T.StringType()), *key[1:], T.StructField("size", T.LongType())])), "blocks", "zstd")
+    keys = written(parsed.groupBy(*names).agg(F.count("*").alias("n"), F.max("size").alias("size")), "keys")
+    hosts = written(keys.groupBy("host", "blocks").agg(F.sum("size").alias("size")).groupBy("host").agg(F.sum("size").alias("size"), F.count("*").alias("pages")), "hosts")
+    large = hosts.where(F.col("size") > block_bytes).select(F.col("host").alias("large"), F.ceil(F.col("size") / block_bytes).alias("parts"), "pages")
+    n_large, split_bytes = large.agg(F.count("*"), F.sum("parts") * block_bytes).first()
+    mine = [f.name for f in carried]
+    rows = parsed.select(*mine, *names, "body", "zones", F.lit(0).cast("bigint").alias("n"))
+    placed = (rows.join(F.broadcast(large) if n_large <= MAX_SPLIT_HOSTS else large, F.col("host") == F.col("large"), "left").drop("large")
+              .withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod("blocks", "parts").cast("int")))
+    by_block = placed.groupBy("host", "part")
+    kept = [*carried, *key, T.StructField("n", T.LongType())]
 
-    def run(table: pa.Table) -> pa.Table:
-        numbers: dict[int, int] = {}
-        page = [numbers.setdefault(x, len(numbers)) for x in table["page"].to_pylist()]
-        html_column = table["html"].to_pylist()
-        first: list[str | None] = [None] * len(numbers)
-        for k, body in zip(page, html_column, strict=True):
-            first[k] = body
-        texts = extract_block(first, min_run)
-        return pa.table({**{f"c{i}": table[f"c{i}"] for i in range(n)}, "text": pa.array([texts[k] for k in page], pa.string()), "n_chars": pa.array([len(texts[k]) for k in page], pa.int64())})
-
-    return placed.groupBy("host", "part").applyInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "text", "n_chars")
+    def finish(table: pa.Table, answers: pa.Table | None = None) -> pa.Table:
+        texts = main_texts(table, answers, min_run)
+        return pa.table({**{f.name: table[f.name] for f in kept}, "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())})
+
+    schema = T.StructType([*kept, *result])
+    if n_large:
+        buckets = max(1, -(-int(split_bytes) // (6 * X.BUCKET_ENTRIES)))
+        answers = by_block.applyInArrow(_send(buckets, min_run), _COUNTS).groupBy("bucket").applyInArrow(_decide, _CLASSES)
+        out = by_block.cogroup(answers.groupBy("host", "part")).applyInArrow(lambda table, found: finish(table, found), schema)
+    else:
+        out = by_block.applyInArrow(lambda table: finish(table), schema)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "text", "n_chars")

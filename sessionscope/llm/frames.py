@@ -15,12 +15,12 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[source].alias(name) for name, source in columns.items()])
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back (cuts lineage,
     survives lost executors, and is never computed twice)."""
     spark = df.sparkSession
     path = scratch_dir(spark, f"llm-{name}-{uuid.uuid4().hex}", temporary=True)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -144,6 +144,20 @@ def test_host_boilerplate(spark):
     assert boilerplate.extract_main_text(pages.limit(0)).collect() == []
 
 
+def texts(spark, rows, **options):
+    pages = frame(spark, rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in boilerplate.extract_main_text(pages, **options).collect()}
+
+
+def test_host_boilerplate_across_blocks(spark):
+    """A line that two of 60 pages share, and furniture counts, do not depend on how the host is split."""
+    rare, often = "this rare line stands on only two pages of them", "read all the latest stories on our front page"
+    rows = [(k, f"http://d.example/{k}", f"<div>{alone(k)}</div>{f'<div>{rare}</div>' if k in (3, 44) else ''}<article><p>own {alone(k + 100)}</p><p>{often}</p></article>") for k in range(60)]
+    whole = texts(spark, rows)
+    assert whole == {k: f"{alone(k)}\n\nown {alone(k + 100)}" for k in range(60)}
+    assert texts(spark, rows, block_bytes=700) == whole
+
+
 # --- mixing ----------------------------------------------------------------------------------------------------------
 
 def test_poisson_inversion(spark):
