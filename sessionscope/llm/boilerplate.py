@@ -209,17 +209,17 @@ def main_texts(table: pa.Table, answers: pa.Table | None, min_run: int = MIN_RUN
         hashes, found = np.unique(np.r_[runs, texts]), X.received(answers)
         verdict = found[np.searchsorted(hashes, runs)]
         furniture = dict(zip(shown, found[np.searchsorted(hashes, texts)], strict=True))
-    repeated = _covered(len(words), starts[verdict >= 1], min_run)
+    repeated, common = _covered(len(words), starts[verdict >= 1], min_run), _covered(len(words), starts[verdict == 2], min_run)
     out = []
     for k, (body, zones) in enumerate(zip(table["body"].to_pylist(), table["zones"].to_pylist(), strict=True)):
-        kept, i, zone_digits = [], int(offsets[k]), zones
+        kept, i = [], int(offsets[k])
         for text, zone in zip(body.split("\n"), map(int, zones), strict=False):
             own = text.split(" ")
             j = i + len(own)
             if zone == CONTENT:
-                if not (len(own) + 2 >= min_run and furniture.get(text, 0) == 2):
+                if not (common[i:j].all() or len(own) + 2 >= min_run and furniture.get(text, 0) == 2):
                     kept.append(text)
-            elif zone == PLAIN and str(CONTENT) not in zone_digits:
+            elif zone == PLAIN:
                 run = text if not repeated[i:j].any() else " ".join(w for w, c in zip(own, repeated[i:j], strict=True) if not c)
                 if run:
                     kept.append(run)

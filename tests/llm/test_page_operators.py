@@ -158,6 +158,13 @@ def test_host_boilerplate_across_blocks(spark):
     assert texts(spark, rows, block_bytes=700) == whole
 
 
+def test_markup_does_not_hide_text(spark):
+    """Main text in divs next to a teaser article stays; a line in the articles of most pages goes, one of few pages stays."""
+    rows = [(k, f"http://e.example/{k}", f"<div>{alone(k)}</div><article><p>teaser {k}</p><p>share this story with all of your friends today</p>{'<p>a passage that is quoted on just two of the pages</p>' if k < 2 else ''}</article>") for k in range(12)]
+    got = texts(spark, rows)
+    assert got[5] == f"{alone(5)}\n\nteaser 5" and got[0] == f"{alone(0)}\n\nteaser 0\n\na passage that is quoted on just two of the pages"
+
+
 # --- mixing ----------------------------------------------------------------------------------------------------------
 
 def test_poisson_inversion(spark):
