@@ -145,7 +145,7 @@ def _block_number(texts: list[str]) -> np.ndarray:
 
 
 def _contents(table: pa.Table) -> np.ndarray:
-    return np.unique(table["blocks"].to_numpy(), return_inverse=True)[1]
+    return np.unique(table["words"].to_numpy(), return_inverse=True)[1]
 
 
 def _send(buckets: int, min_run: int):
@@ -244,13 +244,13 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", ca
     base = pages.select(*[pages[c].alias(f"c{i}") for i, c in enumerate(carry)], F.coalesce(host_of(pages[url]), F.lit("")).alias("host"), pages[html].alias("html"))
     parsed = written(base.mapInArrow(_parse(n), T.StructType([*carried, key[0], T.StructField("body", T.StringType()), T.StructField("zones", T.StringType()), *key[1:], T.StructField("size", T.LongType())])), "blocks", "zstd")
     keys = written(parsed.groupBy(*names).agg(F.count("*").alias("n"), F.max("size").alias("size")), "keys")
-    hosts = written(keys.groupBy("host", "blocks").agg(F.sum("size").alias("size")).groupBy("host").agg(F.sum("size").alias("size"), F.count("*").alias("pages")), "hosts")
+    hosts = written(keys.groupBy("host", "words").agg(F.sum("size").alias("size")).groupBy("host").agg(F.sum("size").alias("size"), F.count("*").alias("pages")), "hosts")
     large = hosts.where(F.col("size") > block_bytes).select(F.col("host").alias("large"), F.ceil(F.col("size") / block_bytes).alias("parts"), "pages")
     n_large, split_bytes = large.agg(F.count("*"), F.sum("parts") * block_bytes).first()
     mine = [f.name for f in carried]
     rows = parsed.select(*mine, *names, "body", "zones", F.lit(0).cast("bigint").alias("n"))
     placed = (rows.join(F.broadcast(large) if n_large <= MAX_SPLIT_HOSTS else large, F.col("host") == F.col("large"), "left").drop("large")
-              .withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod("blocks", "parts").cast("int")))
+              .withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod("words", "parts").cast("int")))
     by_block = placed.groupBy("host", "part")
     kept = [*carried, *key, T.StructField("n", T.LongType())]
 

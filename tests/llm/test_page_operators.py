@@ -165,6 +165,13 @@ def test_markup_does_not_hide_text(spark):
     assert got[5] == f"{alone(5)}\n\nteaser 5" and got[0] == f"{alone(0)}\n\nteaser 0\n\na passage that is quoted on just two of the pages"
 
 
+def test_copies_and_short_blocks_keep_their_text(spark):
+    """One article under several URLs is one content; four shared words in a block of their own are no run."""
+    rows = [(k, f"http://f.example/a?utm={k}", f"<!-- {k} --><div>{alone(1)}</div>") for k in range(5)] + [(k, f"http://f.example/{k}", f"<div>{alone(k)}</div><div>four words stand here</div><div>{alone(k + 50)}</div>") for k in (10, 11)]
+    got = texts(spark, rows)
+    assert all(got[k] == alone(1) for k in range(5)) and all(got[k] == f"{alone(k)}\n\nfour words stand here\n\n{alone(k + 50)}" for k in (10, 11))
+
+
 # --- mixing ----------------------------------------------------------------------------------------------------------
 
 def test_poisson_inversion(spark):
