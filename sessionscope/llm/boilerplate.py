@@ -36,6 +36,9 @@ BLOCK_BYTES = 1 << 20
 MIN_PAGES = 10
 #: Hosts large enough to be split that may be broadcast at most; more are joined by shuffle.
 MAX_SPLIT_HOSTS = 1_000_000
+#: Repeated pages (distinct ones, and rows) that may be broadcast at most; more are joined by shuffle. Rows of one repeated page that meet in a task.
+MAX_BROADCAST_COPIES = 100_000
+COPIES_TOGETHER = 4096
 _RUN_BASE = 0xD1342543DE82EF95
 _COUNTS = "bucket int, host string, part int, pages long, h binary, n binary"
 _CLASSES = "host string, part int, bucket int, found binary"
@@ -233,7 +236,7 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", ca
 
     Nulls and edges: a null or empty html has empty text; pages without a valid URL are brought together as one host, split like
     any other; the only content of a host has no repeated run; pages of a host with the same words, whatever their URLs, are one
-    content, and with the same blocks and zones get the same text; an empty table gives
+    content, and with the same blocks and zones get the same text (they are reduced to one before they are brought together); an empty table gives
     an empty result; other columns are ignored.
     """
     n = len(carry)
@@ -247,8 +250,16 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", ca
     hosts = written(keys.groupBy("host", "words").agg(F.sum("size").alias("size")).groupBy("host").agg(F.sum("size").alias("size"), F.count("*").alias("pages")), "hosts")
     large = hosts.where(F.col("size") > block_bytes).select(F.col("host").alias("large"), F.ceil(F.col("size") / block_bytes).alias("parts"), "pages")
     n_large, split_bytes = large.agg(F.count("*"), F.sum("parts") * block_bytes).first()
+    many = keys.where("n > 1").select(*names, "n")
+    n_many, n_copies = many.agg(F.count("*"), F.sum("n")).first()
     mine = [f.name for f in carried]
     rows = parsed.select(*mine, *names, "body", "zones", F.lit(0).cast("bigint").alias("n"))
+    if n_many:
+        marked = (parsed.withColumn("row", F.monotonically_increasing_id())
+                  .join(F.broadcast(many) if n_many <= MAX_BROADCAST_COPIES else many, names, "left"))
+        first = marked.where("n is not null").groupBy(*names).agg(F.first("body").alias("body"), F.first("zones").alias("zones"), F.first("n").alias("n"))
+        rows = (marked.where("n is null").select(*mine, *names, "body", "zones", F.lit(0).cast("bigint").alias("n"))
+                .unionByName(first.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in carried], *names, "body", "zones", "n")))
     placed = (rows.join(F.broadcast(large) if n_large <= MAX_SPLIT_HOSTS else large, F.col("host") == F.col("large"), "left").drop("large")
               .withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod("words", "parts").cast("int")))
     by_block = placed.groupBy("host", "part")
@@ -265,4 +276,10 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", ca
         out = by_block.cogroup(answers.groupBy("host", "part")).applyInArrow(lambda table, found: finish(table, found), schema)
     else:
         out = by_block.applyInArrow(lambda table: finish(table), schema)
+    if n_many:  # a repeated page returns to all of its rows, dealt over as many keys as its rows need
+        shares = F.greatest(F.ceil(F.col("n") / COPIES_TOGETHER), F.lit(1))
+        copies = marked.where("n is not null").select(*[F.col(c).alias(f"own_{c}") for c in mine], *names, F.pmod("row", shares).alias("share"), F.lit(True).alias("copy"))
+        out = (out.withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), shares - 1)))
+               .join(F.broadcast(copies) if n_copies <= MAX_BROADCAST_COPIES else copies, [*names, "share"], "left").where("n = 0 or copy"))
+        out = out.select(*[F.when(F.col("n") > 0, F.col(f"own_{c}")).otherwise(F.col(c)).alias(c) for c in mine], "text", "n_chars")
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "text", "n_chars")

@@ -172,6 +172,23 @@ def test_copies_and_short_blocks_keep_their_text(spark):
     assert all(got[k] == alone(1) for k in range(5)) and all(got[k] == f"{alone(k)}\n\nfour words stand here\n\n{alone(k + 50)}" for k in (10, 11))
 
 
+def test_repeated_page_is_one_row_of_a_task(spark, monkeypatch):
+    """Copies of one page are reduced before they are brought together, and all get their text."""
+    rows = [(k, "http://g.example/", f"<div>{alone(1)}</div>") for k in range(300)] + [(400 + k, "http://g.example/2", f"<div>{alone(2 + k)}</div>") for k in range(3)]
+    held = boilerplate.main_texts
+
+    def few(table, *rest):
+        assert table.num_rows <= 4
+        return held(table, *rest)
+    monkeypatch.setattr(boilerplate, "main_texts", few)
+    got = texts(spark, rows)
+    assert len(got) == 303 and all(got[k] == alone(1) for k in range(300)) and got[402] == alone(4)
+    monkeypatch.setattr(boilerplate, "MAX_BROADCAST_COPIES", 0)
+    monkeypatch.setattr(boilerplate, "COPIES_TOGETHER", 7)
+    assert texts(spark, rows) == got
+    assert boilerplate.extract_main_text(frame(spark, rows, "page_id long, url string, html string")).count() == 303
+
+
 # --- mixing ----------------------------------------------------------------------------------------------------------
 
 def test_poisson_inversion(spark):
