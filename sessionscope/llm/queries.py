@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from sessionscope.llm import bytepair
 from sessionscope.llm.boilerplate import extract_main_text
 from sessionscope.llm.decontaminate import find_contamination
 from sessionscope.llm.jaccard import link_groups
@@ -199,6 +202,13 @@ from docs d left join sizes on d.r = sizes.r join reach on reach.a = d.r join do
 """
 
 
+def op11_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bytepair.load_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    tokens = bytepair.decode(bytepair.encode(_table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN), vocabulary)
+    return tokens.select("doc_id", bytepair.n_tokens(F.col("ids")).alias("n_tokens"),
+                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 #: name -> (query, DuckDB SQL or None)
 QUERIES = {
     "op1_language_id": (op1_language_id, None),
@@ -211,4 +221,5 @@ QUERIES = {
     "op6_quality_cascade": (op6_quality_cascade, OP6_SQL),
     "op9_url_list_join": (op9_url_list_join, OP9_SQL),
     "op10_ngram_jaccard_join": (op10_ngram_jaccard_join, OP10_SQL),
+    "op11_segment_tree_bpe": (op11_segment_tree_bpe, None),
 }
