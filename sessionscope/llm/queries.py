@@ -14,6 +14,7 @@ from sessionscope.llm.jaccard import link_groups
 from sessionscope.llm.langid import held_out, identify, train
 from sessionscope.llm.mixing import mix
 from sessionscope.llm.preference import format_pairs, pairs_from_conversations
+from sessionscope.llm.prefixtrie import first_turns, later_turns, prefix_nodes, turn_sequences
 from sessionscope.llm.quality import judge
 from sessionscope.llm.substring import remove_repeats
 from sessionscope.llm.urllists import evaluate, history_from_pages
@@ -209,6 +210,45 @@ def op11_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = turn_sequences(_table(spark, sf_dir, "conversations"))
+    family, taken = F.col("conv") - F.col("conv") % 100, F.pmod(F.crc32(F.col("conv").cast("string")), F.lit(6)).cast("int")
+    opening = own.where(F.col("conv") % 100 == 0).select(F.col("conv").alias("family"), first_turns(F.col("seq"), 5).alias("opening"))
+    rebuilt = own.withColumn("family", family).join(opening, "family", "left").select(
+        "conv", F.concat(F.coalesce(first_turns(F.col("opening"), taken), F.unhex(F.lit(""))), later_turns(F.col("seq"), taken)).alias("seq"))
+    return prefix_nodes(rebuilt)
+
+
+OP12_SQL = r"""
+with turns as (
+  select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as k
+  from conversations where conv_id is not null),
+ids as (
+  select c, c - c % 100 as base, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(c::varchar) + 1), lambda i: ord(substr(c::varchar, i, 1))::bigint)),
+    lambda a, b: list_reduce(list_concat([xor(a::bigint, b::bigint)], range(8)), lambda x, _: case when x % 2 = 1 then xor((x // 2)::bigint, 3988292384::bigint) else x // 2 end)), 4294967295::bigint) % 6 as h
+  from (select distinct c from turns)),
+rebuilt as (
+  select ids.c, 0 as part, k, role, text from ids join turns on turns.c = base and k <= h
+  union all select ids.c, 1, k, role, text from ids join turns on turns.c = ids.c and k > h),
+steps as (
+  select c, row_number() over w as d, length(text) as chars, string_agg(md5(length(role) || ':' || role || text), '') over w as path
+  from rebuilt window w as (partition by c order by part, k rows between unbounded preceding and current row)),
+member as (select c, d, chars, path from steps union all select c, 0, 0, '' from ids),
+depths as (select c, max(d) as full_depth from member group by c),
+node as (
+  select path, any_value(d) as depth, any_value(chars) as chars, min(c) as conv_id, count(*) as n_convs, any_value(left(path, length(path) - 32)) as above,
+    string_agg(c::varchar, ',' order by c) filter (d = full_depth) as ends
+  from member join depths using (c) group by path),
+kids as (select above, count(*) as n from node where depth > 0 group by above),
+below as (select path, above as anc_path from (select distinct d.path, a.path as above from member d join member a on a.c = d.c and a.d <= d.d)),
+sums as (
+  select anc_path, sum((n_convs - 1) * chars) as saved, count(*) filter (k.n is null) as leaves
+  from below join node on node.path = below.path left join kids k on k.above = node.path group by anc_path)
+select x.conv_id, x.depth, up.conv_id as parent_conv_id, x.n_convs, coalesce(kids.n, 0) as n_children, leaves as n_leaves, saved::bigint as saved_tokens, sha256(coalesce(x.ends, '')) as ends_sha256
+from node x left join node up on x.depth > 0 and up.path = x.above left join kids on kids.above = x.path join sums on sums.anc_path = x.path
+"""
+
+
 #: name -> (query, DuckDB SQL or None)
 QUERIES = {
     "op1_language_id": (op1_language_id, None),
@@ -222,4 +262,5 @@ QUERIES = {
     "op9_url_list_join": (op9_url_list_join, OP9_SQL),
     "op10_ngram_jaccard_join": (op10_ngram_jaccard_join, OP10_SQL),
     "op11_segment_tree_bpe": (op11_segment_tree_bpe, None),
+    "op12_prefix_trie": (op12_prefix_trie, OP12_SQL),
 }

@@ -3,13 +3,14 @@
 import base64
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 
-from sessionscope.llm import bytepair
+from sessionscope.llm import bytepair, prefixtrie
 from sessionscope.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -93,3 +94,93 @@ def test_registered_encoding_of_whole_documents(spark, library):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     out = QUERIES["op11_segment_tree_bpe"][0](spark, SF).collect()
     assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in out} == {i: expected_tokens(library, t) for i, t in texts.items()}
+
+
+def brute_trie(members):
+    """Rows of every prefix, from the whole sequences of turns by conversation."""
+    nodes = {}
+    for c, turns in members.items():
+        for d in range(len(turns) + 1):
+            nodes.setdefault(turns[:d], []).append(c)
+    rows = []
+    for path, convs in nodes.items():
+        subtree = [p for p in nodes if p[:len(path)] == path]
+        kids = [p for p in nodes if len(p) == len(path) + 1 and p[:len(path)] == path]
+        leaves = sum(not any(q[:len(p)] == p and len(q) > len(p) for q in subtree) for p in subtree)
+        saved = sum((len(nodes[p]) - 1) * len(p[-1][1]) for p in subtree if p)
+        ends = ",".join(str(c) for c in sorted(convs) if members[c] == path)
+        rows.append((min(convs), len(path), min(nodes[path[:-1]]) if path else None, len(convs), len(kids), leaves, saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(rows, key=str)
+
+
+def turns_of(rows):
+    ids = {r[0] for r in rows if r[0] is not None}
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")
+    return {c: tuple((r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == c), key=key)) for c in ids}
+
+
+def conversation_rows(n, seed):
+    """Copies, shared openings, prefixes of others, one long conversation, ties, nulls and repeated rows."""
+    rnd = random.Random(seed)
+    rows = []
+    for c in range(0, 3 * n, 3):
+        turns = [("user" if k % 2 == 0 else "assistant", rnd.choice("abc") * rnd.randint(1, 2)) for k in range(rnd.randint(1, 6))]
+        if c % 4 == 0:
+            turns = [("user", "hot"), ("assistant", "same")]
+        rows += [(c, k, *t) for k, t in enumerate(turns)]
+    rows += [(3 * n, k, "user", "abé😀"[k % 4]) for k in range(300)] + [(3 * n + 1, k, "user", "abé😀"[k % 4]) for k in range(120)]
+    rows += [(-7, None, "user", "x"), (-7, None, "user", "x"), (-7, 1, None, None), (-7, 1, "user", "b"), (-7, 1, "user", "a"), (None, 0, "user", "lost"), (-9, 2, None, ""), (100, 5, "user", "late")]
+    return rows
+
+
+def trie_rows(frame):
+    return sorted((tuple(r) for r in frame.collect()), key=str)
+
+
+@pytest.mark.parametrize("block_bytes", [1, 1 << 20])
+def test_prefix_nodes_against_brute_force(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(prefixtrie, "CHUNK", 20)
+    monkeypatch.setattr(prefixtrie, "BLOCK_BYTES", 2000 if block_bytes == 1 else block_bytes)
+    rows = conversation_rows(70, 4)
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, seq string")
+    members = turns_of(rows)
+    found = prefixtrie.prefix_nodes(prefixtrie.turn_sequences(frame.repartition(3)))
+    assert found.columns == ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    assert trie_rows(found) == brute_trie(members)
+
+
+def test_prefix_runs_by_search_on_random_sequences():
+    rnd = random.Random(8)
+    turn = lambda k: bytes([k]) * 16 + (k + 1).to_bytes(4, "big")
+    for _ in range(60):
+        paths = sorted({tuple(rnd.randrange(2) for _ in range(rnd.randint(0, 5))) for _ in range(rnd.randint(1, 20))})
+        p = prefixtrie._Sorted([b"".join(map(turn, x)) for x in paths]).prefixes()
+        expected = sorted({x[:d] for x in paths for d in range(len(x) + 1)})
+        assert [paths[r][:d] for r, d in zip(p.row, p.depth, strict=True)] == expected
+        for k, x in enumerate(expected):
+            run = [i for i, y in enumerate(paths) if y[:len(x)] == x]
+            assert (p.row[k], p.right[k]) == (run[0], run[-1])
+            assert p.end[k] == k + sum(y[:len(x)] == x for y in expected)
+            assert p.parent[k] == (expected.index(x[:-1]) if x else -1)
+            assert p.chars[k] == (x[-1] + 1 if x else 0)
+
+
+def rebuilt(members):
+    out = {}
+    for c, turns in members.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        out[c] = members.get(c - c % 100, ())[:h] + turns[h:]
+    return out
+
+
+def test_registered_trie_with_rebuilt_conversations(spark, tmp_path):
+    rows = [r for r in conversation_rows(90, 6) if r[0] is None or r[0] >= 0]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert trie_rows(QUERIES["op12_prefix_trie"][0](spark, str(tmp_path))) == brute_trie(rebuilt(turns_of(rows)))
+
+
+def test_trie_of_nothing_and_of_turnless_conversations(spark, tmp_path):
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert prefixtrie.prefix_nodes(prefixtrie.turn_sequences(empty)).collect() == []
+    one = spark.createDataFrame([(5, b""), (3, b"")], "conv long, seq binary")
+    assert trie_rows(prefixtrie.prefix_nodes(one)) == [(3, 0, None, 2, 0, 1, 0, hashlib.sha256(b"3,5").hexdigest())]
