@@ -16,6 +16,7 @@ from sessionscope.llm.mixing import mix
 from sessionscope.llm.preference import format_pairs, pairs_from_conversations
 from sessionscope.llm.prefixtrie import first_turns, later_turns, prefix_nodes, turn_sequences
 from sessionscope.llm.quality import judge
+from sessionscope.llm.resample import resample
 from sessionscope.llm.substring import remove_repeats
 from sessionscope.llm.urllists import evaluate, history_from_pages
 from sessionscope.llm.warc import build_derivatives, responses_from_pages
@@ -249,6 +250,40 @@ from node x left join node up on x.depth > 0 and up.path = x.above left join kid
 """
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+with docs as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents),
+items as (
+  select unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word
+  from benchmark where text is not null),
+found as (select r, word, count(*) as n from (select r, unnest(w) as word from docs) group by all),
+spelled as (select distinct word, hex(word) as hex from (select word from found union all select word from items)),
+bucket as (
+  select word, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(hex), 2), lambda i: ('0x' || substr(hex, i, 2))::bigint)),
+    lambda a, b: list_reduce(list_concat([xor(a::bigint, b::bigint)], range(8)), lambda x, _: case when x % 2 = 1 then xor((x // 2)::bigint, 3988292384::bigint) else x // 2 end)), 4294967295::bigint) % 10000 as b
+  from spelled),
+corpus as (select b, sum(n) as s from found join bucket using (word) group by b),
+target as (select b, count(*) as t from items join bucket using (word) group by b),
+gains as (
+  select range as b, floor(1000 * ln(((coalesce(t, 0) + 1)::double * ((select coalesce(sum(s), 0) from corpus) + 10000)::double)
+    / ((coalesce(s, 0) + 1)::double * ((select coalesce(sum(t), 0) from target) + 10000)::double)))::bigint as gain
+  from range(10000) left join corpus on range = corpus.b left join target on range = target.b),
+weights as (select r, sum(n * gain)::bigint as weight from found join bucket using (word) join gains using (b) group by r),
+scored as (
+  select doc_id, len(w)::bigint as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint::double + 0.5) / 4294967296)))::bigint as score
+  from docs left join weights using (r)),
+placed as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id) as place, count(*) over (partition by n_features >= 20) as n from scored)
+select doc_id, n_features, weight, score, case when n_features >= 20 and place <= 10 * n // 100 then place end as rank
+from placed
+"""
+
+
 #: name -> (query, DuckDB SQL or None)
 QUERIES = {
     "op1_language_id": (op1_language_id, None),
@@ -263,4 +298,5 @@ QUERIES = {
     "op10_ngram_jaccard_join": (op10_ngram_jaccard_join, OP10_SQL),
     "op11_segment_tree_bpe": (op11_segment_tree_bpe, None),
     "op12_prefix_trie": (op12_prefix_trie, OP12_SQL),
+    "op13_importance_resampling": (op13_importance_resampling, OP13_SQL),
 }

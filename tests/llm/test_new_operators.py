@@ -2,15 +2,18 @@
 
 import base64
 import hashlib
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 
-from sessionscope.llm import bytepair, prefixtrie
+from sessionscope.llm import bytepair, prefixtrie, resample
 from sessionscope.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -184,3 +187,58 @@ def test_trie_of_nothing_and_of_turnless_conversations(spark, tmp_path):
     assert prefixtrie.prefix_nodes(prefixtrie.turn_sequences(empty)).collect() == []
     one = spark.createDataFrame([(5, b""), (3, b"")], "conv long, seq binary")
     assert trie_rows(prefixtrie.prefix_nodes(one)) == [(3, 0, None, 2, 0, 1, 0, hashlib.sha256(b"3,5").hexdigest())]
+
+
+def brute_resample(rows, target, least, percent, buckets=10000, longest=1):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    runs = lambda w: [zlib.crc32(" ".join(w[i:i + k]).encode()) % buckets for k in range(1, longest + 1) for i in range(len(w) - k + 1)]
+    s, t = Counter(), Counter()
+    for _, text in rows:
+        s.update(runs(words(text)))
+    for text in target:
+        t.update(runs(words(text)))
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (s.total() + buckets) / ((s[b] + 1) * (t.total() + buckets))))
+    out = []
+    for i, text in rows:
+        found, h = runs(words(text)), int(hashlib.sha256(f"2024:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(map(gain, found))
+        out.append([i, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32))), len(words(text)) >= least])
+    drawn = sorted((r for r in out if r[4]), key=lambda r: (-r[3], r[0] is None, r[0]))
+    place = {id(r): k + 1 for k, r in enumerate(drawn[:len(drawn) * percent // 100])}
+    return sorted([(*r[:4], place.get(id(r))) for r in out], key=str)
+
+
+def resample_rows(n, seed):
+    rnd = random.Random(seed)
+    vocabulary = [f"W{i}é" if i % 5 == 0 else f"w{i}" for i in range(50)]
+    rows = [(i, rnd.choice([" ", "\n", "-", "_."]).join(rnd.choice(vocabulary) for _ in range(rnd.randint(1, 60)))) for i in range(n)]
+    rows += [(n, None), (n + 1, ""), (n + 2, " .,"), (n + 3, "long " * 9000), (None, "same words " * 15), (7, rows[7][1]), (7, rows[7][1]), (-5, "w1 " * 30)]
+    return rows, ["w1 w2 w3 w4", None, "", "W5é " * 40]
+
+
+@pytest.mark.parametrize(("percent", "longest", "parts"), [(10, 1, 3), (100, 1, 7), (55, 3, 1), (0, 1, 2)])
+def test_resampling_against_brute_force(spark, monkeypatch, percent, longest, parts):
+    monkeypatch.setattr(resample, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(resample, "RUN_ROWS", 25)
+    rows, target = resample_rows(300, 3)
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, _s string, score int").repartition(parts)
+    items = spark.createDataFrame([(t,) for t in target], "text string")
+    found = resample.resample(docs, items, carry=("_s",), longest=longest, percent=percent)
+    assert found.columns == ["doc_id", "n_features", "weight", "score", "rank", "_s"]
+    assert sorted((tuple(r)[:5] for r in found.collect()), key=str) == brute_resample(rows, target, 20, percent, longest=longest)
+
+
+def test_one_score_for_all_rows(spark, monkeypatch):
+    """A single hot key of the sort: segments are cut by the tie."""
+    monkeypatch.setattr(resample, "RUN_ROWS", 10)
+    rows = spark.range(500).selectExpr("5L as score", "id as doc_id").repartition(6)
+    ranked = resample.rank_highest(rows, "score", "doc_id", 500, 480).collect()
+    assert sorted((r["doc_id"], r["rank"]) for r in ranked if r["rank"]) == [(i, i + 1) for i in range(480)]
+    assert len(ranked) == 500
+
+
+def test_resampling_of_nothing(spark):
+    empty, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "text string")
+    assert resample.resample(empty, items).collect() == []
+    one = spark.createDataFrame([(1, "w " * 30)], "doc_id long, text string")
+    assert [r["rank"] for r in resample.resample(one, items, percent=100).collect()] == [1]
