@@ -112,6 +112,25 @@ def flatten_events(raw: DataFrame, start: str | None, end: str | None, event_nam
     )
 
 
+EVENT_COLUMNS = COMMON_EVENT_COLUMNS + list(dict.fromkeys(c for extra in EXTRA_COLUMNS.values() for c in extra))
+
+
+def extract_events(raw: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    """I8 in one pass: the rows of all six types with ``event_table``, each with the columns of its own table (others NULL)."""
+    flat = flatten_events(raw, start, end)
+    kept = {c: [t for t, extra in EXTRA_COLUMNS.items() if c in extra] for c in EVENT_COLUMNS[len(COMMON_EVENT_COLUMNS):]}
+    return flat.select("event_table", *COMMON_EVENT_COLUMNS, *[F.when(F.col("event_table").isin(tables), F.col(c)).alias(c) for c, tables in kept.items()], "raw_data")
+
+
+def reclassified(events: DataFrame) -> DataFrame:
+    """I13 on the rows of ``extract_events``: a failed search without the marker in its title becomes a successful one."""
+    moved = (F.col("event_table") == "no_search_results") & ~F.coalesce(F.col("param_page_title"), F.lit("")).contains(NO_RESULTS_TITLE)
+    failed_term = F.col("param_no_search_results_term")
+    return events.withColumns({"event_table": F.when(moved, F.lit("view_search_results")).otherwise(F.col("event_table")),
+                               "param_search_term": F.when(moved, failed_term).otherwise(F.col("param_search_term")),
+                               "param_no_search_results_term": F.when(~moved, failed_term)})
+
+
 def table_view(flat: DataFrame, table: str) -> DataFrame:
     """One event table's rows and columns out of the wide flat frame."""
     cols = COMMON_EVENT_COLUMNS + EXTRA_COLUMNS[table] + ["raw_data"]
@@ -124,8 +143,8 @@ def extract_table(raw: DataFrame, table: str, start: str | None, end: str | None
 
 
 def extract_all(raw: DataFrame, start: str | None, end: str | None) -> dict[str, DataFrame]:
-    """I8: all six types (before reclassification), each a lazy frame over its own event names. Failures
-    show when a frame runs: ``ingest.run_ingest`` isolates them type by type, at its write."""
+    """I8 as lazy frames: each type (before reclassification) over its own event names. ``extract_events`` has all of
+    them in one pass; ``ingest.stage_events`` writes that, and falls back to these frames to isolate a failure."""
     return {t: extract_table(raw, t, start, end) for t in EVENT_NAMES}
 
 

@@ -1,17 +1,18 @@
 """Sinks: idempotent date-range replace of event tables (I14), upserts of users and
 locations (I15/I16) and the per-run record summary (I17).
 
-Event tables are stored as Parquet partitioned by (tenant_id, event_date). A replace
-writes the new rows once, to a staging folder, then swaps the (tenant, date)
-partitions of its range by file-system operations: nothing outside the range is
-read or written, and no Spark job runs per partition. Upserts write a new version
-of the table to a new folder (plain Parquet has no MERGE), never the path being
-read; readers follow the latest complete version.
+Event tables are stored as Parquet partitioned by (tenant_id, event_date). A replace stages its new rows once and
+then commits them by one dynamic partition overwrite: Spark's committer puts the (tenant, day) partitions that
+have new rows in place of the stored ones, in one job, whatever their number. Days of the range that have no row any more are found from
+the table's partition columns and only their folders are deleted. Last, the pairs that changed are added to the table's
+change log, ``<table>.changes``, which readers that keep something derived (``streaming.rollups``) follow. Upserts write a new version
+of the table to a new folder (plain Parquet has no MERGE), never the path being read; readers follow the latest complete version.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,38 +21,40 @@ from sessionscope.session import children, delete_path, path_exists, rename_path
 from sessionscope.sources.extract import EVENT_NAMES
 
 SUMMARY_TYPES = list(EVENT_NAMES) + ["users_processed", "locations_processed"]
+PAIR = ["tenant_id", "event_date"]
+PAIR_SCHEMA = "tenant_id string, event_date date"
 
 
-def _tenant_folder(spark: SparkSession, tenant_id: str) -> str:
-    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    return f"tenant_id={escape(tenant_id)}"
+def changes_path(table_path: str) -> str:
+    """Change log of an event table: the (tenant, day) pairs of every replace, one append a commit."""
+    return f"{table_path.rstrip('/')}.changes"
 
 
-def _partitions(spark: SparkSession, path: str, tenants=None) -> set[tuple[str, str]]:
-    """(tenant folder, date folder) of a stored event table, from its listing."""
-    names = [n for n, _, _ in children(spark, path) if n.startswith("tenant_id=")] if tenants is None else tenants
-    return {(t, d) for t in names for d, _, _ in children(spark, f"{path}/{t}") if d.startswith("event_date=")}
+def stored_pairs(spark: SparkSession, table_path: str) -> DataFrame:
+    """Distinct (tenant, day) of a stored event table; only partition columns are read."""
+    if not path_exists(spark, table_path):
+        return spark.createDataFrame([], PAIR_SCHEMA)
+    return spark.read.schema(PAIR_SCHEMA).parquet(table_path).select(*PAIR).distinct()
 
 
-def swap_partitions(spark: SparkSession, table_path: str, rows: DataFrame, gone) -> set[tuple[str, str]]:
-    """Write ``rows`` to a staging folder, then put each of its (tenant, date) partitions in place of the
-    stored one and delete the stored ones that ``gone(stored, staged)`` names. Returns the staged partitions.
+def _partition_folder(spark: SparkSession, table_path: str, tenant_id: str, day) -> str:
+    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    return f"{table_path}/tenant_id={escape(tenant_id)}/event_date={day}"
 
-    Folder operations only touch those partitions; a run that is cut short leaves each partition
-    old, new or missing, and running it again completes it."""
-    staging = f"{table_path.rstrip('/')}.staging-{uuid.uuid4().hex}"
-    try:
-        rows.hint("rebalance", "tenant_id", "event_date").write.partitionBy("tenant_id", "event_date").parquet(staging)
-        staged = _partitions(spark, staging)
-        for t, d in gone(staged):
-            delete_path(spark, f"{table_path}/{t}/{d}")
-        for t, d in sorted(staged):
-            delete_path(spark, f"{table_path}/{t}/{d}")
-            if not rename_path(spark, f"{staging}/{t}/{d}", f"{table_path}/{t}/{d}"):
-                raise RuntimeError(f"partition {t}/{d} could not be put in place")
-    finally:
-        delete_path(spark, staging)
-    return staged
+
+def replace_pairs(spark: SparkSession, table_path: str, staged: DataFrame, replaced: Callable[[DataFrame], DataFrame]) -> None:
+    """Put the rows of ``staged`` (a stored frame, as it is read more than once) in place of their (tenant, day) pairs, and empty
+    those stored pairs that ``replaced(stored pairs)`` names and ``staged`` has no row of; then log all of them.
+
+    The overwrite is one job; the driver touches a folder only for a pair that is emptied. A run that is cut short is completed by
+    running it again: it logs every pair that it stands for, changed before or not."""
+    new = staged.select(*PAIR).distinct()
+    emptied = replaced(stored_pairs(spark, table_path)).join(new, PAIR, "left_anti").collect()
+    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PAIR).parquet(table_path))
+    for tenant_id, day in emptied:
+        delete_path(spark, _partition_folder(spark, table_path, tenant_id, day))
+    changed = new if not emptied else new.union(spark.createDataFrame([tuple(r) for r in emptied], PAIR_SCHEMA))
+    changed.write.mode("append").parquet(changes_path(table_path))
 
 
 def replace_date_range(spark: SparkSession, table_path: str, tenant_id: str | None, start: str, end: str,
@@ -62,18 +65,30 @@ def replace_date_range(spark: SparkSession, table_path: str, tenant_id: str | No
     range for every tenant present in ``rows`` in one job. ``skip_if_empty`` keeps the service's behaviour:
     an empty batch leaves the old rows in place. Returns ``skipped`` / ``replaced``.
     """
-    new = rows if tenant_id is None else rows.withColumn("tenant_id", F.lit(tenant_id))
-    new = new.filter(F.col("event_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    in_range = F.col("event_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    new = (rows if tenant_id is None else rows.withColumn("tenant_id", F.lit(tenant_id))).filter(in_range)
+    staging = f"{table_path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    try:
+        new.hint("rebalance", *PAIR).write.partitionBy(*PAIR).parquet(staging)
+        return replace_staged_range(spark, table_path, tenant_id, start, end, spark.read.schema(new.schema).parquet(staging), skip_if_empty)
+    finally:
+        delete_path(spark, staging)
+
+
+def replace_staged_range(spark: SparkSession, table_path: str, tenant_id: str | None, start: str, end: str, staged: DataFrame,
+                         skip_if_empty: bool = True) -> str:
+    """``replace_date_range`` for rows that are stored already and lie in the range."""
+    if skip_if_empty and staged.isEmpty():
+        return "skipped"
+    in_range = F.col("event_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    own = F.col("tenant_id") == F.lit(tenant_id)
 
-    def gone(staged):
-        if skip_if_empty and not staged:
-            return []
-        tenants = {_tenant_folder(spark, tenant_id)} if tenant_id is not None else {t for t, _ in staged}
-        stored = _partitions(spark, table_path, sorted(tenants))
-        return sorted((t, d) for t, d in stored - staged if start <= d.removeprefix("event_date=") <= end)
+    def replaced(stored: DataFrame) -> DataFrame:
+        stored = stored.filter(in_range)
+        return stored.filter(own) if tenant_id is not None else stored.join(staged.select("tenant_id").distinct(), "tenant_id", "left_semi")
 
-    staged = swap_partitions(spark, table_path, new, gone)
-    return "skipped" if skip_if_empty and not staged else "replaced"
+    replace_pairs(spark, table_path, staged, replaced)
+    return "replaced"
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order_col: str | None = None,
@@ -131,17 +146,22 @@ def persist_upsert(spark: SparkSession, table_path: str, batch: DataFrame, keys:
     return target
 
 
-def ingest_run_summary(counts: dict[str, DataFrame], failed_types=(), by: str = "tenant_id") -> DataFrame:
-    """Record count per (tenant, type), zero-filled over the six event types plus
-    users and locations; status ``completed_with_warnings`` when a type failed.
-
-    Each input is read once: the counts of a tenant are spread over the fixed list of types
-    (missing ones at zero) after one grouped count of all inputs together."""
-    parts = [df.select(by).groupBy(by).agg(F.count(F.lit(1)).alias("records")).withColumn("data_type", F.lit(t))
-             for t, df in counts.items()]
+def record_counts(counts: dict[str, DataFrame], by: str = "tenant_id") -> DataFrame:
+    """(tenant, data_type, records) of every input: one grouped count each."""
+    parts = [df.groupBy(by).agg(F.count(F.lit(1)).alias("records")).select(by, F.lit(t).alias("data_type"), "records") for t, df in counts.items()]
     got = parts[0]
     for p in parts[1:]:
         got = got.unionByName(p)
+    return got
+
+
+def ingest_run_summary(counts: dict[str, DataFrame] | DataFrame, failed_types=(), by: str = "tenant_id") -> DataFrame:
+    """Record count per (tenant, type), zero-filled over the six event types plus
+    users and locations; status ``completed_with_warnings`` when a type failed.
+
+    ``counts`` are the inputs by type, each read once, or their ``record_counts``. The counts of a tenant are spread
+    over the fixed list of types (missing ones at zero) after one grouped fold."""
+    got = counts if isinstance(counts, DataFrame) else record_counts({t: df.select(by) for t, df in counts.items()}, by)
     per_tenant = got.groupBy(by).agg(*[F.sum(F.when(F.col("data_type") == t, F.col("records"))).alias(t) for t in SUMMARY_TYPES])
     status = "completed_with_warnings" if failed_types else "completed"
     rows = F.explode(F.array(*[F.struct(F.lit(t).alias("data_type"), F.coalesce(F.col(t), F.lit(0)).cast("bigint").alias("records"))

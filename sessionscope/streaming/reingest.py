@@ -5,59 +5,66 @@ export is complete for every (tenant, day) that it holds, and may land in any nu
 files are picked up by a file stream (``trigger(availableNow=True)`` -- run it on a schedule, it
 stops when caught up).
 
-A micro-batch only says which (tenant, day) pairs have new files. The rows of such a pair are
-then read from all files landed so far of the latest export that holds it -- never from the
-micro-batch alone, which may be one part of an export or mix several -- and replace that pair
-in every event table. Days that the batch does not touch keep their rows. A replace depends
-only on what has landed, so a batch that is replayed after a failure, or split over several
-triggers, ends in the same tables; progress is tracked in the stream checkpoint under
-``spark.checkpoint.dir``.
+The stream keeps an index beside its checkpoint: which file of which export holds which (tenant, day). A micro-batch reads
+only those three columns of its new files and adds them. For the pairs that it touches, the index names the latest
+export and its files, and only those files are read: never the micro-batch alone, which may be one part of an export or mix several,
+and never the rest of the landing. Their rows replace the pairs in every event table. Days that the batch does not touch keep
+their rows. A batch's part of the index is written under its id, so a batch that is replayed after a failure, or split over
+several triggers, ends in the same tables; progress is tracked in the stream checkpoint under ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from sessionscope.session import delete_path, scratch_dir
-from sessionscope.sources.extract import extract_all, reclassify_search_events
+from sessionscope.sources.extract import EVENT_NAMES, parse_event_date
 from sessionscope.sources.fixtures import COMMON_EVENT_COLUMNS
-from sessionscope.sources.sinks import _tenant_folder, swap_partitions
+from sessionscope.sources.ingest import stage_events, staged_table
+from sessionscope.sources.sinks import PAIR, replace_pairs
 
 EXPORT = "export_id"
+INDEX_SCHEMA = f"tenant_id string, event_date string, {EXPORT} bigint, file string, batch bigint"
 
 
 def landing_schema(raw_schema: StructType) -> StructType:
     return StructType([*(f for f in raw_schema.fields if f.name != EXPORT), StructField(EXPORT, LongType())])
 
 
-def latest_rows(landed: DataFrame, touched: DataFrame) -> DataFrame:
-    """Raw rows of the touched (tenant, day) pairs, each from the latest export that holds it."""
-    pair = ["tenant_id", "event_date"]
-    own = landed.join(touched, pair, "left_semi")
-    newest = own.groupBy(*pair).agg(F.max(EXPORT).alias(EXPORT))
-    return own.join(newest, [*pair, EXPORT], "left_semi").drop(EXPORT)
+def index_path(checkpoint: str) -> str:
+    return f"{checkpoint.rstrip('/')}/export-index"
 
 
-def _replace_batch(spark: SparkSession, landing: str, schema: StructType, warehouse: str, batch: DataFrame) -> None:
-    pairs = batch.select("tenant_id", "event_date").filter("tenant_id is not null and event_date rlike '^[0-9]{8}$'").distinct().collect()
-    if not pairs:                                    # at most tenants x days of the landed files
-        return
-    touched = spark.createDataFrame([tuple(r) for r in pairs], "tenant_id string, event_date string")
-    days = sorted({r["event_date"] for r in pairs})
-    landed = spark.read.schema(schema).parquet(landing).filter(F.col("event_date").between(days[0], days[-1]))
-    # the rows feed six tables: written once
+def current_exports(index: DataFrame, batch_id: int) -> DataFrame:
+    """(tenant, day, export, file) of the pairs that a batch touched, for the latest export that holds them."""
+    touched = index.filter(F.col("batch") == batch_id).select(*PAIR).distinct()
+    own = index.join(touched, PAIR, "left_semi")
+    newest = own.groupBy(*PAIR).agg(F.max(EXPORT).alias(EXPORT))
+    return own.join(newest, [*PAIR, EXPORT], "left_semi").select(*PAIR, EXPORT, "file").distinct()
+
+
+def _replace_batch(spark: SparkSession, landing: str, schema: StructType, warehouse: str, index: str, batch: DataFrame, batch_id: int) -> None:
+    seen = batch.filter("tenant_id is not null and event_date rlike '^[0-9]{8}$'").distinct()
+    seen.write.mode("overwrite").parquet(f"{index}/batch={batch_id}")
     current = scratch_dir(spark, f"reingest-{uuid.uuid4().hex}", temporary=True)
-    latest_rows(landed, F.broadcast(touched)).write.parquet(current)
-    rows_of_pairs = spark.read.schema(StructType([f for f in schema.fields if f.name != EXPORT])).parquet(current)
-    tables = reclassify_search_events(extract_all(rows_of_pairs, None, None))
-    folders = {(_tenant_folder(spark, r["tenant_id"]), f"event_date={r['event_date'][:4]}-{r['event_date'][4:6]}-{r['event_date'][6:]}")
-               for r in pairs}
-    for name, rows in tables.items():
-        swap_partitions(spark, f"{warehouse}/{name}", rows.drop("raw_data"), lambda staged: sorted(folders - staged))
+    current_exports(spark.read.schema(INDEX_SCHEMA).parquet(index), batch_id).write.parquet(f"{current}/exports")
+    exports = spark.read.parquet(f"{current}/exports")
+    files = [unquote(r["file"]) for r in exports.select("file").distinct().collect()]    # the file list of the scan below
+    if files:
+        rows = spark.read.schema(schema).option("basePath", landing).parquet(*files).join(exports.select(*PAIR, EXPORT).distinct(), [*PAIR, EXPORT], "left_semi").drop(EXPORT)
+        staged, failed = stage_events(rows.select(*[f.name for f in schema.fields if f.name != EXPORT]), None, None, f"{current}/staging")
+        if failed:    # the batch is not done: the stream stops here and tries it again
+            raise RuntimeError(f"not staged: {failed}")
+        pairs = exports.select("tenant_id", parse_event_date(F.col("event_date")).alias("event_date")).distinct()
+        first, last = pairs.agg(F.min("event_date"), F.max("event_date")).first()
+        for name in EVENT_NAMES:
+            replace_pairs(spark, f"{warehouse}/{name}", staged_table(staged, name),
+                          lambda stored: stored.filter(F.col("event_date").between(F.lit(first), F.lit(last))).join(pairs, PAIR, "left_semi"))
     delete_path(spark, current)
 
 
@@ -69,9 +76,9 @@ def incremental_reingest(spark: SparkSession, raw_path: str, warehouse: str, che
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(raw_path)
+    stream = reader.parquet(raw_path).select(*PAIR, EXPORT, F.col("_metadata.file_path").alias("file"))
     return (stream.writeStream
-            .foreachBatch(lambda df, _batch_id: _replace_batch(spark, raw_path, schema, warehouse, df))
+            .foreachBatch(lambda df, batch_id: _replace_batch(spark, raw_path, schema, warehouse, index_path(checkpoint), df, batch_id))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start())
