@@ -1,17 +1,17 @@
 """Q2 chart data: revenue, purchases, visitors, abandoned carts and searches per
 time bucket, zero-filled on a spine of buckets (six granularities).
 
-The spine is generated per tenant with ``explode(sequence(...))`` (a generator,
-not a join). Spine rows and the four bucketed aggregates are unioned and folded
-by one groupBy on (tenant, bucket label); buckets that are not on the spine
-vanish, exactly like the reference's LEFT JOIN from the spine.
+The four bucketed aggregates are folded by one groupBy on (tenant, bucket label). A tenant's measured buckets are then
+collected, at most one a bucket, and take the tenant's spine along (``explode(sequence())``, not a join); a second groupBy
+brings both together. Buckets that are not on the spine vanish, exactly like the reference's LEFT JOIN from the spine.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionscope.functions.text import money
@@ -49,19 +49,42 @@ def chart_parts(t: Tables, start: str, end: str, g: str, tenant_id=None, locatio
     return [purchases, visitors, carts, searches]
 
 
+def rolled_parts(rollups: dict[str, DataFrame], start: str, end: str, g: str, tenant_id=None, location_id=None) -> list[DataFrame]:
+    """``chart_parts`` from the contributions of ``streaming.rollups``: rows a (day, hour, session) with their events and revenue."""
+    sc = dict(tenant_id=tenant_id, location_id=location_id, start=start, end=end)
+    key = ["tenant_id", "date_group"]
+
+    def bucketed(df: DataFrame) -> DataFrame:
+        ts = F.col("hour_start") if g in SUB_DAY else F.col("event_date").cast("timestamp")
+        df = df.filter(F.col("hour_start").isNotNull()) if g in SUB_DAY else df
+        return df.withColumn("date_group", bucket_label(bucket_start(ts, g), g))
+
+    scoped = {name: scope(df, **sc) for name, df in rollups.items()}
+    purchases = bucketed(scoped["purchase"]).groupBy(*key).agg(F.sum("revenue").alias("revenue"), F.sum("events").alias("purchases"))
+    visitors = bucketed(scoped["page_view"]).groupBy(*key).agg(F.count_distinct(SESSION).alias("visitors"))
+    carts = bucketed(without_purchase(scoped["add_to_cart"].select("tenant_id", SESSION, "event_date", "hour_start").distinct(), rollups["purchase"])) \
+        .groupBy(*key).agg(F.count_distinct(SESSION).alias("carts"))
+    searches = bucketed(scoped["view_search_results"].unionByName(scoped["no_search_results"])).groupBy(*key).agg(F.sum("events").alias("searches"))
+    return [purchases, visitors, carts, searches]
+
+
 def chart_data(t: Tables, start: str | None, end: str | None, granularity: str | None,
                tenant_id: str | None = None, location_id: str | None = None) -> DataFrame:
-    """Q2: one row per (tenant, bucket) of the spine.
+    """Q2: one row per (tenant, bucket) of the spine."""
+    return chart_from_parts(t.purchase.sparkSession, lambda g: chart_parts(t, start, end, g, tenant_id, location_id), start, end, granularity, tenant_id)
+
+
+def chart_from_parts(spark: SparkSession, parts_of: Callable[[str], list[DataFrame]], start: str | None, end: str | None,
+                     granularity: str | None, tenant_id: str | None = None) -> DataFrame:
+    """The bucketed aggregates of a granularity on the spine of the period.
 
     The four bucketed aggregates and the spine rows (no metrics, but their period start) are brought together per tenant and
     folded by one groupBy on (tenant, label): buckets off the spine have no period start and vanish, as do rows
     whose timestamp is not a time (their label is NULL); buckets without rows keep their zeros."""
-    spark = t.purchase.sparkSession
     g = normalize_granularity(granularity)
     if start is None or end is None:
         return spark.range(0).select(F.lit(None).cast("string").alias("tenant_id"))
-    parts = chart_parts(t, start, end, g, tenant_id, location_id)
-    measured = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    measured = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts_of(g))
     measured = measured.groupBy("tenant_id", "date_group").agg(*[F.max(m).alias(m) for m in METRICS])
     kinds = {f.name: f.dataType for f in measured.schema.fields}
     buckets = F.array_distinct(F.transform(spine_points(start, end, g), lambda p: F.struct(

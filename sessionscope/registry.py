@@ -645,21 +645,40 @@ for _i, _t in enumerate(("purchase", "add_to_cart", "page_view", "view_search_re
     register(f"i{_i}_extract_{_t}", _sql)(_fn)
 
 
-@register("i8_extract_all_event_types", fixture_sql("""
-SELECT tenant_id, event_table, COUNT(*) AS records FROM (
-  SELECT tenant_id, 'purchase' AS event_table FROM purchase
-  UNION ALL SELECT tenant_id, 'add_to_cart' FROM add_to_cart
-  UNION ALL SELECT tenant_id, 'page_view' FROM page_view
-  UNION ALL SELECT tenant_id, 'view_item' FROM view_item
-  UNION ALL SELECT tenant_id, CASE WHEN k % 3 = 2 THEN 'view_search_results' ELSE 'no_search_results' END
-            FROM base WHERE event_type = 'error'
-) x GROUP BY 1, 2"""))
+_I8_EXTRAS = ["param_transaction_id", "ecommerce_purchase_revenue", "items_json", "first_item_item_id", "first_item_item_name",
+              "first_item_item_category", "first_item_price", "first_item_quantity", "param_page_referrer", "param_search_term",
+              "param_no_search_results_term"]
+
+
+def _i8_sql() -> str:
+    """All six types by their raw event names (before I13), each with its own columns; items are compared by the first one."""
+    common = """tenant_id, strftime(event_date, '%Y-%m-%d') AS event_date, event_timestamp, user_pseudo_id, user_prop_webuserid,
+       user_prop_default_branch_id, user_prop_webcustomerid, param_ga_session_id, param_page_title, param_page_location,
+       device_category, device_operating_system, geo_country, geo_city"""
+    own = {"purchase": ["param_transaction_id", "ecommerce_purchase_revenue"], "add_to_cart": _I8_EXTRAS[3:8], "page_view": ["param_page_referrer"],
+           "view_item": _I8_EXTRAS[3:7], "view_search_results": ["param_search_term"], "no_search_results": ["param_no_search_results_term"]}
+    money = ("ecommerce_purchase_revenue", "first_item_price")
+
+    def part(table, source, columns, where=""):
+        extras = [f"CAST({columns.get(c, 'NULL')} AS {'DOUBLE' if c in money else 'INTEGER' if c == 'first_item_quantity' else 'VARCHAR'}) AS {c}"
+                  for c in _I8_EXTRAS if c != "items_json"]
+        return f"SELECT '{table}' AS event_table, {common}, {', '.join(extras)} FROM {source} {where}"
+
+    parts = [part(t, t, {c: c for c in cols}) for t, cols in own.items() if "search" not in t]
+    parts.append(part("view_search_results", "view_search_results", {"param_search_term": "param_search_term"}, "WHERE k % 3 = 2"))
+    parts.append(part("no_search_results", "view_search_results", {"param_no_search_results_term": "param_search_term"}, "WHERE k % 3 <> 2"))
+    parts.append(part("no_search_results", "no_search_results", {"param_no_search_results_term": "param_no_search_results_term"}))
+    return "\nUNION ALL ".join(parts)
+
+
+@register("i8_extract_all_event_types", fixture_sql(_i8_sql()))
 def i8_extract_all_event_types(spark, sf_dir):
+    """Every row of the six types out of one pass over the export, with the columns of its table."""
     from pyspark.sql import functions as F
-    from sessionscope.sources.extract import flatten_events
+    from sessionscope.sources.extract import extract_events
     _, raw, _, _ = raw_sources(spark, sf_dir)
-    return flatten_events(raw, None, None).groupBy("tenant_id", "event_table").agg(
-        F.count(F.lit(1)).alias("records"))
+    rows = extract_events(raw, None, None).drop("event_id", "raw_data", "items_json")
+    return rows.withColumns({"event_date": F.date_format("event_date", "yyyy-MM-dd"), **{c: F.col(c).cast("double") for c in ("ecommerce_purchase_revenue", "first_item_price")}})
 
 
 @register("i13_reclassify_search_events", fixture_sql("""
@@ -1505,24 +1524,73 @@ def st1_incremental_reingest(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
-@register("st2_tumbling_buckets", fixture_sql(f"""
-SELECT tenant_id, strftime({_duck_bucket('make_timestamp(CAST(event_timestamp AS BIGINT))', '4hours')[0]},
-                           '%Y-%m-%d %H:%M:%S') AS window_start, COUNT(*) AS events
-FROM page_view WHERE regexp_matches(event_timestamp, '^[0-9]+$') GROUP BY 1, 2"""))
-def st2_tumbling_buckets(spark, sf_dir):
+def followed_tables(spark, sf_dir, names):
+    """Event tables loaded through I14 and followed by ST2 streams. First the stale tables arrive (the purchases doubled, the
+    early half of the days without its second tenant), and the streams take them in; then a replace of the whole range brings the real
+    rows, one of a day brings a half and a last one the day again, and one empties a stray day that no source has."""
     import os
     import uuid
     from pyspark.sql import functions as F
     from sessionscope.session import scratch_dir
-    from sessionscope.streaming.windows import compact_changelog, start_windowed_stream
+    from sessionscope.sources.sinks import replace_date_range
+    from sessionscope.streaming.rollups import CHART_TABLES, follow, read_rollup
     t = tables(spark, sf_dir)
     root = scratch_dir(spark, f"st2-{uuid.uuid4().hex}", temporary=True)
-    sink, ckpt = os.path.join(root, "sink"), os.path.join(root, "checkpoint")
-    src = os.path.join(t.extra["warehouse"], "page_view")
-    start_windowed_stream(spark, src, t.page_view.schema, sink, ckpt).awaitTermination()
-    out = compact_changelog(spark, sink)
-    return out.select("tenant_id", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
-                      "events")
+    path = lambda kind, name: os.path.join(root, kind, name)
+    on = F.col("event_date")
+    lo, hi = t.page_view.agg(F.min("event_date"), F.max("event_date")).first()
+    middle = lo + (hi - lo) / 2
+
+    def catch_up():
+        for query in [follow(spark, path("tables", name), getattr(t, name).schema, path("rollups", name), path("checkpoints", name), CHART_TABLES[name]) for name in names]:
+            query.awaitTermination()
+
+    def replace(name, start, end, rows):
+        replace_date_range(spark, path("tables", name), None, start.isoformat(), end.isoformat(), rows)
+
+    import datetime as dt
+    stray = hi + dt.timedelta(days=40)
+    for name in names:
+        rows = getattr(t, name)
+        stale = rows.filter((on > middle) | (F.col("tenant_id") == "T0"))
+        stale = stale.union(stale) if name == "purchase" else stale
+        replace(name, lo, stray, stale.union(stale.filter(on == middle).withColumn("event_date", F.lit(stray))))
+    catch_up()
+    for name in names:
+        rows = getattr(t, name)
+        replace(name, lo, stray, rows)
+        replace(name, middle, middle, rows.filter((on == middle) & (F.col("event_id") % 2 == 0)))
+    catch_up()
+    for name in names:
+        replace(name, middle, middle, getattr(t, name).filter(on == middle))
+    catch_up()
+    return {name: read_rollup(spark, path("rollups", name)) for name in names}
+
+
+@register("st2_tumbling_buckets", fixture_sql(f"""
+SELECT tenant_id, strftime({_duck_bucket('make_timestamp(CAST(event_timestamp AS BIGINT))', '4hours')[0]},
+                           '%Y-%m-%d %H:%M:%S') AS window_start, COUNT(*) AS events
+FROM page_view WHERE regexp_matches(event_timestamp, '^[0-9]+$') GROUP BY 1, 2"""))
+def st2_tumbling_buckets(spark, sf_dir):
+    """Page views in windows of four hours, kept up by the stream over replaced, halved and emptied days."""
+    from pyspark.sql import functions as F
+    from sessionscope.functions.timebucket import bucket_start
+    views = followed_tables(spark, sf_dir, ["page_view"])["page_view"]
+    start = F.date_format(bucket_start(F.col("hour_start"), "4hours"), "yyyy-MM-dd HH:mm:ss")
+    return views.filter("hour_start is not null").groupBy("tenant_id", start.alias("window_start")).agg(F.sum("events").cast("bigint").alias("events"))
+
+
+@register("st2_chart_of_replaced_days", "\nUNION ALL ".join(f"SELECT '{g}' AS granularity, * FROM ({q2_sql(g)}) q_{g}" for g in (
+    "hourly", "4hours", "12hours", "daily", "weekly", "monthly")))
+def st2_chart_of_replaced_days(spark, sf_dir):
+    """Q2 in all six granularities from the contributions of the followed tables; equal to Q2 over the tables."""
+    from functools import reduce
+    from pyspark.sql import DataFrame
+    from pyspark.sql import functions as F
+    from sessionscope.functions.timebucket import GRANULARITIES
+    from sessionscope.streaming.rollups import CHART_TABLES, rolled_chart
+    rollups = followed_tables(spark, sf_dir, list(CHART_TABLES))
+    return reduce(DataFrame.unionByName, [rolled_chart(rollups, START, END, g).withColumn("granularity", F.lit(g)) for g in GRANULARITIES])
 
 
 # ---------------------------------------------------------------- F1 function surface

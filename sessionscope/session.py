@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 # Settings every query relies on: epoch-microsecond text and all bucket labels
@@ -81,6 +84,20 @@ def scratch_dir(spark: SparkSession, name: str, temporary: bool = False) -> str:
     return path
 
 
+def side_by_side(spark: SparkSession, work: dict[str, Callable[[], object]]) -> dict[str, Exception]:
+    """Run independent jobs at the same time, one thread each, so that their many short stages fill the cluster; the exceptions by name."""
+    def run(name: str):
+        try:
+            work[name]()
+        except Exception as error:  # handed to the caller, who knows which ones to expect
+            return error
+        return None
+
+    with ThreadPoolExecutor(max(1, len(work))) as pool:
+        found = dict(zip(work, pool.map(inheritable_thread_target(spark)(run), work), strict=True))
+    return {name: error for name, error in found.items() if error is not None}
+
+
 def file_system(spark: SparkSession, path: str):
     """(Hadoop FileSystem, Path) of any path that Spark can read or write."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

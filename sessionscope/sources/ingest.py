@@ -15,13 +15,14 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from dataclasses import dataclass, field
+from functools import partial
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionscope.session import children, delete_path, scratch_dir
+from sessionscope.session import children, delete_path, scratch_dir, side_by_side
 from sessionscope.sources.extract import EVENT_NAMES, EXTRA_COLUMNS, extract_events, reclassified, scan_range
 from sessionscope.sources.fixtures import COMMON_EVENT_COLUMNS
 from sessionscope.sources.sinks import ingest_run_summary, persist_upsert, record_counts, replace_staged_range
@@ -108,12 +109,12 @@ def run_ingest(spark: SparkSession, warehouse: str, start: str, end: str, raw: D
     if "events" in data_types and raw is not None:
         staged, failed = stage_events(raw, start, end, f"{scratch}/staging", extracted)
         staged = staged.filter(F.col("event_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-        for name in EVENT_NAMES:
-            if name not in failed:
-                try:
-                    replace_staged_range(spark, f"{warehouse}/{name}", None, start, end, staged_table(staged, name))
-                except FAILURES as error:
-                    failed[name] = first_line(error)
+        errors = side_by_side(spark, {name: partial(replace_staged_range, spark, f"{warehouse}/{name}", None, start, end, staged_table(staged, name))
+                                      for name in EVENT_NAMES if name not in failed})
+        for name, error in errors.items():
+            if not isinstance(error, FAILURES):
+                raise error
+            failed[name] = first_line(error)
         done = F.col("event_table").isin([n for n in EVENT_NAMES if n not in failed])
         staged.groupBy("tenant_id", F.col("event_table").alias("data_type")).agg(F.sum(F.when(done, 1).otherwise(0)).alias("records")).write.parquet(f"{scratch}/counts")
         counts.append(spark.read.parquet(f"{scratch}/counts"))

@@ -62,9 +62,12 @@ def _replace_batch(spark: SparkSession, landing: str, schema: StructType, wareho
             raise RuntimeError(f"not staged: {failed}")
         pairs = exports.select("tenant_id", parse_event_date(F.col("event_date")).alias("event_date")).distinct()
         first, last = pairs.agg(F.min("event_date"), F.max("event_date")).first()
+
+        def replaced(stored: DataFrame) -> DataFrame:
+            return stored.filter(F.col("event_date").between(F.lit(first), F.lit(last))).join(pairs, PAIR, "left_semi")
+
         for name in EVENT_NAMES:
-            replace_pairs(spark, f"{warehouse}/{name}", staged_table(staged, name),
-                          lambda stored: stored.filter(F.col("event_date").between(F.lit(first), F.lit(last))).join(pairs, PAIR, "left_semi"))
+            replace_pairs(spark, f"{warehouse}/{name}", staged_table(staged, name), replaced)
     delete_path(spark, current)
 
 
