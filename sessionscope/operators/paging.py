@@ -11,11 +11,15 @@ single partition) becomes a grouped count joined back.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionscope.session import scratch_dir
+
 
 #: Parts of a tenant that are cut to the page's depth by themselves, for pages deeper than Spark's threshold.
 PAGE_SALTS = 64
@@ -87,6 +91,35 @@ def take_page(df: DataFrame, order: Sequence[Column], page: int | None, limit: i
     return ranked.withColumn(position, F.col(position).cast("bigint"))
 
 
+def select_pages(df: DataFrame, order: Sequence[Column], pages: Sequence[tuple[int, int]], by: Sequence[str] = ("tenant_id",),
+                 position: str = "row_num", ranges: int | None = None) -> DataFrame:
+    """L2/L3 at any depth: the rows of the (offset, limit) ``pages`` of every group, with their position in its ordering.
+
+    Distributed selection: the rows are dealt out in ranges of (group, order) by sampled bounds and written by range. The number
+    of rows of a group in each range says which ranges hold the pages; only those are read again and sorted, range by
+    range, and the counts before a range give its first position. No task holds more than a range, however deep the page.
+    ``order`` should end with a unique tie-breaker, as everywhere; rows equal in it share a range."""
+    spark = df.sparkSession
+    ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    root = scratch_dir(spark, f"pages-{uuid.uuid4().hex}", temporary=True)
+    dealt = df.repartitionByRange(ranges, *[F.col(c) for c in by], *order).withColumn("_range", F.spark_partition_id())
+    dealt.write.partitionBy("_range").parquet(root)
+    rows = spark.read.schema(dealt.schema).parquet(root)
+    counts = rows.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))    # one number a group and range
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_before", before)
+    held = reduce(lambda a, b: a | b, [(F.col("_before") < first + limit) & (F.col("_before") + F.col("_n") > first) for first, limit in pages])
+    path = scratch_dir(spark, f"held-{uuid.uuid4().hex}", temporary=True)
+    counts.filter(held).drop("_n").write.parquet(path)
+    held = spark.read.parquet(path)
+    needed = [r["_range"] for r in held.select("_range").distinct().collect()]    # at most the number of ranges
+    same = reduce(lambda a, b: a & b, [F.col(f"rows.{c}").eqNullSafe(F.col(f"held.{c}")) for c in [*by, "_range"]])
+    own = rows.filter(F.col("_range").isin(needed)).alias("rows").join(held.alias("held"), same).select("rows.*", "held._before")
+    at = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)) + F.col("_before")
+    on_page = reduce(lambda a, b: a | b, [(F.col(position) > first) & (F.col(position) <= first + limit) for first, limit in pages])
+    return own.withColumn(position, at.cast("bigint")).filter(on_page).drop("_before", "_range")
+
+
 def page_envelope(totals: DataFrame, page: int, limit: int, total_col: str = "total_count",
                   by: Sequence[str] = ("tenant_id",)) -> DataFrame:
     """Q18: total, page, limit, has_more; past-the-end pages give NULL total and has_more."""

@@ -28,7 +28,7 @@ def identity_pairs(t: Tables) -> DataFrame:
 
 def carts_without_purchase(t: Tables) -> DataFrame:
     """Cart rows whose session never purchased."""
-    return without_purchase(t.add_to_cart.select("tenant_id", "event_id", SESSION), t.purchase,
+    return without_purchase(t.add_to_cart.select("tenant_id", "event_id", SESSION), t.with_purchase(),
                             salt=["event_id"]).select("tenant_id", "event_id")
 
 

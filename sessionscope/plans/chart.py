@@ -40,7 +40,7 @@ def chart_parts(t: Tables, start: str, end: str, g: str, tenant_id=None, locatio
         F.count_distinct(SESSION).alias("visitors"))
     abandoned = without_purchase(
         scope(t.add_to_cart, **sc).select("tenant_id", SESSION, "event_date", "event_timestamp").distinct(),
-        t.purchase)
+        t.with_purchase())
     carts = _bucketed(abandoned, g).groupBy(*key).agg(F.count_distinct(SESSION).alias("carts"))
     cols = ["tenant_id", "event_date", "event_timestamp"]
     searches = _bucketed(scope(t.view_search_results, **sc).select(*cols)

@@ -36,7 +36,7 @@ def location_stats(t: Tables, start: str | None, end: str | None,
     purchases = scope(t.purchase, **sc).withColumnRenamed(BRANCH, "location_id").groupBy(*key).agg(
         F.sum("ecommerce_purchase_revenue").alias("total_revenue"), F.count(F.lit(1)).alias("purchases"))
     carts = (without_purchase(scope(t.add_to_cart, **sc).select("tenant_id", SESSION, BRANCH).distinct(),
-                              t.purchase)
+                              t.with_purchase())
              .withColumnRenamed(BRANCH, "location_id")
              .groupBy(*key).agg(F.count(SESSION).alias("abandoned_carts")))
     failed = scope(t.no_search_results, **sc).withColumnRenamed(BRANCH, "location_id").groupBy(*key).agg(

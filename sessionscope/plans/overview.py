@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionscope.functions.text import currency_label
-from sessionscope.operators.filters import scope
+from sessionscope.operators.filters import scope, tenant_filter
 from sessionscope.operators.sessions import SESSION, without_purchase
 from sessionscope.sources.fixtures import Tables
 
@@ -43,7 +43,7 @@ def overview_parts(t: Tables, start: str, end: str, tenant_id: str | None = None
         F.count(F.when(is_user & (F.col("n") > 1), 1)).alias("repeat_visits"))
     carts = without_purchase(
         scope(t.add_to_cart, **sc).select("tenant_id", SESSION).distinct(),
-        t.purchase if tenant_id is None else t.purchase.filter(F.col("tenant_id") == tenant_id),
+        tenant_filter(t.with_purchase(), tenant_id),
         salt=["tenant_id"],
     ).groupBy("tenant_id").agg(F.count_distinct(SESSION).alias("abandoned_carts"))
     searches = scope(t.view_search_results, **sc).groupBy("tenant_id").agg(

@@ -151,20 +151,22 @@ def branch_report_summary(t: Tables, tenant_id=None, report_date: str | None = N
 
 def search_term_samples(t: Tables, tenant_id=None, report_date=None, per_day: bool = True, rows: int | None = None) -> DataFrame:
     """Per term of the search tasks: task rows, distinct sessions and the
-    contacts of rows with a customer; top 10 terms per (tenant, branch, day)."""
+    contacts of rows with a customer; top 10 terms per (tenant, branch, day).
+
+    Terms are ranked by their counts alone. Contacts are listed afterwards, of the rows whose term was kept: the ranked terms
+    join the task rows with a customer, so no list of a dropped term is ever built."""
     keys = report_keys(per_day)
     s = report_worklist("searches", t, tenant_id, report_date, per_day, rows=rows)
-    contact = F.when(F.col("customer_name").isNotNull() & (F.col("customer_name") != ""),
-                     F.concat_ws("|", F.col("customer_name"), F.coalesce("email", F.lit("")),
-                                 F.coalesce("phone", F.lit(""))))
-    g = s.groupBy(*keys, "search_term").agg(
-        F.count(F.lit(1)).alias("total_searches"),
-        _distinct_nonempty("session_id").alias("unique_sessions"),
-        F.array_join(F.array_sort(F.collect_list(contact)), ";").alias("user_details"))
+    g = s.groupBy(*keys, "search_term").agg(F.count(F.lit(1)).alias("total_searches"), _distinct_nonempty("session_id").alias("unique_sessions"))
     top = take_page(g, [F.col("total_searches").desc(), F.col("search_term").asc_nulls_first()], 1, TOP_TERMS,
                     by=keys, position="rank")
-    return top.select("tenant_id", F.col(BRANCH).alias("branch_code"), *_day_out(per_day),
-                      "search_term", "total_searches", "unique_sessions", "user_details", "rank")
+    contact = F.concat_ws("|", F.col("customer_name"), F.coalesce("email", F.lit("")), F.coalesce("phone", F.lit("")))
+    named = s.filter(F.col("customer_name") != "").select(*keys, "search_term", contact.alias("contact")).alias("named")
+    same = reduce(lambda x, y: x & y, [F.col(f"top.{c}").eqNullSafe(F.col(f"named.{c}")) for c in [*keys, "search_term"]])
+    listed = (top.alias("top").join(named, same, "left").groupBy(*[F.col(f"top.{c}").alias(c) for c in top.columns])
+              .agg(F.array_join(F.array_sort(F.collect_list("named.contact")), ";").alias("user_details")))
+    return listed.select("tenant_id", F.col(BRANCH).alias("branch_code"), *_day_out(per_day),
+                         "search_term", "total_searches", "unique_sessions", "user_details", "rank")
 
 
 def repeat_samples(t: Tables, tenant_id=None, report_date=None, per_day: bool = True, rows: int | None = None) -> DataFrame:

@@ -126,7 +126,7 @@ def cart_abandonment_tasks(t: Tables, tenant_id=None, page=None, limit=None, que
     users = tenant_filter(t.users, tenant_id)
     ac = scope(t.add_to_cart, tenant_id, location_id, start, end)
     ac = without_purchase(ac.select(*part, "event_id", SESSION, USER, ERP, "first_item_item_name"),
-                          t.purchase, salt=["event_id"])
+                          t.with_purchase(), salt=["event_id"])
     if query is not None:
         r = resolve_users(ac, users, salt=["event_id"])
         ac = r.filter(any_ilike([F.col("customer_name"), F.col("email"), F.col("first_item_item_name")], query))
@@ -188,7 +188,7 @@ def _search_parts(t: Tables, tenant_id, query, location_id, start, end, include_
     if query is not None:
         vsr = vsr.filter(ilike_contains(F.col("param_search_term"), query))
     if not include_converted:
-        vsr = without_purchase(vsr, t.purchase, salt=["event_id"])
+        vsr = without_purchase(vsr, t.with_purchase(), salt=["event_id"])
     terms = F.array_join(F.array_sort(F.collect_set("param_search_term")), ", ")
     unconverted = (vsr.groupBy(*keys).agg(
         F.max(ERP).alias(ERP), terms.alias("search_term"), F.count(F.lit(1)).alias("search_count"),

@@ -804,23 +804,47 @@ UNION ALL
 SELECT * FROM old_users o WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.tenant_id = o.tenant_id AND u.user_id = o.user_id)
 """, extra_ctes=_OLD_USERS))
 def i15_upsert_users(spark, sf_dir):
-    from pyspark.sql import functions as F
-    from sessionscope.sources.fixtures import read_source
     from sessionscope.sources.masters import extract_users
     from sessionscope.sources.sinks import upsert_users
     _, _, master, _ = raw_sources(spark, sf_dir)
+    return upsert_users(_old_users(spark, sf_dir), extract_users(master)).select("tenant_id", "user_id", "user_name", "buying_company_name",
+                                            "buying_company_erp_id", "email", "office_phone", "cell_phone", "is_active")
+
+
+def _old_users(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from sessionscope.sources.fixtures import read_source
     c = read_source(spark, sf_dir, "customer")
     ck = F.col("c_custkey")
-    old = c.select(F.concat(F.lit("T"), (ck % 2).cast("string")).alias("tenant_id"), ck.cast("string").alias("user_id"),
+    return c.select(F.concat(F.lit("T"), (ck % 2).cast("string")).alias("tenant_id"), ck.cast("string").alias("user_id"),
                    F.col("c_name").alias("user_name"),
                    F.concat(F.lit("Company "), (ck % 40).cast("string")).alias("buying_company_name"),
                    F.concat(F.lit("ERP"), F.expr("c_custkey div 4").cast("string")).alias("buying_company_erp_id"),
                    F.concat(F.lit("old"), ck.cast("string"), F.lit("@example.org")).alias("email"),
                    F.concat(F.lit("+1-555-"), F.lpad((ck % 10000).cast("string"), 4, "0")).alias("office_phone"),
                    F.lit(None).cast("string").alias("cell_phone"), F.lit(False).alias("is_active"))
-    batch = extract_users(master)
-    return upsert_users(old, batch).select("tenant_id", "user_id", "user_name", "buying_company_name",
-                                            "buying_company_erp_id", "email", "office_phone", "cell_phone", "is_active")
+
+
+@register("i15_bucketed_upsert", fixture_sql("""
+SELECT * EXCLUDE (is_active) FROM users
+UNION ALL
+SELECT * EXCLUDE (is_active) FROM old_users o WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.tenant_id = o.tenant_id AND u.user_id = o.user_id)
+""", extra_ctes=_OLD_USERS))
+def i15_bucketed_upsert(spark, sf_dir):
+    """I15 on a stored, bucketed table: the old users, then the new master in two batches."""
+    import uuid
+    from pyspark.sql import functions as F
+    from sessionscope.session import scratch_dir
+    from sessionscope.sources.buckets import merge_buckets, read_buckets
+    from sessionscope.sources.masters import extract_users
+    _, _, master, _ = raw_sources(spark, sf_dir)
+    old = _old_users(spark, sf_dir)
+    path, keys = scratch_dir(spark, f"i15-{uuid.uuid4().hex}", temporary=True) + "/users", ["tenant_id", "user_id"]
+    merge_buckets(spark, path, old, keys, buckets=8)
+    rows = extract_users(master).withColumn("is_active", F.lit(True)).select(*old.columns)
+    for part in (0, 1):
+        merge_buckets(spark, path, rows.filter(F.pmod(F.crc32("user_id"), F.lit(2)) == part), keys)
+    return read_buckets(spark, path, old.schema).drop("is_active")    # every row came in a batch: all are active
 
 
 @register("i16_upsert_locations", """
@@ -1634,6 +1658,52 @@ register("j8_enrich_page_with_products", q7_sql(20))(_q("repeat_visit_tasks", pa
 
 # Parameter variants that the keys above leave out.
 register("l2_deep_page", q4_sql(2, 1000))(_q("purchase_tasks", page=2, limit=1000))
+PAGE_DEPTHS = ((0, 20), (150, 25), (333, 10))
+
+
+@register("l2_pages_by_ranges", fixture_sql(f"""
+SELECT tenant_id, row_num, event_id, event_timestamp FROM (
+  SELECT tenant_id, event_id, event_timestamp, row_number() OVER (PARTITION BY tenant_id ORDER BY param_page_title ASC NULLS LAST, event_timestamp DESC, event_id) AS row_num
+  FROM page_view) x WHERE {' OR '.join(f'(row_num > {o} AND row_num <= {o + n})' for o, n in PAGE_DEPTHS)}"""))
+def l2_pages_by_ranges(spark, sf_dir):
+    """Three pages of every tenant's page views at once, located by the counts of sampled ranges."""
+    from pyspark.sql import functions as F
+    from sessionscope.operators.paging import select_pages
+    views = tables(spark, sf_dir).page_view.select("tenant_id", "event_id", "event_timestamp", "param_page_title")
+    order = [F.col("param_page_title").asc_nulls_last(), F.col("event_timestamp").desc(), F.col("event_id").asc()]
+    return select_pages(views, order, PAGE_DEPTHS).select("tenant_id", "row_num", "event_id", "event_timestamp")
+
+
+_SKETCH_RANGES = {"all": (START, END), "half": ("2024-01-08", "2024-01-21"), "day": ("2024-01-05", "2024-01-05")}
+
+
+@register("a3_sketched_distinct", fixture_sql("\nUNION ALL ".join(f"""
+SELECT tenant_id, '{name}' AS period, COUNT(DISTINCT param_ga_session_id) AS exact_visitors, COUNT(DISTINCT user_prop_webuserid) AS exact_users, true AS within_bound
+FROM page_view WHERE event_date BETWEEN DATE '{lo}' AND DATE '{hi}' GROUP BY tenant_id""" for name, (lo, hi) in _SKETCH_RANGES.items())))
+def a3_sketched_distinct(spark, sf_dir):
+    """Estimates of three periods from one table of daily sketches, measured against the exact counts."""
+    import uuid
+    from functools import reduce
+    from pyspark.sql import DataFrame
+    from pyspark.sql import functions as F
+    from sessionscope.operators.filters import scope
+    from sessionscope.plans.sketches import ERROR_BOUND, approximate_visitors, daily_sketches
+    from sessionscope.session import scratch_dir
+    t = tables(spark, sf_dir)
+    path = scratch_dir(spark, f"a3-{uuid.uuid4().hex}", temporary=True)
+    daily_sketches(t).write.parquet(path)
+    sketches = spark.read.parquet(path)
+    near = lambda estimate, exact: F.abs(F.col(estimate) - F.col(exact)) <= F.lit(ERROR_BOUND) * F.col(exact) + 1
+
+    def period(name, start, end):
+        exact = scope(t.page_view, None, None, start, end).groupBy("tenant_id").agg(
+            F.count_distinct("param_ga_session_id").alias("exact_visitors"), F.count_distinct("user_prop_webuserid").alias("exact_users"))
+        both = exact.join(approximate_visitors(sketches, start, end), "tenant_id")
+        return both.select("tenant_id", F.lit(name).alias("period"), "exact_visitors", "exact_users",
+                           (near("total_visitors", "exact_visitors") & near("unique_users", "exact_users")).alias("within_bound"))
+    return reduce(DataFrame.unionByName, [period(name, *rng) for name, rng in _SKETCH_RANGES.items()])
+
+
 register("q6_include_converted", q6_sql(join=""))(_q("search_analysis_tasks", include_converted=True))
 register("q6_search_type", f"SELECT *  REPLACE (COUNT(*) OVER (PARTITION BY tenant_id) AS total_count) FROM ({q6_sql()}) x WHERE search_type = 'no_results'")(
     _q("search_analysis_tasks", search_type="no_results"))

@@ -257,8 +257,14 @@ class Tables:
     email_sending_jobs: DataFrame | None = None
     email_send_history: DataFrame | None = None
     base: DataFrame | None = None
+    purchased: DataFrame | None = None
     extra: dict = field(default_factory=dict)
 
+    def with_purchase(self) -> DataFrame:
+        """(tenant, session) of the sessions with a purchase at any time (J2): the maintained set where the warehouse has one,
+        else the purchases themselves."""
+        return self.purchase if self.purchased is None else self.purchased
+
     def events(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in EVENT_TABLES}
 
@@ -294,6 +300,8 @@ DIM_PARTITIONING = ("tenant_id",)
 WAREHOUSE_TABLES = EVENT_TABLES + ("users", "locations", "branch_email_mappings", "processing_jobs",
                                    "email_sending_jobs", "email_send_history")
 
+PURCHASED = "purchased_sessions"
+
 _OPEN: dict[tuple[str, str], Tables] = {}
 
 
@@ -318,7 +326,7 @@ def warehouse_path(spark: SparkSession, sf_dir: str) -> str:
 
 
 # bump when the table derivation or layout changes
-WAREHOUSE_VERSION = 1
+WAREHOUSE_VERSION = 2
 
 
 def write_partitioned(df: DataFrame, path: str, parts, mode: str = "overwrite") -> None:
@@ -334,17 +342,21 @@ def build_warehouse(spark: SparkSession, sf_dir: str, root: str) -> None:
     for name in WAREHOUSE_TABLES:
         parts = EVENT_PARTITIONING if name in EVENT_TABLES else DIM_PARTITIONING
         write_partitioned(getattr(d, name), os.path.join(root, name), parts)
+    # what J2 needs of the purchases; for tables that change, streaming.rollups.purchased_sessions keeps it up
+    purchased = open_table(spark, root, "purchase", d.purchase.schema).select("tenant_id", "param_ga_session_id").filter("param_ga_session_id is not null").distinct()
+    write_partitioned(purchased, os.path.join(root, PURCHASED), DIM_PARTITIONING)
     # marker written last: a half-built warehouse is never opened
     spark.range(1).write.mode("overwrite").parquet(os.path.join(root, "_complete"))
 
 
+def open_table(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(os.path.join(root, name))        # explicit schema: partition column types kept
+
+
 def open_warehouse(spark: SparkSession, sf_dir: str, root: str) -> Tables:
     d = derive_tables(spark, sf_dir)
-    read = {}
-    for name in WAREHOUSE_TABLES:
-        schema = getattr(d, name).schema        # explicit schema: partition column types kept
-        read[name] = spark.read.schema(schema).parquet(os.path.join(root, name))
-    return Tables(**read, base=d.base, extra={"sf_dir": sf_dir, "warehouse": root})
+    read = {name: open_table(spark, root, name, getattr(d, name).schema) for name in WAREHOUSE_TABLES}
+    return Tables(**read, base=d.base, purchased=open_table(spark, root, PURCHASED, "param_ga_session_id string, tenant_id string"), extra={"sf_dir": sf_dir, "warehouse": root})
 
 
 def load_tables(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Tables:

@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionscope.session import children, delete_path, scratch_dir, side_by_side
+from sessionscope.sources.buckets import merge_buckets
 from sessionscope.sources.extract import EVENT_NAMES, EXTRA_COLUMNS, extract_events, reclassified, scan_range
 from sessionscope.sources.fixtures import COMMON_EVENT_COLUMNS
-from sessionscope.sources.sinks import ingest_run_summary, persist_upsert, record_counts, replace_staged_range
+from sessionscope.sources.sinks import ingest_run_summary, record_counts, replace_staged_range
 
 #: What one run can load; the default is all of it.
 DATA_TYPES = ("events", "users", "locations")
@@ -97,7 +98,7 @@ def run_ingest(spark: SparkSession, warehouse: str, start: str, end: str, raw: D
                extracted: dict[str, DataFrame] | None = None) -> IngestRun:
     """One run for all tenants of its inputs. ``users`` and ``locations`` are the cleaned masters (I9, I10) with a
     tenant_id; ``extracted`` replaces single event types' raw rows. Tables are written below ``warehouse``:
-    event tables partitioned by (tenant, day), masters as versioned tables. The summary counts what this run
+    event tables partitioned by (tenant, day), masters as bucketed tables (``buckets.read_buckets``). The summary counts what this run
     staged, whatever its tables held before."""
     unknown = set(data_types) - set(DATA_TYPES)
     if unknown or start > end:
@@ -122,7 +123,7 @@ def run_ingest(spark: SparkSession, warehouse: str, start: str, end: str, raw: D
     for kind, batch, keys in (("users", users, ["tenant_id", "user_id"]), ("locations", locations, ["tenant_id", "warehouse_id"])):
         if kind in data_types and batch is not None:
             try:
-                persist_upsert(spark, f"{warehouse}/{kind}", batch.withColumn("is_active", F.lit(True)), keys)
+                merge_buckets(spark, f"{warehouse}/{kind}", batch.withColumn("is_active", F.lit(True)), keys)
                 counts.append(record_counts({f"{kind}_processed": batch}))
             except FAILURES as error:
                 failed[f"{kind}_processed"] = first_line(error)

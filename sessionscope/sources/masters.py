@@ -84,7 +84,7 @@ def _dashed(hex32: Column) -> Column:
 
 def normalize_tenant_id(c: Column) -> Column:
     """A valid UUID (braces, ``urn:uuid:`` prefix and dashes tolerated) in canonical
-    lower-case form; any other text -> the UUID made of the MD5 bytes of its UTF-8 text."""
+    lower-case form; any other text -> the UUID made of the MD5 bytes of its UTF-8 text. NULL stays NULL."""
     h = F.regexp_replace(F.regexp_replace(c, "urn:", ""), "uuid:", "")
     h = F.regexp_replace(F.regexp_replace(h, r"^[{}]+|[{}]+$", ""), "-", "")
-    return F.when(h.rlike(_UUID_HEX), _dashed(F.lower(h))).otherwise(_dashed(F.md5(c)))
+    return F.when(c.isNotNull(), F.when(h.rlike(_UUID_HEX), _dashed(F.lower(h))).otherwise(_dashed(F.md5(c))))
