@@ -48,12 +48,27 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, pair: str = "pair_id",
         (any_trained("cs") & any_trained("rs")).alias("usable"))
 
 
+def mask(segments: Column) -> Column:
+    """Canonical text of a completion's segments: their lengths in code points in order, each behind ``t`` (trained) or ``m`` (masked)."""
+    return F.array_join(F.transform(segments, lambda s: F.concat(F.when(s["trained"], F.lit("t")).otherwise(F.lit("m")), F.length(s["text"]).cast("string"))), ",")
+
+
 def pairs_from_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(chosen, rejected) turns that follow from a table of conversations: chosen ends with the conversation's last assistant
-    turn, rejected repeats the text of its first turn there (a reply that does not answer). A conversation is one pair."""
-    pair = Window.partitionBy("pair_id")
-    turns = (conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text").where("pair_id is not null")
-             .withColumn("last", F.max(F.when(F.col("role") == TRAINED_ROLE, F.col("turn"))).over(pair))
-             .withColumn("opening", F.min(F.struct("turn", "role", "text")).over(pair)["text"]).where("turn <= last"))
-    wrong = F.when((F.col("turn") == F.col("last")) & (F.col("role") == TRAINED_ROLE), F.col("opening")).otherwise(F.col("text"))
-    return turns.select("pair_id", "turn", "role", "text"), turns.select("pair_id", "turn", "role", wrong.alias("text"))
+    """(chosen, rejected) turns that follow from a table of conversations, a pair a conversation. Chosen is the whole conversation.
+
+    Rejected repeats the text of the first turn (a reply that does not answer) in one of the assistant turns, early or late, drawn from a
+    digest of the id; every second such conversation ends there, the others go on with all later turns. A conversation
+    without an assistant turn is rejected as it is chosen, so its completions are empty. Turns without a conversation are left out."""
+    order = ["turn", "role", "text"]
+    pair, before = Window.partitionBy("pair_id"), Window.partitionBy("pair_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    answers = F.coalesce((F.col("role") == TRAINED_ROLE).cast("bigint"), F.lit(0))
+    number = F.conv(F.substring(F.md5(F.col("pair_id").cast("string")), 1, 7), 16, 10).cast("bigint")
+    turns = conversations.select(F.col("conv_id").alias("pair_id"), *order).where("pair_id is not null").withColumns({
+        "number": number, "place": F.row_number().over(before), "nth": F.sum(answers).over(before), "answers": F.sum(answers).over(pair),
+        "opening": F.min(F.struct(*order)).over(pair)["text"]})
+    picked = (F.col("role") == TRAINED_ROLE) & (F.col("nth") == F.col("number") % F.greatest("answers", F.lit(1)) + 1)
+    turns = turns.withColumn("at", F.min(F.when(picked, F.col("place"))).over(pair))
+    ends = F.expr("(number div 16) % 2 = 1")
+    wrong = F.when(F.col("place") == F.col("at"), F.col("opening")).otherwise(F.col("text"))
+    rejected = turns.where(F.col("at").isNull() | (F.col("place") <= F.col("at")) | ~ends)
+    return turns.select("pair_id", *order), rejected.select("pair_id", "turn", "role", wrong.alias("text"))

@@ -13,7 +13,7 @@ from sessionscope.llm.decontaminate import find_contamination
 from sessionscope.llm.jaccard import link_groups
 from sessionscope.llm.langid import held_out, identify, train
 from sessionscope.llm.mixing import mix
-from sessionscope.llm.preference import format_pairs, pairs_from_conversations
+from sessionscope.llm.preference import format_pairs, mask, pairs_from_conversations
 from sessionscope.llm.prefixtrie import first_turns, later_turns, prefix_nodes, turn_sequences
 from sessionscope.llm.quality import judge
 from sessionscope.llm.resample import resample
@@ -75,29 +75,35 @@ from docs left join hit using (r) left join named using (r)
 """
 
 def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_pairs(*pairs_from_conversations(_table(spark, sf_dir, "conversations"))).drop("chosen_segments", "rejected_segments")
+    pairs = format_pairs(*pairs_from_conversations(_table(spark, sf_dir, "conversations")))
+    return pairs.withColumns({"chosen_segments": mask(F.col("chosen_segments")), "rejected_segments": mask(F.col("rejected_segments"))})
 
 
 OP4_SQL = r"""
-with turns as (
-  select conv_id as pair_id, turn, role, text, max(turn) filter (where role = 'assistant') over (partition by conv_id) as last,
-    first_value(text) over (partition by conv_id order by turn, role, text) as opening
-  from conversations where conv_id is not null),
-paired as (
-  select pair_id, turn, role, text as good, case when turn = last and role = 'assistant' then opening else text end as bad,
-    row_number() over (partition by pair_id order by turn, role, text) as k
-  from turns where turn <= last),
-cut as (select pair_id, coalesce(min(k) filter (where good is distinct from bad) - 1, count(*)) as n from paired group by pair_id),
-rendered as (
-  select paired.pair_id, n, k, role, '<|' || role || chr(124) || '>' || chr(10) || coalesce(good, '') || '<|end|>' || chr(10) as good,
-    '<|' || role || chr(124) || '>' || chr(10) || coalesce(bad, '') || '<|end|>' || chr(10) as bad
-  from paired join cut using (pair_id))
-select pair_id, n::int as n_prompt_turns, coalesce(string_agg(good, '' order by k) filter (where k <= n), '') as prompt,
-  coalesce(string_agg(good, '' order by k) filter (where k > n), '') as chosen, coalesce(string_agg(bad, '' order by k) filter (where k > n), '') as rejected,
-  coalesce(sum(length(good)) filter (where k > n and role = 'assistant'), 0)::bigint as chosen_trained_chars,
-  coalesce(sum(length(bad)) filter (where k > n and role = 'assistant'), 0)::bigint as rejected_trained_chars,
-  count(*) filter (where k > n and role = 'assistant') > 0 as usable
-from rendered group by pair_id, n
+with ordered as (
+  select conv_id as pair_id, turn, role, text, row_number() over w as place, count(*) filter (role = 'assistant') over (w rows unbounded preceding) as nth,
+    count(*) filter (role = 'assistant') over (partition by conv_id) as answers, first_value(text) over w as opening, ('0x' || substr(md5(conv_id::varchar), 1, 7))::bigint as number
+  from conversations where conv_id is not null window w as (partition by conv_id order by turn nulls first, role nulls first, text nulls first)),
+picked as (select *, min(place) filter (role = 'assistant' and nth = number % answers + 1) over (partition by pair_id) as at from ordered),
+sides as (
+  select pair_id, 'c' as side, turn, role, text from picked
+  union all select pair_id, 'r', turn, role, case when place = at then opening else text end from picked where at is null or place <= at or (number // 16) % 2 = 0),
+placed as (
+  select *, row_number() over (partition by pair_id, side order by turn nulls first, role nulls first, text nulls first) as k,
+    '<|' || coalesce(role, '') || chr(124) || '>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) as shown
+  from sides),
+together as (
+  select coalesce(c.pair_id, r.pair_id) as pair_id, coalesce(c.k, r.k) as k, c.k is not null and r.k is not null and c.role is not distinct from r.role and c.text is not distinct from r.text as same
+  from (select * from placed where side = 'c') c full join (select * from placed where side = 'r') r on c.pair_id = r.pair_id and c.k = r.k),
+cut as (select pair_id, coalesce(min(k) filter (not same) - 1, count(*)) as n from together group by pair_id)
+select pair_id, n::int as n_prompt_turns, coalesce(string_agg(shown, '' order by k) filter (side = 'c' and k <= n), '') as prompt,
+  coalesce(string_agg(shown, '' order by k) filter (side = 'c' and k > n), '') as chosen, coalesce(string_agg(shown, '' order by k) filter (side = 'r' and k > n), '') as rejected,
+  coalesce(string_agg(case when role = 'assistant' then 't' else 'm' end || length(shown), ',' order by k) filter (side = 'c' and k > n), '') as chosen_segments,
+  coalesce(string_agg(case when role = 'assistant' then 't' else 'm' end || length(shown), ',' order by k) filter (side = 'r' and k > n), '') as rejected_segments,
+  coalesce(sum(length(shown)) filter (side = 'c' and k > n and role = 'assistant'), 0)::bigint as chosen_trained_chars,
+  coalesce(sum(length(shown)) filter (side = 'r' and k > n and role = 'assistant'), 0)::bigint as rejected_trained_chars,
+  count(*) filter (side = 'c' and k > n and role = 'assistant') > 0 and count(*) filter (side = 'r' and k > n and role = 'assistant') > 0 as usable
+from placed join cut using (pair_id) group by pair_id, n
 """
 
 
