@@ -8,8 +8,11 @@ penalty for the added proportion; the largest proportion names the document.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +21,6 @@ from sessionscope.llm.words import string_bytes
 
 #: Trigrams are hashed to this many bits.
 BITS = 16
-#: The model holds a row of 2**BITS numbers a language; more languages than this are refused.
-MAX_LANGUAGES = 1000
 SMOOTHING = 0.05
 #: Penalty of one more language: this times the logarithm of the number of trigrams, three of which share a letter.
 PENALTY = 1.5
@@ -61,18 +62,39 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(bins), pa.string()), pa.array(bins, pa.int32()), pa.array(counts[bins])], names=["lang", "bin", "n"])
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """(languages in order of name, trigram probabilities: 2**BITS rows, a column a language) from text and non-null lang
-    of the documents that are not held out. All of those are counted; what reaches the driver is the model alone."""
-    rows = (docs.where(~held_out(docs[doc_id])).select(docs[text].alias("body"), docs[lang].alias("lang")).where("body is not null and lang is not null")
-            .mapInArrow(_count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-            .groupBy("lang").agg(F.collect_list(F.struct("bin", "n")).alias("counts")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect())
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    p = np.full((1 << BITS, len(rows)), SMOOTHING)
-    for k, row in enumerate(rows):
-        p[[c["bin"] for c in row["counts"]], k] += [c["n"] for c in row["counts"]]
-    return [r["lang"] for r in rows], p / p.sum(0, keepdims=True) if rows else p
+class Trigrams(NamedTuple):
+    """Trigram probabilities of any number of languages: the counts that are not zero, by bin, and the total of each language."""
+
+    start: np.ndarray
+    lang: np.ndarray
+    count: np.ndarray
+    total: np.ndarray
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return len(self.start) - 1, len(self.total)
+
+    def __getitem__(self, bins: np.ndarray) -> np.ndarray:
+        """Smoothed probabilities: a row a bin, a column a language."""
+        out = np.full((len(bins), len(self.total)), SMOOTHING)
+        size = self.start[bins + 1] - self.start[bins]
+        at = np.arange(size.sum()) + np.repeat(self.start[bins] - np.cumsum(size) + size, size)
+        out[np.repeat(np.arange(len(bins)), size), self.lang[at]] += self.count[at]
+        return out / self.total
+
+
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], Trigrams]:
+    """(languages in order of name, their trigram probabilities) from text and non-null lang
+    of the documents that are not held out. All of those are counted; what reaches the driver, as Arrow columns, is the model alone:
+    at most 2**BITS counts a language, and no more than its texts have distinct trigrams."""
+    table = (docs.where(~held_out(docs[doc_id])).select(docs[text].alias("body"), docs[lang].alias("lang")).where("body is not null and lang is not null")
+             .mapInArrow(_count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow())
+    names = sorted(set(table["lang"].to_pylist()))
+    code = pc.index_in(table["lang"], value_set=pa.array(names, pa.string())).to_numpy().astype(np.int32)
+    bins, n = table["bin"].to_numpy(), table["n"].to_numpy().astype(np.float64)
+    order = np.lexsort((code, bins))
+    total = np.bincount(code, n, minlength=len(names)) + SMOOTHING * (1 << BITS)
+    return names, Trigrams(np.searchsorted(bins[order], np.arange((1 << BITS) + 1)), code[order], n[order], total)
 
 
 def proportions(likelihood: np.ndarray, counts: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
@@ -88,7 +110,7 @@ def proportions(likelihood: np.ndarray, counts: np.ndarray, start: np.ndarray) -
     return pi, now
 
 
-def infer(grams: np.ndarray, p: np.ndarray, penalty: float = PENALTY) -> tuple[list[int], np.ndarray]:
+def infer(grams: np.ndarray, p: Trigrams, penalty: float = PENALTY) -> tuple[list[int], np.ndarray]:
     """Languages (columns of p) of a text in the order in which they were added, and their proportions."""
     bins, counts = np.unique(grams, return_counts=True)
     rows, counts = p[bins], counts.astype(np.float64)
@@ -109,14 +131,14 @@ def infer(grams: np.ndarray, p: np.ndarray, penalty: float = PENALTY) -> tuple[l
     return chosen, pi
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", carry: tuple[str, ...] = ("doc_id",), penalty: float = PENALTY) -> DataFrame:
+def identify(docs: DataFrame, model: tuple[list[str], Trigrams], text: str = "text", carry: tuple[str, ...] = ("doc_id",), penalty: float = PENALTY) -> DataFrame:
     """The ``carry`` columns, lang_pred, score (its proportion) and languages (lang, share; the whole selected set).
 
     Nulls and edges: a null text and one without a letter are ``und`` with score 0 and no languages, as is every
     text when nothing was learned. Equal likelihoods go to the language first by name. Rows are judged each by its
     own text, so repeated rows agree; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGUAGES * 2**BITS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     result = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())])))])
 
     def run(batches):
