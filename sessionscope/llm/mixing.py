@@ -58,37 +58,41 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, power
 
 def _many_copies(drawn: DataFrame, columns: list[str], seed: int) -> DataFrame:
     """Copies of documents whose mean is above MAX_MEAN, spread over rows of at most MAX_MEAN copies before they are exploded."""
-    parts = F.ceil(F.col("_mix_mean") / MAX_MEAN)
-    numbers = F.transform(F.sequence(F.lit(1).cast("bigint"), parts), lambda k: uniform(F.concat(F.lit("part|"), k.cast("string"), F.lit("|"), F.col("_mix_key")), seed))
-    total = F.aggregate(numbers, F.lit(0).cast("bigint"), lambda n, u: n + poisson(F.col("_mix_mean") / parts, u))
-    counted = drawn.select(*columns, "_mix_key", total.alias("_mix_n")).where("_mix_n > 0")
-    spread = counted.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_mix_n"), F.lit(MAX_MEAN).cast("bigint"))).alias("_mix_from")).repartition("_mix_key", "_mix_from")
-    copies = spread.select(*columns, "_mix_key", F.explode(F.sequence(F.col("_mix_from"), F.least("_mix_n", F.col("_mix_from") + (MAX_MEAN - 1)))).alias("copy"))
+    parts = F.ceil(F.col("mean") / MAX_MEAN)
+    numbers = F.transform(F.sequence(F.lit(1).cast("bigint"), parts), lambda k: uniform(F.concat(F.lit("part|"), k.cast("string"), F.lit("|"), F.col("key")), seed))
+    total = F.aggregate(numbers, F.lit(0).cast("bigint"), lambda n, u: n + poisson(F.col("mean") / parts, u))
+    counted = drawn.select(*columns, "key", total.alias("n")).where("n > 0")
+    spread = counted.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"), F.lit(MAX_MEAN).cast("bigint"))).alias("start")).repartition("key", "start")
+    copies = spread.select(*columns, "key", F.explode(F.sequence(F.col("start"), F.least("n", F.col("start") + (MAX_MEAN - 1)))).alias("copy"))
     return copies.withColumn("copy", F.col("copy").cast("int"))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, size: float = 1.0, seed: int = 11, doc_id: str = "doc_id", source: str = "source", text: str = "text", max_mean: float | None = MAX_MEAN) -> DataFrame:
-    """All columns of ``docs`` with copy (1, 2, ...) and shuffle_key (long), one row a copy, in global random order.
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 0.5, size: float = 1.0, seed: int = 11, doc_id: str = "doc_id", source: str = "source", text: str = "text", max_mean: float | None = None) -> DataFrame:
+    """All columns of ``docs`` (their names may be any) with copy (1, 2, ...) and shuffle_key (long), one row a copy, in global random order.
 
     A column of ``docs`` named copy or shuffle_key gives way to the new one.
     Nulls and edges: documents without a source form one source; one without an id draws by its text; repeated rows draw alike;
-    a source without characters has mean 0; an empty table gives an empty result. Without ``weights`` every mean is drawn, however small a source is beside the others;
-    given weights that lead to a mean above ``max_mean`` raise (None: they are drawn too).
+    a source without characters has mean 0; an empty table gives an empty result. Every mean is drawn, however small a source is beside
+    the others; only a caller that gives ``weights`` and ``max_mean`` asks for means above it to raise.
     """
-    means = rates(docs, weights, power, size, source, text)
+    given = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
+    columns = [f"c{i}" for i in range(len(given))]
+    named = dict(zip(docs.columns, [f"d{i}" for i in range(len(docs.columns))], strict=True))
+    plain = docs.toDF(*named.values())  # by position: no name of the caller is ever resolved
+    own_id, own_source, own_text = (plain[named[c]] for c in (doc_id, source, text))
+    means = rates(plain, weights, power, size, named[source], named[text])
     top = means.agg(F.max("mean"), F.count("*")).first()
     largest = top[0] or 0
     if weights is not None and max_mean is not None and largest > max_mean:
         raise ValueError(f"a source would be repeated {largest:.0f} times on average; max_mean is {max_mean}")
-    columns = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    means = means.toDF("_mix_source", "_mix_mean")
-    key = F.coalesce(docs[doc_id].cast("string"), F.md5(F.coalesce(docs[text], F.lit(""))))
-    rows = docs.select(*columns, key.alias("_mix_key"), docs[source].alias("_mix_own"))
-    drawn = rows.join(F.broadcast(means) if top[1] <= BROADCAST_SOURCES else means, F.col("_mix_own").eqNullSafe(F.col("_mix_source")), "left")
-    few = drawn.where(F.col("_mix_mean") <= MAX_MEAN) if largest > MAX_MEAN else drawn
-    few = few.withColumn("_mix_n", poisson(F.col("_mix_mean"), uniform(F.col("_mix_key"), seed))).where("_mix_n > 0")
-    copies = few.select(*columns, "_mix_key", F.explode(F.sequence(F.lit(1), F.col("_mix_n"))).alias("copy"))
+    key = F.coalesce(own_id.cast("string"), F.md5(F.coalesce(own_text, F.lit(""))))
+    rows = plain.select(*[plain[named[c]].alias(k) for c, k in zip(given, columns, strict=True)], key.alias("key"), own_source.alias("own"), own_id.alias("id"))
+    carried = [*columns, "id"]
+    drawn = rows.join(F.broadcast(means) if top[1] <= BROADCAST_SOURCES else means, F.col("own").eqNullSafe(F.col("source")), "left")
+    few = drawn.where(F.col("mean") <= MAX_MEAN) if largest > MAX_MEAN else drawn
+    few = few.withColumn("n", poisson(F.col("mean"), uniform(F.col("key"), seed))).where("n > 0")
+    copies = few.select(*carried, "key", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
     if largest > MAX_MEAN:
-        copies = copies.unionByName(_many_copies(drawn.where(F.col("_mix_mean") > MAX_MEAN), columns, seed))
-    order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("copy").cast("string"), F.lit("|"), F.col("_mix_key"))), 1, 15), 16, 10).cast("bigint")
-    return copies.select(*columns, "copy", order.alias("shuffle_key")).orderBy("shuffle_key", *[c for c in (doc_id,) if c in columns])
+        copies = copies.unionByName(_many_copies(drawn.where(F.col("mean") > MAX_MEAN), carried, seed))
+    order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("copy").cast("string"), F.lit("|"), F.col("key"))), 1, 15), 16, 10).cast("bigint")
+    return copies.select(*columns, "copy", order.alias("shuffle_key"), "id").orderBy("shuffle_key", "id").drop("id").toDF(*given, "copy", "shuffle_key")

@@ -224,7 +224,7 @@ def test_mixing_hits_targets(spark):
     assert {r["doc_id"] for r in mixing.mix(docs, weights, seed=6).collect()} != set(copies)
     assert mixing.mix(docs.limit(0)).collect() == [] and not any(r["source"] == "empty" for r in mixing.mix(docs).collect())
     with pytest.raises(ValueError, match="repeated"):
-        mixing.mix(docs, {"b": 1.0}, size=100)
+        mixing.mix(docs, {"b": 1.0}, size=100, max_mean=500)
     with pytest.raises(ValueError, match="negative"):
         mixing.mix(docs, {"a": -1.0})
 
