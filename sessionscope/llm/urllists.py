@@ -10,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionscope.llm.frames import text_bytes, written
+
+#: Patterns of up to this many bytes are broadcast, to drop keys that no entry has.
+BROADCAST_BYTES = 8 << 20
 #: Entries of one pattern and day: the first of these wins.
 ACTIONS = ("block", "allow", "remove")
 #: Longer host names are not valid in DNS; a URL with one has no host here.
@@ -40,7 +44,8 @@ def intervals(entries: DataFrame, pattern: str = "pattern", action: str = "actio
 def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """The ``keep`` columns, url, fetched (date), decision (block, allow, none), pattern and listed (the deciding entry and its day).
 
-    Captures are first reduced to distinct (url, day), so a hot URL is evaluated once a day.
+    Captures are first reduced to distinct (url, day), so a hot URL is evaluated once a day. Their keys (URL, host, parent domains) are
+    dropped before the join unless they are patterns of the list, as long as the patterns fit ``BROADCAST_BYTES``.
     Nulls and edges: without URL, host or fetch time no domain entry applies (a whole-URL entry needs the URL and the
     time); repeated captures each keep their row; an empty list decides nothing; other columns are ignored.
     """
@@ -49,7 +54,11 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     asked = rows.where("url is not null and fetched is not null").select("url", "fetched").distinct().withColumn("host", host_of(F.col("url")))
     keys = asked.select("url", "fetched", F.explode(F.array_distinct(F.concat(F.array("url"), F.coalesce(parents, F.array().cast("array<string>"))))).alias("key"))
-    active = intervals(entries).toDF("key", "action", "valid_from", "valid_to")
+    # written: both sides of the join are then plain exchanges, whose hot keys Spark splits
+    active = written(intervals(entries).toDF("key", "action", "valid_from", "valid_to"), "intervals")
+    listed = written(active.select("key").distinct(), "patterns")
+    if text_bytes(listed, "key") <= BROADCAST_BYTES:  # a top-level domain that is no pattern of the list does not reach the shuffle
+        keys = keys.join(F.broadcast(listed), "key", "left_semi")
     hit = (F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
     best = F.max(F.struct((F.col("key") == F.col("url")).alias("whole"), F.length("key").alias("length"), "key", "action", "valid_from"))
     decided = keys.join(active, "key").where(hit).groupBy("url", "fetched").agg(best.alias("best"))
