@@ -303,11 +303,15 @@ def link_groups(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY,
     labels = components(links.union(more))
 
     member = classes.select("sign", "node").join(labels, "node", "left").select("sign", F.coalesce("component", "node").alias("component"))
-    placed = described.select("doc_id", "text_hash", "n", "sign").join(member, "sign", "left")
+    # a row without a set, and a set without a class, get a key of their own: no reducer receives all of them
+    spread = F.encode(F.concat_ws("|", F.lit("none"), "doc_id", "text_hash"), "UTF-8")
+    placed = described.select("doc_id", "text_hash", "n", "sign", F.coalesce("sign", spread).alias("key")).join(member.withColumnRenamed("sign", "key"), "key", "left")
     # a set without a partner is a component of its own: equal sets share their signature
     rows = placed.select("doc_id", "text_hash", "n", F.coalesce(F.col("component").cast("string"), F.hex("sign")).alias("own"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash").alias("rank"))
-    least = rows.where("own is not null").groupBy("own").agg(F.min("rank").alias("least"))
-    return rows.join(least, "own", "left").select(
+    rows = written(rows.select("doc_id", "text_hash", "n", "own", "rank", F.coalesce("own", F.hex(spread)).alias("key")), "placed")
+    # written: the join then reads a plain exchange on either side, and a large component's rows are split
+    least = written(rows.where("own is not null").groupBy("key").agg(F.min("rank").alias("least")), "least")
+    return rows.join(least, "key", "left").select(
         "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("own").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"),
         F.col("own").isNotNull().alias("linked"), (F.col("own").isNull() | (F.col("rank") == F.col("least"))).alias("first"))
 
@@ -318,16 +322,19 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broa
     The keys of rows that go are counted: up to ``broadcast_keys`` they are broadcast and the texts are not shuffled, beyond
     that both sides are. Exact repeats of a row that stays are cut to one by themselves.
     """
-    found = written(link_groups(docs, doc_id=doc_id, text=text, **options).where("linked").select(
+    bare = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    columns = {"doc_id": f"c{docs.columns.index(doc_id)}", "text": f"c{docs.columns.index(text)}"}
+    found = written(link_groups(bare, **columns, **options).where("linked").select(
         F.coalesce("doc_id", "text_hash").alias("_okey"), F.col("doc_id").isNotNull().alias("_named"), F.col("text_hash").alias("_hash"), "first"), "firsts")
     key = ["_okey", "_named", "_hash"]
     again = found.where("first").groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
     gone = found.where("not first").select(*key).union(again).distinct()
     names = [f"c{i}" for i in range(len(docs.columns))]
-    hashed = F.xxhash64(docs[text])
-    keyed = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)], F.coalesce(docs[doc_id], hashed).alias("_okey"), docs[doc_id].isNotNull().alias("_named"), hashed.alias("_hash"))
+    plain = docs.toDF(*names)  # by position: no name of the caller is resolved again
+    own_id, hashed = (plain[names[docs.columns.index(doc_id)]], F.xxhash64(plain[names[docs.columns.index(text)]]))
+    keyed = plain.select(*names, F.coalesce(own_id, hashed).alias("_okey"), own_id.isNotNull().alias("_named"), hashed.alias("_hash"))
     small = F.broadcast if gone.count() <= broadcast_keys else (lambda keys: keys)
     kept = keyed.join(small(gone), key, "left_anti")
     if not again.isEmpty():
         kept = kept.union(keyed.join(small(again), key, "left_semi").dropDuplicates(key))
-    return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
+    return kept.select(*names).toDF(*docs.columns)
