@@ -6,9 +6,8 @@ ten benchmark words is then a ten-symbol pattern, and a document is scanned once
 string of symbols, so a match position is a word index. Word indexes are mapped back to
 character offsets of the original text for the documents that have a match.
 
-The automaton is broadcast. Its size is bounded: the benchmark is cut into blocks of at
-most ``BLOCK_BYTES`` of text (larger only if one item alone is), and each block is one
-pass over the documents. Documents are never shuffled.
+The automaton is broadcast. Its size is bounded: distinct items, long ones cut into overlapping pieces, are dealt into blocks of
+about ``BLOCK_BYTES`` of text, and each block is one pass over the documents.
 """
 
 from __future__ import annotations
@@ -27,6 +26,8 @@ from pyspark.sql import types as T
 from sessionscope.llm.frames import pick, text_bytes, written
 
 WINDOW = 10
+#: Words of a piece of a long benchmark item.
+PIECE_WORDS = 1 << 14
 #: Benchmark text in one automaton; its words are at most half as many, so symbols fit in Unicode.
 BLOCK_BYTES = 1 << 20
 #: Bytes to lower-cased bytes; separators become spaces. Word bytes: 0-9, A-Z, a-z and all above 0x7F.
@@ -103,31 +104,59 @@ def _result(text: str, n_words: int, spans: list[int], items: list[str]) -> dict
             "items_sha256": hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), "contaminated": bool(spans), "hits": hits}
 
 
+def item_pieces(benchmark: DataFrame, window: int, item: str, text: str) -> DataFrame:
+    """(item, body): distinct pieces of at most ``PIECE_WORDS`` words of every item, each with the last window - 1 words of the one before, so that
+    every window of an item is a window of a piece. An item of fewer words than a window is one piece."""
+    step = max(1, PIECE_WORDS - window + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, body in zip(batch.column("item").to_pylist(), batch.column("body"), strict=True):
+                words = normal_words(body.as_py())
+                if words:
+                    pieces = [b" ".join(words[i:i + step + window - 1]).decode() for i in range(0, max(1, len(words) - window + 1), step)]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(pieces), pa.string()), pa.array(pieces, pa.string())], names=["item", "body"])
+
+    bench = pick(benchmark, item=item, body=text).select(F.col("item").cast("string"), "body").where(F.col("body").isNotNull())
+    return bench.mapInArrow(run, "item string, body string").distinct()
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
                        text: str = "text", item_id: str = "item_id", item_text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per row of ``docs``: the ``carry`` columns, then n_words, n_hit, n_items, items_sha256,
     contaminated and hits (merged spans in words and in characters of the original text).
 
+    A benchmark of several blocks is one pass over the documents for each, which leaves only the row numbers, spans and items of rows
+    that it hits; the documents are written once, with those numbers, and never again.
+
     Nulls and edges: a null or wordless text has no words and no hits; a null or wordless item has no
-    window; an item of fewer than ``window`` words is one window; items that share an id count once; an item without
-    an id still hits words but is not listed. An empty benchmark contaminates nothing. Repeated documents each keep
-    their row; other columns of either table are ignored.
+    window; an item of fewer than ``window`` words is one window; items that share an id, and repeated items, count once; an item without
+    an id still hits words but is not listed; an item of any length is cut into overlapping pieces. An empty benchmark contaminates
+    nothing. Repeated documents each keep their row; other columns of either table are ignored.
     """
     spark = docs.sparkSession
-    bench = pick(benchmark, item=item_id, body=item_text).select(F.col("item").cast("string"), "body").where(F.col("body").isNotNull())
+    bench = written(item_pieces(benchmark, window, item_id, item_text), "pieces")
     blocks = max(1, -(-text_bytes(bench, "body") // block_bytes))
     names = [f"c{i}" for i in range(len(carry))]
-    frame = docs.select(*[docs[c].alias(n) for c, n in zip(carry, names, strict=True)], docs[text].alias("body"),
-                        F.array().cast("array<int>").alias("_spans"), F.array().cast("array<string>").alias("_items"))
-    kept = T.StructType(frame.schema.fields[:len(names)])
-    for block in range(blocks):
-        own = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == block)
-        table = spark.sparkContext.broadcast(build_automaton([tuple(r) for r in own.collect()], window))  # at most about block_bytes of text
-        last = block == blocks - 1
-        frame = frame.mapInArrow(_scanner(table, last, len(names)), T.StructType(kept.fields + RESULT.fields) if last else frame.schema)
-        if not last:
-            frame = written(frame, "decontaminate")  # one automaton in memory at a time
-    return frame.select(*[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], *RESULT.names)
+    nothing = [F.array().cast("array<int>").alias("_spans"), F.array().cast("array<string>").alias("_items")]
+    frame = docs.select(*[docs[c].alias(n) for c, n in zip(carry, names, strict=True)], docs[text].alias("body"))
+    kept = T.StructType(frame.schema.fields[:len(names)] + RESULT.fields)
+    automaton = lambda own: spark.sparkContext.broadcast(build_automaton([tuple(r) for r in own.collect()], window))  # noqa: E731  at most about block_bytes of text
+    if blocks == 1:
+        found = frame.select("*", *nothing).mapInArrow(_scanner(automaton(bench), True, len(names)), kept)
+    else:
+        frame = written(frame.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        hits = None
+        for block in range(blocks):
+            table = automaton(bench.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == block))
+            state = T.StructType([T.StructField("_row", T.LongType()), T.StructField("body", T.StringType()), *_STATE.fields])
+            own = written(frame.select("_row", "body", *nothing).mapInArrow(_scanner(table, False, 1), state).where(F.size("_spans") > 0).select("_row", *_STATE.names), "hits")
+            hits = own if hits is None else hits.union(own)
+            table.destroy()
+        merged = hits.groupBy("_row").agg(F.flatten(F.collect_list("_spans")).alias("_spans"), F.array_distinct(F.flatten(F.collect_list("_items"))).alias("_items"))
+        joined = frame.join(merged, "_row", "left").select(*names, "body", *[F.coalesce(F.col(c), empty).alias(c) for c, empty in zip(_STATE.names, nothing, strict=True)])
+        found = joined.mapInArrow(_scanner(spark.sparkContext.broadcast(({}, None)), True, len(names)), kept)
+    return found.select(*[F.col(n).alias(c) for c, n in zip(carry, names, strict=True)], *RESULT.names)
 
 
 def _scanner(table, last: bool, n_carried: int):
@@ -149,6 +178,8 @@ def _scanner(table, last: bool, n_carried: int):
                         new, ids = scan("".join([symbol(w, _UNKNOWN) for w in found]), automaton)
                         if new:
                             spans, items = merge_spans(spans + new), sorted(ids.union(items))
+                    elif spans:
+                        spans, items = merge_spans(spans), sorted(items)
                     if last:
                         rows.append(_result(body, len(found), spans, items))
                     else:

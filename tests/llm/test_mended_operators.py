@@ -90,3 +90,29 @@ def test_rows_without_a_set_meet_in_no_reducer(spark):
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["linked"]) for r in link_groups(docs).collect()}
     assert len(found) == 202 and found[500] == found[501] == (3, 500, True)
     assert all(found[i] == (0, i, False) for i in range(200))
+
+
+def test_long_items_repeated_items_and_many_blocks(spark, monkeypatch):
+    """A long item is cut; repeats of an item are one; several blocks find what one finds."""
+    from sessionscope.llm import decontaminate
+    long = " ".join(f"w{i}" for i in range(3000))
+    bench = spark.createDataFrame([(1, long), (1, long), (2, "a short one"), (3, "Ten Words of a benchmark question that is long enough here"), (None, "no id but words")] * 3, "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(200 * i, 200 * i + 9 + i)) + " x " + ("A short ONE" if i % 3 == 0 else "no id but words")) for i in range(12)] + [(50, None), (51, long)], "doc_id long, text string")
+    whole = sorted((tuple(r) for r in decontaminate.find_contamination(docs, bench).collect()), key=str)
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 64)
+    pieces = decontaminate.item_pieces(bench, 10, "item_id", "text").collect()
+    assert max(len(r["body"].split()) for r in pieces) <= 64 and len(pieces) == len({tuple(r) for r in pieces}) > 50
+    for block_bytes in (1 << 20, 3000):
+        assert sorted((tuple(r) for r in decontaminate.find_contamination(docs, bench, block_bytes=block_bytes).collect()), key=str) == whole
+    assert sum(r[5] for r in whole) >= 12 and [r[2] for r in whole if r[0] == 51] == [3000]
+
+
+def test_an_item_of_more_words_than_symbols(spark):
+    from sessionscope.llm import decontaminate
+    text = " ".join(f"{i:x}" for i in range(1_200_000))
+    docs = spark.createDataFrame([(1, " ".join(f"{i:x}" for i in range(700_000, 700_030)))], "doc_id long, text string")
+    pieces = decontaminate.item_pieces(spark.createDataFrame([(9, text)], "item_id long, text string"), 10, "item_id", "text")
+    assert pieces.count() == -(-(1_200_000 - 9) // (decontaminate.PIECE_WORDS - 9))
+    some = pieces.where(F.col("body").contains(" aae60 "))
+    found = decontaminate.find_contamination(docs, some, item_id="item", item_text="body").collect()
+    assert (found[0]["n_hit"], found[0]["n_items"]) == (30, 1)
