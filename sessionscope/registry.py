@@ -375,65 +375,62 @@ def q10_performance_facets(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- U1 / Q11 / Q12 timelines
-def _js(x: str) -> str:
-    return f"COALESCE(CAST(to_json({x}) AS VARCHAR), 'null')"
-
-
-def _num(x: str) -> str:
-    return f"COALESCE(CAST({x} AS VARCHAR), 'null')"
+def _timeline_cte() -> str:
+    """Every source event once for each kind that it counts as, straight from the fixture's base rows. What a kind shows is a list of
+    (name, value) pairs; one expression turns any such list into JSON text."""
+    shown = {
+        "purchase": {"transaction_id": "'TX' || event_id", "revenue": "value::DECIMAL(15,2) * 5", "items": "items_json"},
+        "add_to_cart": {"item_id": "'P' || k", "item_name": "'Item ' || k % 10", "price": "value::DECIMAL(10,2)", "quantity": "k % 5 + 1"},
+        "view_item": {"item_id": "'P' || k", "item_name": "'Item ' || k % 10", "price": "value::DECIMAL(10,2)", "category": "'Cat ' || k % 5"},
+        "page_view": {"page_location": "param_page_location", "page_title": "param_page_title"},
+        "view_search_results": {"search_term": "'term ' || k % 15"},
+    }
+    shown["no_search_results"] = shown["view_search_results"]
+    numbers = ("revenue", "price", "quantity")
+
+    def entry(name: str, value: str) -> str:
+        number = f"({value})::DECIMAL(15,2)::VARCHAR" if name == "revenue" else f"({value})::VARCHAR"
+        return f"""'"{name}":' || COALESCE({number if name in numbers else f"to_json({value})::VARCHAR"}, 'null')"""
+
+    texts = "\n".join(f"      WHEN '{kind}' THEN [{', '.join(entry(n, v) for n, v in pairs.items())}]" for kind, pairs in shown.items())
+    return f"""
+kinds AS (
+  SELECT *, unnest(CASE event_type WHEN 'view' THEN ['page_view'] WHEN 'signup' THEN ['page_view', 'view_item'] WHEN 'click' THEN ['add_to_cart']
+                   WHEN 'error' THEN [CASE WHEN k % 3 = 0 THEN 'no_search_results' ELSE 'view_search_results' END] WHEN 'purchase' THEN ['purchase'] END) AS kind
+  FROM base),
+timeline AS (
+  SELECT tenant_id, event_timestamp AS moment, param_ga_session_id AS sid, kind, '{{' || array_to_string(CASE kind
+{texts}
+    END, ',') || '}}' AS shown
+  FROM kinds),
+watchers AS (
+  SELECT tenant_id, param_ga_session_id AS sid, list(DISTINCT user_prop_webuserid) AS seen_by
+  FROM base WHERE event_type IN ('view', 'signup') AND user_prop_webuserid IS NOT NULL GROUP BY ALL)"""
 
 
-_ALL_EVENTS_CTE = f"""
-all_events AS (
-  SELECT tenant_id, event_timestamp, param_ga_session_id, 'page_view' AS event_type,
-         '{{"page_location":' || {_js('param_page_location')} || ',"page_title":' || {_js('param_page_title')} || '}}' AS details
-  FROM page_view
-  UNION ALL
-  SELECT tenant_id, event_timestamp, param_ga_session_id, 'add_to_cart',
-         '{{"item_id":' || {_js('first_item_item_id')} || ',"item_name":' || {_js('first_item_item_name')}
-         || ',"price":' || {_num('first_item_price')} || ',"quantity":' || {_num('first_item_quantity')} || '}}'
-  FROM add_to_cart
-  UNION ALL
-  SELECT tenant_id, event_timestamp, param_ga_session_id, 'purchase',
-         '{{"transaction_id":' || {_js('param_transaction_id')} || ',"revenue":' || {_num('ecommerce_purchase_revenue')}
-         || ',"items":' || {_js("COALESCE(items_json, '[]')")} || '}}'
-  FROM purchase
-  UNION ALL
-  SELECT tenant_id, event_timestamp, param_ga_session_id, 'view_search_results',
-         '{{"search_term":' || {_js('param_search_term')} || '}}' FROM view_search_results
-  UNION ALL
-  SELECT tenant_id, event_timestamp, param_ga_session_id, 'no_search_results',
-         '{{"search_term":' || {_js('param_no_search_results_term')} || '}}' FROM no_search_results
-  UNION ALL
-  SELECT tenant_id, event_timestamp, param_ga_session_id, 'view_item',
-         '{{"item_id":' || {_js('first_item_item_id')} || ',"item_name":' || {_js('first_item_item_name')}
-         || ',"price":' || {_num('first_item_price')} || ',"category":' || {_js('first_item_item_category')} || '}}'
-  FROM view_item
-)"""
+_TIMELINE = _timeline_cte()
+#: Every user's timeline: the events of the sessions in which that user viewed a page.
+_WATCHED = "SELECT tenant_id, unnest(seen_by) AS user_id, moment, sid, kind, shown FROM timeline JOIN watchers USING (tenant_id, sid)"
 
 
 @register("u1_union_all_events", fixture_sql(
-    "SELECT tenant_id, event_timestamp, param_ga_session_id, event_type, details FROM all_events",
-    extra_ctes=_ALL_EVENTS_CTE))
+    "SELECT tenant_id, moment AS event_timestamp, sid AS param_ga_session_id, kind AS event_type, shown AS details FROM timeline",
+    extra_ctes=_TIMELINE))
 def u1_union_all_events(spark, sf_dir):
     from sessionscope.plans.history import all_events
     return all_events(tables(spark, sf_dir))
 
 
-@register("q11_user_history", fixture_sql("""
-SELECT ae.tenant_id, us.user_id, ae.event_timestamp, ae.param_ga_session_id AS session_id, ae.event_type, ae.details
-FROM all_events ae JOIN user_sessions us ON ae.tenant_id = us.tenant_id AND ae.param_ga_session_id = us.param_ga_session_id
-""", extra_ctes=_ALL_EVENTS_CTE + """,
-user_sessions AS (SELECT DISTINCT tenant_id, user_prop_webuserid AS user_id, param_ga_session_id FROM page_view
-                  WHERE user_prop_webuserid IS NOT NULL AND param_ga_session_id IS NOT NULL)"""))
+@register("q11_user_history", fixture_sql(
+    f"SELECT tenant_id, user_id, moment AS event_timestamp, sid AS session_id, kind AS event_type, shown AS details FROM ({_WATCHED}) w",
+    extra_ctes=_TIMELINE))
 def q11_user_history(spark, sf_dir):
     from sessionscope.plans.history import user_history
     return user_history(tables(spark, sf_dir))
 
 
-@register("q12_session_history", fixture_sql("""
-SELECT tenant_id, param_ga_session_id AS session_id, event_timestamp, event_type, details
-FROM all_events WHERE param_ga_session_id IS NOT NULL""", extra_ctes=_ALL_EVENTS_CTE))
+@register("q12_session_history", fixture_sql(
+    "SELECT tenant_id, sid AS session_id, moment AS event_timestamp, kind AS event_type, shown AS details FROM timeline WHERE sid IS NOT NULL", extra_ctes=_TIMELINE))
 def q12_session_history(spark, sf_dir):
     from sessionscope.plans.history import session_history
     return session_history(tables(spark, sf_dir))
@@ -1194,17 +1191,14 @@ SELECT tenant_id, user_id, section, row_number() OVER sections AS position, even
             END AS items,
        CASE WHEN event_type IN ('view_item', 'page_view') THEN 1 END AS view_count
 FROM (
-  SELECT ae.tenant_id, us.user_id, ae.event_timestamp, param_ga_session_id AS session_id, ae.event_type, ae.details, s.section,
-         json_extract_string(details, '$.page_location') AS page
-  FROM all_events ae JOIN user_sessions us USING (tenant_id, param_ga_session_id)
+  SELECT tenant_id, user_id, moment AS event_timestamp, sid AS session_id, kind AS event_type, shown AS details, section, json_extract_string(shown, '$.page_location') AS page
+  FROM ({_WATCHED}) w
   JOIN (VALUES ('purchase', 'purchases'), ('add_to_cart', 'carts'), ('view_search_results', 'searches'), ('no_search_results', 'searches'),
-               ('view_item', 'viewed_products'), ('page_view', 'viewed_products')) s(event_type, section) ON s.event_type = ae.event_type)
+               ('view_item', 'viewed_products'), ('page_view', 'viewed_products')) s(kind, section) USING (kind))
 WHERE event_type <> 'page_view' OR contains(page, '/product/')
 WINDOW sections AS (PARTITION BY tenant_id, user_id, section ORDER BY event_timestamp, event_type, details)
 QUALIFY position <= CASE section WHEN 'purchases' THEN 5 WHEN 'carts' THEN 5 ELSE 10 END
-""", extra_ctes=_ALL_EVENTS_CTE + """,
-user_sessions AS (SELECT DISTINCT tenant_id, user_prop_webuserid AS user_id, param_ga_session_id FROM page_view
-                  WHERE user_prop_webuserid IS NOT NULL AND param_ga_session_id IS NOT NULL)"""))
+""", extra_ctes=_TIMELINE))
 def r15_history_projection(spark, sf_dir):
     from sessionscope.plans.history import user_history
     from sessionscope.plans.report import history_projection
