@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionscope.llm.words import return_freed_memory
+
 #: Text in one group; a single longer document makes a longer group.
 GROUP_BYTES = 4 << 20
 #: Entries that meet in one bucket, on average.
@@ -43,6 +45,7 @@ def planes(values: np.ndarray, width: int, shift: int = 0) -> bytes:
 
 
 def unplanes(blob: bytes, width: int) -> np.ndarray:
+    return_freed_memory()
     n = len(blob) // width
     raw = np.zeros((n, 8), np.uint8)
     raw[:, 8 - width:] = np.frombuffer(blob, np.uint8).reshape(width, n).T

@@ -7,6 +7,9 @@ hash of every run of k words comes from two prefix sums, without a loop over wor
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
 import numpy as np
 import pyarrow as pa
 
@@ -24,11 +27,21 @@ BLOCK_BYTES = 1 << 20
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def return_freed_memory() -> None:
+    """Have this process give large freed arrays and Arrow buffers back to the system at once, instead of keeping them for a later
+    task: a worker that is used again by another operator then holds what it works on, not its greatest size so far."""
+    if sys.platform == "linux" and pa.default_memory_pool().backend_name != "system":
+        pa.set_memory_pool(pa.system_memory_pool())
+        mallopt = getattr(ctypes.CDLL(None), "mallopt", None)  # glibc: a fixed size from which an allocation is a mapping of its own
+        if mallopt is not None:
+            mallopt(-3, 1 << 18)
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**0..n-1 and its inverses modulo 2**64 (base is odd)."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, BLOCK_BYTES)
+        size = max(n, 2 * len(have[0]) if have is not None else 0)
         with np.errstate(over="ignore"):
             up = np.full(size, base, np.uint64)
             down = np.full(size, pow(base, -1, 1 << 64), np.uint64)
@@ -47,6 +60,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def string_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and n+1 offsets of a string column; a null reads as empty text."""
+    return_freed_memory()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
