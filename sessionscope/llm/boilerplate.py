@@ -1,14 +1,18 @@
 """Main-text extraction with a host suffix array.
 
 Pages are parsed into blocks, and the contents of a host are brought together; pages with the same words are one content. The
-word streams are concatenated, a suffix array is built by prefix doubling, and neighbouring suffixes show which runs
-of words repeat across distinct contents. Such runs are boilerplate: outside article and main elements words of a run that
-occurs in two contents or more go and the unique runs stay; inside them, where the markup vouches for the text, a block goes only if
-runs that most of the host's contents show cover it, or most show it as page furniture. Furniture elements (menus,
-footers, notices, adverts, forms, comments) are never text.
-
-A host with more than ``block_bytes`` of html is split by a hash of the content into blocks of about that size, so no task holds
-a whole large host. Each block has its own suffix array and sends a hash of every distinct run of ``min_run`` words with the number of
+word streams are concatenated and a suffix array is built by prefix doubling; neighbouring suffixes show which runs of
+words repeat across distinct contents. A block is judged by the runs that tile it, from its first word to its last: it is
+boilerplate only if every one of them repeats, so a block is kept or removed whole, and a text that differs in one word from another stays.
+
+Outside article and main elements a block goes if contents of the host share all of its runs; if few do (two, or under a quarter of
+them), it goes only where such blocks are at most a third of the page: a page more of which is shared with a few others is a near copy of
+them, not boilerplate. Inside article and main, where the markup vouches for the text, a block goes only if most
+of the host's contents have its runs, or show it as page furniture. Furniture elements (menus, footers, notices, adverts, forms,
+comments) are never text.
+
+A host with more than ``block_bytes`` of text is split by a hash of the content into blocks of about that size, so no task holds
+a whole large host. Each block has its own suffix array and sends a hash of every distinct tiling run (one for ``min_run`` words) with the number of
 its contents; the sums over the host decide, so the result does not depend on the split.
 """
 
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +32,9 @@ from sessionscope.llm import exchange as X
 from sessionscope.llm.frames import written
 from sessionscope.llm.markup import CHROME, CONTENT, PLAIN, blocks
 from sessionscope.llm.urllists import host_of
-from sessionscope.llm.words import mix, row_of, run_hashes, word_hashes
+from sessionscope.llm.words import mix, run_hashes, word_hashes
 
-#: Words of a run that counts as repeated; block bounds do not count.
+#: Words of a run that counts as repeated.
 MIN_RUN = 6
 BLOCK_BYTES = 1 << 20
 #: Fewer pages than this say nothing about what most pages of a host show.
@@ -68,26 +73,12 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
-def covered_tokens(tokens: np.ndarray, page: np.ndarray, min_run: int = MIN_RUN) -> np.ndarray:
-    """Whether each token lies in a run of ``min_run`` or more tokens that occurs on two pages or more. Pages end with tokens that occur once."""
-    marks = np.zeros(len(tokens) + min_run + 1, np.int32)
-    if len(tokens):
-        order, common = suffix_array(tokens)
-        first = np.flatnonzero(common < min_run)
-        owner = page[order]
-        repeated = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
-        starts = order[np.repeat(repeated, np.diff(np.r_[first, len(order)]))]
-        np.add.at(marks, starts, 1)
-        np.add.at(marks, starts + min_run, -1)
-    return np.cumsum(marks)[:len(tokens)] > 0
-
-
 def number_of(text: str, person: bytes = b"") -> int:
     return int.from_bytes(blake2b(text.encode(), digest_size=8, person=person).digest(), "big")
 
 
 def _parse(n_carried: int):
-    """Per page: its blocks (a line each), their zones (a digit each), numbers of its words and of words and zones, bytes of html."""
+    """Per page: its blocks (a line each), their zones (a digit each), numbers of its words and of words and zones, bytes of text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
@@ -100,41 +91,78 @@ def _parse(n_carried: int):
                 yield pa.RecordBatch.from_pydict({
                     **{f"c{i}": batch[f"c{i}"] for i in range(n_carried)}, "host": batch["host"], "body": pa.array(body, pa.string()), "zones": pa.array(zones, pa.string()),
                     "words": signed([number_of(b.replace("\n", " ")) for b in body]), "blocks": signed([number_of(f"{z}\n{b}") for z, b in zip(zones, body, strict=True)]),
-                    "size": pa.array([len((x or "").encode()) for x in pages], pa.int64())})
+                    "size": pa.array([len(b.encode()) for b in body], pa.int64())})
     return run
 
 
-def _starts(offsets: np.ndarray, min_run: int) -> np.ndarray:
-    """First words of all runs of ``min_run`` words that end within their page."""
-    at = np.arange(offsets[-1])
-    return at[at + min_run <= offsets[1:][row_of(offsets)]] if len(at) else at
-
-
-def counted_runs(words: np.ndarray, offsets: np.ndarray, content: np.ndarray, min_run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts of all runs, number of the distinct run at each, contents of each distinct run), by the suffix array of the pages' words."""
-    n = len(offsets) - 1
-    tokens = np.insert(np.unique(words, return_inverse=True)[1].astype(np.int64), offsets[1:], -np.arange(n) - 1)
-    row = np.repeat(np.arange(n), np.diff(offsets) + 1)
+class _Page(NamedTuple):
+    """Blocks of a table of pages: their zones, words, page, and the runs that tile those that are no furniture."""
+
+    words: np.ndarray  # of all blocks that are no furniture
+    offsets: np.ndarray
+    content: np.ndarray  # number of each page's content
+    blocks: list[list[tuple[str, int]]]
+    tile: np.ndarray  # first word of every tiling run
+    tile_page: np.ndarray
+    tile_block: np.ndarray  # number of its block among all that are no furniture
+    n_blocks: int
+
+
+def _pages(table: pa.Table, min_run: int) -> _Page:
+    pages = [list(zip(body.split("\n"), map(int, zones), strict=False)) for body, zones in zip(table["body"].to_pylist(), table["zones"].to_pylist(), strict=True)]
+    words, offsets = word_hashes(pa.array([" ".join(text for text, zone in blocks if zone != CHROME) for blocks in pages], pa.string()))
+    tile, tile_page, tile_block, number = [], [], [], 0
+    for k, blocks in enumerate(pages):
+        first, last = int(offsets[k]), int(offsets[k + 1])
+        i = first
+        for text, zone in blocks:
+            if zone == CHROME:
+                continue
+            n = text.count(" ") + 1
+            if n >= min_run:
+                starts = [*range(i, i + n - min_run, min_run), i + n - min_run]
+            else:  # too short for a run: the one that begins with it, or at the end of a page ends with it
+                starts = [i] if i + min_run <= last else [i + n - min_run] if i + n - min_run >= first else []
+            tile += starts
+            tile_page += [k] * len(starts)
+            tile_block += [number] * len(starts)
+            number += 1
+            i += n
+    as_array = lambda x: np.array(x, np.int64)
+    return _Page(words, offsets, np.unique(table["words"].to_numpy(), return_inverse=True)[1], pages, as_array(tile), as_array(tile_page), as_array(tile_block), number)
+
+
+def counted_tiles(p: _Page, min_run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the distinct run at each tile, contents that have each as a tile), by the suffix array of the pages' words."""
+    n = len(p.offsets) - 1
+    tokens = np.insert(np.unique(p.words, return_inverse=True)[1].astype(np.int64), p.offsets[1:], -np.arange(n) - 1)
+    row = np.repeat(np.arange(n), np.diff(p.offsets) + 1)
     order, common = suffix_array(tokens)
     at = order - row[order]
-    inside = at + min_run <= offsets[1:][row[order]]
-    starts, run = at[inside], np.unique((np.cumsum(common < min_run) - 1)[inside], return_inverse=True)[1]
-    width = int(content.max(initial=0)) + 1
-    pairs = np.unique(run * width + content[row[order][inside]])
-    return starts, run, np.bincount(pairs // width)
+    inside = at + min_run <= p.offsets[1:][row[order]]
+    run_at = np.full(len(p.words) + 1, -1)
+    run_at[at[inside]] = (np.cumsum(common < min_run) - 1)[inside]
+    run = np.unique(run_at[p.tile], return_inverse=True)[1]
+    width = int(p.content.max(initial=0)) + 1
+    pairs = np.unique(run * width + p.content[p.tile_page])
+    return run, np.bincount(pairs // width)
+
+
+ONE, FEW, SOME, MOST = 0, 1, 2, 3
 
 
 def _verdict(count: np.ndarray, pages: np.ndarray | int) -> np.ndarray:
-    """0: one content has it; 1: more have it; 2: most contents of the host have it."""
-    return ((count >= 2).astype(np.uint8) + ((count >= 2) & (2 * count > pages) & (np.asarray(pages) >= MIN_PAGES))).astype(np.uint8)
+    """How many contents of the host have it: one; few (two, or under a quarter); some; most of them."""
+    some, most = (count >= 3) & (4 * count >= pages), (count >= 2) & (2 * count > pages) & (np.asarray(pages) >= MIN_PAGES)
+    return np.where(most, MOST, np.where(some, SOME, np.where(count >= 2, FEW, ONE))).astype(np.uint8)
 
 
-def _furniture(table: pa.Table, content: np.ndarray) -> dict[str, set[int]]:
+def _furniture(p: _Page) -> dict[str, set[int]]:
     """The contents that show a block as page furniture, for every such block."""
     out: dict[str, set[int]] = {}
-    for k, body, zones in zip(content.tolist(), table["body"].to_pylist(), table["zones"].to_pylist(), strict=True):
-        for text, zone in zip(body.split("\n"), zones, strict=False):
-            if int(zone) == CHROME:
+    for k, blocks in zip(p.content.tolist(), p.blocks, strict=True):
+        for text, zone in blocks:
+            if zone == CHROME:
                 out.setdefault(text, set()).add(k)
     return out
 
@@ -147,25 +175,24 @@ def _block_number(texts: list[str]) -> np.ndarray:
     return np.array([number_of(x, b"block") for x in texts], np.uint64)
 
 
-def _contents(table: pa.Table) -> np.ndarray:
-    return np.unique(table["words"].to_numpy(), return_inverse=True)[1]
+def _hashes(p: _Page, min_run: int) -> np.ndarray:
+    """Hash of the run at every tile."""
+    return run_hashes(p.words, min_run, _RUN_BASE)[p.tile] if len(p.tile) else np.zeros(0, np.uint64)
 
 
 def _send(buckets: int, min_run: int):
-    """For one block of a split host: distinct runs and furniture with the number of contents that have them."""
+    """For one block of a split host: distinct tiling runs and furniture with the number of contents that have them."""
     def run(table: pa.Table) -> pa.Table:
         names = [c.split()[0] for c in _COUNTS.split(", ")]
         schema = pa.schema([("bucket", pa.int32()), ("host", pa.string()), ("part", pa.int32()), ("pages", pa.int64()), ("h", pa.binary()), ("n", pa.binary())])
         if not table.num_rows or table["parts"][0].as_py() < 2:
             return schema.empty_table()
-        words, offsets = word_hashes(table["body"])
-        content = _contents(table)
-        starts, distinct, counts = counted_runs(words, offsets, content, min_run)
+        p = _pages(table, min_run)
+        distinct, counts = counted_tiles(p, min_run)
         one = np.zeros(len(counts), np.int64)
-        one[distinct] = starts
-        shown = _furniture(table, content)
-        hashes = np.r_[run_hashes(words, min_run, _RUN_BASE)[one], _block_number(list(shown))] if len(one) else _block_number(list(shown))
-        hashes, place = np.unique(_salted(hashes, table), return_inverse=True)
+        one[distinct] = np.arange(len(distinct))
+        shown = _furniture(p)
+        hashes, place = np.unique(_salted(np.r_[_hashes(p, min_run)[one], _block_number(list(shown))], table), return_inverse=True)
         total = np.zeros(len(hashes), np.int64)
         np.add.at(total, place, np.r_[counts, [len(x) for x in shown.values()]].astype(np.int64))
         sent = X.send_counts(0, hashes, total, buckets, 8)
@@ -189,44 +216,30 @@ def _decide(table: pa.Table) -> pa.Table:
     return pa.table({"host": table["host"], "part": table["part"], "bucket": table["bucket"], "found": pa.array([found[e - k:e].tobytes() for e, k in zip(ends, lengths, strict=True)], pa.binary())})
 
 
-def _covered(n: int, starts: np.ndarray, min_run: int) -> np.ndarray:
-    marks = np.zeros(n + 1, np.int32)
-    np.add.at(marks, starts, 1)
-    np.add.at(marks, starts + min_run, -1)
-    return np.cumsum(marks)[:n] > 0
-
-
 def main_texts(table: pa.Table, answers: pa.Table | None, min_run: int = MIN_RUN) -> list[str]:
     """Main text of each page of a host, or of a block of a split host with the answers to what it sent."""
-    words, offsets = word_hashes(table["body"])
-    content = _contents(table)
-    shown = _furniture(table, content)
+    p = _pages(table, min_run)
+    shown = _furniture(p)
     if table["parts"][0].as_py() < 2:
-        starts, distinct, counts = counted_runs(words, offsets, content, min_run)
-        pages = int(content.max()) + 1
+        distinct, counts = counted_tiles(p, min_run)
+        pages = int(p.content.max()) + 1
         verdict = _verdict(counts, pages)[distinct]
-        furniture = dict(zip(shown, _verdict(np.array([len(x) for x in shown.values()], np.int64), pages), strict=True))
+        furniture = dict(zip(shown, _verdict(np.array([len(x) for x in shown.values()], np.int64), pages).tolist(), strict=True))
     else:
-        starts = _starts(offsets, min_run)
-        runs, texts = _salted(run_hashes(words, min_run, _RUN_BASE)[starts], table) if len(starts) else np.zeros(0, np.uint64), _salted(_block_number(list(shown)), table)
+        runs, texts = _salted(_hashes(p, min_run), table), _salted(_block_number(list(shown)), table)
         hashes, found = np.unique(np.r_[runs, texts]), X.received(answers)
         verdict = found[np.searchsorted(hashes, runs)]
-        furniture = dict(zip(shown, found[np.searchsorted(hashes, texts)], strict=True))
-    repeated, common = _covered(len(words), starts[verdict >= 1], min_run), _covered(len(words), starts[verdict == 2], min_run)
-    out = []
-    for k, (body, zones) in enumerate(zip(table["body"].to_pylist(), table["zones"].to_pylist(), strict=True)):
-        kept, i = [], int(offsets[k])
-        for text, zone in zip(body.split("\n"), map(int, zones), strict=False):
-            own = text.split(" ")
-            j = i + len(own)
-            if zone == CONTENT:
-                if not (common[i:j].all() or len(own) + 2 >= min_run and furniture.get(text, 0) == 2):
-                    kept.append(text)
-            elif zone == PLAIN:
-                run = text if not repeated[i:j].any() else " ".join(w for w, c in zip(own, repeated[i:j], strict=True) if not c)
-                if run:
-                    kept.append(run)
-            i = j
+        furniture = dict(zip(shown, found[np.searchsorted(hashes, texts)].tolist(), strict=True))
+    judged = np.full(p.n_blocks, MOST, np.uint8)
+    np.minimum.at(judged, p.tile_block, verdict)
+    judged[np.setdiff1d(np.arange(p.n_blocks), p.tile_block)] = ONE
+    out, of = [], iter(judged.tolist())
+    for blocks in p.blocks:
+        own = [(text, zone, text.count(" ") + 1, next(of)) for text, zone in blocks if zone != CHROME]
+        shared = sum(n for _, zone, n, v in own if zone == PLAIN and v == FEW)
+        near_copy = 3 * shared > sum(n for _, _, n, _ in own)
+        kept = [text for text, zone, n, v in own if (zone == CONTENT and v < MOST and not (n + 2 >= min_run and furniture.get(text) == MOST))
+                or (zone == PLAIN and (v == ONE or v == FEW and near_copy))]
         out.append("\n\n".join(kept))
     return out
 

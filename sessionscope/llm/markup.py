@@ -6,6 +6,8 @@ import html
 import re
 
 PLAIN, CONTENT, CHROME = 0, 1, 2
+#: Furniture by the words of a class or id alone: it does not reach into an article or main element, whatever its words.
+HINTED = 3
 
 #: Element names of the HTML standard.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -18,24 +20,38 @@ CHROME_WORDS = set(
     "nav navbar navigation menu sidebar aside footer cookie cookies consent gdpr notice banner notification alert ad ads advert adverts advertisement advertising sponsor sponsored promo promotion "
     "popup modal newsletter subscribe subscription signup share sharing social comment comments disqus breadcrumb breadcrumbs related pagination pager widget login toolbar masthead".split())
 
+#: Of these, the ones that name a place for other people's articles: an article in it stays furniture.
+LISTING_WORDS = set("comment comments disqus related".split())
+#: Words that make a class name a layout or a state ("no-sidebar", "ad-free") and not the thing it mentions.
+STATE_WORDS = set("no not with without has is on off free open closed enabled disabled".split())
+#: Class names that say an element holds the text.
+TEXT_NAMES = set("content article main story entry post body text".split())
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:"[^"]*"|'[^']*'|[^'">])*>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<""", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""\s(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?(?=[\s/>])""", re.I)
 
 
+def _named(value: str) -> list[set[str]]:
+    """The words of every name in a class or id."""
+    return [set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())) - {""} for name in value.split()]
+
+
 def _zone(name: str, tag: str, around: int) -> int:
+    """Zone of an element, from its name, its attributes and the zone around it. Hidden elements, roles and element names decide;
+    the words of a class or id are evidence that an article or main element, or a name for the text itself, outweighs."""
     if around == CHROME and name not in ("article", "main"):
         return CHROME
-    words: set[str] = set()
+    names: list[set[str]] = []
     role, prop = "", ""
     if " " in tag or "\n" in tag or "\t" in tag:
         for key, value in _ATTRIBUTE.findall(tag):
             key, value = key.lower(), value.strip("\"'")
-            parts = re.sub(r"([a-z])([A-Z])", r"\1-\2", value)
-            value = value.lower()
             if key in ("class", "id"):
-                words.update(re.split(r"[^a-z0-9]+", parts.lower()))
-            elif key == "role":
+                names += _named(value)
+                continue
+            value = value.lower()
+            if key == "role":
                 role = value
             elif key == "itemprop":
                 prop = value
@@ -43,13 +59,17 @@ def _zone(name: str, tag: str, around: int) -> int:
                 return CHROME
     if name in ("html", "body"):
         return around
-    if role in CHROME_ROLES or words & CHROME_WORDS:
-        return CHROME
-    if around == CHROME and name == "article" or name in CHROME_TAGS:
+    words = set().union(*[n for n in names if not n & STATE_WORDS]) & CHROME_WORDS
+    if name in ("article", "main"):
+        listed = name == "article" and (around == CHROME or any(n <= LISTING_WORDS for n in names if n))
+        return CHROME if role in CHROME_ROLES or listed else CONTENT
+    if role in CHROME_ROLES or name in CHROME_TAGS or words & LISTING_WORDS:
         return CHROME
+    if words and not any(n <= TEXT_NAMES for n in names if n):
+        return HINTED
     if name == "header":
         return around if around == CONTENT else CHROME
-    if name in ("article", "main") or role in ("main", "article") or prop == "articlebody":
+    if role in ("main", "article") or prop == "articlebody":
         return CONTENT
     return around
 
@@ -66,7 +86,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, zone))
+                out.append((text, CHROME if zone == HINTED else zone))
             parts.clear()
 
     for token in _TOKEN.findall(page or ""):
@@ -98,7 +118,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             if not token.endswith("/>"):
                 skip = name
         elif name not in VOID:
-            if name == "body" and zone == CHROME:  # a head that was never closed
+            if name == "body" and zone in (CHROME, HINTED):  # a head that was never closed
                 zone, stack = PLAIN, []
             inner = _zone(name, token, zone)
             if inner != zone:

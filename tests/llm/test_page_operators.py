@@ -106,18 +106,70 @@ def test_suffix_array_against_sorting():
             assert a[:k] == b[:k] and (len(a) == k or a[k] != b[k])
 
 
-def test_covered_tokens_against_brute_force():
-    rnd = random.Random(1)
-    pages = [[rnd.randint(1, 3) for _ in range(rnd.randint(0, 30))] for _ in range(6)]
-    tokens, owner = [], []
-    for k, p in enumerate(pages):
-        tokens += [*p, -k - 1]
-        owner += [k] * (len(p) + 1)
-    want = [False] * len(tokens)
-    for i in range(len(tokens) - 4):
-        if any(tokens[i:i + 5] == tokens[j:j + 5] and owner[i] != owner[j] for j in range(len(tokens) - 4)):
-            want[i:i + 5] = [True] * 5
-    assert boilerplate.covered_tokens(np.array(tokens), np.array(owner), 5).tolist() == want
+def brute_main_texts(rows, min_run=6):
+    """By definition, page by page: tiles of every block, contents that have each, and what that says about the block."""
+    hosts = {}
+    for i, url, html in rows:
+        hosts.setdefault((url or "").split("/")[2] if "//" in (url or "") else "", []).append((i, [(t, z) for t, z in blocks(html)]))
+    out = {}
+    for pages in hosts.values():
+        tiles, shown = {}, {}
+        contents = {" ".join(t for t, _ in page) for _, page in pages}
+
+        def own(page):
+            words = [w for t, z in page if z != CHROME for w in t.split()]
+            at = 0
+            for t, z in page:
+                if z != CHROME:
+                    n = len(t.split())
+                    starts = [*range(at, at + n - min_run, min_run), at + n - min_run] if n >= min_run else [at] if at + min_run <= len(words) else [at + n - min_run] if at + n >= min_run else []
+                    yield t, z, n, [tuple(words[s:s + min_run]) for s in starts]
+                    at += n
+        for _, page in pages:
+            key = " ".join(t for t, _ in page)
+            for _, _, _, runs in own(page):
+                for r in runs:
+                    tiles.setdefault(r, set()).add(key)
+            for t, z in page:
+                if z == CHROME:
+                    shown.setdefault(t, set()).add(key)
+
+        def verdict(n):
+            return 3 if n >= 2 and 2 * n > len(contents) >= 10 else 2 if n >= 3 and 4 * n >= len(contents) else 1 if n >= 2 else 0
+        for i, page in pages:
+            judged = [(t, z, n, min([verdict(len(tiles[r])) for r in runs], default=0)) for t, z, n, runs in own(page)]
+            copy = 3 * sum(n for _, z, n, v in judged if z == PLAIN and v == 1) > sum(n for _, _, n, _ in judged)
+            out[i] = "\n\n".join(t for t, z, n, v in judged if (z == CONTENT and v < 3 and not (n + 2 >= min_run and verdict(len(shown.get(t, ()))) == 3)) or (z == PLAIN and (v == 0 or v == 1 and copy)))
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [400, 1 << 20])
+def test_main_text_against_brute_force(spark, block_bytes):
+    rnd = random.Random(12)
+    line = lambda low, high: " ".join(rnd.choice("abcdefghij") + rnd.choice("xyz") for _ in range(rnd.randint(low, high)))
+    rows = []
+    for host in range(4):
+        stock = [line(1, 14) for _ in range(8)]
+        for k in range([1, 3, 12, 30][host]):
+            parts = [f"<{tag}>{rnd.choice(stock) if rnd.random() < 0.6 else line(1, 40)}</{tag}>" for tag in rnd.choices(["div", "p", "nav", "article", "footer"], k=rnd.randint(0, 9))]
+            rows.append((len(rows), f"http://h{host}.example/{k}", "".join(parts)))
+    rows += [(1000 + i, u, h) for i, (_, u, h) in enumerate(rows[::7])]
+    assert texts(spark, rows, block_bytes=block_bytes) == brute_main_texts(rows)
+
+
+def test_class_words_hide_no_text(spark):
+    text = "this is the main text of the page and it stays"
+    pages = [f'<main class="page with-sidebar"><p>{text}</p></main>', f'<div class="layout no-sidebar"><article><p>{text}</p></article></div>', f'<div class="content ad-free"><p>{text}</p></div>',
+             f'<article id="post-comment-on-budget"><p>{text}</p></article>', f'<div class="sidebar-layout"><main><p>{text}</p></main></div>']
+    rows = [(k, f"http://w{k}.example/", f"<body>{p}<div class='comments'><article><p>first!</p></article></div><div class='cookie-banner'>we use cookies</div></body>") for k, p in enumerate(pages)]
+    assert texts(spark, rows) == {k: text for k in range(len(pages))}
+
+
+def test_near_equal_pages_keep_their_text(spark):
+    body = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(3)]
+    page = lambda word: "".join(f"<div>{b}</div>" for b in [*body[:2], body[2] + f" {word} " + body[0][::-1]])
+    got = texts(spark, [(1, "http://n.example/1", page("old")), (2, "http://n.example/2", page("new"))])
+    assert got[1].count("\n\n") == 2 and got[2] == got[1].replace(" old ", " new ") and " old " in got[1]
 
 
 def alone(k):
