@@ -1428,6 +1428,25 @@ register("p7_json_text_search", "SELECT * FROM (" + q4_sql().replace(
     "FROM purchase fp " + _customer('fp'), "FROM purchase fp " + _customer('fp') + " WHERE fp.items_json ILIKE '%item 7%'")
     + ") x")(_q("purchase_tasks", query="item 7"))
 
+INDEXED_PATTERNS = ("item 7", "ITEM%3", "p1_", "em")
+
+
+@register("p7_indexed_search", fixture_sql(f"""
+SELECT q AS pattern, tenant_id, event_id FROM purchase, (VALUES {', '.join(f"('{q}')" for q in INDEXED_PATTERNS)}) asked(q) WHERE items_json ILIKE '%' || q || '%'"""))
+def p7_indexed_search(spark, sf_dir):
+    """The purchases whose items match each pattern, through the trigram index of the stored table."""
+    import uuid
+    from functools import reduce
+    from pyspark.sql import DataFrame
+    from pyspark.sql import functions as F
+    from sessionscope.operators.textindex import add_to_index, search
+    from sessionscope.session import scratch_dir
+    purchase = tables(spark, sf_dir).purchase
+    index = scratch_dir(spark, f"p7-{uuid.uuid4().hex}", temporary=True)
+    add_to_index(purchase, "items_json", index)
+    return reduce(DataFrame.unionByName, [search(purchase, "items_json", q, index).select(F.lit(q).alias("pattern"), "tenant_id", "event_id") for q in INDEXED_PATTERNS])
+
+
 register("p10_status_filter", fixture_sql(_page_sql(f"""
 SELECT tenant_id, id, job_id, branch_code, sales_rep_email, sales_rep_name, subject,
        strftime(report_date, '%Y-%m-%d') AS report_date, status, smtp_response, error_message,

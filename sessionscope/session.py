@@ -45,7 +45,8 @@ def build_session(master: str | None = None, app: str = "sessionscope",
 
 
 def apply_required_conf(spark: SparkSession) -> None:
-    """Pin the runtime settings the query semantics depend on (idempotent)."""
+    """Pin the runtime settings the query semantics depend on (idempotent). They hold for the whole session that is handed over, also for
+    its other queries: among them that dynamic partition pruning is off. Hand over ``spark.newSession()`` to keep them apart."""
     for k, v in REQUIRED_CONF.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
