@@ -60,14 +60,23 @@ def _record(kind: str, content_type: str, block: str, source: dict, links: list[
     return out
 
 
-def derive(record_id: str, target_uri: str | None, warc_date: str | None, block: str | None) -> list[dict]:
-    """The metadata and the conversion record of one response."""
+def recorded_headers(text: str | None) -> list[tuple[str, str]]:
+    """(name, value) of a record's own WARC headers, in order; a version line and lines without a colon are no headers."""
+    return [(name.strip(), value.strip()) for name, colon, value in (line.partition(":") for line in (text or "").splitlines()) if colon and name.strip()]
+
+
+def derive(record_id: str, target_uri: str | None, warc_date: str | None, block: str | None, recorded: str | None = None) -> list[dict]:
+    """The metadata and the conversion record of one response. Of ``recorded``, its WARC headers as text, the digests are the source
+    digests as they stand, whatever their algorithm; only missing ones are computed. All of them are kept in the metadata."""
     block = block or ""
     status, http_headers, payload = http_parts(block)
-    source = {"record_id": record_id, "target_uri": target_uri, "warc_date": warc_date, "block_digest": digest(block.encode()), "payload_digest": digest(payload.encode())}
+    own = recorded_headers(recorded)
+    known = {name.lower(): value for name, value in reversed(own)}
+    source = {"record_id": record_id, "target_uri": target_uri, "warc_date": warc_date, "block_digest": known.get("warc-block-digest") or digest(block.encode()),
+              "payload_digest": known.get("warc-payload-digest") or digest(payload.encode())}
     text = "\n".join(t for t, _ in blocks(payload))
     title = _TITLE.search(payload)
-    fields = [("httpStatus", status), *[(f"sourceHeader-{k}", v) for k, v in http_headers], ("title", html.unescape(title[1]) if title else ""),
+    fields = [("httpStatus", status), *[(f"sourceHeader-{k}", v) for k, v in http_headers], *[(f"sourceRecord-{k}", v) for k, v in own], ("title", html.unescape(title[1]) if title else ""),
               ("sourceBlockDigest", source["block_digest"]), ("sourcePayloadDigest", source["payload_digest"]), ("payloadLength", str(len(payload.encode()))), ("textLength", str(len(text)))]
     fields += [("outlink", html.unescape(x.strip("\"'"))) for x in _LINK.findall(payload)]
     body = "".join(f"{k}: {_line(v)}\r\n" for k, v in fields if _line(v))
@@ -75,19 +84,23 @@ def derive(record_id: str, target_uri: str | None, warc_date: str | None, block:
             _record("conversion", "text/plain; charset=utf-8", text, source, [])]
 
 
-def build_derivatives(records: DataFrame, record_id: str = "record_id", record_type: str = "record_type", target_uri: str = "target_uri", warc_date: str = "warc_date", block: str = "block") -> DataFrame:
-    """Two rows (columns of DERIVED) for every response of ``records``, without a shuffle.
+def build_derivatives(records: DataFrame, record_id: str = "record_id", record_type: str = "record_type", target_uri: str = "target_uri", warc_date: str = "warc_date", block: str = "block", recorded: str | None = None) -> DataFrame:
+    """Two rows (columns of DERIVED) for every response of ``records``, without a shuffle. ``recorded`` names a column with the
+    WARC headers of the source records as text, if there is one: their digests become the source digests unchanged, and every header is kept
+    in the metadata record (``sourceRecord-<name>``).
 
     Nulls and edges: rows of another or no type, and responses without a record id (nothing could refer to them), yield
-    nothing; a null or empty block gives an empty conversion and the digests of empty data; a null URI or date leaves out that header;
+    nothing; a null or empty block gives an empty conversion and the digests of empty data; a null URI or date leaves out that header; without
+    recorded headers, or where they hold no digest, the source digest is the SHA-1 of the block or payload as UTF-8;
     a repeated response yields its records again, with the same ids; other columns are ignored.
     """
-    rows = records.where((records[record_type] == "response") & records[record_id].isNotNull()).select(records[record_id].cast("string").alias("i"), records[target_uri].cast("string").alias("u"), records[warc_date].cast("string").alias("d"), records[block].cast("string").alias("b"))
+    rows = records.where((records[record_type] == "response") & records[record_id].isNotNull()).select(records[record_id].cast("string").alias("i"), records[target_uri].cast("string").alias("u"), records[warc_date].cast("string").alias("d"), records[block].cast("string").alias("b"),
+        (F.lit(None) if recorded is None else records[recorded]).cast("string").alias("h"))
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
-                out = [r for row in whole.slice(at, 256).to_pylist() for r in derive(row["i"], row["u"], row["d"], row["b"])]
+                out = [r for row in whole.slice(at, 256).to_pylist() for r in derive(row["i"], row["u"], row["d"], row["b"], row["h"])]
                 yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
     return rows.mapInArrow(run, DERIVED)
 

@@ -116,3 +116,19 @@ def test_an_item_of_more_words_than_symbols(spark):
     some = pieces.where(F.col("body").contains(" aae60 "))
     found = decontaminate.find_contamination(docs, some, item_id="item", item_text="body").collect()
     assert (found[0]["n_hit"], found[0]["n_items"]) == (30, 1)
+
+
+def test_recorded_headers_and_digests_are_kept(spark):
+    from sessionscope.llm import warc
+    head = "WARC/1.1\r\nWARC-Type: response\r\nWARC-IP-Address: 192.0.2.7\r\nWARC-Truncated: length\r\nWARC-Payload-Digest: sha256:abc\r\nno header\r\n"
+    rows = [("<urn:a>", "response", "http://x.example/", "2024-01-01T00:00:00Z", "HTTP/1.1 200 OK\r\nA: b\r\n\r\n<p>text</p>", head), ("<urn:b>", "response", None, None, "plain", None), ("<urn:c>", "request", None, None, "x", head)]
+    records = spark.createDataFrame(rows, "record_id string, record_type string, target_uri string, warc_date string, block string, head string")
+    out = {(r["refers_to"], r["record_type"]): r for r in warc.build_derivatives(records, recorded="head").collect()}
+    assert len(out) == 4
+    for kind in ("metadata", "conversion"):
+        assert out["<urn:a>", kind]["source_payload_digest"] == "sha256:abc" and out["<urn:a>", kind]["source_block_digest"] == warc.digest(rows[0][4].encode())
+        assert out["<urn:b>", kind]["source_payload_digest"] == warc.digest(b"plain")
+    body = out["<urn:a>", "metadata"]["block"]
+    assert all(x in body for x in ("sourceRecord-WARC-IP-Address: 192.0.2.7\r\n", "sourceRecord-WARC-Truncated: length\r\n", "sourcePayloadDigest: sha256:abc\r\n", "sourceHeader-A: b\r\n"))
+    assert "sourceRecord" not in out["<urn:b>", "metadata"]["block"]
+    assert {r["record_id"] for r in warc.build_derivatives(records).collect()} == {r["record_id"] for r in out.values()}
