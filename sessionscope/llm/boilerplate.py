@@ -89,7 +89,7 @@ def _parse(n_carried: int):
                 zones = ["".join(str(zone) for _, zone in b) for b in found]
                 signed = lambda values: pa.array(np.array(values, np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_pydict({
-                    **{f"c{i}": batch[f"c{i}"] for i in range(n_carried)}, "host": batch["host"], "body": pa.array(body, pa.string()), "zones": pa.array(zones, pa.string()),
+                    **{f"c{i}": batch[f"c{i}"] for i in range(n_carried)}, "row": batch["row"], "host": batch["host"], "body": pa.array(body, pa.string()), "zones": pa.array(zones, pa.string()),
                     "words": signed([number_of(b.replace("\n", " ")) for b in body]), "blocks": signed([number_of(f"{z}\n{b}") for z, b in zip(zones, body, strict=True)]),
                     "size": pa.array([len(b.encode()) for b in body], pa.int64())})
     return run
@@ -257,22 +257,24 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", ca
     key = [T.StructField("host", T.StringType()), T.StructField("words", T.LongType()), T.StructField("blocks", T.LongType())]
     result = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
     names = [f.name for f in key]
-    base = pages.select(*[pages[c].alias(f"c{i}") for i, c in enumerate(carry)], F.coalesce(host_of(pages[url]), F.lit("")).alias("host"), pages[html].alias("html"))
-    parsed = written(base.mapInArrow(_parse(n), T.StructType([*carried, key[0], T.StructField("body", T.StringType()), T.StructField("zones", T.StringType()), *key[1:], T.StructField("size", T.LongType())])), "blocks", "zstd")
-    keys = written(parsed.groupBy(*names).agg(F.count("*").alias("n"), F.max("size").alias("size")), "keys")
+    base = pages.select(*[pages[c].alias(f"c{i}") for i, c in enumerate(carry)], F.coalesce(host_of(pages[url]), F.lit("")).alias("host"), pages[html].alias("html"),
+                        F.monotonically_increasing_id().alias("row"))
+    number = T.StructField("row", T.LongType())
+    parsed = base.mapInArrow(_parse(n), T.StructType([*carried, number, key[0], T.StructField("body", T.StringType()), T.StructField("zones", T.StringType()), *key[1:], T.StructField("size", T.LongType())]))
+    mine = [f.name for f in carried]
+    # pages are parsed twice, here for their numbers and below for their text: that is cheaper than writing the text
+    numbers = written(parsed.select(*mine, "row", *names, "size"), "numbers", "zstd")
+    keys = written(numbers.groupBy(*names).agg(F.count("*").alias("n"), F.max("size").alias("size"), F.min("row").alias("kept")), "keys")
     hosts = written(keys.groupBy("host", "words").agg(F.sum("size").alias("size")).groupBy("host").agg(F.sum("size").alias("size"), F.count("*").alias("pages")), "hosts")
     large = hosts.where(F.col("size") > block_bytes).select(F.col("host").alias("large"), F.ceil(F.col("size") / block_bytes).alias("parts"), "pages")
     n_large, split_bytes = large.agg(F.count("*"), F.sum("parts") * block_bytes).first()
-    many = keys.where("n > 1").select(*names, "n")
+    many = keys.where("n > 1").select(*names, "n", "kept")
     n_many, n_copies = many.agg(F.count("*"), F.sum("n")).first()
-    mine = [f.name for f in carried]
     rows = parsed.select(*mine, *names, "body", "zones", F.lit(0).cast("bigint").alias("n"))
-    if n_many:
-        marked = (parsed.withColumn("row", F.monotonically_increasing_id())
-                  .join(F.broadcast(many) if n_many <= MAX_BROADCAST_COPIES else many, names, "left"))
-        first = marked.where("n is not null").groupBy(*names).agg(F.first("body").alias("body"), F.first("zones").alias("zones"), F.first("n").alias("n"))
-        rows = (marked.where("n is null").select(*mine, *names, "body", "zones", F.lit(0).cast("bigint").alias("n"))
-                .unionByName(first.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in carried], *names, "body", "zones", "n")))
+    if n_many:  # of a repeated page the first row stands for all
+        few = lambda keyed, size: F.broadcast(keyed) if size <= MAX_BROADCAST_COPIES else keyed
+        one = parsed.join(few(many, n_many), names, "left").where("n is null or row = kept")
+        rows = one.select(*[F.when(F.col("n").isNull(), F.col(f.name)).alias(f.name) for f in carried], *names, "body", "zones", F.coalesce("n", F.lit(0)).alias("n"))
     placed = (rows.join(F.broadcast(large) if n_large <= MAX_SPLIT_HOSTS else large, F.col("host") == F.col("large"), "left").drop("large")
               .withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod("words", "parts").cast("int")))
     by_block = placed.groupBy("host", "part")
@@ -291,8 +293,8 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", ca
         out = by_block.applyInArrow(lambda table: finish(table), schema)
     if n_many:  # a repeated page returns to all of its rows, dealt over as many keys as its rows need
         shares = F.greatest(F.ceil(F.col("n") / COPIES_TOGETHER), F.lit(1))
-        copies = marked.where("n is not null").select(*[F.col(c).alias(f"own_{c}") for c in mine], *names, F.pmod("row", shares).alias("share"), F.lit(True).alias("copy"))
+        copies = numbers.join(few(many, n_many), names).select(*[F.col(c).alias(f"own_{c}") for c in mine], *names, F.pmod("row", shares).alias("share"), F.lit(True).alias("copy"))
         out = (out.withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), shares - 1)))
-               .join(F.broadcast(copies) if n_copies <= MAX_BROADCAST_COPIES else copies, [*names, "share"], "left").where("n = 0 or copy"))
+               .join(few(copies, n_copies), [*names, "share"], "left").where("n = 0 or copy"))
         out = out.select(*[F.when(F.col("n") > 0, F.col(f"own_{c}")).otherwise(F.col(c)).alias(c) for c in mine], "text", "n_chars")
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "text", "n_chars")
