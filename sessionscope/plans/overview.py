@@ -63,7 +63,8 @@ def overview_stats(t: Tables, start: str | None, end: str | None, tenant_id: str
         parts = overview_parts(t, start, end, tenant_id, location_id)
     if tenant_id is not None:
         # A tenant without any rows still gets its (zero) row.
-        parts.append(spark.range(1).select(F.lit(tenant_id).alias("tenant_id")))
+        parts.append(spark.range(1).select(F.lit(tenant_id).alias("tenant_id"), F.lit(None).cast("decimal(25,2)").alias(METRICS[0]),
+                                           *[F.lit(None).cast("bigint").alias(m) for m in METRICS[1:]]))
     if not parts:
         return spark.range(0).select(F.lit(None).cast("string").alias("tenant_id"),
                                      *[F.lit(0).cast("bigint").alias(m) for m in METRICS[1:]])

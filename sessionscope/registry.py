@@ -1638,6 +1638,14 @@ def f1_table_function_surface(spark, sf_dir):
     return call(tables(spark, sf_dir), "get_purchase_tasks", "T0", 1, 50)["data"]
 
 
+@register("f1_sql_table_function", "SELECT * FROM (" + q4_sql(1, 50) + ") x WHERE tenant_id = 'T0'")
+def f1_sql_table_function(spark, sf_dir):
+    """The same function as an SQL table function."""
+    from sessionscope.functions.sqlsurface import register_functions
+    register_functions(tables(spark, sf_dir))
+    return spark.sql("SELECT * FROM get_purchase_tasks('T0', 1, 50)")
+
+
 @register("f1_sql_views_overview", Q1_SQL)
 def f1_sql_views_overview(spark, sf_dir):
     """The registered views answer the overview through ``spark.sql`` as well."""

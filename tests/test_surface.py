@@ -66,3 +66,64 @@ def test_history_functions(spark):
     assert rows(call(t, "get_user_history", "T0", user)) == rows(history.user_history(t).filter(F.col("user_id") == user).filter("tenant_id = 'T0'")) != []
     assert rows(call(t, "get_session_history", "T0", session)) == rows(
         history.session_history(t, None, "T0").filter(F.col("session_id") == session).drop("session_id")) != []
+
+
+def literal(x):
+    return "NULL" if x is None else str(x) if isinstance(x, int) else f"'{x}'"
+
+
+@pytest.fixture(scope="module")
+def sql(spark):
+    from sessionscope.functions.sqlsurface import register_functions
+    t = load_tables(spark, SF)
+    assert set(register_functions(t)) == set(FUNCTIONS)
+
+    def ask(name, *args, **named):
+        given = [literal(a) for a in args] + [f"p_{k} => {literal(v)}" for k, v in named.items()]
+        return spark.sql(f"SELECT * FROM {name}('T0'{''.join(', ' + g for g in given)})")
+    return t, ask
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_sql_function_equals_the_python_call(sql, name):
+    t, ask = sql
+    args, _ = CASES[name]
+    want, got = call(t, name, "T0", *args), ask(name, *args)
+    want = want["data"] if isinstance(want, dict) else want
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want) != []
+
+
+VARIANTS = [
+    ("get_purchase_tasks", (1, 5), {"query": "item 7", "location_id": "D05", "sort_field": "order_value", "sort_order": "asc"}),
+    ("get_purchase_tasks", (1, 30), {"start_date": "2024-01-05", "end_date": "2024-01-20", "sort_field": "customer_name", "sort_order": "desc"}),
+    ("get_cart_abandonment_tasks", (1, 500), {"query": "company 1", "sort_field": "total_value", "sort_order": "desc"}),
+    ("get_cart_abandonment_tasks", (1, 20), {"start_date": "2024-01-10", "sort_field": "nonsense"}),
+    ("get_search_analysis_tasks", (1, 50), {"include_converted": True, "search_type": "no_conversion"}),
+    ("get_search_analysis_tasks", (2, 20), {"query": "term 1", "sort_field": "search_term", "sort_order": "asc"}),
+    ("get_repeat_visit_tasks", (1, 50), {"query": "company 2", "sort_field": "last_activity", "sort_order": "asc"}),
+    ("get_performance_tasks", (1, 40), {"location_id": "D07", "sort_field": "entry_page", "sort_order": "asc"}),
+    ("get_dashboard_overview_stats", (START, END), {"location_id": "D03"}),
+    ("get_dashboard_overview_stats", (None, END), {}),
+    *[("get_chart_data", (START, END, g), {}) for g in ("hourly", "4hours", "12hours", "daily", "monthly", "no such")],
+    ("get_email_send_history_paginated", (), {"branch_code": "D03", "status": "failed", "start_date": "1995-01-01"}),
+    ("get_tenant_jobs_paginated", (), {}),
+]
+
+
+@pytest.mark.parametrize(("name", "args", "named"), VARIANTS)
+def test_sql_function_with_parameters(sql, name, args, named):
+    t, ask = sql
+    asked = {k: ("true" if v is True else v) for k, v in named.items()}
+    got = ask(name, *args, **asked)
+    want = call(t, name, "T0", *args, **named)
+    want = want["data"] if isinstance(want, dict) else want
+    assert rows(got) == rows(want)
+
+
+def test_sql_histories_and_pruning(sql):
+    t, ask = sql
+    user, session = first_user(t), first_session(t)
+    assert rows(ask("get_user_history", user)) == rows(call(t, "get_user_history", "T0", user)) != []
+    assert rows(ask("get_session_history", session)) == rows(call(t, "get_session_history", "T0", session)) != []
+    plan = ask("get_purchase_tasks", 1, 5, start_date="2024-01-05")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(tenant_id" in plan and "CartesianProduct" not in plan
