@@ -1638,12 +1638,12 @@ def f1_table_function_surface(spark, sf_dir):
     return call(tables(spark, sf_dir), "get_purchase_tasks", "T0", 1, 50)["data"]
 
 
-@register("f1_sql_table_function", "SELECT * FROM (" + q4_sql(1, 50) + ") x WHERE tenant_id = 'T0'")
+@register("f1_sql_table_function", "SELECT * FROM (" + q2_sql("weekly") + ") x WHERE tenant_id = 'T0'")
 def f1_sql_table_function(spark, sf_dir):
-    """The same function as an SQL table function."""
+    """A named function called as an SQL table function."""
     from sessionscope.functions.sqlsurface import register_functions
     register_functions(tables(spark, sf_dir))
-    return spark.sql("SELECT * FROM get_purchase_tasks('T0', 1, 50)")
+    return spark.sql(f"SELECT * FROM get_chart_data('T0', '{START}', '{END}', 'weekly')")
 
 
 @register("f1_sql_views_overview", Q1_SQL)
@@ -1719,7 +1719,7 @@ def a3_sketched_distinct(spark, sf_dir):
     def period(name, start, end):
         exact = scope(t.page_view, None, None, start, end).groupBy("tenant_id").agg(
             F.count_distinct("param_ga_session_id").alias("exact_visitors"), F.count_distinct("user_prop_webuserid").alias("exact_users"))
-        both = exact.join(approximate_visitors(sketches, start, end), "tenant_id")
+        both = exact.join(F.broadcast(approximate_visitors(sketches, start, end)), "tenant_id")    # one row a tenant
         return both.select("tenant_id", F.lit(name).alias("period"), "exact_visitors", "exact_users",
                            (near("total_visitors", "exact_visitors") & near("unique_users", "exact_users")).alias("within_bound"))
     return reduce(DataFrame.unionByName, [period(name, *rng) for name, rng in _SKETCH_RANGES.items()])
