@@ -84,10 +84,10 @@ with ordered as (
   select conv_id as pair_id, turn, role, text, row_number() over w as place, count(*) filter (role = 'assistant') over (w rows unbounded preceding) as nth,
     count(*) filter (role = 'assistant') over (partition by conv_id) as answers, first_value(text) over w as opening, ('0x' || substr(md5(conv_id::varchar), 1, 7))::bigint as number
   from conversations where conv_id is not null window w as (partition by conv_id order by turn nulls first, role nulls first, text nulls first)),
-picked as (select *, min(place) filter (role = 'assistant' and nth = number % answers + 1) over (partition by pair_id) as at from ordered),
+picked as (select *, min(place) filter (role = 'assistant' and nth = number % greatest(answers, 1) + 1) over (partition by pair_id) as spot from ordered),
 sides as (
   select pair_id, 'c' as side, turn, role, text from picked
-  union all select pair_id, 'r', turn, role, case when place = at then opening else text end from picked where at is null or place <= at or (number // 16) % 2 = 0),
+  union all select pair_id, 'r', turn, role, case when place = spot then opening else text end from picked where spot is null or place <= spot or (number // 16) % 2 = 0),
 placed as (
   select *, row_number() over (partition by pair_id, side order by turn nulls first, role nulls first, text nulls first) as k,
     '<|' || coalesce(role, '') || chr(124) || '>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) as shown
