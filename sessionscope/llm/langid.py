@@ -82,6 +82,10 @@ class Trigrams(NamedTuple):
         out[np.repeat(np.arange(len(bins)), size), self.lang[at]] += self.count[at]
         return out / self.total
 
+    def sum(self, axis: int = 0) -> np.ndarray:
+        """Sums of the dense matrix that this stands for: over its bins (axis 0; 1 a language) or over its languages."""
+        return self[np.arange(self.shape[0])].sum(axis)
+
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], Trigrams]:
     """(languages in order of name, their trigram probabilities) from text and non-null lang
