@@ -21,3 +21,24 @@ def test_dispatch_plan_deals_the_jobs_of_a_branch_out(make_tables):
     assert sorted((r.job_id, r.branch_code, r.sales_rep_name, r.subject, r.location_name) for r in plan.collect()) == want
     joins = [x for x in physical(plan).splitlines() if "Join" in x and "Inner" in x]
     assert joins and all("SortMergeJoin" in x and "_part" in x for x in joins)
+
+
+def test_a_query_writes_only_the_tables_that_it_reads(spark, tmp_path):
+    import os
+    import shutil
+
+    from sessionscope.registry import QUERIES
+    from sessionscope.sources.fixtures import load_tables, warehouse_path
+    sf = str(tmp_path / "sf")
+    shutil.copytree("/root/testdata/sf0.001", sf)    # a path of its own: nothing is stored for it yet
+    stored = lambda: {x for x in os.listdir(root) if ".building" not in x} if os.path.isdir(root) else set()
+    root = warehouse_path(spark, sf)
+    t = load_tables(spark, sf)
+    for key in ("i8_extract_all_event_types", "i11_parse_event_date", "s6_parse_date"):
+        assert QUERIES[key][0](spark, sf).count() > 0 and stored() == set()
+    assert t.email_send_history.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count() and stored() == set()
+    for key in ("s14_json_parse_products", "l2_limit_offset_page", "p3_optional_date_range"):
+        assert QUERIES[key][0](spark, sf).count() > 0 and stored() == {"purchase"}
+    for key in ("l5_top_10_terms", "q6_search_analysis_tasks"):
+        assert QUERIES[key][0](spark, sf).count() > 0
+        assert stored() == {"purchase", "purchased_sessions", "no_search_results", "view_search_results"}
