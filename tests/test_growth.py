@@ -42,3 +42,8 @@ def test_a_query_writes_only_the_tables_that_it_reads(spark, tmp_path):
     for key in ("l5_top_10_terms", "q6_search_analysis_tasks"):
         assert QUERIES[key][0](spark, sf).count() > 0
         assert stored() == {"purchase", "purchased_sessions", "no_search_results", "view_search_results"}
+
+
+def test_history_projection_ranks_rows_that_nobody_sorted(spark):
+    from sessionscope.registry import QUERIES
+    assert "rangepartitioning" not in physical(QUERIES["r15_history_projection"][0](spark, "/root/testdata/sf0.001"))
