@@ -16,13 +16,14 @@ several triggers, ends in the same tables; progress is tracked in the stream che
 from __future__ import annotations
 
 import uuid
+from functools import partial
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from sessionscope.session import delete_path, scratch_dir
+from sessionscope.session import delete_path, scratch_dir, side_by_side
 from sessionscope.sources.extract import EVENT_NAMES, parse_event_date
 from sessionscope.sources.fixtures import COMMON_EVENT_COLUMNS
 from sessionscope.sources.ingest import stage_events, staged_table
@@ -66,8 +67,9 @@ def _replace_batch(spark: SparkSession, landing: str, schema: StructType, wareho
         def replaced(stored: DataFrame) -> DataFrame:
             return stored.filter(F.col("event_date").between(F.lit(first), F.lit(last))).join(pairs, PAIR, "left_semi")
 
-        for name in EVENT_NAMES:
-            replace_pairs(spark, f"{warehouse}/{name}", staged_table(staged, name), replaced)
+        errors = side_by_side(spark, {name: partial(replace_pairs, spark, f"{warehouse}/{name}", staged_table(staged, name), replaced) for name in EVENT_NAMES})
+        for error in errors.values():    # likewise not done
+            raise error
     delete_path(spark, current)
 
 

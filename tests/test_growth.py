@@ -47,3 +47,26 @@ def test_a_query_writes_only_the_tables_that_it_reads(spark, tmp_path):
 def test_history_projection_ranks_rows_that_nobody_sorted(spark):
     from sessionscope.registry import QUERIES
     assert "rangepartitioning" not in physical(QUERIES["r15_history_projection"][0](spark, "/root/testdata/sf0.001"))
+
+
+def test_reingest_lands_no_export_through_one_task(spark, tmp_path):
+    import os
+
+    from sessionscope.registry import QUERIES
+    from sessionscope.session import ensure_checkpoint_dir
+    roots = lambda: {x for x in os.listdir(ensure_checkpoint_dir(spark)) if x.startswith("st1-")}
+    before, size = roots(), "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    spark.conf.set(size, "1b")    # as many tasks as a large input would have
+    try:
+        QUERIES["st1_incremental_reingest"][0](spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset(size)
+    root = os.path.join(ensure_checkpoint_dir(spark), *(roots() - before))
+    files = {n: [x for x in os.listdir(f"{root}/landing/export_id={n}") if x.endswith(".parquet")] for n in range(1, 6)}
+    assert all(len(found) >= 4 for found in files.values())
+    for found in files[1]:
+        assert spark.read.parquet(f"{root}/landing/export_id=1/{found}").count() > 0
+    # the second export still comes in two triggers that share its days
+    index = spark.read.parquet(f"{root}/checkpoint/export-index").filter("export_id = 2")
+    days = [{r[0] for r in index.filter(f"batch = {b}").select("event_date").collect()} for b in sorted(r[0] for r in index.select("batch").distinct().collect())]
+    assert len(days) == 2 and days[0] == days[1] != set()
