@@ -70,3 +70,27 @@ def test_reingest_lands_no_export_through_one_task(spark, tmp_path):
     index = spark.read.parquet(f"{root}/checkpoint/export-index").filter("export_id = 2")
     days = [{r[0] for r in index.filter(f"batch = {b}").select("event_date").collect()} for b in sorted(r[0] for r in index.select("batch").distinct().collect())]
     assert len(days) == 2 and days[0] == days[1] != set()
+
+
+def test_followed_tables_are_replaced_side_by_side(spark, monkeypatch):
+    import threading
+
+    from sessionscope.registry import followed_tables
+    from sessionscope.sources import sinks
+    from sessionscope.sources.fixtures import load_tables
+    from sessionscope.streaming.rollups import contributions
+    sf, names, real = "/root/testdata/sf0.001", ["no_search_results", "view_search_results"], sinks.replace_date_range
+    together, steps = threading.Barrier(len(names), timeout=60), []
+
+    def replace(spark, path, *rest, **kw):
+        if len(steps) < len(names):
+            together.wait()    # broken, and so an error, unless all tables get here at the same time
+        steps.append(path)
+        return real(spark, path, *rest, **kw)
+
+    monkeypatch.setattr(sinks, "replace_date_range", replace)
+    rollups, t = followed_tables(spark, sf, names), load_tables(spark, sf)
+    assert len(steps) == 4 * len(names)
+    for name in names:
+        want = contributions(getattr(t, name)).select(*rollups[name].columns)
+        assert rollups[name].exceptAll(want).isEmpty() and want.exceptAll(rollups[name]).isEmpty()
