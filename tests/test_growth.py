@@ -23,6 +23,19 @@ def test_dispatch_plan_deals_the_jobs_of_a_branch_out(make_tables):
     assert joins and all("SortMergeJoin" in x and "_part" in x for x in joins)
 
 
+def test_dispatch_plan_makes_its_rows_in_many_tasks_however_little_it_reads(spark, make_tables):
+    """What the join reads is small beside its rows: the tasks that make them are not merged by what they read."""
+    from pyspark.sql import functions as F
+
+    from sessionscope.plans.report import DISPATCH_TASKS, dispatch_plan
+    jobs = [dict(tenant_id="T0", job_id=f"j{i}", report_date=dt.date(2024, 1, 2), status="queued", target_branches=["D1"] if i % 2 else None) for i in range(400)]
+    maps = [dict(tenant_id="T0", branch_code="D1", sales_rep_email=f"{i}@x", sales_rep_name=f"{i}", is_enabled=True) for i in range(20)]
+    plan = dispatch_plan(make_tables(email_sending_jobs=jobs, branch_email_mappings=maps))
+    rows = [r["count"] for r in plan.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(rows) == 400 * 20 and plan.select("job_id", "sales_rep_email").distinct().count() == 400 * 20
+    assert len(rows) >= DISPATCH_TASKS and max(rows) <= 400 * 20 // 8
+
+
 def test_a_query_writes_only_the_tables_that_it_reads(spark, tmp_path):
     import os
     import shutil
